@@ -51,32 +51,38 @@ def value_counts(long_df: DataFrame, keys: Sequence[str], value: str = "x") -> D
 
 
 def cumulative_before(counted: DataFrame, keys: Sequence[str], order: Sequence,
-                      weight: str = "cnt", out: str = "before",
-                      with_totals: bool = False):
+                      weight="cnt", out="before", with_totals: bool = False):
     """Add ``out`` = sum of ``weight`` over rows of the same ``keys`` that come
-    strictly before this row in ``order`` (ties in ``order`` must be broken by
-    the caller; rows are distinct here). With ``with_totals`` also return the
-    per-key totals ``(keys..., n)``, read from the small partition table."""
+    strictly before this row in ``order`` (rows must be distinct in ``order``
+    within a key). ``weight``/``out`` may be lists for several running sums.
+    With ``with_totals`` also return the per-key totals of the first weight
+    ``(keys..., n)``, read from the small partition table."""
     keys = list(keys)
+    weights = [weight] if isinstance(weight, str) else list(weight)
+    outs = [out] if isinstance(out, str) else list(out)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     n = _num_partitions(counted)
     ranged = counted.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
     ranged = materialize(ranged.withColumn("__pid", F.spark_partition_id()))
 
-    totals = ranged.groupBy("__pid", *keys).agg(F.sum(weight).alias("__ptot"))
+    totals = ranged.groupBy("__pid", *keys).agg(
+        *[F.sum(w).alias(f"__ptot{i}") for i, w in enumerate(weights)])
     w_off = (Window.partitionBy(*keys).orderBy("__pid")
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select("__pid", *keys,
-                            F.coalesce(F.sum("__ptot").over(w_off), F.lit(0))
-                            .alias("__off"))
+    offsets = totals.select("__pid", *keys, *[
+        F.coalesce(F.sum(f"__ptot{i}").over(w_off), F.lit(0)).alias(f"__off{i}")
+        for i in range(len(weights))])
     w_loc = (Window.partitionBy("__pid", *keys).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, -1))
-    local = ranged.withColumn("__loc", F.coalesce(F.sum(weight).over(w_loc), F.lit(0)))
+    local = ranged.withColumns({f"__loc{i}": F.coalesce(F.sum(w).over(w_loc), F.lit(0))
+                                for i, w in enumerate(weights)})
     joined = local.join(broadcast_if_small(offsets), ["__pid", *keys], "inner")
-    result = joined.withColumn(out, (F.col("__off") + F.col("__loc")).cast("long")) \
-                   .drop("__pid", "__off", "__loc")
+    result = joined.withColumns({
+        o: (F.col(f"__off{i}") + F.col(f"__loc{i}")).cast("long") for i, o in enumerate(outs)})
+    result = result.drop("__pid", *[f"__off{i}" for i in range(len(weights))],
+                         *[f"__loc{i}" for i in range(len(weights))])
     if with_totals:
-        return result, totals.groupBy(*keys).agg(F.sum("__ptot").cast("long").alias("n"))
+        return result, totals.groupBy(*keys).agg(F.sum("__ptot0").cast("long").alias("n"))
     return result
 
 
