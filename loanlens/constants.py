@@ -142,3 +142,9 @@ CUSTOMER_COLUMNS = PROFILE_COLUMNS + ENGINEERED
 CUSTOMER_STRING_COLUMNS = ["RespondentID", "Persona", "CityTier", "RepaymentHistory",
                            "MarketingSegment", "CreditScoreBand", "AgeGroup"]
 CUSTOMER_NUMERIC_COLUMNS = [c for c in CUSTOMER_COLUMNS if c not in CUSTOMER_STRING_COLUMNS]
+CUSTOMER_INT_COLUMNS = [
+    "Age", "NumDependents", "CreditHistoryYears", "NumCreditAccounts", "NumHardInquiries",
+    "MissedPayments", "Bankruptcies", "UPI_TxnMonthly", "HasProperty", "HasVehicle",
+    "HasCreditCard", "HasFinancialPlan", "IncomeShockLast3Yr", "AppBasedLoan", "YearsEmployed",
+    "RepaymentHistory_Ord", "LoanApproved",
+]

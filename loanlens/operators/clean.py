@@ -40,28 +40,28 @@ def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     """Replace nulls of numeric columns by the column's exact median.
 
     One cheap pass finds which columns hold nulls at all; exact medians are
-    computed (distributed, §4.3) only for those; the medians (one value per
-    column) are attached as scalar subqueries, so the result is one
-    projection over ``df``."""
+    computed (distributed, §4.3) only for those. The medians -- one value per
+    column, bounded by the schema -- are read once and applied as literals in
+    a single projection over ``df``."""
     cols = list(cols or numeric_cols(df))
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     with_nulls = [c for c in cols if counts[c]]
     if not with_nulls:
         return df
-    med = quantiles_wide(df, with_nulls, [0.5], ["median"])
-    repl = {}
-    for c in with_nulls:
-        value = med.where(F.col(NAME) == c).select("median").scalar()
-        repl[c] = F.coalesce(F.col(c), value.cast(df.schema[c].dataType))
+    med = {r[NAME]: r["median"] for r in
+           quantiles_wide(df, with_nulls, [0.5], ["median"]).collect()}
+    repl = {c: F.coalesce(F.col(c), F.lit(med.get(c)).cast(df.schema[c].dataType))
+            for c in with_nulls}
     return df.withColumns(repl)
 
 
 def quartile_bins(df: DataFrame, c: str, out: str = "IncomeQuartile") -> DataFrame:
     """pandas ``qcut(x, 4, labels=Q1..Q4)`` with exact interpolated
-    quartiles (the three edges are scalar subqueries over the column)."""
-    q = quantiles_wide(df, [c], [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
-    q1, q2, q3 = (q.select(n).scalar() for n in ("q1", "q2", "q3"))
-    return df.withColumn(out, C.quartile_label(F.col(c).cast("double"), q1, q2, q3, None))
+    quartiles (three values, read once)."""
+    q = quantiles_wide(df, [c], [0.25, 0.5, 0.75], ["q1", "q2", "q3"]).first()
+    lit = lambda v: F.lit(v).cast("double")
+    return df.withColumn(out, C.quartile_label(F.col(c).cast("double"), lit(q["q1"]),
+                                                lit(q["q2"]), lit(q["q3"]), None))
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_Enc") -> DataFrame:
@@ -102,12 +102,12 @@ def outlier_fences(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> DataFr
 def cap_outliers(df: DataFrame, cols: Sequence[str], k: float = 3.0):
     """clip each column to its k x IQR fences. Returns
     ``(capped_df, report)`` where the report counts the capped cells per
-    column; the fences are one value per column (scalar subqueries)."""
+    column; the fences (two values per column) are read once."""
     fences = outlier_fences(df, cols, k)
+    fv = {r[NAME]: r for r in fences.collect()}
     repl, counts = {}, []
     for c in cols:
-        f = fences.where(F.col(NAME) == c)
-        lo, hi = f.select("lower").scalar(), f.select("upper").scalar()
+        lo, hi = F.lit(fv[c]["lower"]).cast("double"), F.lit(fv[c]["upper"]).cast("double")
         x = F.col(c)
         repl[c] = F.when(x.isNull(), x).when(x < lo, lo).when(x > hi, hi).otherwise(x) \
                    .cast(df.schema[c].dataType)
@@ -116,5 +116,5 @@ def cap_outliers(df: DataFrame, cols: Sequence[str], k: float = 3.0):
     wide = df.agg(*counts)
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     report = wide.selectExpr(f"stack({len(cols)}, {stack}) AS ({NAME}, n_capped)")
-    report = report.join(fences, NAME, "left")
+    report = report.join(broadcast_if_small(fences), NAME, "left")
     return capped, report

@@ -194,3 +194,18 @@ def wrap_round(sql: str, digits: dict[str, int]) -> str:
         return sql
     repl = ", ".join(f"{round_sql(c, k)} AS {c}" for c, k in digits.items())
     return f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) AS __q"
+
+
+def _loaded_cte() -> str:
+    """The load path (P3): every numeric null replaced by its column median."""
+    from loanlens import constants as K
+    parts = []
+    for c in K.CUSTOMER_NUMERIC_COLUMNS:
+        t = ("BIGINT" if c == "cust_key" else
+             "INTEGER" if c in K.CUSTOMER_INT_COLUMNS else "DOUBLE")
+        parts.append(f"coalesce({c}, CAST((SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) "
+                     f"FROM customers) AS {t})) AS {c}")
+    return f"loaded AS (SELECT * REPLACE ({', '.join(parts)}) FROM customers)"
+
+
+LOADED_CTE = _loaded_cte()

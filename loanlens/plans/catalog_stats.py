@@ -9,7 +9,8 @@ from loanlens import constants as K
 from loanlens.functions import columns as C
 from loanlens.functions.derive import derive, prep_features
 from loanlens.operators import clean, stats
-from loanlens.oracle import D, bands_sql, clip_sql, round_sql, with_customers, with_profiles
+from loanlens.oracle import (LOADED_CTE, D, bands_sql, clip_sql, round_sql, with_customers,
+                             with_profiles)
 from loanlens.plans.registry import register
 from loanlens.sources.customers import customers, preview, template
 from loanlens.sources.fixtures import profiles
@@ -257,20 +258,7 @@ def segment_profile(spark, d):
 
 # ------------------------------------------------------------- cleaning -----
 def _impute_sql():
-    ints = {"cust_key": "BIGINT"}
-    parts = []
-    for c in K.CUSTOMER_NUMERIC_COLUMNS:
-        t = ints.get(c, "INTEGER" if c in _INT_COLUMNS else "DOUBLE")
-        parts.append(f"coalesce({c}, CAST((SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) "
-                     f"FROM customers) AS {t})) AS {c}")
-    return with_customers(f"SELECT * REPLACE ({', '.join(parts)}) FROM customers")
-
-
-_INT_COLUMNS = ["Age", "NumDependents", "CreditHistoryYears", "NumCreditAccounts",
-                "NumHardInquiries", "MissedPayments", "Bankruptcies", "UPI_TxnMonthly",
-                "HasProperty", "HasVehicle", "HasCreditCard", "HasFinancialPlan",
-                "IncomeShockLast3Yr", "AppBasedLoan", "YearsEmployed", "RepaymentHistory_Ord",
-                "LoanApproved"]
+    return with_customers("SELECT * FROM loaded", LOADED_CTE)
 
 
 @register("impute_median", _impute_sql())
