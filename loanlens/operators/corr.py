@@ -39,11 +39,15 @@ def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
                        F.when(both, y).alias("y"))
     return long.groupBy("pair").agg(
         F.count("x").alias("n"), F.covar_pop("x", "y").alias("cov"),
-        F.stddev_pop("x").alias("sa"), F.stddev_pop("y").alias("sb"))
+        F.stddev_pop("x").alias("sa"), F.stddev_pop("y").alias("sb"),
+        (F.min("x") < F.max("x")).alias("vx"), (F.min("y") < F.max("y")).alias("vy"))
 
 
 def _r() -> F.Column:
-    return F.try_divide(F.col("cov"), F.col("sa") * F.col("sb"))
+    """r, null when a side is constant (exact min == max test: the streaming
+    std of a constant column need not be exactly 0)."""
+    return F.when(F.col("vx") & F.col("vy"),
+                  F.try_divide(F.col("cov"), F.col("sa") * F.col("sb")))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], triangle: bool = False) -> DataFrame:
@@ -55,10 +59,10 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], triangle: bool = False) -> D
     idx = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
     m = pair_moments(df, [(cols[i], cols[j]) for (i, j) in idx])
     ij = F.array(*[F.array(F.lit(i), F.lit(j)) for (i, j) in idx])
-    m = m.select(F.element_at(ij, F.col("pair") + 1).alias("ij"), "sa", "cov", "sb")
+    m = m.select(F.element_at(ij, F.col("pair") + 1).alias("ij"), "sa", "cov", "sb", "vx", "vy")
     m = m.select(F.col("ij")[0].alias("i"), F.col("ij")[1].alias("j"),
                  F.when(F.col("ij")[0] == F.col("ij")[1],
-                        F.when(F.col("sa") > 0, C.dlit(1.0))).otherwise(_r()).alias("r"))
+                        F.when(F.col("vx"), C.dlit(1.0))).otherwise(_r()).alias("r"))
     lower = m.where(F.col("i") > F.col("j"))
     if triangle:
         out = lower

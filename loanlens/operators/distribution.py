@@ -108,16 +108,18 @@ def qq_points(df: DataFrame, c: str) -> DataFrame:
 
 def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least-squares slope, intercept and Pearson r of ``y`` on ``x`` over
-    complete pairs. r uses try_divide so a constant side yields null, not an
-    ANSI divide-by-zero error."""
+    complete pairs. A constant side (exact min == max test) gives null
+    slope/intercept (constant x) and null r, never an ANSI error."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return both.agg(
+    xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
+    m = both.agg(
         F.count(F.lit(1)).alias("n"),
-        F.regr_slope(F.col(y).cast("double"), F.col(x).cast("double")).alias("slope"),
-        F.regr_intercept(F.col(y).cast("double"), F.col(x).cast("double")).alias("intercept"),
-        F.try_divide(F.covar_pop(F.col(x).cast("double"), F.col(y).cast("double")),
-                     F.stddev_pop(F.col(x).cast("double"))
-                     * F.stddev_pop(F.col(y).cast("double"))).alias("r"))
+        F.regr_slope(yd, xd).alias("slope"), F.regr_intercept(yd, xd).alias("intercept"),
+        F.try_divide(F.covar_pop(xd, yd), F.stddev_pop(xd) * F.stddev_pop(yd)).alias("r"),
+        (F.min(xd) < F.max(xd)).alias("vx"), (F.min(yd) < F.max(yd)).alias("vy"))
+    return m.select("n", F.when(F.col("vx"), F.col("slope")).alias("slope"),
+                    F.when(F.col("vx"), F.col("intercept")).alias("intercept"),
+                    F.when(F.col("vx") & F.col("vy"), F.col("r")).alias("r"))
 
 
 def qq_fit(df: DataFrame, c: str) -> DataFrame:

@@ -185,14 +185,14 @@ _NC = [c for c in K.CORR_COLUMNS if c in K.CUSTOMER_COLUMNS]
 def _pair_sql(a, b, i, j):
     x, y = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
     return (f"SELECT '{a}' AS a, '{b}' AS b, CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, "
-            f"CASE WHEN stddev_pop({x}) * stddev_pop({y}) = 0 THEN NULL ELSE "
+            f"CASE WHEN min({x}) = max({x}) OR min({y}) = max({y}) THEN NULL ELSE "
             f"covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END AS r "
             f"FROM customers WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
 
 
 def _diag_sql(a, i):
     return (f"SELECT '{a}' AS a, '{a}' AS b, CAST({i} AS INTEGER) AS i, CAST({i} AS INTEGER) AS j, "
-            f"CASE WHEN stddev_pop(CAST({a} AS DOUBLE)) > 0 THEN {D(1.0)} END AS r "
+            f"CASE WHEN min(CAST({a} AS DOUBLE)) < max(CAST({a} AS DOUBLE)) THEN {D(1.0)} END AS r "
             f"FROM customers")
 
 

@@ -21,15 +21,21 @@ from loanlens.plans.registry import register
 from loanlens.sources.customers import customers, load_customers
 
 R6 = 6
-PROB = (F.col("CreditScore") - C.dlit(300)) / C.dlit(600)
+def PROB():  # noqa: N802
+    return (F.col("CreditScore") - C.dlit(300)) / C.dlit(600)
+
+
 PROB_SQL = f"((CreditScore - {D(300)}) / {D(600)})"
-PRED = C.clip(C.dlit(900) - F.col("RiskScore") * C.dlit(200), 300.0, 900.0)
+def PRED():  # noqa: N802
+    return C.clip(C.dlit(900) - F.col("RiskScore") * C.dlit(200), 300.0, 900.0)
+
+
 PRED_SQL = clip_sql(f"{D(900)} - RiskScore * {D(200)}", D(300), D(900))
 
 
 def scored(spark, d):
-    return customers(spark, d).withColumns({"prob": PROB, "pred_label": (PROB >= C.dlit(0.5))
-                                            .cast("int"), "pred_score": PRED})
+    return customers(spark, d).withColumns({"prob": PROB(), "pred_label": (PROB() >= C.dlit(0.5))
+                                            .cast("int"), "pred_score": PRED()})
 
 
 SCORED_CTE = (f"sc AS (SELECT *, {PROB_SQL} AS prob, CAST(CASE WHEN {PROB_SQL} >= {D(0.5)} "
@@ -298,7 +304,7 @@ def given_probabilities(spark, d):
     df = customers(spark, d)
     return df.select(
         "RespondentID", "MarketingSegment", "RiskScore",
-        F.col("ApprovalProbability").alias("p_gb"), PROB.alias("p_rf"),
+        F.col("ApprovalProbability").alias("p_gb"), PROB().alias("p_rf"),
         C.clip(C.dlit(1) - F.col("RiskScore") / C.dlit(3), 0.0, 1.0).alias("p_lr"))
 
 

@@ -48,6 +48,9 @@ PRESETS = {
     # the dashboard's first-launch path
     "fast": dict(rf_trees=120, rf_depth=10, gb_rounds=100, rfr_trees=100, rfr_depth=10,
                  km_starts=10),
+    # unit tests only: small ensembles so the suite stays quick
+    "test": dict(rf_trees=10, rf_depth=5, gb_rounds=5, rfr_trees=10, rfr_depth=5,
+                 km_starts=2),
 }
 SEED = 42
 VERSION = "1"
