@@ -172,11 +172,12 @@ def live_stream_scores(spark, d):
     b = bundle_for(spark, d)
     root = M.artifact_dir(spark, f"stream|{d}|{uuid.uuid4().hex}")
     src, sink, ckpt = f"{root}/incoming", f"{root}/scored", f"{root}/_checkpoint"
-    apps = batch_input(spark, d).select(
-        "RespondentID", *[c for c in K.CLF_FEATURES + ["RepaymentHistory", "CreditScore"]
-                          if c in profiles(spark, d).columns and c not in
-                          ("RiskScore", "EMI_to_Income", "SavingsToDebt", "FamilyBurdenScore",
-                           "RepaymentHistory_Ord")])
+    batch = batch_input(spark, d)
+    derived = {"RiskScore", "EMI_to_Income", "SavingsToDebt", "FamilyBurdenScore",
+               "RepaymentHistory_Ord"}
+    apps = batch.select("RespondentID", *[
+        c for c in K.CLF_FEATURES + ["RepaymentHistory", "CreditScore"]
+        if c in batch.columns and c not in derived])
     apps.repartition(4).write.mode("overwrite").parquet(src)
     q = start_scoring_stream(spark, src, apps.schema, b, sink, ckpt, available_now=True)
     q.awaitTermination()

@@ -104,27 +104,49 @@ def balanced_weights(df: DataFrame, label: str, out: str = "w") -> DataFrame:
     return df.withColumn(out, expr if expr is not None else w)
 
 
+def _parallel(fns, workers: int = 4):
+    """Run independent fits as concurrent Spark jobs from driver threads
+    (each fit is itself distributed; small fits then share the executors
+    instead of queueing)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(fns)))) as pool:
+        return list(pool.map(lambda f: f(), fns))
+
+
 def fit_kmeans(vecs: DataFrame, k: int, starts: int, seed: int = SEED):
-    """M8: best of ``starts`` K-Means runs (least within-cluster cost)."""
-    best = None
-    for s in range(starts):
+    """M8: best of ``starts`` K-Means runs (least within-cluster cost); the
+    starts run concurrently."""
+    def one(s):
         m = KMeans(k=k, seed=seed + s, featuresCol="features", maxIter=300, tol=1e-4).fit(vecs)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best
+        return m, m.summary.trainingCost
+    runs = _parallel([lambda s=s: one(s) for s in range(starts)])
+    return min(runs, key=lambda mc: mc[1])
 
 
 def elbow(vecs: DataFrame, ks=range(2, 9), starts: int = 5, seed: int = SEED) -> list:
-    """M9: (k, inertia) for k = 2..8, best of 5 starts each."""
-    return [(k, fit_kmeans(vecs, k, starts, seed)[1]) for k in ks]
+    """M9: (k, inertia) for k = 2..8, best of 5 starts each (all 35 fits are
+    independent and run concurrently)."""
+    def one(k, s):
+        return k, KMeans(k=k, seed=seed + s, featuresCol="features", maxIter=300,
+                         tol=1e-4).fit(vecs).summary.trainingCost
+    runs = _parallel([lambda k=k, s=s: one(k, s) for k in ks for s in range(starts)], 6)
+    return [(k, min(c for kk, c in runs if kk == k)) for k in ks]
 
 
 def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
-          with_elbow: bool = False) -> Bundle:
+          with_elbow: bool = False, timings: dict | None = None) -> Bundle:
     """Clean table -> features -> split -> six fitted models -> hold-out
-    metrics -> cluster profile and names."""
+    metrics -> cluster profile and names. ``timings`` (if given) receives the
+    wall seconds of each fit."""
+    import time as _time
     p = PRESETS[preset]
+    timings = timings if timings is not None else {}
+
+    def timed(name, fn):
+        t0 = _time.time()
+        out = fn()
+        timings[name] = round(_time.time() - t0, 3)
+        return out
     spark = df.sparkSession
     clf_f, reg_f = present(df, K.CLF_FEATURES), present(df, K.REG_FEATURES)
     clu_f = present(df, K.CLU_FEATURES)
@@ -146,33 +168,44 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
         n_train = train_c.count()
 
         models = {}
-        models["lr"] = LogisticRegression(
-            featuresCol="features", labelCol="label", weightCol="w", maxIter=1000,
-            regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False,
-            tol=1e-8).fit(train_c)
-        models["rf_clf"] = RandomForestClassifier(
-            featuresCol="features", labelCol="label", weightCol="w", numTrees=p["rf_trees"],
-            maxDepth=p["rf_depth"], featureSubsetStrategy="sqrt", seed=SEED).fit(train_c)
-        models["gb_clf"] = GBTClassifier(
-            featuresCol="features", labelCol="label", maxIter=p["gb_rounds"], maxDepth=5,
-            stepSize=0.1, seed=SEED).fit(train_c)
+        fits = {
+            "lr": lambda: LogisticRegression(
+                featuresCol="features", labelCol="label", weightCol="w", maxIter=1000,
+                regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False,
+                tol=1e-8).fit(train_c),
+            "rf_clf": lambda: RandomForestClassifier(
+                featuresCol="features", labelCol="label", weightCol="w",
+                numTrees=p["rf_trees"], maxDepth=p["rf_depth"], featureSubsetStrategy="sqrt",
+                seed=SEED).fit(train_c),
+            "gb_clf": lambda: GBTClassifier(
+                featuresCol="features", labelCol="label", maxIter=p["gb_rounds"], maxDepth=5,
+                stepSize=0.1, seed=SEED).fit(train_c),
+        }
 
         Xr = assemble(data, reg_f, scalers["reg"], keep).persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(Xr)
         train_r, test_r = Xr.where("is_test = 0"), Xr.where("is_test = 1")
         sy = train_r.agg(F.stddev_pop("score")).first()[0] or 1.0
         n_r = train_r.count()
-        models["ridge"] = LinearRegression(
+        fits["ridge"] = lambda: LinearRegression(
             featuresCol="features", labelCol="score", solver="normal", elasticNetParam=0.0,
             standardization=False, regParam=1.0 * sy / n_r).fit(train_r)
-        models["rf_reg"] = RandomForestRegressor(
+        fits["rf_reg"] = lambda: RandomForestRegressor(
             featuresCol="features", labelCol="score", numTrees=p["rfr_trees"],
             maxDepth=p["rfr_depth"], featureSubsetStrategy="all", seed=SEED).fit(train_r)
 
         Xk = assemble(data, clu_f, scalers["clu"], keep).persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(Xk)
-        km, _ = fit_kmeans(Xk, 4, p["km_starts"])
-        models["kmeans"] = km
+        fits["kmeans"] = lambda: fit_kmeans(Xk, 4, p["km_starts"])[0]
+        if with_elbow:
+            fits["elbow"] = lambda: elbow(Xk)
+        names = list(fits)
+        results = _parallel([lambda n=n: timed("fit_" + n if n != "elbow" else n, fits[n])
+                             for n in names], workers=len(names))
+        for n, r in zip(names, results):
+            if n != "elbow":
+                models[n] = r
+        inertias = results[names.index("elbow")] if with_elbow else []
 
         rows = []
         for name in ("lr", "rf_clf", "gb_clf"):
@@ -186,14 +219,13 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
         metrics = spark.createDataFrame(rows, "model string, task string, metric string, "
                                               "value double")
 
-        assigned = km.transform(Xk).select("RespondentID", F.col("prediction").alias("Cluster"))
+        assigned = models["kmeans"].transform(Xk).select("RespondentID", F.col("prediction").alias("Cluster"))
         prof_in = data.join(assigned, "RespondentID")
         prof_in = prep_features(prof_in, clu_f, keep=["Cluster", "LoanApproved", "CreditScore"])
         profile = segments.cluster_profile(prof_in, [c for c in clu_f if c != "CreditScore"],
                                            extra=["LoanApproved"])
         names = segments.name_clusters(profile).collect()
         labels = {int(r["Cluster"]): r["label"] for r in names}
-        inertias = elbow(Xk) if with_elbow else []
         profile = spark.createDataFrame(profile.collect(), profile.schema)
         metrics = spark.createDataFrame(metrics.collect(), metrics.schema)
         return Bundle(clf_f, reg_f, clu_f, scalers, models, metrics, labels, profile, inertias)
@@ -227,8 +259,21 @@ def save_artifacts(bundle: Bundle, path: str) -> None:
     spark.createDataFrame([("ok",)], "s string").write.mode("overwrite").parquet(f"{path}/_done")
 
 
-def load_artifacts(spark: SparkSession, path: str) -> Bundle:
-    """S7."""
+_LOADED: dict[str, Bundle] = {}
+
+
+def load_artifacts(spark: SparkSession, path: str, cached: bool = True) -> Bundle:
+    """S7. A complete artifact folder is immutable (versioned path, sentinel
+    written last), so loaded bundles are kept per driver process."""
+    if cached and path in _LOADED:
+        return _LOADED[path]
+    bundle = _load_artifacts(spark, path)
+    if cached:
+        _LOADED[path] = bundle
+    return bundle
+
+
+def _load_artifacts(spark: SparkSession, path: str) -> Bundle:
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
     models = {n: t.load(f"{path}/{n}") for n, t in _MODEL_TYPES.items()}
     return Bundle(meta["clf_features"], meta["reg_features"], meta["clu_features"],

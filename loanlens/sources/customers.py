@@ -17,7 +17,9 @@ from loanlens.sources.fixtures import profiles
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis base: ``profiles`` + load-path derivations (train mode) +
     descriptive bands. Nulls are kept (the statistics drop them per column)."""
-    return enrich(derive(profiles(spark, sf_dir), "train"))
+    from loanlens.sources.fixtures import plan_memo
+    return plan_memo("customers", spark, sf_dir,
+                     lambda: enrich(derive(profiles(spark, sf_dir), "train")))
 
 
 def load_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
