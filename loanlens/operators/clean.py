@@ -6,13 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from loanlens.functions import columns as C
 from loanlens.operators.lookup import broadcast_if_small
-from loanlens.operators.quantiles import NAME, quantiles_wide
+from loanlens.operators.quantiles import NAME, cumulative_before, quantiles_wide
 
 
 def select_existing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -68,19 +68,19 @@ def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_Enc") -> Da
     """code = position of the string value among the column's sorted
     distinct values (null counts as the string "nan", as in the reference).
 
-    Distinct values are collected per column in one aggregate-free pass
-    (``distinct`` on the unpivoted keys), ranked with a window per column
-    over that small table and joined back (broadcast behind a size check)."""
+    The distinct ``(column, value)`` pairs are ranked with the distributed
+    cumulative count (§4.3; every distinct value weighs 1), so even a
+    high-cardinality column is never ranked inside one task. The code table
+    is joined back per column, broadcast only behind a size check."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nan"))
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias(NAME), key(c).alias("value")) for c in cols])).alias("kv"))
-    distinct = long.select("kv.*").distinct()
-    codes = distinct.withColumn(
-        "code", (F.dense_rank().over(Window.partitionBy(NAME).orderBy("value")) - 1)
-        .cast("int"))
+    distinct = long.select("kv.*").distinct().withColumn("one", F.lit(1).cast("long"))
+    codes = cumulative_before(distinct, [NAME], ["value"], weight="one", out="code") \
+        .select(NAME, "value", F.col("code").cast("int").alias("code"))
     codes = broadcast_if_small(codes)
     out = df
     for c in cols:

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from loanlens import constants as K
@@ -113,8 +115,7 @@ def _describe_query(cols):
 for _group, _cols in K.FEATURE_GROUPS.items():
     _num = [c for c in _present(_cols) if c not in K.CUSTOMER_STRING_COLUMNS]
     if _num:
-        _slug = "describe_" + "".join(ch if ch.isalnum() else "_" for ch in _group.lower()) \
-            .replace("__", "_").strip("_")
+        _slug = "describe_" + re.sub(r"[^a-z0-9]+", "_", _group.lower()).strip("_")
         register(_slug, with_customers(_describe_sql(_num)))(_describe_query(_num))
 
 
