@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.operators.histogram import histogram_by
+from loanlens.operators.histogram import _histogram_long
+from loanlens.operators.quantiles import NAME, long_values
 
 
 def row_hash(key: str, seed: int) -> Column:
@@ -45,13 +46,12 @@ def pair_table(df: DataFrame, cols: Sequence[str], cls: str = "LoanApproved", n:
 def pair_diagonal(df: DataFrame, cols: Sequence[str], cls: str = "LoanApproved",
                   n: int = 500, seed: int = 42, key: str = "RespondentID",
                   bins: int = 20) -> DataFrame:
-    """K4 diagonal: per column, a histogram of the sample per class."""
-    s = sample_n(df, n, seed, key)
-    parts = [histogram_by(s, c, cls, bins).withColumn("feature", F.lit(c)) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """K4 diagonal: per column, a histogram of the sample per class. The
+    sample is drawn once, unpivoted to ``(class, feature, x)`` and binned in
+    one aggregate keyed on (feature, class), each on its own range."""
+    s = sample_n(df, n, seed, key).where(F.col(cls).isNotNull())
+    values = long_values(s, cols, by=[cls])
+    return _histogram_long(values, [NAME, cls], bins)
 
 
 def scatter_table(df: DataFrame, x: str, y: str, cls: str = "LoanApproved", n: int = 700,

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,5 +71,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored_table(kind: str, spark: SparkSession, key: str, build) -> DataFrame:
+    """Compute a derived table once per session and keep it as parquet in
+    the shared checkpoint folder (SURVEY S9: the loaded table is reused by
+    every analysis, as the reference caches it).
+
+    Unlike ``persist`` the written files survive executor loss without
+    recomputing the joins, and unlike an RDD checkpoint the parquet scan
+    keeps column pruning and filter pushdown, so a two-column analysis
+    reads two columns. Keyed by (kind, session, input folder); call
+    ``forget_tables()`` if the input files change under a live session."""
+    memo = (kind, id(spark._jsparkSession), key)
+    df = _STORED.get(memo)
+    if df is None:
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        path = f"{base}/tables/{kind}-{uuid.uuid4().hex}"
+        build().write.mode("errorifexists").parquet(path)
+        df = _STORED[memo] = spark.read.parquet(path)
+    return df
+
+
+def forget_tables() -> None:
+    _STORED.clear()
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"

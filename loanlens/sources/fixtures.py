@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.functions import columns as C
-from loanlens.session import table_path
+from loanlens.session import stored_table, table_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataFrame:
@@ -77,26 +77,10 @@ def user_event_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def plan_memo(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """Reuse the *plan object* of a derived table within one driver process.
-
-    Building the deep feature expressions costs thousands of Py4J calls; a
-    DataFrame is an immutable lazy plan, so handing the same object to every
-    query is safe (no data is cached). Keyed by session and input folder;
-    call ``_PLANS.clear()`` if the input files change under a live session."""
-    key = (kind, id(spark._jsparkSession), sf_dir)
-    df = _PLANS.get(key)
-    if df is None:
-        df = _PLANS[key] = build()
-    return df
-
-
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 33-column customer table of FIXTURES.md §5."""
-    return plan_memo("profiles", spark, sf_dir, lambda: _profiles(spark, sf_dir))
+    """The 33-column customer table of FIXTURES.md §5, derived once per
+    session and stored in the shared checkpoint folder (``stored_table``)."""
+    return stored_table("profiles", spark, sf_dir, lambda: _profiles(spark, sf_dir))
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
