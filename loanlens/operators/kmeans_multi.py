@@ -1,0 +1,237 @@
+"""Many K-Means runs in shared passes (M9 elbow table, SURVEY §2.7).
+
+The elbow needs the best of ``starts`` runs for every k in ``ks`` (35
+Lloyd runs by default). Fitted one by one, each run makes its own pass over
+the data per iteration, so the table costs ~35 x iterations passes. Here all
+runs advance together: every pass is ONE distributed job in which each task
+assigns its rows to the nearest centre of every run (numpy on an Arrow
+batch) and emits per-(run, cluster) partial sums -- at most sum(k) rows per
+task, whatever the data size. A ``groupBy`` combines the partials and the
+driver reads the combined table, bounded by sum(k) x d numbers (as Spark
+ML's own K-Means reads its centres each iteration). No row is paired with
+another row; nothing data-sized reaches the driver or one task.
+
+Semantics (the reference library's defaults):
+* seeding is k-means++: the first centre uniform, each next one drawn with
+  probability proportional to the squared distance to the nearest chosen
+  centre. The draw is a weighted top-1 (Efraimidis-Spirakis key
+  ``log(u) / w``) with ``u`` derived from a hash of the row key, the run and
+  the step, so it does not depend on partitioning or re-execution;
+* Lloyd iterations stop when the summed squared centre shift is at most
+  ``tol`` x the mean feature variance (a relative tolerance), or after
+  ``max_iter`` passes; a cluster that loses all rows keeps its centre;
+* inertia = sum of squared distances to the final centres (one last pass).
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel, cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# The task functions below close over this module's helpers; serialise them
+# by value so executors need only numpy and pandas, not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _mix(h: np.ndarray, salt: int) -> np.ndarray:
+    """splitmix64 finaliser of ``h ^ salt`` (uint64, wrapping)."""
+    with np.errstate(over="ignore"):
+        z = (h ^ np.uint64(salt & 0xFFFFFFFFFFFFFFFF)) + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (z ^ (z >> np.uint64(31))) & _MASK
+
+
+def _uniform(h: np.ndarray, run: int, step: int, seed: int) -> np.ndarray:
+    """u in (0, 1) from the row hash, the run, the step and the seed."""
+    bits = _mix(h, (seed * 1_000_003 + run) * 64 + step) >> np.uint64(11)
+    return (bits.astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def _sqdist(X: np.ndarray, C: np.ndarray) -> np.ndarray:
+    """n x k squared Euclidean distances."""
+    return ((X[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
+
+
+def _prepare(df: DataFrame, features: Sequence[str], key: str) -> DataFrame:
+    """``(h, x0..x{d-1})``: the row-key hash and the features as doubles,
+    nulls as 0 (the model-input rule)."""
+    return df.select(F.xxhash64(F.col(key).cast("string")).alias("h"),
+                     *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}")
+                       for i, c in enumerate(features)])
+
+
+# Partial tables of at most this many rows (a bound known before the job:
+# #partitions x rows per task) are combined on the driver; larger ones by a
+# distributed groupBy.
+DIRECT_COMBINE_MAX_ROWS = 200_000
+
+
+def _seed_step(data: DataFrame, d: int, centers: list[list[np.ndarray]], needs: list[int],
+               step: int, seed: int, direct: bool) -> dict[int, np.ndarray]:
+    """One k-means++ draw for every run in ``needs``: returns run -> new centre."""
+    xs = [f"x{i}" for i in range(d)]
+
+    def draw(batches):
+        best: dict[int, tuple[float, np.ndarray]] = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = pdf[xs].to_numpy(dtype=np.float64)
+            h = pdf["h"].to_numpy().astype(np.int64).view(np.uint64)
+            for r in needs:
+                u = _uniform(h, r, step, seed)
+                if centers[r]:
+                    w = _sqdist(X, np.array(centers[r])).min(axis=1)
+                    with np.errstate(divide="ignore"):
+                        keyv = np.where(w > 0, np.log(u) / w, -np.inf)
+                else:
+                    keyv = np.log(u)
+                i = int(np.argmax(keyv))
+                if np.isfinite(keyv[i]) and (r not in best or keyv[i] > best[r][0]):
+                    best[r] = (float(keyv[i]), X[i])
+        rows = [{"run": r, "kv": kv, **{f"x{j}": float(x[j]) for j in range(d)}}
+                for r, (kv, x) in best.items()]
+        yield pd.DataFrame(rows, columns=["run", "kv", *xs])
+
+    schema = "run int, kv double, " + ", ".join(f"{x} double" for x in xs)
+    partials = data.mapInPandas(draw, schema)
+    if direct:  # at most #partitions x #runs rows
+        pdf = partials.toPandas()
+        top = pdf.loc[pdf.groupby("run")["kv"].idxmax()] if len(pdf) else pdf
+    else:
+        top = (partials.groupBy("run").agg(F.max_by(F.struct(*xs), "kv").alias("c"))
+               .select("run", "c.*").toPandas())
+    return {int(r["run"]): np.array([r[x] for x in xs], dtype=np.float64)
+            for _, r in top.iterrows()}
+
+
+def _lloyd_pass(data: DataFrame, d: int, centers: dict[int, np.ndarray], direct: bool):
+    """Assign every row to its nearest centre in each given run; returns
+    run -> (counts, sums, cost) from the combined partial sums."""
+    xs = [f"x{i}" for i in range(d)]
+    order = sorted(centers)
+    ks = [len(centers[r]) for r in order]
+    mats = [centers[r] for r in order]
+
+    def partial(batches):
+        acc_n = [np.zeros(k) for k in ks]
+        acc_s = [np.zeros((k, d)) for k in ks]
+        acc_c = [np.zeros(k) for k in ks]
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = pdf[xs].to_numpy(dtype=np.float64)
+            for r, C in enumerate(mats):
+                dist = _sqdist(X, C)
+                lab = dist.argmin(axis=1)
+                acc_n[r] += np.bincount(lab, minlength=ks[r])
+                acc_c[r] += np.bincount(lab, weights=dist[np.arange(len(X)), lab],
+                                        minlength=ks[r])
+                for j in range(d):
+                    acc_s[r][:, j] += np.bincount(lab, weights=X[:, j], minlength=ks[r])
+        rows = []
+        for r, k in enumerate(ks):
+            for c in range(k):
+                if acc_n[r][c]:
+                    rows.append({"run": order[r], "cluster": c, "n": float(acc_n[r][c]),
+                                 "cost": float(acc_c[r][c]),
+                                 **{f"s{j}": float(acc_s[r][c, j]) for j in range(d)}})
+        yield pd.DataFrame(rows, columns=["run", "cluster", "n", "cost",
+                                          *[f"s{j}" for j in range(d)]])
+
+    schema = ("run int, cluster int, n double, cost double, "
+              + ", ".join(f"s{j} double" for j in range(d)))
+    partials = data.mapInPandas(partial, schema)
+    if direct:  # at most #partitions x sum(k) rows
+        combined = partials.toPandas().groupby(["run", "cluster"], as_index=False).sum()
+    else:
+        combined = (partials.groupBy("run", "cluster")
+                    .agg(*[F.sum(c).alias(c) for c in ["n", "cost",
+                                                       *[f"s{j}" for j in range(d)]]])
+                    .toPandas())
+    out = {r: (np.zeros(len(centers[r])), np.zeros((len(centers[r]), d)), 0.0) for r in order}
+    for _, row in combined.iterrows():
+        r, c = int(row["run"]), int(row["cluster"])
+        n, sm, cost = out[r]
+        n[c] = row["n"]
+        sm[c] = [row[f"s{j}"] for j in range(d)]
+        out[r] = (n, sm, cost + row["cost"])
+    return out
+
+
+def multi_start_kmeans(df: DataFrame, features: Sequence[str], ks: Sequence[int],
+                       starts: int, seed: int = 42, max_iter: int = 300,
+                       tol: float = 1e-4, key: str = "RespondentID") -> pd.DataFrame:
+    """Fit ``starts`` K-Means runs for every k in ``ks`` in shared passes.
+
+    ``df`` holds the (already scaled) feature columns and a row key. Returns a
+    small pandas frame ``(k, start, iterations, inertia, centers)``: one row
+    per run (bounded by the run list, not by the data)."""
+    features = list(features)
+    d = len(features)
+    runs = [(k, s) for k in ks for s in range(starts)]
+    data = _prepare(df, features, key).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_runs(data, d, runs, seed, max_iter, tol)
+    finally:
+        data.unpersist()
+
+
+def _fit_runs(data: DataFrame, d: int, runs: list[tuple[int, int]], seed: int,
+              max_iter: int, tol: float) -> pd.DataFrame:
+    ks = sorted({k for k, _ in runs})
+    bound = data.rdd.getNumPartitions() * max(len(runs), sum(k for k, _ in runs))
+    direct = bound <= DIRECT_COMBINE_MAX_ROWS
+    var = data.agg(*[F.var_pop(f"x{i}").alias(f"v{i}") for i in range(d)]).first()
+    threshold = tol * float(np.mean([var[f"v{i}"] or 0.0 for i in range(d)]))
+
+    centers: list[list[np.ndarray]] = [[] for _ in runs]
+    for step in range(max(ks)):
+        needs = [r for r, (k, _) in enumerate(runs) if len(centers[r]) < k]
+        if not needs:
+            break
+        picked = _seed_step(data, d, centers, needs, step, seed, direct)
+        for r in needs:
+            if r in picked:
+                centers[r].append(picked[r])
+    C = [np.array(c) for c in centers]
+    if any(len(c) < k for c, (k, _) in zip(C, runs)):
+        raise ValueError("fewer distinct rows than clusters")
+
+    active = set(range(len(runs)))
+    iters = [0] * len(runs)
+    for _ in range(max_iter):
+        if not active:
+            break
+        passed = _lloyd_pass(data, d, {r: C[r] for r in active}, direct)
+        for r in list(active):
+            counts, sums, _ = passed[r]
+            n = counts[:, None]
+            new = np.where(n > 0, sums / np.maximum(n, 1.0), C[r])
+            shift = float(((new - C[r]) ** 2).sum())
+            C[r] = new
+            iters[r] += 1
+            if shift <= threshold:
+                active.discard(r)
+    final = _lloyd_pass(data, d, dict(enumerate(C)), direct)
+    return pd.DataFrame({"k": [k for k, _ in runs], "start": [s for _, s in runs],
+                         "iterations": iters,
+                         "inertia": [final[r][2] for r in range(len(runs))],
+                         "centers": [c.tolist() for c in C]})
+
+
+def elbow_table(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 9),
+                starts: int = 5, seed: int = 42, key: str = "RespondentID"):
+    """M9: ``[(k, inertia)]``, the least inertia over ``starts`` runs per k."""
+    fits = multi_start_kmeans(df, features, ks, starts, seed, key=key)
+    best = fits.groupby("k")["inertia"].min()
+    return [(int(k), float(v)) for k, v in best.items()]

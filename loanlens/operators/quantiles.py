@@ -50,6 +50,19 @@ def value_counts(long_df: DataFrame, keys: Sequence[str], value: str = "x") -> D
     return long_df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _schema_bounded(keys: Sequence[str]) -> bool:
+    """True when the only keys are the unpivoted column name (or none): the
+    number of key values is then bounded by the schema, not by the data."""
+    return all(k == NAME for k in keys)
+
+
+def _broadcast_bounded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Broadcast a per-key table. Its row count is a small multiple of the
+    number of key values: proven small for schema-bounded keys, otherwise
+    checked first (``broadcast_if_small``)."""
+    return F.broadcast(df) if _schema_bounded(keys) else broadcast_if_small(df)
+
+
 def cumulative_before(counted: DataFrame, keys: Sequence[str], order: Sequence,
                       weight="cnt", out="before", with_totals: bool = False):
     """Add ``out`` = sum of ``weight`` over rows of the same ``keys`` that come
@@ -76,7 +89,8 @@ def cumulative_before(counted: DataFrame, keys: Sequence[str], order: Sequence,
              .rowsBetween(Window.unboundedPreceding, -1))
     local = ranged.withColumns({f"__loc{i}": F.coalesce(F.sum(w).over(w_loc), F.lit(0))
                                 for i, w in enumerate(weights)})
-    joined = local.join(broadcast_if_small(offsets), ["__pid", *keys], "inner")
+    # offsets: at most #partitions x #key values rows
+    joined = local.join(_broadcast_bounded(offsets, keys), ["__pid", *keys], "inner")
     result = joined.withColumns({
         o: (F.col(f"__off{i}") + F.col(f"__loc{i}")).cast("long") for i, o in enumerate(outs)})
     result = result.drop("__pid", *[f"__off{i}" for i in range(len(weights))],
@@ -106,7 +120,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                              F.struct(F.lit("hi").alias("side"), F.col("k_hi").alias("k"))))
                          .alias("t")).select(*[f"__t_{k}" for k in keys], "p", "frac",
                                              "t.side", "t.k")
-    pos = broadcast_if_small(pos)
+    pos = _broadcast_bounded(pos, keys)  # #key values x #probs x 2 rows
     cond = [F.col(k).eqNullSafe(F.col(f"__t_{k}")) for k in keys] + [
         F.col("k") >= F.col("before"), F.col("k") < F.col("before") + F.col("cnt")]
     hit = ranked.join(pos, cond, "inner").select(*keys, "p", "frac", "side", "x")

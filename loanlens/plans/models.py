@@ -123,14 +123,16 @@ def fit_kmeans(vecs: DataFrame, k: int, starts: int, seed: int = SEED):
     return min(runs, key=lambda mc: mc[1])
 
 
-def elbow(vecs: DataFrame, ks=range(2, 9), starts: int = 5, seed: int = SEED) -> list:
-    """M9: (k, inertia) for k = 2..8, best of 5 starts each (all 35 fits are
-    independent and run concurrently)."""
-    def one(k, s):
-        return k, KMeans(k=k, seed=seed + s, featuresCol="features", maxIter=300,
-                         tol=1e-4).fit(vecs).summary.trainingCost
-    runs = _parallel([lambda k=k, s=s: one(k, s) for k in ks for s in range(starts)], 6)
-    return [(k, min(c for kk, c in runs if kk == k)) for k in ks]
+def elbow(vecs: DataFrame, ks=range(2, 9), starts: int = 5, seed: int = SEED,
+          key: str = "RespondentID") -> list:
+    """M9: (k, inertia) for k = 2..8, best of 5 starts each. The 35 runs share
+    their passes over the data (``kmeans_multi``): one distributed job per
+    Lloyd iteration for all runs, instead of one per run."""
+    from loanlens.operators.kmeans_multi import elbow_table
+    d = len(vecs.select("features").first()["features"])
+    arr = vector_to_array(F.col("features"))
+    cols = vecs.select(key, *[arr[i].alias(f"f{i}") for i in range(d)])
+    return elbow_table(cols, [f"f{i}" for i in range(d)], ks, starts, seed, key)
 
 
 def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",

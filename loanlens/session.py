@@ -71,7 +71,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_STORED: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
+def _same_session(a: SparkSession, b: SparkSession) -> bool:
+    if a is b:
+        return True
+    try:
+        return a._jsparkSession.equals(b._jsparkSession) and not a.sparkContext._jsc.sc().isStopped()
+    except Exception:  # the old session's context is gone
+        return False
 
 
 def stored_table(kind: str, spark: SparkSession, key: str, build) -> DataFrame:
@@ -82,15 +91,17 @@ def stored_table(kind: str, spark: SparkSession, key: str, build) -> DataFrame:
     Unlike ``persist`` the written files survive executor loss without
     recomputing the joins, and unlike an RDD checkpoint the parquet scan
     keeps column pruning and filter pushdown, so a two-column analysis
-    reads two columns. Keyed by (kind, session, input folder); call
-    ``forget_tables()`` if the input files change under a live session."""
-    memo = (kind, id(spark._jsparkSession), key)
-    df = _STORED.get(memo)
-    if df is None:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{base}/tables/{kind}-{uuid.uuid4().hex}"
-        build().write.mode("errorifexists").parquet(path)
-        df = _STORED[memo] = spark.read.parquet(path)
+    reads two columns. Keyed by (kind, input folder) and valid only for the
+    session that wrote it; call ``forget_tables()`` if the input files
+    change under a live session."""
+    hit = _STORED.get((kind, key))
+    if hit is not None and _same_session(hit[0], spark):
+        return hit[1]
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{kind}-{uuid.uuid4().hex}"
+    build().write.mode("errorifexists").parquet(path)
+    df = spark.read.parquet(path)
+    _STORED[(kind, key)] = (spark, df)
     return df
 
 

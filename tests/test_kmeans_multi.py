@@ -1,0 +1,63 @@
+"""Shared-pass K-Means (M9) against a numpy brute force on sf0.001: the
+reported inertia is the cost of the returned centres, the centres are a
+Lloyd fixed point, and neither the combine path nor the partitioning
+changes the result."""
+
+import numpy as np
+import pytest
+
+from loanlens import constants as K
+from loanlens.operators import kmeans_multi as KM
+from loanlens.operators import segments
+from loanlens.plans import models as M
+from loanlens.sources.customers import load_customers
+
+
+@pytest.fixture(scope="module")
+def scaled(spark, sf0001):
+    base = load_customers(spark, sf0001)
+    clu = M.present(base, K.CLU_FEATURES)
+    stats = segments.fit_scaler(base.na.fill(0, subset=clu), clu)
+    return segments.standard_scale(base, clu, stats=stats, keep=["RespondentID"]), clu
+
+
+def _matrix(df, cols):
+    pdf = df.select(*cols).toPandas().fillna(0.0)
+    return pdf.to_numpy(dtype=float)
+
+
+def test_inertia_and_fixed_point(scaled):
+    df, cols = scaled
+    fits = KM.multi_start_kmeans(df, cols, [2, 3, 4], starts=2, seed=7)
+    X = _matrix(df, cols)
+    thr = 1e-4 * X.var(axis=0).mean()
+    assert len(fits) == 6
+    for _, f in fits.iterrows():
+        C = np.array(f["centers"])
+        assert C.shape == (f["k"], len(cols))
+        d2 = ((X[:, None, :] - C[None]) ** 2).sum(2)
+        lab = d2.argmin(1)
+        assert np.isclose(d2.min(1).sum(), f["inertia"], rtol=1e-9)
+        new = np.array([X[lab == j].mean(0) if (lab == j).any() else C[j]
+                        for j in range(len(C))])
+        assert ((new - C) ** 2).sum() <= thr * 10
+
+
+def test_combine_paths_and_partitioning_agree(scaled, monkeypatch):
+    df, cols = scaled
+    a = KM.multi_start_kmeans(df, cols, [2, 4], starts=2, seed=3)
+    b = KM.multi_start_kmeans(df.repartition(3), cols, [2, 4], starts=2, seed=3)
+    monkeypatch.setattr(KM, "DIRECT_COMBINE_MAX_ROWS", 0)
+    c = KM.multi_start_kmeans(df, cols, [2, 4], starts=2, seed=3)
+    assert np.allclose(a["inertia"], b["inertia"], rtol=1e-9)
+    assert np.allclose(a["inertia"], c["inertia"], rtol=1e-9)
+
+
+def test_elbow_is_best_run_per_k(scaled):
+    df, cols = scaled
+    fits = KM.multi_start_kmeans(df, cols, range(2, 6), starts=3, seed=42)
+    table = KM.elbow_table(df, cols, range(2, 6), starts=3, seed=42)
+    assert [k for k, _ in table] == [2, 3, 4, 5]
+    for k, v in table:
+        assert np.isclose(v, fits[fits.k == k]["inertia"].min())
+    assert table[-1][1] < table[0][1]
