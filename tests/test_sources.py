@@ -42,3 +42,19 @@ def test_write_and_template(spark, sf0001):
     assert back.count() == df.count() == 150
     t = template(df).collect()
     assert len(t) == 10 and t[0]["RespondentID"] == "R0000001"
+
+
+def test_derived_tables_are_stored_once_per_session(spark, sf0001):
+    """The customer table is derived once per session, written to the
+    checkpoint folder as parquet, and every later call scans that table
+    (pruned to the columns a query needs)."""
+    from loanlens.session import ensure_checkpoint_dir
+    from loanlens.sources.customers import customers
+    a, b = profiles(spark, sf0001), profiles(spark, sf0001)
+    assert a is b
+    c = customers(spark, sf0001)
+    assert customers(spark, sf0001) is c
+    plan = c.select("CreditScore")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ReadSchema: struct<CreditScore" in plan
+    ckpt = ensure_checkpoint_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
+    assert ckpt in c.inputFiles()[0]
