@@ -9,9 +9,14 @@ Recipe:
   3. per (partition, keys) totals form a table of at most
      ``#partitions + #keys`` rows; a window over it gives each partition the
      count of everything before it (the offset);
-  4. a window *inside* each (partition, keys) slice gives the local prefix;
+  4. each range partition, sorted locally, streams through one task that
+     keeps an exclusive running sum per key across Arrow batches (the local
+     prefix). This keeps the range partitioning: a ``Window`` partitioned by
+     (partition id, keys) would re-shuffle the whole table first, because
+     range partitioning on (keys, x) does not satisfy that clustering.
      offset + prefix = number of rows strictly before ``x`` in its key.
-No step keeps more than one range partition's distinct values in one task.
+No step keeps more than one range partition's distinct values in one task,
+and no task holds more than one Arrow batch plus one running total per key.
 
 Quantiles interpolate linearly between order statistics like pandas and
 DuckDB's ``quantile_cont``: with h = (n-1)p, value = x[floor h] +
@@ -20,16 +25,24 @@ DuckDB's ``quantile_cont``: with h = (n-1)p, value = x[floor h] +
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanlens.operators.lookup import broadcast_if_small
 from loanlens.session import materialize
 
 NAME = "feature"
 
+# Task functions are serialised by value: executors need only pandas/numpy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _num_partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -63,6 +76,51 @@ def _broadcast_bounded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return F.broadcast(df) if _schema_bounded(keys) else broadcast_if_small(df)
 
 
+def _local_prefix(ranged: DataFrame, keys: Sequence[str], order_cols: Sequence,
+                  weights: Sequence[str]) -> DataFrame:
+    """Step 4: ``__loc{i}`` = sum of weight i over the rows of the same keys
+    that come earlier *in this partition*, computed in place (narrow:
+    ``sortWithinPartitions`` + ``mapInPandas``, no shuffle). The running
+    totals are carried across batches in a dict with one entry per key
+    value seen in the partition."""
+    keys, wcols = list(keys), list(weights)
+    nw = len(wcols)
+    locs = [f"__loc{i}" for i in range(nw)]
+    schema = T.StructType(ranged.schema.fields
+                          + [T.StructField(c, T.LongType(), False) for c in locs])
+
+    def norm(v):
+        return None if pd.isna(v) else v
+
+    def run(batches):
+        carry: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            w = pdf[wcols].fillna(0).to_numpy(dtype=np.int64).reshape(len(pdf), nw)
+            if len(pdf) == 0:
+                excl = w
+            elif keys:
+                g = pdf.groupby(keys, sort=False, dropna=False)
+                codes = g.ngroup().to_numpy()
+                firsts = g.head(1)
+                uniq = [tuple(norm(v) for v in row)
+                        for row in firsts[keys].itertuples(index=False, name=None)]
+                base = np.array([carry.get(u, np.zeros(nw, np.int64)) for u in uniq])
+                incl = pd.DataFrame(w).groupby(codes, sort=False).cumsum().to_numpy()
+                excl = incl - w + base[codes]
+                tot = np.zeros((len(uniq), nw), np.int64)
+                np.add.at(tot, codes, w)
+                for j, u in enumerate(uniq):
+                    carry[u] = base[j] + tot[j]
+            else:
+                base = carry.get((), np.zeros(nw, np.int64))
+                excl = np.cumsum(w, axis=0) - w + base
+                carry[()] = base + w.sum(axis=0)
+            yield pdf.assign(**{c: excl[:, i] for i, c in enumerate(locs)})
+
+    return ranged.sortWithinPartitions(*[F.col(k) for k in keys], *order_cols) \
+        .mapInPandas(run, schema)
+
+
 def cumulative_before(counted: DataFrame, keys: Sequence[str], order: Sequence,
                       weight="cnt", out="before", with_totals: bool = False):
     """Add ``out`` = sum of ``weight`` over rows of the same ``keys`` that come
@@ -85,12 +143,16 @@ def cumulative_before(counted: DataFrame, keys: Sequence[str], order: Sequence,
     offsets = totals.select("__pid", *keys, *[
         F.coalesce(F.sum(f"__ptot{i}").over(w_off), F.lit(0)).alias(f"__off{i}")
         for i in range(len(weights))])
-    w_loc = (Window.partitionBy("__pid", *keys).orderBy(*order_cols)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    local = ranged.withColumns({f"__loc{i}": F.coalesce(F.sum(w).over(w_loc), F.lit(0))
-                                for i, w in enumerate(weights)})
+    local = _local_prefix(ranged, keys, order_cols, weights)
     # offsets: at most #partitions x #key values rows
-    joined = local.join(_broadcast_bounded(offsets, keys), ["__pid", *keys], "inner")
+    # null-safe on the keys: a null group is a group too
+    offsets = offsets.select("__pid", *[F.col(k).alias(f"__ok_{k}") for k in keys],
+                             *[f"__off{i}" for i in range(len(weights))]) \
+        .withColumnRenamed("__pid", "__opid")
+    cond = [F.col("__pid") == F.col("__opid")] + [F.col(k).eqNullSafe(F.col(f"__ok_{k}"))
+                                                   for k in keys]
+    joined = local.join(_broadcast_bounded(offsets, keys), cond, "inner") \
+        .drop("__opid", *[f"__ok_{k}" for k in keys])
     result = joined.withColumns({
         o: (F.col(f"__off{i}") + F.col(f"__loc{i}")).cast("long") for i, o in enumerate(outs)})
     result = result.drop("__pid", *[f"__off{i}" for i in range(len(weights))],

@@ -48,3 +48,28 @@ def test_positions_and_hot_value_chunking(spark):
     pts = expand_positions(pos, chunk=7).select("i", "x").orderBy("i").collect()
     assert [r["i"] for r in pts] == list(range(len(vals)))
     assert [r["x"] for r in pts] == sorted(vals)
+
+
+def test_running_sums_carry_across_batches(spark):
+    """The in-place local prefix streams each range partition in Arrow
+    batches; with 7-row batches the per-key totals must carry over. Keys
+    include a null, the order is descending, weights are uneven."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from loanlens.operators.quantiles import cumulative_before
+    rows = [(k, float(x), (x * 7 + i) % 5 + 1)
+            for i, k in enumerate(["a", "b", None, "c"]) for x in range(40)]
+    df = spark.createDataFrame(rows, "g string, x double, w long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = cumulative_before(df, ["g"], [F.col("x").desc()], weight="w",
+                                out="before").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    pdf = pd.DataFrame(rows, columns=["g", "x", "w"]).sort_values(["g", "x"],
+                                                                  ascending=[True, False])
+    pdf["before"] = pdf.groupby("g", dropna=False)["w"].cumsum() - pdf["w"]
+    key = lambda d: d.fillna({"g": "<null>"}).set_index(["g", "x"])["before"].sort_index()
+    assert key(got).to_dict() == key(pdf).to_dict()
