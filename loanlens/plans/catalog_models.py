@@ -178,7 +178,7 @@ def live_stream_scores(spark, d):
     apps = batch.select("RespondentID", *[
         c for c in K.CLF_FEATURES + ["RepaymentHistory", "CreditScore"]
         if c in batch.columns and c not in derived])
-    apps.repartition(4).write.mode("overwrite").parquet(src)
+    apps.write.mode("overwrite").parquet(src)
     q = start_scoring_stream(spark, src, apps.schema, b, sink, ckpt, available_now=True)
     q.awaitTermination()
     return spark.read.parquet(sink)
