@@ -17,6 +17,8 @@ Recipe:
      offset + prefix = number of rows strictly before ``x`` in its key.
 No step keeps more than one range partition's distinct values in one task,
 and no task holds more than one Arrow batch plus one running total per key.
+When a count job shows that no group has more than ``SMALL_GROUP_ROWS``
+distinct rows, a window per key replaces steps 2-4 (fewer jobs).
 
 Quantiles interpolate linearly between order statistics like pandas and
 DuckDB's ``quantile_cont``: with h = (n-1)p, value = x[floor h] +
@@ -121,6 +123,26 @@ def _local_prefix(ranged: DataFrame, keys: Sequence[str], order_cols: Sequence,
         .mapInPandas(run, schema)
 
 
+# Groups of at most this many (distinct) rows, checked by one count job, are
+# ranked with a plain window per key; larger ones with the range-partitioned
+# recipe, whose tasks never hold more than one range partition.
+SMALL_GROUP_ROWS = 200_000
+
+
+def _cumulative_small(counted: DataFrame, keys: list[str], order_cols: list,
+                      weights: list[str], outs: list[str], with_totals: bool):
+    """The checked-small case: one window per key (each task holds at most
+    SMALL_GROUP_ROWS rows of a group), no checkpoint and no offsets."""
+    w = (Window.partitionBy(*keys).orderBy(*order_cols)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    result = counted.withColumns({o: F.coalesce(F.sum(wt).over(w), F.lit(0)).cast("long")
+                                  for wt, o in zip(weights, outs)})
+    if with_totals:
+        return result, counted.groupBy(*keys).agg(
+            F.sum(weights[0]).cast("long").alias("n"))
+    return result
+
+
 def cumulative_before(counted: DataFrame, keys: Sequence[str], order: Sequence,
                       weight="cnt", out="before", with_totals: bool = False):
     """Add ``out`` = sum of ``weight`` over rows of the same ``keys`` that come
@@ -132,6 +154,9 @@ def cumulative_before(counted: DataFrame, keys: Sequence[str], order: Sequence,
     weights = [weight] if isinstance(weight, str) else list(weight)
     outs = [out] if isinstance(out, str) else list(out)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    largest = counted.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= SMALL_GROUP_ROWS:
+        return _cumulative_small(counted, keys, order_cols, weights, outs, with_totals)
     n = _num_partitions(counted)
     ranged = counted.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
     ranged = materialize(ranged.withColumn("__pid", F.spark_partition_id()))

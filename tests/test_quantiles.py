@@ -1,13 +1,24 @@
 """Distributed ordered statistics against numpy / single-partition results."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import loanlens.operators.quantiles as Q
 from loanlens.operators.quantiles import (cumulative_before, exact_quantiles, expand_positions,
                                           global_positions, quantiles_wide)
 
 
+
+@pytest.fixture(autouse=True, params=["distributed", "checked-small"])
+def path(request, monkeypatch):
+    """Every test runs on both paths: the range-partitioned recipe (forced by
+    a zero bound) and the per-key window for checked-small groups."""
+    if request.param == "distributed":
+        monkeypatch.setattr(Q, "SMALL_GROUP_ROWS", 0)
+    return request.param
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=300), np.full(50, 0.25), rng.integers(0, 5, 100)])
