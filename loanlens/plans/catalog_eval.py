@@ -18,6 +18,7 @@ from loanlens.operators.distribution import fit_line
 from loanlens.oracle import LOADED_CTE, D, clip_sql, round_sql, with_customers
 from loanlens.plans.catalog_dist import hist_sql_ctes, md5_order
 from loanlens.plans.registry import register
+from loanlens.session import stored_table
 from loanlens.sources.customers import customers, load_customers
 
 R6 = 6
@@ -179,7 +180,12 @@ _ORDERED_SEGMENTS = sorted({"Prime", "Emerging", "AtRisk"})
 
 def segmented(spark, d):
     """Scaled clustering features -> per-segment centroids (k rows, read once)
-    -> nearest-centroid cluster id for every row."""
+    -> nearest-centroid cluster id for every row. Stored once per session
+    (``stored_table``): the segmentation queries all read it."""
+    return stored_table("segmented", spark, d, lambda: _segmented(spark, d))
+
+
+def _segmented(spark, d):
     base = load_customers(spark, d)
     z = segments.standard_scale(base, CLU, keep=base.columns, prefix="z_")
     zc = [f"z_{c}" for c in CLU]
