@@ -114,3 +114,32 @@ def test_rank_groups_names(spark):
     got = {r["Cluster"]: r["label"] for r in stats.rank_groups(prof, "s", ["P", "E", "R"],
                                                                "Cluster").collect()}
     assert got == {1: "P", 2: "E", 0: "R"}
+
+
+def test_box_stats_hot_group_both_paths(spark, monkeypatch):
+    """A group holding over a third of all rows, with one value repeated in
+    a third of that group, gives numpy's quartiles, whiskers and flier count
+    on both the distributed recipe and the checked-small path."""
+    import pytest
+
+    import loanlens.operators.quantiles as Q
+    rng = np.random.default_rng(5)
+    hot = [40.0] * 300 + list(np.round(rng.normal(50, 10, 600), 3)) + [500.0, -300.0]
+    cold = {g: list(np.round(rng.normal(g * 10, 3, 120), 3)) for g in range(1, 11)}
+    rows = [("hot", float(v)) for v in hot] + [(f"g{g}", float(v))
+                                               for g, vs in cold.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(6)
+    groups = {"hot": hot, **{f"g{g}": vs for g, vs in cold.items()}}
+    for bound in (0, Q.SMALL_GROUP_ROWS):
+        monkeypatch.setattr(Q, "SMALL_GROUP_ROWS", bound)
+        got = {r["group"]: r for r in distribution.box_stats(df, "k", "x").collect()}
+        assert set(got) == set(groups)
+        for g, vals in groups.items():
+            v = np.array(vals)
+            q1, med, q3 = np.percentile(v, [25, 50, 75])
+            lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+            b = got[g]
+            assert b["n"] == len(v)
+            assert (b["q1"], b["median"], b["q3"]) == pytest.approx((q1, med, q3), abs=1e-9)
+            assert b["whisker_lo"] == v[v >= lo].min() and b["whisker_hi"] == v[v <= hi].max()
+            assert b["n_fliers"] == int(((v < lo) | (v > hi)).sum())
