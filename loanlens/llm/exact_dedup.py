@@ -114,9 +114,10 @@ def _with_checked_bytes(base: DataFrame, decided: DataFrame, state: DataFrame,
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of
     equal texts."""
-    stay = stored(decisions(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256"), "dedup-kept")
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    same = (F.col(id_col).cast("long").eqNullSafe(stay["doc_id"])) & (sha == stay["text_sha256"])
+    stay = stored(decisions(docs, id_col, text_col).where("kept")
+                  .select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")), "dedup-kept")
+    sha = F.sha2(normalised(docs[text_col]), 256)
+    same = docs[id_col].cast("long").eqNullSafe(stay["stay_id"]) & (sha == stay["stay_sha"])
     kept = docs.join(stay, same, "left_semi")
     # A row that stays may be there several times, with its doc_id.
     repeated = (docs.select(F.col(id_col).cast("long").alias("doc_id"), sha.alias("text_sha256"))
