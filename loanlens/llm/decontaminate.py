@@ -6,19 +6,18 @@ backwards through it, locates the occurrences and merges them into spans of
 words to remove. No document is moved between tasks; a document longer than a
 shard is cut into parts that overlap by a window less one word.
 
-The index's alphabet is the words of the benchmark: a run of other words is
-one separator, since no window can go through it. Words map to symbols by
-their bytes, so an occurrence is exact.
+The index's alphabet is the words of its shard; words are numbered by their
+bytes, so an occurrence is exact. Separators stand between documents.
 
 The benchmark goes to the tasks in blocks of a fixed number of bytes, each a
-broadcast of its own; a shard is indexed and searched once for each block.
+broadcast of its own; a shard is indexed once and searched for each block.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,75 +28,77 @@ from loanlens.llm.common import WORD_TABLE, batches, text_bytes, words
 from loanlens.llm.fmindex import FMIndex
 
 WINDOW = 10
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
 BLOCK_BYTES = 8 << 20
 LOCATE_SLOTS = 1 << 20
 
 
 class Phrases:
-    """Windows of a block of benchmark items: distinct rows of symbols, and
-    for each row the items that have it."""
+    """Windows of a block of benchmark items: distinct rows of word numbers
+    (from 1, filled up with 0), and for each row the items that have it."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
-        self.symbol: dict[bytes, int] = {}
+        number: dict[bytes, int] = {}
         rows: dict[tuple[int, ...], set[int]] = {}
         self.names: list[str | None] = []
         for name, data in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words(data)]
-            number = len(self.names)
+            ids = [number.setdefault(w, len(number) + 1) for w in words(data)]
+            item = len(self.names)
             self.names.append(name)
             for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                rows.setdefault(tuple(ids[k:k + window]), set()).add(number)
+                rows.setdefault(tuple(ids[k:k + window]), set()).add(item)
+        self.vocabulary = list(number)
         self.lengths = np.array([len(r) for r in rows], np.int64)
         self.rows = np.zeros((len(rows), window), np.int64)
         for k, r in enumerate(rows):
             self.rows[k, :len(r)] = r
         self.owners = list(rows.values())
-        self.longest = int(self.lengths.max(initial=0))
 
 
 class Shard:
     """Documents (or parts of long ones) whose words are indexed together."""
 
     def __init__(self):
-        self.parts: list[tuple[int, int, int]] = []  # document, its first word, words
+        self.parts: list[tuple[int, int]] = []  # document, and its word that the part begins with
         self.tokens: list[list[bytes]] = []
         self.words = 0
 
     def add(self, document: int, first: int, tokens: list[bytes]) -> None:
-        self.parts.append((document, first, len(tokens)))
+        self.parts.append((document, first))
         self.tokens.append(tokens)
         self.words += len(tokens)
 
-    def occurrences(self, phrases: Phrases) -> Iterator[tuple[int, int, int, int]]:
-        """(phrase row, document, first word, words) of every occurrence."""
-        if not self.words or not len(phrases.lengths):
-            return
-        get = phrases.symbol.get
-        total = self.words + len(self.tokens) + 1
-        text = np.zeros(total, np.int64)  # a separator before each part and at the end
+    def index(self) -> None:
+        """Number the shard's words, lay the parts out with a separator before
+        each and one at the end, and index them."""
+        number: dict[bytes, int] = defaultdict(lambda: len(number) + 1)
+        text = np.zeros(self.words + len(self.tokens) + 1, np.int64)
         at, starts = 1, []
         for tokens in self.tokens:
             starts.append(at)
-            text[at:at + len(tokens)] = np.fromiter(map(get, tokens, repeat(0)), np.int64, len(tokens))
+            text[at:at + len(tokens)] = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
             at += len(tokens) + 1
-        keep = np.r_[True, (text[1:] != 0) | (text[:-1] != 0)]  # one separator for a run
-        place = np.flatnonzero(keep)
-        index = FMIndex(np.r_[text[keep], 0] if text[place[-1]] else text[keep],
-                        len(phrases.symbol) + 1)
-        low, high = index.search(phrases.rows, phrases.lengths)
-        found = np.flatnonzero(high > low)
-        starts = np.array(starts)
-        sizes = (high - low)[found]
+        self.starts = np.array(starts)
+        self.number = number
+        self.fm = FMIndex(text, len(number) + 1)
+
+    def occurrences(self, phrases: Phrases) -> Iterator[tuple[int, int, int, int]]:
+        """(phrase row, document, first word, words) of every occurrence."""
+        symbol = np.array([0, *(self.number.get(w, -1) for w in phrases.vocabulary)], np.int64)
+        rows = symbol[phrases.rows]
+        here = np.flatnonzero((rows >= 0).all(axis=1))  # of words that the shard has
+        low, high = self.fm.search(rows[here], phrases.lengths[here])
+        some = high > low
+        found, low, sizes = here[some], low[some], (high - low)[some]
         ends = np.cumsum(sizes)
         for k in range(0, int(ends[-1]) if len(ends) else 0, LOCATE_SLOTS):
             # Slots k.. of all intervals laid end to end.
             nth = np.arange(k, min(int(ends[-1]), k + LOCATE_SLOTS))
             which = np.searchsorted(ends, nth, "right")
-            where = place[index.locate(low[found[which]] + nth - (ends - sizes)[which])]
-            part = np.searchsorted(starts, where, "right") - 1
-            for row, p, w in zip(found[which].tolist(), part.tolist(), (where - starts[part]).tolist()):
-                document, first, _ = self.parts[p]
+            where = self.fm.locate(low[which] + nth - (ends - sizes)[which])
+            part = np.searchsorted(self.starts, where, "right") - 1
+            for row, p, w in zip(found[which].tolist(), part.tolist(), (where - self.starts[part]).tolist()):
+                document, first = self.parts[p]
                 yield row, document, first + w, int(phrases.lengths[row])
 
 
@@ -120,11 +121,14 @@ def search_documents(texts: list[bytes | None], blocks: list[Phrases], window: i
     counts = [0] * len(texts)
 
     def search(shard: Shard) -> None:
+        if not shard.words:
+            return
+        shard.index()
         for phrases in blocks:
             for row, document, first, length in shard.occurrences(phrases):
                 spans[document].append((first, first + length))
                 items[document].update(phrases.names[k] for k in phrases.owners[row])
-        for document in {p[0] for p in shard.parts}:
+        for document, _ in shard.parts:
             spans[document] = merge_spans(spans[document])
 
     shard = Shard()
@@ -134,7 +138,7 @@ def search_documents(texts: list[bytes | None], blocks: list[Phrases], window: i
         if shard.words and shard.words + len(tokens) > shard_words:
             search(shard)
             shard = Shard()
-        for k in range(0, len(tokens), shard_words):
+        for k in range(0, len(tokens), shard_words):  # parts overlap by a window less one word
             shard.add(number, k, tokens[k:k + shard_words + window - 1])
             if shard.words >= shard_words:
                 search(shard)

@@ -8,7 +8,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import bpe, decontaminate, exact_dedup, langid, simhash
+from loanlens.llm import (
+    bpe, decontaminate, exact_dedup, html_extract, langid, licenses, quality, secret_scan, simhash, token_counts,
+)
 from loanlens.llm.common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,6 +27,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train_model(pages))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.context_limits(
+        token_counts.length_histogram(read_table(spark, sf_dir, "documents"), RANKS, PATTERN))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return langid.predict_language(docs, langid.language_slices(docs))
@@ -34,13 +46,26 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(read_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_decontamination, op2_byte_bpe, op5_language_id, op6_exact_dedup, op9_simhash)
+        op1_decontamination, op2_byte_bpe, op3_html_extraction, op4_token_counts, op5_language_id,
+        op6_exact_dedup, op7_license_scan, op8_quality_resampling, op9_simhash, op10_secret_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {
