@@ -25,11 +25,11 @@ DICT_BYTES = 65_536
 SLICE_CHARS = 256
 SAMPLE_DOCS = 640
 LEVEL = 6
-#: A text of ``JUDGED_BYTES`` letters or more is rejected if the best frame is
-#: smaller than the next by less than ``MARGIN`` of the text. Shorter texts
-#: carry too few bytes to judge the margin and are not rejected for it.
-MARGIN = 0.002
-JUDGED_BYTES = 200
+#: A text whose best frame has ``JUDGED_BYTES`` or more is rejected if the next
+#: frame is larger by less than ``MARGIN`` of it. Smaller frames (short or
+#: repetitive texts) carry too few bytes to judge the margin and pass.
+MARGIN = 0.004
+JUDGED_BYTES = 100
 UNKNOWN = "und"
 
 _LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -103,9 +103,9 @@ class Languages:
         least = min(sizes)
         best = sizes.index(least)
         others = sizes[:best] + sizes[best + 1:]
-        margin = min(others) - least if others else len(data)
+        margin = min(others) - least if others else least
         score = 1.0 / sum(2.0 ** -min(60, s - least) for s in sizes)
-        rejected = len(data) >= JUDGED_BYTES and margin < MARGIN * len(data)
+        rejected = least >= JUDGED_BYTES and margin < MARGIN * least
         return self.compressors[best][0], score, rejected
 
 

@@ -31,7 +31,10 @@ from loanlens.llm.components import components
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
-TILE_ROWS = 65_536
+#: Least and most rows of a tile. Between them a tile has a 64th of the
+#: distinct fingerprints, so that each goes to a few dozen pairs of tiles
+#: whatever their number, and a pair of tiles stays a short task.
+TILE_ROWS = (16_384, 262_144)
 BLOCK = 512
 SEED = 42
 
@@ -141,13 +144,14 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nd
     return everything[moved], everything[forest.parent[moved]]
 
 
-def links(distinct: DataFrame, radius: int = MAX_BITS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = MAX_BITS, tile_rows: int | None = None) -> DataFrame:
     """(u long, v long): links whose components are those of all pairs of
     ``distinct`` fingerprints (column fp) within ``radius`` bits. Tile numbers
     come from counts per population count (65 rows at most)."""
     counted = distinct.withColumn("p", F.bit_count("fp").cast("int"))
-    sizes = {r["p"]: -(-r["n"] // tile_rows)
-             for r in counted.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    counts = {r["p"]: r["n"] for r in counted.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    tile_rows = tile_rows or min(max(sum(counts.values()) // 64, TILE_ROWS[0]), TILE_ROWS[1])
+    sizes = {p: -(-n // tile_rows) for p, n in counts.items()}
     tiles = F.array([F.lit(sizes.get(p, 0)) for p in range(65)])
     dealt = (
         counted
@@ -177,7 +181,7 @@ def links(distinct: DataFrame, radius: int = MAX_BITS, tile_rows: int = TILE_ROW
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        shingle_words: int = SHINGLE_WORDS, radius: int = MAX_BITS,
-                       tile_rows: int = TILE_ROWS) -> DataFrame:
+                       tile_rows: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id long, fingerprint string (16 hex
     digits), component_id long.
 
