@@ -11,8 +11,8 @@ whose neighbours are stable is the BPE encoding (Berglund and van der Merwe,
 byte. Tokens that all threads share are emitted, which happens after bounded
 lookahead: no thread reaches further back than the longest token.
 A set of threads is one state of the determinised transducer. States and
-transitions are made when first met and kept; whole runs over short pieces are
-kept too. Both stores are bounded and start anew when full.
+transitions are made when first met and kept; whole runs over short chunks of
+text are kept too. Both stores are bounded and start anew when full.
 
 Decoding. Tokens are decoded one at a time by an incremental UTF-8 state
 machine: a character that a token leaves unfinished waits for the next token;
@@ -26,6 +26,7 @@ import codecs
 import functools
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -34,9 +35,10 @@ from pyspark.sql import functions as F
 
 from loanlens.llm.common import batches, text_bytes
 
-MAX_TRANSITIONS = 400_000
-MAX_PIECES = 400_000
-PIECE_BYTES = 64
+MAX_TRANSITIONS = 500_000
+MAX_CHUNKS = 200_000
+CHUNK_CHARS = 48
+_NEVER = 1 << 60
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,13 +67,18 @@ class Transducer:
                     node = self.child[key] = nodes
                     nodes += 1
             self.at_node[node] = rank
+        self.split: dict[int, tuple[int, int] | None] = {}
+        self.pair: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.next: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.pair: dict[tuple[int, int], bool] = {}
+        #: Tokens that transitions emit, and state << 8 | byte -> next state
+        #: << 20 | number of the emitted tokens.
+        self.emitted: list[tuple[int, ...]] = [()]
+        self.emission: dict[tuple[int, ...], int] = {(): 0}
+        self.next: dict[int, int] = {}
         self.start = self._state(((0, (-1,)),))
 
     def _state(self, threads: tuple) -> int:
@@ -81,11 +88,11 @@ class Transducer:
             self.states.append(threads)
         return n
 
-    def merge(self, data: bytes) -> list[bytes]:
+    def merge(self, data: bytes, stop: int = 1) -> list[bytes]:
         """Tokens of a short byte string by merging the lowest-ranked
-        neighbours first; used to judge pairs of tokens."""
+        neighbours first, until ``stop`` tokens are left or none merge."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 rank = self.ranks.get(parts[i] + parts[i + 1])
@@ -96,83 +103,205 @@ class Transducer:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that a token is merged from; None if it is a byte,
+        or not what the merges make of its bytes."""
+        if token not in self.split:
+            data = self.token[token]
+            parts = self.merge(data, 2) if len(data) > 1 else []
+            whole = len(parts) == 2 and parts[0] + parts[1] == data
+            self.split[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if whole else None
+        return self.split[token]
+
     def stable(self, one: int, two: int) -> bool:
-        """Whether token ``two`` may follow ``one`` (-1: the piece's start)."""
-        known = self.pair.get((one, two))
+        """Whether token ``two`` may follow ``one`` (-1: the piece's start).
+
+        Both tokens' last merges are undone, the latest first. What then meets
+        at the border met there while the merges were done; the pair is not
+        stable if those two would have merged before either was used up. At
+        equal ranks the left merge comes first."""
+        if one < 0:
+            return self.halves(two) is not None or len(self.token[two]) == 1
+        known = self.pair.get(one << 17 | two)
         if known is None:
-            head = [] if one < 0 else [self.token[one]]
-            tail = self.token[two]
-            known = self.merge(b"".join([*head, tail])) == [*head, tail]
-            self.pair[(one, two)] = known
+            known = self.pair[one << 17 | two] = self._stable(one, two)
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _stable(self, one: int, two: int) -> bool:
+        token, rank_of = self.token, self.ranks.get
+        if len(token[two]) > 1 and self.halves(two) is None:
+            return False
+        left, right, left_until, right_until = one, two, _NEVER, _NEVER
+        while True:
+            rank = rank_of(token[left] + token[right])
+            if rank is not None and rank < left_until and rank <= right_until:
+                return False
+            a = self.halves(left) if len(token[left]) > 1 else None
+            b = self.halves(right) if len(token[right]) > 1 else None
+            if a is not None and (b is None or left > right):
+                left_until, left = left, a[1]
+            elif b is not None:
+                right_until, right = right, b[0]
+            else:
+                return True
+
+    def _step(self, state: int, byte: int) -> int:
         """The transition: threads that go on, the encoding up to this byte,
         and the tokens that all of them share by now."""
         going, ended = [], None
+        child, at_node = self.child.get, self.at_node.get
         for node, path in self.states[state]:  # the longest token in progress first
-            below = self.child.get(node << 8 | byte)
-            if below is None:
-                continue
-            going.append((below, path))
-            token = self.at_node.get(below)
-            if ended is None and token is not None and self.stable(path[-1], token):
-                ended = (*path, token)
+            below = child(node << 8 | byte)
+            if below is not None:
+                going.append((below, path))
+                if ended is None:
+                    token = at_node(below)
+                    if token is not None and self.stable(path[-1], token):
+                        ended = (*path, token)
         if ended is None:
             raise ValueError("the vocabulary has no stable token for these bytes")
         going.append((0, ended))
-        shared, short = 0, min(len(path) for _, path in going)
-        while shared + 1 < short and len({path[shared + 1] for _, path in going}) == 1:
+        first, shared = going[0][1], 0
+        while shared + 1 < len(first):
+            token = first[shared + 1]
+            if any(len(path) <= shared + 1 or path[shared + 1] != token for _, path in going):
+                break
             shared += 1
         out = ended[1:shared + 1]
-        return self._state(tuple((node, path[shared:]) for node, path in going)), out
+        if shared:
+            going = [(node, path[shared:]) for node, path in going]
+        number = self.emission.get(out)
+        if number is None:
+            number = self.emission[out] = len(self.emitted)
+            self.emitted.append(out)
+        hop = self.next[state << 8 | byte] = self._state(tuple(going)) << 20 | number
+        return hop
 
     def run(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.next) > self.max_transitions:
+        if len(self.next) > self.max_transitions or len(self.emitted) > 1_000_000:
             self._reset()
-        state, out, known = self.start, [], self.next
+        if len(self.pair) > self.max_transitions:
+            self.pair.clear()
+        state, out, known, emitted = self.start, [], self.next.get, self.emitted
         for byte in data:
-            key = state << 8 | byte
-            hit = known.get(key)
-            if hit is None:
-                hit = known[key] = self._step(state, byte)
-            state, emitted = hit
-            if emitted:
-                out.extend(emitted)
+            hop = known(state << 8 | byte)
+            if hop is None:
+                hop = self._step(state, byte)
+            state = hop >> 20
+            if hop & 0xFFFFF:
+                out.extend(emitted[hop & 0xFFFFF])
         out.extend(self.states[state][-1][1][1:])
         return out
 
 
 class Encoder:
-    """Pieces of a text by a pattern, each encoded by the transducer."""
+    """Pieces of a text by a pattern, each encoded by the transducer.
+
+    The text is first cut at single spaces between two characters that are no
+    white space: no piece of the pattern goes past such a place, and what comes
+    before it does not change how the rest is cut. The run over a short chunk
+    is kept, so that a word met again costs one look-up. Kept runs are in two
+    generations: when the young one is full it becomes the old one."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_chunks: int = MAX_CHUNKS):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.transducer.run(piece.encode("utf-8")))
-        if len(piece) <= PIECE_BYTES:
-            if len(self.known) >= MAX_PIECES:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+        self.blank = regex.compile(r"\s").match
+        self.max_chunks = max_chunks
+        self.young: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.marks: dict[str, tuple[tuple[int, ...], str]] = {}
+
+    def _run(self, chunk: str) -> tuple[tuple[int, ...], str]:
+        """Token ids of a chunk, and the same in decimal. A piece that is a
+        space and a word is looked up like a chunk; other pieces have a store
+        of their own."""
+        parts = []
+        for piece in self.pieces(chunk):
+            if piece[0] == " " and len(piece) > 1:
+                hit = self._known(piece[1:]) or self._keep(piece[1:], self._ids(piece))
+            else:
+                hit = self.marks.get(piece)
+                if hit is None:
+                    hit = self._ids(piece)
+                    if len(piece) <= CHUNK_CHARS:
+                        if len(self.marks) >= self.max_chunks:
+                            self.marks.clear()
+                        self.marks[piece] = hit
+            parts.append(hit)
+        if len(parts) == 1:
+            return parts[0]
+        return tuple(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
+
+    def _ids(self, piece: str) -> tuple[tuple[int, ...], str]:
+        ids = self.transducer.run(piece.encode("utf-8"))
+        return tuple(ids), ",".join(map(str, ids))
+
+    def _known(self, word: str) -> tuple[tuple[int, ...], str] | None:
+        return self.young.get(word) or self.old.get(word)
+
+    def _keep(self, word: str, hit: tuple[tuple[int, ...], str]) -> tuple[tuple[int, ...], str]:
+        if len(word) <= CHUNK_CHARS:
+            if len(self.young) >= self.max_chunks:
+                self.young, self.old = {}, self.young
+            self.young[word] = hit
+        return hit
+
+    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
+        """The kept run over a space and ``word``."""
+        return self._keep(word, self._known(word) or self._run(" " + word))
+
+    def _open(self, word: str) -> bool:
+        """Whether a cut beside ``word`` is not allowed: it is empty or has
+        white space at an end."""
+        return not word or bool(self.blank(word[0]) or self.blank(word[-1]))
+
+    def _chunks(self, words: list[str]) -> Iterator[tuple[tuple[int, ...], str]]:
+        """Runs of a text with words that may not be cut off: they stay with
+        their neighbours."""
+        at, n = 0, len(words)
+        opened = [self._open(w) for w in words]
+        while at < n:
+            end = at + 1
+            while end < n and (opened[end - 1] or opened[end]):
+                end += 1
+            if end == at + 1 and at:
+                yield self._word(words[at])
+            else:
+                yield self._run((" " if at else "") + " ".join(words[at:end]))
+            at = end
+
+    def runs(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """Runs of the text's chunks, in order."""
+        if not text:
+            return []
+        words = text.split(" ")
+        found = list(map(self.young.get, words))
+        # The young store has only words that may be cut off.
+        if None not in found and not self._open(words[0]):
+            found[0] = self._run(words[0])
+            return found
+        new = [w for w, hit in zip(words, found) if hit is None]
+        if any(map(self._open, new)) or self._open(words[0]):
+            return list(self._chunks(words))
+        found = [self._word(w) if hit is None else hit for w, hit in zip(words, found)]
+        found[0] = self._run(words[0])
+        return found
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, add = self.known.get, out.extend
-        for piece in self.pieces(text):
-            add(known(piece) or self._piece(piece))
-        return out
+        return list(chain.from_iterable([r[0] for r in self.runs(text)]))
 
     def count(self, text: str) -> int:
-        known = self.known.get
-        return sum([len(known(p) or self._piece(p)) for p in self.pieces(text)])
+        return sum([len(r[0]) for r in self.runs(text)])
+
+    def decimal(self, text: str) -> tuple[list[int], str]:
+        """Token ids, and the same in decimal joined by commas."""
+        runs = self.runs(text)
+        return list(chain.from_iterable([r[0] for r in runs])), ",".join([r[1] for r in runs])
 
 
 #: Classes of bytes that the decoder tells apart: first byte of the class, and
@@ -243,8 +372,29 @@ class Decoder:
             yield machine.feed(token[i]) if text is None else text
         yield machine.finish()
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.stream(ids))
+    def decode(self, ids: list[int]) -> str:
+        """All of ``stream`` in one text. While the machine stands between
+        characters, closed tokens lead back there, so runs of them are joined
+        at once."""
+        parts = list(map(self.closed.__getitem__, ids))
+        if None not in parts:
+            return "".join(parts)
+        machine, at, out = Utf8(), 0, []
+        while at < len(ids):
+            if machine.state:
+                out.append(machine.feed(self.token[ids[at]]))
+                at += 1
+                continue
+            try:
+                end = parts.index(None, at)
+            except ValueError:
+                end = len(ids)
+            out.extend(parts[at:end])
+            if end < len(ids):
+                out.append(machine.feed(self.token[ids[end]]))
+            at = end + 1
+        out.append(machine.finish())
+        return "".join(out)
 
 
 @functools.lru_cache(maxsize=2)
@@ -295,15 +445,14 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = coder(ranks_path, pattern)
-        decimal = {i: str(i) for i in decoder.token}
 
         def rows():
             for b in it:
                 counts, id_shas, text_shas = [], [], []
                 for t in b.column(1).to_pylist():
-                    ids = encoder.encode(utf8_text(t))
+                    ids, decimal = encoder.decimal(utf8_text(t))
                     counts.append(len(ids))
-                    id_shas.append(sha(",".join(map(decimal.__getitem__, ids)).encode()))
+                    id_shas.append(sha(decimal.encode()))
                     text_shas.append(sha(decoder.decode(ids).encode()))
                 yield [b.column(0), counts, id_shas, text_shas]
         yield from batches(schema, rows())

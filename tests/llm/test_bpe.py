@@ -54,6 +54,27 @@ def _library():
     return _KEPT["x"]
 
 
+def test_stable_pairs_are_those_that_the_merges_leave_apart():
+    machine, rng = bpe.Transducer(bpe.load_ranks(RANKS)), random.Random(5)
+    for _ in range(4000):
+        one = rng.randrange(50_000)
+        tail = machine.token[one][-1:]
+        near = [machine.ranks[t] for t in (tail + b"e", tail + b"in", tail, b"e" + tail) if t in machine.ranks]
+        two = rng.choice([rng.randrange(50_000), *near])
+        both = [machine.token[one], machine.token[two]]
+        assert machine.stable(one, two) == (machine.merge(b"".join(both)) == both)
+
+
+def test_words_and_blanks_between_them(both):
+    (path_coder, _), library = both
+    small = bpe.Encoder(path_coder.transducer.ranks, PATTERN, max_chunks=5)
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "word", " ", " ", "  ", "\n", "\t", "\u00a0", "\x1c", "\u3000", ",", "'s", "1", "é"])
+                       for _ in range(rng.randint(0, 20)))
+        assert small.encode(text) == library.encode_ordinary(text)
+
+
 def test_small_store_starts_anew():
     small = bpe.Transducer(bpe.load_ranks(RANKS), max_transitions=50)
     library = _library()
@@ -67,8 +88,8 @@ def test_tokens_come_out_early():
     machine = bpe.Transducer(bpe.load_ranks(RANKS))
     state, out = machine.start, 0
     for byte in b"xyzzyplugh" * 200:
-        state, emitted = machine._step(state, byte)
-        out += len(emitted)
+        hop = machine._step(state, byte)
+        state, out = hop >> 20, out + len(machine.emitted[hop & 0xFFFFF])
     assert len(machine.states[state][-1][1]) < 64 and out > 200
 
 
