@@ -48,6 +48,8 @@ def stream_state(spark: SparkSession, folder: str, schema, files_per_batch: int
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(key, spark.conf.get(key))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Many small stores: no disk space taken ahead of need.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     rows = session.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     keyed = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("first").alias("first"))
     (keyed.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
