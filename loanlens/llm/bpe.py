@@ -1,18 +1,18 @@
 """Byte-level BPE encoding and decoding.
 
 Encoding. The rank file's merges are compiled into a finite-state transducer
-over bytes. Reading a piece byte by byte, the transducer follows every token
-that may still be in progress: a thread is a trie node of the vocabulary and
-the tokens before it. When a thread reaches the end of a token, the token may
-follow the tokens before it only if the pair is stable under the merges
-(encoding the two tokens' bytes gives the two tokens again); a sequence all of
-whose neighbours are stable is the BPE encoding (Berglund and van der Merwe,
-"Formalizing BPE Tokenization", 2023), so exactly one thread goes on from each
-byte. Tokens that all threads share are emitted, which happens after bounded
-lookahead: no thread reaches further back than the longest token.
-A set of threads is one state of the determinised transducer. States and
-transitions are made when first met and kept; whole runs over short chunks of
-text are kept too. Both stores are bounded and start anew when full.
+over bytes. A state is the set of tokens in progress (nodes of the
+vocabulary's trie, one for each place where a token may have begun); reading a
+byte gives the next set and the tokens that end there. States and transitions
+are determinised when first met and kept, in a store that starts anew when
+full. Beside the state the transducer has a register for each byte of its
+window: the last token of the encoding up to there. Of the tokens that end at
+a byte exactly one may follow the last token before it: a pair of tokens must
+be stable under the merges (encoding the two tokens' bytes gives the two tokens
+again), and a sequence all of whose neighbours are stable is the BPE encoding
+(Berglund and van der Merwe, "Formalizing BPE Tokenization", 2023). Tokens
+leave the window as soon as all tokens in progress begin after them, which is
+after bounded lookahead. Runs over short chunks of text are kept too.
 
 Decoding. Tokens are decoded one at a time by an incremental UTF-8 state
 machine: a character that a token leaves unfinished waits for the next token;
@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 
 from loanlens.llm.common import batches, text_bytes
 
-MAX_TRANSITIONS = 500_000
+MAX_TRANSITIONS = 400_000
 MAX_CHUNKS = 200_000
 CHUNK_CHARS = 48
+#: Bytes of the window after which tokens are emitted.
+WINDOW = 256
 _NEVER = 1 << 60
 
 
@@ -54,39 +56,30 @@ class Transducer:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.max_transitions = max_transitions
-        # Trie: child[node << 8 | byte] -> node; a node's token, where it has one.
+        # Trie: child[node << 8 | byte] -> node; a node's depth, and its token
+        # where it has one.
         self.child: dict[int, int] = {}
+        self.depth = [0]
         self.at_node: dict[int, int] = {}
-        nodes = 1
         for token, rank in ranks.items():
             node = 0
             for byte in token:
                 key = node << 8 | byte
-                node = self.child.get(key)
-                if node is None:
-                    node = self.child[key] = nodes
-                    nodes += 1
+                below = self.child.get(key)
+                if below is None:
+                    below = self.child[key] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
+                node = below
             self.at_node[node] = rank
         self.split: dict[int, tuple[int, int] | None] = {}
         self.pair: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
-        #: Tokens that transitions emit, and state << 8 | byte -> next state
-        #: << 20 | number of the emitted tokens.
-        self.emitted: list[tuple[int, ...]] = [()]
-        self.emission: dict[tuple[int, ...], int] = {(): 0}
-        self.next: dict[int, int] = {}
-        self.start = self._state(((0, (-1,)),))
-
-    def _state(self, threads: tuple) -> int:
-        n = self.number.get(threads)
-        if n is None:
-            n = self.number[threads] = len(self.states)
-            self.states.append(threads)
-        return n
+        """State 0 is a piece's start: no token in progress."""
+        self.states: list[tuple[int, ...]] = [()]
+        self.number: dict[tuple[int, ...], int] = {(): 0}
+        self.next: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
 
     def merge(self, data: bytes, stop: int = 1) -> list[bytes]:
         """Tokens of a short byte string by merging the lowest-ranked
@@ -120,11 +113,14 @@ class Transducer:
         at the border met there while the merges were done; the pair is not
         stable if those two would have merged before either was used up. At
         equal ranks the left merge comes first."""
-        if one < 0:
-            return self.halves(two) is not None or len(self.token[two]) == 1
-        known = self.pair.get(one << 17 | two)
+        key = one << 17 | two
+        known = self.pair.get(key)
         if known is None:
-            known = self.pair[one << 17 | two] = self._stable(one, two)
+            if one < 0:
+                known = self.halves(two) is not None or len(self.token[two]) == 1
+            else:
+                known = self._stable(one, two)
+            self.pair[key] = known
         return known
 
     def _stable(self, one: int, two: int) -> bool:
@@ -145,36 +141,17 @@ class Transducer:
             else:
                 return True
 
-    def _step(self, state: int, byte: int) -> int:
-        """The transition: threads that go on, the encoding up to this byte,
-        and the tokens that all of them share by now."""
-        going, ended = [], None
-        child, at_node = self.child.get, self.at_node.get
-        for node, path in self.states[state]:  # the longest token in progress first
-            below = child(node << 8 | byte)
-            if below is not None:
-                going.append((below, path))
-                if ended is None:
-                    token = at_node(below)
-                    if token is not None and self.stable(path[-1], token):
-                        ended = (*path, token)
-        if ended is None:
-            raise ValueError("the vocabulary has no stable token for these bytes")
-        going.append((0, ended))
-        first, shared = going[0][1], 0
-        while shared + 1 < len(first):
-            token = first[shared + 1]
-            if any(len(path) <= shared + 1 or path[shared + 1] != token for _, path in going):
-                break
-            shared += 1
-        out = ended[1:shared + 1]
-        if shared:
-            going = [(node, path[shared:]) for node, path in going]
-        number = self.emission.get(out)
-        if number is None:
-            number = self.emission[out] = len(self.emitted)
-            self.emitted.append(out)
-        hop = self.next[state << 8 | byte] = self._state(tuple(going)) << 20 | number
+    def _step(self, state: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """The transition: the next state, and the tokens that end with this
+        byte with their lengths, longest first."""
+        going = [self.child[n << 8 | byte] for n in (*self.states[state], 0) if n << 8 | byte in self.child]
+        threads = tuple(going)
+        to = self.number.get(threads)
+        if to is None:
+            to = self.number[threads] = len(self.states)
+            self.states.append(threads)
+        ends = tuple((self.at_node[n], self.depth[n]) for n in going if n in self.at_node)
+        hop = self.next[state << 8 | byte] = (to, ends)
         return hop
 
     def run(self, data: bytes) -> list[int]:
@@ -182,21 +159,53 @@ class Transducer:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.next) > self.max_transitions or len(self.emitted) > 1_000_000:
+        if len(self.next) > self.max_transitions:
             self._reset()
-        if len(self.pair) > self.max_transitions:
+        if len(self.pair) > 2 * self.max_transitions:
             self.pair.clear()
-        state, out, known, emitted = self.start, [], self.next.get, self.emitted
+        known, stable = self.next.get, self.pair.get
+        state, out, last, at = 0, [], [-1], 0
         for byte in data:
-            hop = known(state << 8 | byte)
-            if hop is None:
-                hop = self._step(state, byte)
-            state = hop >> 20
-            if hop & 0xFFFFF:
-                out.extend(emitted[hop & 0xFFFFF])
-        out.extend(self.states[state][-1][1][1:])
+            state, ends = known(state << 8 | byte) or self._step(state, byte)
+            at += 1
+            for token, length in ends:
+                before = last[at - length]
+                fits = stable(before << 17 | token)
+                if fits is None:
+                    fits = self.stable(before, token)
+                if fits:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary has no stable token for these bytes")
+            if at >= WINDOW:
+                last = self._shift(state, last, out)
+                at = len(last) - 1
+        out.extend(self._back(last, at))
         return out
 
+    def _back(self, last: list[int], at: int) -> list[int]:
+        """The tokens of the window up to byte ``at``, by its registers."""
+        found = []
+        while at > 0:
+            found.append(last[at])
+            at -= len(self.token[last[at]])
+        return found[::-1]
+
+    def _shift(self, state: int, last: list[int], out: list[int]) -> list[int]:
+        """Emit the tokens that all threads share; the window without them."""
+        at = len(last) - 1
+        shared = None
+        for start in {at, *(at - self.depth[n] for n in self.states[state])}:
+            ends = {start}
+            while start > 0:
+                start -= len(self.token[last[start]])
+                ends.add(start)
+            shared = ends if shared is None else shared & ends
+        cut = max(shared)
+        out.extend(self._back(last, cut))
+        return last[cut:]
+
 
 class Encoder:
     """Pieces of a text by a pattern, each encoded by the transducer.
@@ -210,7 +219,6 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_chunks: int = MAX_CHUNKS):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
-        self.blank = regex.compile(r"\s").match
         self.max_chunks = max_chunks
         self.young: dict[str, tuple[tuple[int, ...], str]] = {}
         self.old: dict[str, tuple[tuple[int, ...], str]] = {}
@@ -257,8 +265,9 @@ class Encoder:
 
     def _open(self, word: str) -> bool:
         """Whether a cut beside ``word`` is not allowed: it is empty or has
-        white space at an end."""
-        return not word or bool(self.blank(word[0]) or self.blank(word[-1]))
+        white space at an end (``isspace`` has all that the pattern's class
+        has, and a few controls more)."""
+        return not word or word[0].isspace() or word[-1].isspace()
 
     def _chunks(self, words: list[str]) -> Iterator[tuple[tuple[int, ...], str]]:
         """Runs of a text with words that may not be cut off: they stay with
