@@ -23,6 +23,12 @@ def dlit(x: float) -> Column:
     return F.lit(float(x))
 
 
+def no_nan(c: str | Column) -> Column:
+    """The value as a double, NaN as null (pandas reads both as missing)."""
+    x = col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def clip(c: str | Column, lo: float | None = None, hi: float | None = None,
          nullable: bool = True) -> Column:
     """pandas ``clip``: null stays null. ``greatest``/``least`` skip nulls, so
@@ -91,11 +97,6 @@ def savings_to_debt(savings, debt, mode: str = "train") -> Column:
     return clip(raw, 0.0, 50.0) if mode == "train" else raw
 
 
-def debt_to_income(emi, income) -> Column:
-    """clip(12 emi / (income + 1), 0, 3)."""
-    return clip(col(emi) * dlit(12.0) / (col(income) + dlit(1.0)), 0.0, 3.0)
-
-
 def family_burden(dependents, clipped: bool = True) -> Column:
     """0.15 dependents, clip 0-1.5 on the load path."""
     raw = col(dependents) * dlit(0.15)

@@ -133,9 +133,10 @@ def enrich(df: DataFrame) -> DataFrame:
 
 
 def prep_features(df: DataFrame, features: list[str], keep: list[str] = ()) -> DataFrame:
-    """The model input in a fixed order; an absent column is 0, a null 0.
+    """The model input in a fixed order; an absent column is 0, a null or
+    NaN 0.
     One ``select``; ``keep`` columns are carried along unchanged."""
     present = set(df.columns)
-    exprs = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in present
+    exprs = [(F.coalesce(C.no_nan(c), F.lit(0.0)) if c in present
               else F.lit(0.0)).alias(c) for c in features]
     return df.select(*[F.col(k) for k in keep if k not in features], *exprs)

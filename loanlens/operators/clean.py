@@ -8,16 +8,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from loanlens.functions import columns as C
-from loanlens.operators.lookup import broadcast_if_small
 from loanlens.operators.quantiles import NAME, cumulative_before, quantiles_wide
+from loanlens.session import materialize
 
 
-def select_existing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Keep the wanted columns that exist, in the given order."""
-    return df.select(*[c for c in cols if c in df.columns])
+def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """NaN -> null in the float columns (of ``cols``): pandas, whose rules the
+    statistics follow, treats both as missing."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))
+              and (cols is None or f.name in cols)]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
 def numeric_cols(df: DataFrame) -> list[str]:
@@ -25,25 +28,23 @@ def numeric_cols(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Null -> 0 in the given (default: numeric) columns."""
-    return df.na.fill(0, subset=list(cols or numeric_cols(df)))
-
-
 def with_default(df: DataFrame, defaults: dict) -> DataFrame:
-    """Add absent columns with a per-column default value."""
+    """Add absent columns with a per-column default value (exact-case
+    names)."""
     new = {c: F.lit(v) for c, v in defaults.items() if c not in df.columns}
     return df.withColumns(new) if new else df
 
 
 def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Replace nulls of numeric columns by the column's exact median.
+    """Replace nulls (and NaN) of numeric columns by the column's exact
+    median.
 
     One cheap pass finds which columns hold nulls at all; exact medians are
     computed (distributed, §4.3) only for those. The medians -- one value per
     column, bounded by the schema -- are read once and applied as literals in
     a single projection over ``df``."""
     cols = list(cols or numeric_cols(df))
+    df = nan_to_null(df, cols)
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     with_nulls = [c for c in cols if counts[c]]
     if not with_nulls:
@@ -71,7 +72,7 @@ def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_Enc") -> Da
     The distinct ``(column, value)`` pairs are ranked with the distributed
     cumulative count (§4.3; every distinct value weighs 1), so even a
     high-cardinality column is never ranked inside one task. The code table
-    is joined back per column, broadcast only behind a size check."""
+    is joined back per column."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
@@ -81,7 +82,7 @@ def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_Enc") -> Da
     distinct = long.select("kv.*").distinct().withColumn("one", F.lit(1).cast("long"))
     codes = cumulative_before(distinct, [NAME], ["value"], weight="one", out="code") \
         .select(NAME, "value", F.col("code").cast("int").alias("code"))
-    codes = broadcast_if_small(codes)
+    codes = materialize(codes)  # one row a distinct value; each join reads its column's
     out = df
     for c in cols:
         cc = codes.where(F.col(NAME) == c).select(F.col("value").alias(f"__v_{c}"),
@@ -103,6 +104,7 @@ def cap_outliers(df: DataFrame, cols: Sequence[str], k: float = 3.0):
     """clip each column to its k x IQR fences. Returns
     ``(capped_df, report)`` where the report counts the capped cells per
     column; the fences (two values per column) are read once."""
+    df = nan_to_null(df, cols)
     fences = outlier_fences(df, cols, k)
     fv = {r[NAME]: r for r in fences.collect()}
     repl, counts = {}, []
@@ -116,5 +118,5 @@ def cap_outliers(df: DataFrame, cols: Sequence[str], k: float = 3.0):
     wide = df.agg(*counts)
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     report = wide.selectExpr(f"stack({len(cols)}, {stack}) AS ({NAME}, n_capped)")
-    report = report.join(broadcast_if_small(fences), NAME, "left")
+    report = report.join(fences, NAME, "left")
     return capped, report

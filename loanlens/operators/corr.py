@@ -27,7 +27,7 @@ def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     row per pair per map task, so the shuffle is tiny and skew-free."""
     cols = list(dict.fromkeys([c for ab in pairs for c in ab]))
     pos = {c: k + 1 for k, c in enumerate(cols)}
-    values = F.array(*[F.col(c).cast("double") for c in cols])
+    values = F.array(*[C.no_nan(c) for c in cols])
     first = F.array(*[F.lit(pos[a]) for a, _ in pairs])
     second = F.array(*[F.lit(pos[b]) for _, b in pairs])
     rows = df.select(values.alias("v"),
@@ -98,3 +98,13 @@ def linregress(df: DataFrame, x: str, y: str, min_rows: int = 6) -> DataFrame:
     only when there are more than five pairs (the reference's guard)."""
     from loanlens.operators.distribution import fit_line
     return fit_line(df, x, y).where(F.col("n") >= min_rows)
+
+
+def linregress_p(df: DataFrame, x: str, y: str, min_rows: int = 6) -> DataFrame:
+    """A25 with the two-sided p-value of a zero slope. The fit is one row, so
+    its p-value is computed from that row."""
+    from loanlens.operators.distribution import slope_p
+    fit = linregress(df, x, y, min_rows)
+    rows = [(*r, slope_p(r["r"], r["n"])) for r in fit.collect()]
+    return df.sparkSession.createDataFrame(
+        rows, "n long, slope double, intercept double, r double, p_value double")

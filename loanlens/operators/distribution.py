@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import columns as C
-from loanlens.operators.lookup import broadcast_if_small
 from loanlens.operators.quantiles import (NAME, expand_positions, global_positions,
                                           quantiles_wide)
 
 
 def _box_input(df: DataFrame, key: str, c: str) -> DataFrame:
-    return (df.where(F.col(key).isNotNull() & F.col(c).isNotNull())
-            .select(F.col(key).cast("string").alias("group"), F.col(c).cast("double").alias("x")))
+    return (df.where(F.col(key).isNotNull())
+            .select(F.col(key).cast("string").alias("group"), C.no_nan(c).alias("x"))
+            .where(F.col("x").isNotNull()))
 
 
 def box_fences(df: DataFrame, key: str, c: str, whis: float = 1.5) -> DataFrame:
@@ -34,7 +36,7 @@ def box_stats(df: DataFrame, key: str, c: str, whis: float = 1.5) -> DataFrame:
     x = F.col("x")
     inside_lo = x >= F.col("lo_fence")
     inside_hi = x <= F.col("hi_fence")
-    agg = data.join(broadcast_if_small(fences), "group", "inner").groupBy(
+    agg = data.join(fences, "group", "inner").groupBy(
         "group", "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside_lo, x)).alias("whisker_lo"),
@@ -48,7 +50,7 @@ def box_stats(df: DataFrame, key: str, c: str, whis: float = 1.5) -> DataFrame:
 def box_fliers(df: DataFrame, key: str, c: str, whis: float = 1.5) -> DataFrame:
     """The flier points themselves ``(group, x)`` (a distributed filter)."""
     fences = box_fences(df, key, c, whis)
-    j = _box_input(df, key, c).join(broadcast_if_small(fences), "group", "inner")
+    j = _box_input(df, key, c).join(fences, "group", "inner")
     return j.where((F.col("x") < F.col("lo_fence")) | (F.col("x") > F.col("hi_fence"))) \
             .select("group", "x")
 
@@ -99,19 +101,20 @@ def qq_points(df: DataFrame, c: str) -> DataFrame:
     i-th order statistic against the normal quantile of its Filliben
     median. Ranks come from the distributed cumulative counts; repeated
     values are expanded in bounded chunks."""
-    pos = global_positions(df, c)
-    n = pos.agg(F.sum("cnt")).scalar()
-    pts = expand_positions(pos).select("i", F.col("x").alias("sample"))
-    p = order_statistic_median(F.col("i"), n)
-    return pts.select("i", p.alias("p"), norm_ppf(p).alias("theoretical"), "sample")
+    pos, total = global_positions(df, c, with_totals=True)
+    n = F.lit((total.first() or [0])[0] or 0).cast("long")
+    pts = expand_positions(pos).select(
+        "i", order_statistic_median(F.col("i"), n).alias("p"), F.col("x").alias("sample"))
+    return pts.select("i", "p", norm_ppf("p").alias("theoretical"), "sample")
 
 
 def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least-squares slope, intercept and Pearson r of ``y`` on ``x`` over
     complete pairs. A constant side (exact min == max test) gives null
     slope/intercept (constant x) and null r, never an ANSI error."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
+    both = df.select(C.no_nan(x).alias("x"), C.no_nan(y).alias("y")).where(
+        F.col("x").isNotNull() & F.col("y").isNotNull())
+    xd, yd = F.col("x"), F.col("y")
     m = both.agg(
         F.count(F.lit(1)).alias("n"),
         F.regr_slope(yd, xd).alias("slope"), F.regr_intercept(yd, xd).alias("intercept"),
@@ -122,6 +125,36 @@ def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
                     F.when(F.col("vx") & F.col("vy"), F.col("r")).alias("r"))
 
 
+def _beta_tail(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function I_x(a, b) by its continued
+    fraction."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1.0) / (a + b + 2.0):
+        return 1.0 - _beta_tail(1.0 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+                     + a * math.log(x) + b * math.log1p(-x)) / a
+    # 1 / (1 + t1 / (1 + t2 / ...)), from a term deep enough on backwards.
+    f = 1.0
+    for n in range(int(200 + 10 * math.sqrt(max(a, b))), 0, -1):
+        m = n // 2
+        if n % 2:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        f = 1.0 + term / f
+    return front / f
+
+
+def slope_p(r: float | None, n: int) -> float | None:
+    """Two-sided p-value of a zero slope: Student's t with n - 2 degrees of
+    freedom, t = r sqrt((n-2)/(1-r^2)). None without r or with n < 3."""
+    if r is None or n < 3:
+        return None
+    df = n - 2
+    return _beta_tail(max(0.0, 1.0 - r * r), df / 2.0, 0.5)
+
+
 def qq_fit(df: DataFrame, c: str) -> DataFrame:
     """A14 line: slope, intercept and r of sample on theoretical quantiles."""
     return fit_line(qq_points(df, c), "theoretical", "sample")

@@ -53,14 +53,6 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
         .alias("tpr"))
 
 
-def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """E4 as drawn: the (0, 0) start point and one point per threshold."""
-    pts = roc_points(df, label, score).select("threshold", "fpr", "tpr")
-    start = pts.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)],
-                                             "threshold double, fpr double, tpr double")
-    return start.unionByName(pts)
-
-
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve (null when a class is absent)."""
     pts = roc_points(df, label, score)

@@ -7,7 +7,7 @@ e_i = i * step + lo (e_bins = hi). ``width_bucket`` is not used: it puts the
 maximum in bin n+1.
 
 Each histogram is one aggregate over the data (per-key ranges are joined
-back behind a size check), plus a join with the zero-filled bin grid, whose
+back), plus a join with the zero-filled bin grid, whose
 size is #keys x bins."""
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import columns as C
-from loanlens.operators.lookup import broadcast_if_small
 from loanlens.operators.quantiles import NAME, long_values
 
 
@@ -48,7 +47,7 @@ def _histogram_long(values: DataFrame, keys: Sequence[str], bins: int) -> DataFr
     keys = list(keys)
     ranges = _ranges(values, keys)
     if keys:
-        ranged = values.join(broadcast_if_small(ranges), keys, "inner")
+        ranged = values.join(ranges, keys, "inner")
     else:
         lo, hi = ranges.select("lo").scalar(), ranges.select("hi").scalar()
         ranged = values.select("x", lo.alias("lo"), hi.alias("hi"))
@@ -64,15 +63,15 @@ def _histogram_long(values: DataFrame, keys: Sequence[str], bins: int) -> DataFr
 
 
 def histogram(df: DataFrame, c: str, bins: int = 40) -> DataFrame:
-    """``(bin, bin_lo, bin_hi, count)`` of one column, nulls dropped."""
-    values = df.select(F.col(c).cast("double").alias("x")).where(F.col("x").isNotNull())
+    """``(bin, bin_lo, bin_hi, count)`` of one column, nulls and NaN dropped."""
+    values = df.select(C.no_nan(c).alias("x")).where(F.col("x").isNotNull())
     return _histogram_long(values, [], bins)
 
 
 def histogram_by(df: DataFrame, c: str, key: str, bins: int = 40) -> DataFrame:
     """One histogram per non-null ``key`` value, each on its own range."""
     values = (df.where(F.col(key).isNotNull())
-              .select(F.col(key).alias(key), F.col(c).cast("double").alias("x"))
+              .select(F.col(key).alias(key), C.no_nan(c).alias("x"))
               .where(F.col("x").isNotNull()))
     return _histogram_long(values, [key], bins)
 
@@ -83,4 +82,4 @@ def histogram_grid(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFr
     values = long_values(df, cols)
     hist = _histogram_long(values, [NAME], bins)
     moments = values.groupBy(NAME).agg(F.avg("x").alias("mean"), F.skewness("x").alias("skew"))
-    return hist.join(broadcast_if_small(moments), NAME, "left")
+    return hist.join(moments, NAME, "left")

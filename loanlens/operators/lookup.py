@@ -1,27 +1,12 @@
-"""J1 dictionary lookups and the size-checked broadcast used by every join.
-
-A side is broadcast only after its row count was checked against a bound;
-beyond the bound the join is left to the planner (sort-merge / AQE), so a
-dimension that grows with the data never blows the driver or executors.
-"""
+"""J1 dictionary lookups. Joins carry no hint: Spark broadcasts a side by
+its measured size (``spark.sql.autoBroadcastJoinThreshold``, adaptive
+execution) and otherwise shuffles and splits skewed keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()``: it stops reading after
-    ``max_rows + 1`` rows, so it stays cheap even on a large input.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def dict_frame(spark: SparkSession, mapping: dict, key: str, value: str,
                key_type: str = "string", value_type: str = "string") -> DataFrame:
@@ -31,12 +16,12 @@ def dict_frame(spark: SparkSession, mapping: dict, key: str, value: str,
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str, value: str, default=None,
-           dim_key: str | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+           dim_key: str | None = None) -> DataFrame:
     """Left join ``dim`` on ``on`` and replace a missing ``value`` by
     ``default`` (pandas ``map(...).fillna(default)``)."""
     dim_key = dim_key or on
     d = dim.select(F.col(dim_key).alias("__lk_key"), F.col(value).alias("__lk_val"))
-    out = df.join(broadcast_if_small(d, max_rows), F.col(on) == F.col("__lk_key"), "left")
+    out = df.join(d, F.col(on) == F.col("__lk_key"), "left")
     val = F.col("__lk_val") if default is None else F.coalesce(F.col("__lk_val"),
                                                                 F.lit(default))
     return out.withColumn(value, val).drop("__lk_key", "__lk_val")

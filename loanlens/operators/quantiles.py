@@ -17,8 +17,7 @@ Recipe:
      offset + prefix = number of rows strictly before ``x`` in its key.
 No step keeps more than one range partition's distinct values in one task,
 and no task holds more than one Arrow batch plus one running total per key.
-When a count job shows that no group has more than ``SMALL_GROUP_ROWS``
-distinct rows, a window per key replaces steps 2-4 (fewer jobs).
+The same recipe runs at every size.
 
 Quantiles interpolate linearly between order statistics like pandas and
 DuckDB's ``quantile_cont``: with h = (n-1)p, value = x[floor h] +
@@ -37,7 +36,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loanlens.operators.lookup import broadcast_if_small
 from loanlens.session import materialize
 
 NAME = "feature"
@@ -71,13 +69,6 @@ def _schema_bounded(keys: Sequence[str]) -> bool:
     return all(k == NAME for k in keys)
 
 
-def _broadcast_bounded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Broadcast a per-key table. Its row count is a small multiple of the
-    number of key values: proven small for schema-bounded keys, otherwise
-    checked first (``broadcast_if_small``)."""
-    return F.broadcast(df) if _schema_bounded(keys) else broadcast_if_small(df)
-
-
 def _local_prefix(ranged: DataFrame, keys: Sequence[str], order_cols: Sequence,
                   weights: Sequence[str]) -> DataFrame:
     """Step 4: ``__loc{i}`` = sum of weight i over the rows of the same keys
@@ -123,26 +114,6 @@ def _local_prefix(ranged: DataFrame, keys: Sequence[str], order_cols: Sequence,
         .mapInPandas(run, schema)
 
 
-# Groups of at most this many (distinct) rows, checked by one count job, are
-# ranked with a plain window per key; larger ones with the range-partitioned
-# recipe, whose tasks never hold more than one range partition.
-SMALL_GROUP_ROWS = 200_000
-
-
-def _cumulative_small(counted: DataFrame, keys: list[str], order_cols: list,
-                      weights: list[str], outs: list[str], with_totals: bool):
-    """The checked-small case: one window per key (each task holds at most
-    SMALL_GROUP_ROWS rows of a group), no checkpoint and no offsets."""
-    w = (Window.partitionBy(*keys).orderBy(*order_cols)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    result = counted.withColumns({o: F.coalesce(F.sum(wt).over(w), F.lit(0)).cast("long")
-                                  for wt, o in zip(weights, outs)})
-    if with_totals:
-        return result, counted.groupBy(*keys).agg(
-            F.sum(weights[0]).cast("long").alias("n"))
-    return result
-
-
 def cumulative_before(counted: DataFrame, keys: Sequence[str], order: Sequence,
                       weight="cnt", out="before", with_totals: bool = False):
     """Add ``out`` = sum of ``weight`` over rows of the same ``keys`` that come
@@ -154,9 +125,6 @@ def cumulative_before(counted: DataFrame, keys: Sequence[str], order: Sequence,
     weights = [weight] if isinstance(weight, str) else list(weight)
     outs = [out] if isinstance(out, str) else list(out)
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    largest = counted.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= SMALL_GROUP_ROWS:
-        return _cumulative_small(counted, keys, order_cols, weights, outs, with_totals)
     n = _num_partitions(counted)
     ranged = counted.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
     ranged = materialize(ranged.withColumn("__pid", F.spark_partition_id()))
@@ -176,7 +144,7 @@ def cumulative_before(counted: DataFrame, keys: Sequence[str], order: Sequence,
         .withColumnRenamed("__pid", "__opid")
     cond = [F.col("__pid") == F.col("__opid")] + [F.col(k).eqNullSafe(F.col(f"__ok_{k}"))
                                                    for k in keys]
-    joined = local.join(_broadcast_bounded(offsets, keys), cond, "inner") \
+    joined = local.join(offsets, cond, "inner") \
         .drop("__opid", *[f"__ok_{k}" for k in keys])
     result = joined.withColumns({
         o: (F.col(f"__off{i}") + F.col(f"__loc{i}")).cast("long") for i, o in enumerate(outs)})
@@ -207,7 +175,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                              F.struct(F.lit("hi").alias("side"), F.col("k_hi").alias("k"))))
                          .alias("t")).select(*[f"__t_{k}" for k in keys], "p", "frac",
                                              "t.side", "t.k")
-    pos = _broadcast_bounded(pos, keys)  # #key values x #probs x 2 rows
+    if _schema_bounded(keys):
+        pos = F.broadcast(pos)  # #columns x #probs x 2 rows, whatever the data
     cond = [F.col(k).eqNullSafe(F.col(f"__t_{k}")) for k in keys] + [
         F.col("k") >= F.col("before"), F.col("k") < F.col("before") + F.col("cnt")]
     hit = ranked.join(pos, cond, "inner").select(*keys, "p", "frac", "side", "x")
@@ -227,14 +196,16 @@ def quantiles_wide(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return q.groupBy(*by, NAME).agg(*aggs)
 
 
-def global_positions(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+def global_positions(df: DataFrame, value: str, keys: Sequence[str] = (),
+                     with_totals: bool = False):
     """Per distinct ``(keys, value)``: ``cnt`` and ``before`` (rows strictly
     before it). Rows with that value occupy 0-based positions
-    ``before .. before+cnt-1`` of the ascending order."""
+    ``before .. before+cnt-1`` of the ascending order. With ``with_totals``
+    also the rows per key."""
     keys = list(keys)
     base = df.select(*keys, F.col(value).cast("double").alias("x")).where(
         F.col("x").isNotNull() & ~F.isnan("x"))
-    return cumulative_before(value_counts(base, keys), keys, ["x"])
+    return cumulative_before(value_counts(base, keys), keys, ["x"], with_totals=with_totals)
 
 
 def expand_positions(positions: DataFrame, chunk: int = 100_000) -> DataFrame:

@@ -94,12 +94,6 @@ def cluster_sizes(df: DataFrame, cluster: str = "Cluster") -> DataFrame:
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(cluster)
 
 
-def cluster_sizes_map(df: DataFrame, cluster: str = "Cluster") -> DataFrame:
-    """A18 as the reference stores it: one map cluster -> size."""
-    s = cluster_sizes(df, cluster)
-    return s.agg(F.map_from_entries(F.collect_list(F.struct(cluster, "n"))).alias("sizes"))
-
-
 def name_clusters(profile: DataFrame, cluster: str = "Cluster",
                   by: str = "AvgCreditScore",
                   names: Sequence[str] = tuple(K.CLUSTER_NAMES)) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loanlens import constants as K
 from loanlens.functions import columns as C
+from loanlens.operators.clean import nan_to_null
 from loanlens.operators.quantiles import NAME, quantiles_wide
 
 
@@ -30,6 +31,7 @@ def quality_report(df: DataFrame, key: str = "RespondentID",
                    engineered: Sequence[str] = (), encoded_suffix: str = "_Enc") -> DataFrame:
     """A2: total null cells, duplicate ids, engineered and encoded column counts
     (computed, not hard-coded). One aggregate over the table."""
+    df = nan_to_null(df)
     nulls = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -45,32 +47,36 @@ def quality_report(df: DataFrame, key: str = "RespondentID",
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per-column null counts as a long table ``(column, n_null)``."""
     cols = list(cols or df.columns)
-    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    wide = nan_to_null(df, cols).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     return wide.selectExpr(f"stack({len(cols)}, {stack}) AS ({NAME}, n_null)")
 
 
 def summary_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A3: mean, median (exact), sample std per column, nulls dropped."""
-    base = _moments(df, cols)
+    base = _moments(df, cols, ["mean", "std"])
     med = quantiles_wide(df, cols, [0.5], ["median"])
     return base.join(med, NAME, "left").select(NAME, "n", "mean", "median", "std")
 
 
-def _moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    from loanlens.operators.quantiles import long_values
-    lv = long_values(df, cols, by)
-    return lv.groupBy(*by, NAME).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-        F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"))
+def _moments(df: DataFrame, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """``(feature, n, <names>)``: one wide aggregate over the rows as they are
+    (no row per column), then one row per column."""
+    cols = list(cols)
+    made = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+            "skew": F.skewness, "kurt": F.kurtosis}
+    wide = df.select(*[C.no_nan(c).alias(c) for c in cols]).agg(
+        *[made[m](F.col(c)).alias(f"{c}__{m}") for c in cols for m in ("n", *names)])
+    rows = ", ".join(f"'{c}', " + ", ".join(f"`{c}__{m}`" for m in ("n", *names)) for c in cols)
+    return wide.selectExpr(f"stack({len(cols)}, {rows}) AS ({NAME}, n, {', '.join(names)})") \
+               .where("n > 0")
 
 
 def describe_group(df: DataFrame, cols: Sequence[str], digits: int = 2) -> DataFrame:
     """A4: pandas ``describe().round(2).T`` for a feature group: count, mean,
     std, min, 25/50/75 %, max, one row per numeric column (exact percentiles)."""
     numeric = [c for c in cols if c in df.columns and _is_numeric(df, c)]
-    m = _moments(df, numeric)
+    m = _moments(df, numeric, ["mean", "std", "min", "max"])
     q = quantiles_wide(df, numeric, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
     r = lambda c: C.round_half_up(c, digits).alias(c)
     return m.join(q, NAME, "left").select(
@@ -103,10 +109,12 @@ def value_shares(df: DataFrame, c: str, n: int | None = None, base: str = "kept"
 
 
 def rate_by(df: DataFrame, c: str, target: str = "LoanApproved", n: int | None = 10) -> DataFrame:
-    """Mean of ``target`` x 100 per value of ``c``, descending, top ``n``."""
+    """A7 + F22: mean of ``target`` x 100 per value of ``c`` with its rate band,
+    descending, top ``n``."""
     out = (df.where(F.col(c).isNotNull()).groupBy(c)
            .agg((F.avg(F.col(target).cast("double")) * C.dlit(100)).alias("rate_pct"),
-                F.count(F.lit(1)).alias("n")))
+                F.count(F.lit(1)).alias("n"))
+           .withColumn("band", C.rate_band("rate_pct")))
     out = out.orderBy(F.desc("rate_pct"), F.asc(c))
     return out.limit(n) if n else out
 
@@ -119,7 +127,7 @@ def string_key(c: str) -> F.Column:
 def grouped_stats(df: DataFrame, key: str, c: str, digits: int = 2) -> DataFrame:
     """Mean, median, sample std, min, max of ``c`` per string-cast ``key``
     (nulls form the group "nan"), rounded."""
-    keyed = df.select(string_key(key).alias("group"), F.col(c))
+    keyed = df.select(string_key(key).alias("group"), C.no_nan(c).alias(c))
     agg = keyed.groupBy("group").agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                                      F.min(F.col(c).cast("double")).alias("min"),
                                      F.max(F.col(c).cast("double")).alias("max"))
@@ -148,7 +156,7 @@ def median_extremes(df: DataFrame, key: str, c: str) -> DataFrame:
 
 def shape_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A10 + F21: population skewness and excess kurtosis, with verdicts."""
-    m = _moments(df, cols)
+    m = _moments(df, cols, ["skew", "kurt"])
     return m.select(NAME, "n", F.col("skew").alias("skewness"), F.col("kurt").alias("kurtosis"),
                     C.skew_verdict("skew").alias("skew_shape"),
                     C.kurtosis_verdict("kurt").alias("tail_shape"))
@@ -205,14 +213,6 @@ def batch_summary(scored: DataFrame) -> DataFrame:
         F.avg(F.col("Predicted_CreditScore").cast("double")).alias("mean_score"))
 
 
-def top_k(df: DataFrame, order_col: str, k: int, ascending: bool = False,
-          tie: str | None = None) -> DataFrame:
-    """K1/K2: sort with a tie-break and keep ``k`` rows (TakeOrderedAndProject)."""
-    o = F.asc(order_col) if ascending else F.desc(order_col)
-    keys = [o] + ([F.asc(tie)] if tie else [])
-    return df.orderBy(*keys).limit(k)
-
-
 def rank_groups(df: DataFrame, by_value: str, names: Sequence[str], key: str) -> DataFrame:
     """K5: order a small per-group table by ``by_value`` descending and give
     the i-th group the i-th name (row_number over at most k rows)."""

@@ -6,13 +6,23 @@ from pyspark.sql import functions as F
 
 from loanlens import constants as K
 from loanlens.operators import corr, distribution, histogram, sample
-from loanlens.operators.distribution import _A, _B, _C, _D, _P_LOW
 from loanlens.oracle import D, with_customers
 from loanlens.plans.registry import register
 from loanlens.sources.customers import customers
 
 R6 = 6
 
+# --- FIXED VALUES: the published coefficients of Acklam's approximation, kept
+# apart from the operator's own so that a slip in either shows.
+_A = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690,
+      -30.66479806614716, 2.506628277459239]
+_B = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972,
+      -13.28068155288572]
+_C = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734,
+      4.374664141464968, 2.938163982698783]
+_D = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416]
+_P_LOW = 0.02425
+
 
 # ------------------------------------------------------------ SQL helpers ---
 def _edge_sql(i: str, bins: int) -> str:

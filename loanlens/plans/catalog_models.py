@@ -16,7 +16,10 @@ from loanlens import constants as K
 from loanlens.operators import evaluate, segments
 from loanlens.plans import models as M
 from loanlens.plans.registry import register
-from loanlens.plans.score import RESULT_COLUMNS, agreement, regression_predictions, score
+from loanlens.plans.score import (RESULT_COLUMNS, agreement, model_probabilities,
+                                  regression_predictions, score_with_models,
+                                  segment_customers)
+from loanlens.session import stored_table
 from loanlens.sources.customers import load_customers
 from loanlens.sources.fixtures import profiles
 from loanlens.streaming.score_stream import start_scoring_stream
@@ -25,7 +28,31 @@ PRESET = "fast"
 
 
 def bundle_for(spark, d, preset: str = PRESET) -> M.Bundle:
-    return M.ensure_artifacts(spark, lambda: load_customers(spark, d), key=d, preset=preset)
+    return M.ensure_artifacts(spark, lambda: load_customers(spark, d),
+                              key=f"{d}|{M.input_version(spark, d)}", preset=preset)
+
+
+def scored_batch(spark, d):
+    """The batch scored once per session; the queries below read it."""
+    return stored_table("scored", spark, d, lambda: score_with_models(
+        batch_input(spark, d), bundle_for(spark, d), mode="batch"))
+
+
+def probabilities(spark, d):
+    """The loaded table's classifier probabilities, once per session."""
+    return stored_table("probabilities", spark, d, lambda: model_probabilities(
+        load_customers(spark, d), bundle_for(spark, d)))
+
+
+def predictions(spark, d):
+    """C10 over the loaded table, once per session."""
+    return stored_table("predictions", spark, d, lambda: regression_predictions(
+        load_customers(spark, d), bundle_for(spark, d)))
+
+
+def labelled(spark, d):
+    """The loaded table with the trained segment of every customer."""
+    return segment_customers(load_customers(spark, d), bundle_for(spark, d))
 
 
 def batch_input(spark, d):
@@ -68,10 +95,22 @@ def kmeans_profile(spark, d):
 
 @register("kmeans_segments")
 def kmeans_segments(spark, d):
-    """Every customer's trained segment; sizes per segment."""
-    b = bundle_for(spark, d)
-    s = score(batch_input(spark, d), b, mode="batch")
-    return s.groupBy("Marketing_Segment").agg(F.count(F.lit(1)).alias("n"))
+    """T3 + A18: customers of each trained segment."""
+    return labelled(spark, d).groupBy("Cluster_Label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("kmeans_assignment")
+def kmeans_assignment(spark, d):
+    """The trained cluster and segment name of every customer of the
+    loaded table."""
+    return labelled(spark, d).select("RespondentID", "Cluster", "Cluster_Label")
+
+
+@register("kmeans_segment_profile")
+def kmeans_segment_profile(spark, d):
+    """A16 on the trained segments."""
+    from loanlens.operators.stats import segment_profile
+    return segment_profile(labelled(spark, d), label="Cluster_Label")
 
 
 @register("elbow")
@@ -84,14 +123,14 @@ def elbow(spark, d):
 
 def _pca(spark, d):
     b = bundle_for(spark, d)
-    base = load_customers(spark, d)
-    vecs = M.assemble(base, b.clu_features, b.scalers["clu"], keep=["RespondentID"])
-    return M.pca_projection(vecs, keep=["RespondentID"])
+    keep = ["RespondentID", "Cluster_Label"]
+    vecs = M.assemble(labelled(spark, d), b.clu_features, b.scalers["clu"], keep=keep)
+    return M.pca_projection(vecs, keep=keep)
 
 
 @register("pca_projection")
 def pca_projection(spark, d):
-    """2-D PCA coordinates of every customer."""
+    """2-D PCA coordinates and trained segment of every customer."""
     return _pca(spark, d)[0]
 
 
@@ -106,21 +145,28 @@ def pca_variance(spark, d):
 @register("batch_scores")
 def batch_scores(spark, d):
     """The scored batch (input columns + five result columns)."""
-    return score(batch_input(spark, d), bundle_for(spark, d), mode="batch") \
-        .select("RespondentID", *RESULT_COLUMNS)
+    return scored_batch(spark, d).select("RespondentID", *RESULT_COLUMNS)
+
+
+@register("scored_preview")
+def scored_preview(spark, d):
+    """The first 30 rows of the scored batch."""
+    from loanlens.sources.customers import preview
+    b = scored_batch(spark, d).drop("p_gb", "p_rf", "p_lr", "ridge_pred")
+    return preview(b, 30)
 
 
 @register("batch_summary")
 def batch_summary(spark, d):
     """Scored / approved / borderline / rejected / mean score."""
     from loanlens.operators.stats import batch_summary as summary
-    return summary(score(batch_input(spark, d), bundle_for(spark, d), mode="batch"))
+    return summary(scored_batch(spark, d))
 
 
 @register("batch_decisions")
 def batch_decisions(spark, d):
     """Counts by decision and by segment."""
-    s = score(batch_input(spark, d), bundle_for(spark, d), mode="batch")
+    s = scored_batch(spark, d)
     by_dec = s.groupBy(F.lit("decision").alias("kind"), F.col("Loan_Decision").alias("value")) \
         .agg(F.count(F.lit(1)).alias("n"))
     by_seg = s.groupBy(F.lit("segment").alias("kind"), F.col("Marketing_Segment").alias("value")) \
@@ -131,21 +177,78 @@ def batch_decisions(spark, d):
 @register("model_votes")
 def model_votes(spark, d):
     """C7 with the trained models."""
-    s = score(batch_input(spark, d), bundle_for(spark, d), mode="batch")
-    return agreement(s)
+    return agreement(scored_batch(spark, d))
 
 
 @register("regression_predictions")
 def regression_predictions_q(spark, d):
     """Ridge and forest predictions for the whole table, with residuals."""
-    return regression_predictions(load_customers(spark, d), bundle_for(spark, d))
+    return predictions(spark, d)
+
+
+def _residuals(spark, d, model):
+    return evaluate.residuals(predictions(spark, d), "actual", f"{model}_pred")
+
+
+def _per_model(fn):
+    """The same table for the ridge and the forest, one below the other."""
+    def run(spark, d):
+        parts = [fn(spark, d, m).withColumn("model", F.lit(n))
+                 for m, n in (("ridge", "ridge"), ("rf", "random_forest"))]
+        return parts[0].unionByName(parts[1])
+    return run
+
+
+@register("model_residual_histogram")
+@_per_model
+def model_residual_histogram(spark, d, model):
+    """45-bin histogram of the trained regressors' residuals."""
+    from loanlens.operators.histogram import histogram
+    return histogram(_residuals(spark, d, model), "residual", 45)
+
+
+@register("model_residual_summary")
+@_per_model
+def model_residual_summary(spark, d, model):
+    """Mean and spread of the residuals."""
+    return _residuals(spark, d, model).agg(
+        F.count("residual").alias("n"), F.avg("residual").alias("mean_residual"),
+        F.stddev_samp("residual").alias("std_residual"))
+
+
+@register("model_actual_vs_predicted")
+@_per_model
+def model_actual_vs_predicted(spark, d, model):
+    """The 500-row actual-against-predicted sample."""
+    from loanlens.operators.sample import sample_n
+    return sample_n(_residuals(spark, d, model), 500, seed=0)
+
+
+@register("model_trend_line")
+@_per_model
+def model_trend_line(spark, d, model):
+    """E7 + A25: the trend line through that sample."""
+    from loanlens.operators.distribution import fit_line
+    from loanlens.operators.sample import sample_n
+    return fit_line(sample_n(_residuals(spark, d, model), 500, seed=0), "actual", "predicted")
+
+
+@register("feature_importance_top5")
+def feature_importance_top5(spark, d):
+    """The five most important features."""
+    return M.feature_importance(spark, bundle_for(spark, d), 5)
+
+
+@register("ridge_extremes")
+def ridge_extremes(spark, d):
+    """Three coefficients that push the score up and three down."""
+    return M.ridge_extremes(spark, bundle_for(spark, d))
 
 
 @register("model_roc_points")
 def model_roc_points(spark, d):
     """E4 for the three classifiers on all rows (as the reference's page)."""
-    b = bundle_for(spark, d)
-    s = score(load_customers(spark, d), b, mode="batch")
+    s = probabilities(spark, d)
     parts = []
     for name, col in (("gradient_boosting", "p_gb"), ("random_forest", "p_rf"),
                       ("logistic_regression", "p_lr")):
@@ -160,7 +263,7 @@ def model_roc_points(spark, d):
 @register("model_confusion")
 def model_confusion(spark, d):
     """E3 for gradient boosting on all rows."""
-    s = score(load_customers(spark, d), bundle_for(spark, d), mode="batch")
+    s = probabilities(spark, d)
     return evaluate.confusion(s.withColumn("pred", (F.col("p_gb") >= 0.5).cast("int")),
                               "LoanApproved", "pred")
 

@@ -137,8 +137,10 @@ for _c in _CATS:
         f'SELECT {_c}, count(*) AS "count" FROM customers WHERE {_c} IS NOT NULL '
         f'GROUP BY {_c} ORDER BY "count" DESC, {_c} LIMIT 10'))(_vc_query(_c))
     register(f"approval_rate_by_{_c}", with_customers(
-        f"SELECT {_c}, avg(CAST(LoanApproved AS DOUBLE)) * {D(100)} AS rate_pct, count(*) AS n "
-        f"FROM customers WHERE {_c} IS NOT NULL GROUP BY {_c} "
+        f"SELECT {_c}, rate_pct, n, CASE WHEN rate_pct >= 50 THEN 'high' WHEN rate_pct >= 30 "
+        f"THEN 'mid' ELSE 'low' END AS band FROM (SELECT {_c}, "
+        f"avg(CAST(LoanApproved AS DOUBLE)) * {D(100)} AS rate_pct, count(*) AS n "
+        f"FROM customers WHERE {_c} IS NOT NULL GROUP BY {_c}) AS __r "
         f"ORDER BY rate_pct DESC, {_c} LIMIT 10"), digits={"rate_pct": R6})(_rate_query(_c))
 
 

@@ -1,80 +1,118 @@
 """Batch jobs (T1-T3), runnable with spark-submit:
 
     spark-submit loanlens/plans/jobs.py train    --input DIR --out DIR [--preset full]
-    spark-submit loanlens/plans/jobs.py profile  --input DIR --out DIR
+    spark-submit loanlens/plans/jobs.py profile  --input DIR --out DIR [--only NAME ...]
     spark-submit loanlens/plans/jobs.py segments --input DIR --out DIR --models DIR
-    spark-submit loanlens/plans/jobs.py score    --input DIR --out DIR --models DIR
+    spark-submit loanlens/plans/jobs.py score    --input FILE --out DIR --models DIR [--format csv]
 
-``--input`` is a folder of the driver-style parquet tables. Every job
-writes parquet result tables (S3); none collects row-level data. The loaded
-customer table is checkpointed once in the shared checkpoint folder and
-reused by all analyses of the profiling job (S9)."""
+``--input`` is a folder of the driver-style parquet tables (for ``score``: a
+CSV or parquet batch). Every job writes parquet result tables (S3); none
+collects row-level data. The customer table is stored once in the shared
+checkpoint folder and reused by all analyses of the profiling job (S9)."""
 
 from __future__ import annotations
 
 import argparse
 import os
 import sys
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from loanlens.sources.customers import write_table
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+
+from loanlens import constants as K  # noqa: E402
+from loanlens.operators import clean, corr, distribution, histogram, sample, stats  # noqa: E402
+from loanlens.session import ensure_checkpoint_dir  # noqa: E402
+from loanlens.sources.customers import customers, load_customers, read_batch, write_table  # noqa: E402
 
 
 def training_job(spark: SparkSession, sf_dir: str, out: str, preset: str = "full"):
     """Train the six models on the loaded table and save the artifacts."""
     from loanlens.plans import models as M
-    from loanlens.sources.customers import load_customers
     bundle = M.train(load_customers(spark, sf_dir), preset, with_elbow=True)
     M.save_artifacts(bundle, out)
     return bundle
 
 
-PROFILE_QUERIES = [
-    "kpis", "quality_report", "null_counts", "summary_stats", "describe_demographics",
-    "describe_employment_income", "describe_financial_behaviour", "describe_loans_debt",
-    "describe_credit_history", "describe_assets", "describe_behavioural",
-    "describe_target_variables", "shape_stats", "histogram_grid", "histogram_CreditScore",
-    "segment_shares", "segment_profile", "corr_matrix", "corr_lower_triangle",
-    "corr_with_CreditScore", "corr_with_LoanApproved", "top_drivers_CreditScore",
-    "pair_sample", "pair_diagonal", "scatter_sample", "linregress_scatter",
-    "outlier_report",
-] + [f"{kind}_{c}" for kind in ("value_counts", "approval_rate_by")
-     for c in ("MarketingSegment", "CityTier", "RepaymentHistory", "Persona", "AgeGroup",
-               "CreditScoreBand")]
+def profile_analyses(df: DataFrame) -> dict[str, Callable[[], DataFrame]]:
+    """Every profiling analysis over the default column lists, as far as
+    the table has the columns, by name."""
+    have = lambda cols: [c for c in cols if c in df.columns]
+    numeric, cats = have(K.EDA_NUMERIC), have(K.EDA_CATEGORICAL)
+    out: dict[str, Callable[[], DataFrame]] = {
+        "kpis": lambda: stats.kpis(df),
+        "quality_report": lambda: stats.quality_report(df, engineered=K.ENGINEERED),
+        "null_counts": lambda: stats.null_counts(df),
+        "summary_stats": lambda: stats.summary_stats(df, numeric),
+        "shape_stats": lambda: stats.shape_stats(df, have(K.GRID_COLUMNS)),
+        "histogram_grid": lambda: histogram.histogram_grid(df, have(K.GRID_COLUMNS), 30),
+        "segment_shares": lambda: stats.value_shares(df, "MarketingSegment", None, base="all"),
+        "segment_profile": lambda: stats.segment_profile(df),
+        "corr_matrix": lambda: corr.corr_matrix(df, have(K.CORR_COLUMNS)),
+        "corr_lower_triangle": lambda: corr.corr_matrix(df, have(K.CORR_COLUMNS), triangle=True),
+        "pair_sample": lambda: sample.pair_table(df, have(K.PAIRPLOT_DEFAULTS)),
+        "pair_diagonal": lambda: sample.pair_diagonal(df, have(K.PAIRPLOT_DEFAULTS)),
+        "scatter_sample": lambda: sample.scatter_table(df, "AnnualIncome_INR", "CreditScore"),
+        "linregress": lambda: corr.linregress_p(df, "AnnualIncome_INR", "CreditScore"),
+        "outlier_report": lambda: clean.cap_outliers(df, numeric, 3.0)[1],
+        "capped_table": lambda: clean.cap_outliers(df, numeric, 3.0)[0],
+    }
+    for group, cols in K.FEATURE_GROUPS.items():
+        out[f"describe_{'_'.join(group.replace('&', ' ').split())}"] = (
+            lambda cols=cols: stats.describe_group(df, have(cols)))
+    for c in ("CreditScore", "LoanApproved"):
+        out[f"corr_with_{c}"] = lambda c=c: corr.corr_with(df, have(K.CORR_COLUMNS), c)
+        out[f"top_drivers_{c}"] = lambda c=c: corr.top_drivers(df, have(K.CORR_COLUMNS), c)
+    for c in numeric:
+        out[f"histogram_{c}"] = lambda c=c: histogram.histogram(df, c, 45)
+        out[f"qq_points_{c}"] = lambda c=c: distribution.qq_points(df, c)
+        out[f"qq_fit_{c}"] = lambda c=c: distribution.qq_fit(df, c)
+        out[f"histogram_{c}_by_LoanApproved"] = lambda c=c: histogram.histogram_by(df, c, "LoanApproved", 40)
+    for c in cats:
+        out[f"value_counts_{c}"] = lambda c=c: stats.value_counts(df, c, 10)
+        out[f"value_shares_{c}"] = lambda c=c: stats.value_shares(df, c, 10, base="kept")
+        out[f"approval_rate_by_{c}"] = lambda c=c: stats.rate_by(df, c, "LoanApproved", 10)
+        out[f"category_headline_{c}"] = lambda c=c: stats.category_headline(df, c)
+        out[f"distinct_{c}"] = lambda c=c: stats.distinct_values(df, c)
+    for c in have(K.BOX_NUMERIC):
+        for g in have(K.BOX_GROUPS):
+            out[f"box_{c}_by_{g}"] = lambda c=c, g=g: distribution.box_stats(df, g, c)
+            out[f"box_fliers_{c}_by_{g}"] = lambda c=c, g=g: distribution.box_fliers(df, g, c)
+            out[f"grouped_stats_{c}_by_{g}"] = lambda c=c, g=g: stats.grouped_stats(df, g, c)
+            out[f"median_extremes_{c}_by_{g}"] = lambda c=c, g=g: stats.median_extremes(df, g, c)
+    return out
 
 
 def profiling_job(spark: SparkSession, sf_dir: str, out: str, names=None) -> list[str]:
-    """Every profiling analysis for the default column lists, one parquet
-    result table per analysis."""
-    from loanlens.plans.registry import REGISTRY, load_all, run_query
-    load_all()
-    done = []
-    for name in names or PROFILE_QUERIES:
-        if name in REGISTRY:
-            write_table(run_query(name, spark, sf_dir), f"{out}/{name}")
-            done.append(name)
+    """The profiling analyses (all, or ``names``), one parquet result
+    table each. An unknown name is an error."""
+    analyses = profile_analyses(customers(spark, sf_dir))
+    unknown = sorted(set(names or ()) - set(analyses))
+    if unknown:
+        raise KeyError(f"no such analysis: {', '.join(unknown)}")
+    done = list(names or analyses)
+    for name in done:
+        write_table(analyses[name](), f"{out}/{name}")
     return done
 
 
 def segment_job(spark: SparkSession, sf_dir: str, out: str, models_dir: str):
-    """Segment (and score) every customer with the trained models."""
+    """The trained segment of every customer of the loaded table."""
     from loanlens.plans import models as M
-    from loanlens.plans.score import RESULT_COLUMNS, score
-    from loanlens.sources.fixtures import profiles
+    from loanlens.plans.score import segment_customers
     bundle = M.load_artifacts(spark, models_dir)
-    scored = score(profiles(spark, sf_dir), bundle, "batch")
-    write_table(scored.select("RespondentID", *RESULT_COLUMNS), out)
+    named = segment_customers(load_customers(spark, sf_dir), bundle)
+    write_table(named.select("RespondentID", "Cluster", "Cluster_Label"), out)
 
 
 def scoring_job(spark: SparkSession, batch_path: str, out: str, models_dir: str,
-                fmt: str = "parquet"):
+                fmt: str = "parquet", input_fmt: str | None = None):
     """C8 as a job: read an uploaded batch (CSV or parquet), check the
     required columns, score it and write the full scored table."""
     from loanlens.plans import models as M
     from loanlens.plans.score import score
-    from loanlens.sources.customers import read_batch
-    batch = read_batch(spark, batch_path)
+    batch = read_batch(spark, batch_path, fmt=input_fmt)
     write_table(score(batch, M.load_artifacts(spark, models_dir), "batch"), out, fmt)
 
 
@@ -85,21 +123,22 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--models")
     ap.add_argument("--preset", default="full")
+    ap.add_argument("--only", nargs="*", help="profile: the analyses to run")
+    ap.add_argument("--format", help="score: csv or parquet (default: by the input's suffix)")
     args = ap.parse_args(argv)
+    if args.job in ("segments", "score") and not args.models:
+        ap.error(f"{args.job} needs --models")
     spark = SparkSession.builder.appName(f"loanlens-{args.job}").getOrCreate()
-    from loanlens.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     if args.job == "train":
         training_job(spark, args.input, args.out, args.preset)
     elif args.job == "profile":
-        profiling_job(spark, args.input, args.out)
+        profiling_job(spark, args.input, args.out, args.only)
     elif args.job == "segments":
         segment_job(spark, args.input, args.out, args.models)
     else:
-        scoring_job(spark, args.input, args.out, args.models)
+        scoring_job(spark, args.input, args.out, args.models, input_fmt=args.format)
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(
-        os.path.abspath(__file__)))))
     main()

@@ -7,7 +7,8 @@ Parity settings with the reference library (SURVEY §2.7):
   regParam = 1/n_train with weights n/(2 n_class), no internal standardisation;
 * ridge alpha: Spark scales the label, so regParam = alpha * std(y) / n;
 * forest regressor considers all features per split (the reference default);
-* K-Means has no multi-start in Spark: several seeds, least cost wins.
+* K-Means has no multi-start in Spark: several seeds, least cost wins (the
+  elbow table fits each k the same way).
 
 Every fit reads one cached, assembled feature table; the iterative fits run
 as Spark jobs (treeAggregate) over it. Trees will not equal the reference
@@ -41,6 +42,7 @@ from loanlens.functions.derive import prep_features
 from loanlens.operators import segments
 from loanlens.operators.evaluate import classification_metrics, regression_metrics
 from loanlens.operators.sample import split
+from loanlens.session import materialize, same_session
 
 PRESETS = {
     # the batch trainer
@@ -54,7 +56,7 @@ PRESETS = {
                  km_starts=2),
 }
 SEED = 42
-VERSION = "2"  # bumped when training output changes; old artifacts are not reused
+VERSION = "3"  # bumped when training output changes; old artifacts are not reused
 
 
 def present(df: DataFrame, cols) -> list[str]:
@@ -91,10 +93,12 @@ class Bundle:
     inertias: list[tuple[int, float]] = field(default_factory=list)
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "w") -> DataFrame:
+def balanced_weights(df: DataFrame, label: str, fit_on: DataFrame | None = None,
+                     out: str = "w") -> DataFrame:
     """sklearn ``class_weight="balanced"``: n / (n_classes * n_c), the class
-    counts read once (two numbers)."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counts of ``fit_on`` (the training rows) read once (two numbers)."""
+    fit_on = df if fit_on is None else fit_on
+    counts = {r[label]: r["n"] for r in fit_on.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
               .collect()}
     n, k = sum(counts.values()), len(counts)
     w = F.lit(None).cast("double")
@@ -139,16 +143,10 @@ def fit_kmeans(vecs: DataFrame, k: int, starts: int, seed: int = SEED):
     return min(runs, key=lambda mc: mc[1])
 
 
-def elbow(vecs: DataFrame, ks=range(2, 9), starts: int = 5, seed: int = SEED,
-          key: str = "RespondentID") -> list:
-    """M9: (k, inertia) for k = 2..8, best of 5 starts each. The 35 runs share
-    their passes over the data (``kmeans_multi``): one distributed job per
-    Lloyd iteration for all runs, instead of one per run."""
-    from loanlens.operators.kmeans_multi import elbow_table
-    d = len(vecs.select("features").first()["features"])
-    arr = vector_to_array(F.col("features"))
-    cols = vecs.select(key, *[arr[i].alias(f"f{i}") for i in range(d)])
-    return elbow_table(cols, [f"f{i}" for i in range(d)], ks, starts, seed, key)
+def elbow(vecs: DataFrame, ks=range(2, 9), starts: int = 5, seed: int = SEED) -> list:
+    """M9: (k, inertia) for k = 2..8, best of 5 starts each, over the cached
+    vectors that M8 uses, by the same fit as M8."""
+    return [(k, float(fit_kmeans(vecs, k, starts, seed)[1])) for k in ks]
 
 
 def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
@@ -179,7 +177,8 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
                    "reg": segments.fit_scaler(filled, reg_f),
                    "clu": segments.fit_scaler(filled, clu_f)}
         keep = ["RespondentID", "label", "score", "is_test", "LoanApproved", "CreditScore"]
-        Xc = balanced_weights(assemble(data, clf_f, scalers["clf"], keep), "label")
+        Xc = balanced_weights(assemble(data, clf_f, scalers["clf"], keep), "label",
+                              fit_on=data.where("is_test = 0"))
         Xc = Xc.persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(Xc)
         train_c, test_c = Xc.where("is_test = 0"), Xc.where("is_test = 1")
@@ -212,7 +211,9 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
             featuresCol="features", labelCol="score", numTrees=p["rfr_trees"],
             maxDepth=p["rfr_depth"], featureSubsetStrategy="all", seed=SEED).fit(train_r)
 
-        Xk = assemble(data, clu_f, scalers["clu"], keep).persist(StorageLevel.MEMORY_AND_DISK)
+        with_raw = data.withColumns({f"raw_{c}": F.coalesce(C.no_nan(c), C.dlit(0)) for c in clu_f})
+        Xk = assemble(with_raw, clu_f, scalers["clu"], [*keep, *[f"raw_{c}" for c in clu_f]])
+        Xk = Xk.persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(Xk)
         fits["kmeans"] = lambda: fit_kmeans(Xk, 4, p["km_starts"])[0]
         if with_elbow:
@@ -227,7 +228,9 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
 
         rows = []
         for name in ("lr", "rf_clf", "gb_clf"):
-            pred = models[name].transform(test_c).withColumn("p1", positive_probability())
+            # scored once: the metrics read the stored scores several times
+            pred = materialize(models[name].transform(test_c)
+                               .select("label", positive_probability().alias("p1")))
             m = classification_metrics(pred, "label", "p1").first()
             rows += [(name, "classification", k, float(m[k])) for k in ("accuracy", "roc_auc", "f1")]
         for name in ("ridge", "rf_reg"):
@@ -237,11 +240,11 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
         metrics = spark.createDataFrame(rows, "model string, task string, metric string, "
                                               "value double")
 
-        assigned = models["kmeans"].transform(Xk).select("RespondentID", F.col("prediction").alias("Cluster"))
-        prof_in = data.join(assigned, "RespondentID")
-        prof_in = prep_features(prof_in, clu_f, keep=["Cluster", "LoanApproved", "CreditScore"])
-        profile = segments.cluster_profile(prof_in, [c for c in clu_f if c != "CreditScore"],
-                                           extra=["LoanApproved"])
+        # The raw features ride along with the vectors, so no join is needed.
+        clustered = models["kmeans"].transform(Xk).withColumnRenamed("prediction", "Cluster")
+        profile = segments.cluster_profile(
+            clustered.select("Cluster", "LoanApproved", *[F.col(f"raw_{c}").alias(c) for c in clu_f]),
+            [c for c in clu_f if c != "CreditScore"], extra=["LoanApproved"])
         names = segments.name_clusters(profile).collect()
         labels = {int(r["Cluster"]): r["label"] for r in names}
         profile = spark.createDataFrame(profile.collect(), profile.schema)
@@ -277,17 +280,19 @@ def save_artifacts(bundle: Bundle, path: str) -> None:
     spark.createDataFrame([("ok",)], "s string").write.mode("overwrite").parquet(f"{path}/_done")
 
 
-_LOADED: dict[str, Bundle] = {}
+_LOADED: dict[str, tuple[SparkSession, Bundle]] = {}
 
 
 def load_artifacts(spark: SparkSession, path: str, cached: bool = True) -> Bundle:
     """S7. A complete artifact folder is immutable (versioned path, sentinel
-    written last), so loaded bundles are kept per driver process."""
-    if cached and path in _LOADED:
-        return _LOADED[path]
+    written last), so loaded bundles are kept for the session that loaded
+    them."""
+    hit = _LOADED.get(path)
+    if cached and hit is not None and same_session(hit[0], spark):
+        return hit[1]
     bundle = _load_artifacts(spark, path)
     if cached:
-        _LOADED[path] = bundle
+        _LOADED[path] = (spark, bundle)
     return bundle
 
 
@@ -308,6 +313,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def input_version(spark: SparkSession, sf_dir: str) -> str:
+    """The input files' names, sizes and times, hashed: models and stored
+    results of an input that changed are not used again."""
+    from loanlens.session import table_path
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for t in ("customer", "nation", "orders", "lineitem", "events"):
+        for f in spark.read.parquet(table_path(sf_dir, t)).inputFiles():
+            p = jvm.org.apache.hadoop.fs.Path(f)
+            status = p.getFileSystem(conf).getFileStatus(p)
+            seen.append(f"{f}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:12]
+
+
 def artifact_dir(spark: SparkSession, key: str) -> str:
     """Default artifact folder: under the shared checkpoint folder."""
     from loanlens.session import ensure_checkpoint_dir
@@ -341,7 +361,7 @@ def pca_projection(vecs: DataFrame, keep=(), k: int = 2):
 
 
 def feature_importance(spark: SparkSession, bundle: Bundle, top: int = 20) -> DataFrame:
-    """Forest importances with names, ascending, last ``top`` rows."""
+    """Forest importances with names, ascending, the ``top`` largest."""
     imp = bundle.models["rf_clf"].featureImportances.toArray()
     rows = [(f, round(float(v), 4)) for f, v in zip(bundle.clf_features, imp)]
     df = spark.createDataFrame(rows, "feature string, importance double")
@@ -350,6 +370,15 @@ def feature_importance(spark: SparkSession, bundle: Bundle, top: int = 20) -> Da
         .orderBy(F.asc("importance"), F.desc("feature"))
 
 
+def ridge_extremes(spark: SparkSession, bundle: Bundle, n: int = 3) -> DataFrame:
+    """The ``n`` largest positive and the ``n`` most negative ridge
+    coefficients, each side from the strongest on."""
+    c = ridge_coefficients(spark, bundle)
+    up = c.where("coefficient > 0").orderBy(F.desc("coefficient"), "feature").limit(n)
+    down = c.where("coefficient < 0").orderBy("coefficient", "feature").limit(n)
+    return up.unionByName(down)
+
+
 def ridge_coefficients(spark: SparkSession, bundle: Bundle) -> DataFrame:
     """Ridge coefficients sorted ascending, with sign band."""
     coef = bundle.models["ridge"].coefficients.toArray()

@@ -49,11 +49,6 @@ def query_sql(name: str) -> str | None:
 
 def load_all() -> dict[str, Entry]:
     """Import the catalog modules (they register on import)."""
-    from loanlens.plans import catalog_stats  # noqa: F401
-    for mod in ("catalog_dist", "catalog_eval", "catalog_models", "catalog_scoring"):
-        try:
-            __import__(f"loanlens.plans.{mod}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"loanlens.plans.{mod}":
-                raise
+    from loanlens.plans import (catalog_dist, catalog_eval, catalog_models,  # noqa: F401
+                                catalog_sources, catalog_stats)
     return REGISTRY

@@ -25,7 +25,7 @@ RESULT_COLUMNS = ["Approval_Probability_%", "Loan_Decision", "Predicted_CreditSc
 def _scaled(df: DataFrame, features: list[str], stats: dict, prefix: str) -> dict:
     out = {}
     for c in features:
-        x = F.coalesce(F.col(c).cast("double"), C.dlit(0)) if c in df.columns else C.dlit(0)
+        x = F.coalesce(C.no_nan(c), C.dlit(0)) if c in df.columns else C.dlit(0)
         sd = stats[f"std_{c}"] or 1.0
         out[prefix + c] = (x - C.dlit(stats[f"mean_{c}"])) / C.dlit(sd)
     return out
@@ -61,13 +61,13 @@ def model_columns(df: DataFrame, bundle: Bundle, cluster_score: str = "input") -
         v = v.withColumn("__cs_for_cluster", C.clip("ridge_pred", 300.0, 900.0).cast("int"))
     else:
         v = v.withColumn("__cs_for_cluster", F.coalesce(
-            F.col("CreditScore").cast("double") if "CreditScore" in cols else C.dlit(0),
+            C.no_nan("CreditScore") if "CreditScore" in cols else C.dlit(0),
             C.dlit(0)))
     clu_src = v.withColumn("__clu_CreditScore_src", F.col("__cs_for_cluster"))
     sk = {}
     for c in bundle.clu_features:
         src = "__cs_for_cluster" if c == "CreditScore" else c
-        x = (F.coalesce(F.col(src).cast("double"), C.dlit(0)) if src in clu_src.columns
+        x = (F.coalesce(C.no_nan(src), C.dlit(0)) if src in clu_src.columns
              else C.dlit(0))
         st = bundle.scalers["clu"]
         sk["__k_" + c] = (x - C.dlit(st[f"mean_{c}"])) / C.dlit(st[f"std_{c}"] or 1.0)
@@ -80,8 +80,35 @@ def model_columns(df: DataFrame, bundle: Bundle, cluster_score: str = "input") -
 
 def score(df: DataFrame, bundle: Bundle, mode: str = "batch") -> DataFrame:
     """C8 (``mode="batch"``) and the live formulas (``mode="live"``): derive
-    features with that mode's formulas, then add the five result columns."""
-    derived = derive(df, mode)
+    features with that mode's formulas, then add the five result columns and
+    nothing else. NaN counts as null."""
+    return score_with_models(df, bundle, mode).drop("p_gb", "p_rf", "p_lr", "ridge_pred")
+
+
+def segment_customers(loaded: DataFrame, bundle: Bundle, out: str = "Cluster_Label") -> DataFrame:
+    """T3 + J1: every customer of the loaded (median-filled) table with its
+    trained cluster and segment name; map-only."""
+    scaled = _scaled(loaded, bundle.clu_features, bundle.scalers["clu"], "__k_")
+    v = _vector(loaded.withColumns(scaled), list(scaled), "__f_clu")
+    km = bundle.models["kmeans"].copy()
+    km.setFeaturesCol("__f_clu").setPredictionCol("Cluster")
+    named = km.transform(v).withColumn(
+        out, C.map_lookup("Cluster", bundle.segment_labels, K.DEFAULT_SEGMENT))
+    return named.select(*loaded.columns, "Cluster", out)
+
+
+def model_probabilities(loaded: DataFrame, bundle: Bundle) -> DataFrame:
+    """The three classifiers' probabilities over the loaded table's own
+    columns, as the evaluation pages use them: adds p_gb, p_rf, p_lr."""
+    return model_columns(loaded, bundle).drop("ridge_pred", "cluster")
+
+
+def score_with_models(df: DataFrame, bundle: Bundle, mode: str = "batch") -> DataFrame:
+    """``score`` with the models' own outputs (p_gb, p_rf, p_lr, ridge_pred),
+    which C7 and C10 show."""
+    from loanlens.operators.clean import nan_to_null
+
+    derived = derive(nan_to_null(df), mode)
     v = model_columns(derived, bundle,
                       cluster_score="predicted" if mode == "live" else "input")
     ens = C.soft_vote("p_gb", "p_rf", "p_lr")

@@ -74,7 +74,7 @@ def materialize(df: DataFrame) -> DataFrame:
 _STORED: dict[tuple, tuple[SparkSession, DataFrame]] = {}
 
 
-def _same_session(a: SparkSession, b: SparkSession) -> bool:
+def same_session(a: SparkSession, b: SparkSession) -> bool:
     if a is b:
         return True
     try:
@@ -95,7 +95,7 @@ def stored_table(kind: str, spark: SparkSession, key: str, build) -> DataFrame:
     session that wrote it; call ``forget_tables()`` if the input files
     change under a live session."""
     hit = _STORED.get((kind, key))
-    if hit is not None and _same_session(hit[0], spark):
+    if hit is not None and same_session(hit[0], spark):
         return hit[1]
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{kind}-{uuid.uuid4().hex}"

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens import constants as K
 from loanlens.functions.derive import derive, enrich
+from loanlens.operators.clean import impute_median, nan_to_null
 from loanlens.session import stored_table
 from loanlens.sources.fixtures import profiles
 
@@ -28,7 +28,6 @@ def load_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's load path (E-1): the analysis base with every numeric
     null replaced by the column's exact median (P3). Stored once per session
     (shared checkpoint folder); models, scoring and segmentation reuse it."""
-    from loanlens.operators.clean import impute_median
     return stored_table("loaded", spark, sf_dir,
                         lambda: impute_median(customers(spark, sf_dir)))
 
@@ -44,21 +43,49 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = tuple(K.PANDAS_NA_TOKENS)
     return df.select(*exprs)
 
 
+def _inferred_types(cells: DataFrame) -> dict[str, str]:
+    """Column types of a table of strings, from one aggregate: int or bigint
+    when every cell that is there is a whole number, else double when every
+    cell is a number, else string."""
+    whole = r"^[+-]?[0-9]{1,18}$"
+    checks = []
+    for c in cells.columns:
+        x = F.col(f"`{c}`")
+        checks += [F.count(x).alias(f"{c}__n"), F.count_if(x.rlike(whole)).alias(f"{c}__int"),
+                   F.max(F.when(x.rlike(whole), F.abs(x.try_cast("bigint")))).alias(f"{c}__max"),
+                   F.count(x.try_cast("double")).alias(f"{c}__num")]
+    seen = cells.agg(*checks).first()
+    out = {}
+    for c in cells.columns:
+        n = seen[f"{c}__n"]
+        if n and seen[f"{c}__int"] == n:
+            out[c] = "int" if seen[f"{c}__max"] < 2 ** 31 else "bigint"
+        else:
+            out[c] = "double" if n and seen[f"{c}__num"] == n else "string"
+    return out
+
+
 def read_customers(spark: SparkSession, path: str, schema: T.StructType | None = None,
                    na_tokens: Sequence[str] = tuple(K.PANDAS_NA_TOKENS),
                    fmt: str | None = None) -> DataFrame:
-    """CSV (header) or parquet scan of a customer table. With a schema no
-    inference pass is made; cells that do not parse become null (PERMISSIVE).
-    Listed NA tokens become null."""
-    fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    """CSV (header) or parquet scan of a customer table; ``fmt`` is "csv"
+    or "parquet" (default: by the suffix .csv, else parquet).
+
+    CSV cells are read as text, the listed NA tokens become null, and only
+    then the cells are typed, so a numeric column with "NA" or "NaN" in it
+    stays numeric. Types come from ``schema``, or from one inference pass; a
+    cell that does not parse becomes null. NaN in a float column is null."""
+    fmt = fmt or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
     if fmt == "parquet":
         df = spark.read.parquet(path)
-    else:
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-        reader = reader.schema(schema) if schema is not None else reader.option(
-            "inferSchema", True)
-        df = reader.csv(path)
-    return null_tokens(df, na_tokens) if na_tokens else df
+        return nan_to_null(null_tokens(df, na_tokens) if na_tokens else df)
+    cells = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    cells = null_tokens(cells, na_tokens) if na_tokens else cells
+    types = ({f.name: f.dataType.simpleString() for f in schema.fields} if schema is not None
+             else _inferred_types(cells))
+    typed = cells.select(*[(F.col(f"`{c}`").try_cast(types[c]) if c in types
+                            else F.col(f"`{c}`")).alias(c) for c in cells.columns])
+    return nan_to_null(typed)
 
 
 class MissingColumnsError(ValueError):
@@ -105,8 +132,3 @@ def preview(df: DataFrame, n: int, cols: Sequence[str] | None = None,
     if key not in chosen:
         chosen = [key] + chosen
     return df.orderBy(key).limit(n).select(*chosen)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Persist a table reused by several analyses (memory, spill to disk)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

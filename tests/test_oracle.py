@@ -20,7 +20,7 @@ def test_query_matches_duckdb(spark, sf0001, name):
 def test_entry(spark):
     df = E.entry(spark)
     rows = df.collect()
-    assert len(rows) == 3 and set(df.columns) == {"MarketingSegment", "rate_pct", "n"}
+    assert len(rows) == 3 and set(df.columns) == {"MarketingSegment", "rate_pct", "n", "band"}
 
 
 def test_registry_has_model_queries():

@@ -1,24 +1,14 @@
 """Distributed ordered statistics against numpy / single-partition results."""
 
 import numpy as np
-import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-import loanlens.operators.quantiles as Q
 from loanlens.operators.quantiles import (cumulative_before, exact_quantiles, expand_positions,
                                           global_positions, quantiles_wide)
 
 
 
-@pytest.fixture(autouse=True, params=["distributed", "checked-small"])
-def path(request, monkeypatch):
-    """Every test runs on both paths: the range-partitioned recipe (forced by
-    a zero bound) and the per-key window for checked-small groups."""
-    if request.param == "distributed":
-        monkeypatch.setattr(Q, "SMALL_GROUP_ROWS", 0)
-    return request.param
-
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=300), np.full(50, 0.25), rng.integers(0, 5, 100)])
@@ -84,3 +74,23 @@ def test_running_sums_carry_across_batches(spark):
     pdf["before"] = pdf.groupby("g", dropna=False)["w"].cumsum() - pdf["w"]
     key = lambda d: d.fillna({"g": "<null>"}).set_index(["g", "x"])["before"].sort_index()
     assert key(got).to_dict() == key(pdf).to_dict()
+
+
+def test_no_single_partition_sort_of_rows(spark):
+    """Without a key nothing but the small table of partition totals may be
+    gathered in one partition."""
+    df = spark.createDataFrame([(float(k),) for k in range(500)], "x double").repartition(6)
+    plan = global_positions(df, "x")._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Exchange SinglePartition")
+    assert len(above) <= 2
+    if len(above) == 2:
+        assert "__ptot0" in above[1].split("\n")[1]
+
+
+def test_null_group_and_all_nan_column(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 1.0, nan), ("a", 3.0, nan), (None, 5.0, nan), (None, nan, nan)],
+                               "g string, x double, y double")
+    got = {r["g"]: r["median"] for r in quantiles_wide(df, ["x"], [0.5], ["median"], ["g"]).collect()}
+    assert got == {"a": 2.0, None: 5.0}
+    assert quantiles_wide(df, ["y"], [0.5], ["median"]).count() == 0

@@ -58,3 +58,35 @@ def test_derived_tables_are_stored_once_per_session(spark, sf0001):
     assert "FileScan parquet" in plan and "ReadSchema: struct<CreditScore" in plan
     ckpt = ensure_checkpoint_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
     assert ckpt in c.inputFiles()[0]
+
+
+def _csv(text):
+    p = os.path.join(tempfile.mkdtemp(prefix="ll-src-"), "c.csv")
+    with open(p, "w") as fh:
+        fh.write(text)
+    return p
+
+
+def test_csv_numeric_columns_with_tokens_stay_numeric(spark):
+    p = _csv("RespondentID,Age,AnnualIncome_INR,CreditScore,Big,Word\n"
+             "R1,NA,1000.5,700,9000000000,x\nR2,30,NaN,nan,1,None\nR3,41,,650,2,7\n")
+    df = read_customers(spark, p)
+    assert dict(df.dtypes) == {"RespondentID": "string", "Age": "int", "AnnualIncome_INR": "double",
+                               "CreditScore": "int", "Big": "bigint", "Word": "string"}
+    rows = {r["RespondentID"]: r for r in df.collect()}
+    assert rows["R1"]["Age"] is None and rows["R2"]["AnnualIncome_INR"] is None
+    assert rows["R2"]["CreditScore"] is None and rows["R2"]["Word"] is None and rows["R3"]["Word"] == "7"
+
+
+def test_csv_with_schema_nulls_cells_that_do_not_parse(spark):
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("RespondentID", T.StringType()), T.StructField("Age", T.IntegerType())])
+    rows = read_customers(spark, _csv("RespondentID,Age\nR1,old\nR2,33\nR3,NA\n"), schema=schema).collect()
+    assert [r["Age"] for r in sorted(rows)] == [None, 33, None]
+
+
+def test_parquet_folder_without_suffix_and_nan(spark):
+    out = tempfile.mkdtemp(prefix="ll-out-") + "/scored"
+    write_table(spark.createDataFrame([("R1", float("nan")), ("R2", 2.0)], "RespondentID string, x double"), out)
+    rows = {r["RespondentID"]: r["x"] for r in read_customers(spark, out).collect()}
+    assert rows == {"R1": None, "R2": 2.0}

@@ -116,13 +116,12 @@ def test_rank_groups_names(spark):
     assert got == {1: "P", 2: "E", 0: "R"}
 
 
-def test_box_stats_hot_group_both_paths(spark, monkeypatch):
+def test_box_stats_hot_group(spark):
     """A group holding over a third of all rows, with one value repeated in
-    a third of that group, gives numpy's quartiles, whiskers and flier count
-    on both the distributed recipe and the checked-small path."""
+    a third of that group, gives numpy's quartiles, whiskers and flier
+    count."""
     import pytest
 
-    import loanlens.operators.quantiles as Q
     rng = np.random.default_rng(5)
     hot = [40.0] * 300 + list(np.round(rng.normal(50, 10, 600), 3)) + [500.0, -300.0]
     cold = {g: list(np.round(rng.normal(g * 10, 3, 120), 3)) for g in range(1, 11)}
@@ -130,16 +129,75 @@ def test_box_stats_hot_group_both_paths(spark, monkeypatch):
                                                for g, vs in cold.items() for v in vs]
     df = spark.createDataFrame(rows, "k string, x double").repartition(6)
     groups = {"hot": hot, **{f"g{g}": vs for g, vs in cold.items()}}
-    for bound in (0, Q.SMALL_GROUP_ROWS):
-        monkeypatch.setattr(Q, "SMALL_GROUP_ROWS", bound)
-        got = {r["group"]: r for r in distribution.box_stats(df, "k", "x").collect()}
-        assert set(got) == set(groups)
-        for g, vals in groups.items():
-            v = np.array(vals)
-            q1, med, q3 = np.percentile(v, [25, 50, 75])
-            lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-            b = got[g]
-            assert b["n"] == len(v)
-            assert (b["q1"], b["median"], b["q3"]) == pytest.approx((q1, med, q3), abs=1e-9)
-            assert b["whisker_lo"] == v[v >= lo].min() and b["whisker_hi"] == v[v <= hi].max()
-            assert b["n_fliers"] == int(((v < lo) | (v > hi)).sum())
+    got = {r["group"]: r for r in distribution.box_stats(df, "k", "x").collect()}
+    assert set(got) == set(groups)
+    for g, vals in groups.items():
+        v = np.array(vals)
+        q1, med, q3 = np.percentile(v, [25, 50, 75])
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        b = got[g]
+        assert b["n"] == len(v)
+        assert (b["q1"], b["median"], b["q3"]) == pytest.approx((q1, med, q3), abs=1e-9)
+        assert b["whisker_lo"] == v[v >= lo].min() and b["whisker_hi"] == v[v <= hi].max()
+        assert b["n_fliers"] == int(((v < lo) | (v > hi)).sum())
+
+
+NAN = float("nan")
+
+
+def nan_frame(spark):
+    return spark.createDataFrame(
+        [("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 4.0, 8.0), ("b", NAN, 1.0), ("b", 7.0, NAN), ("b", None, 3.0)],
+        "k string, x double, y double")
+
+
+def test_nan_counts_as_missing(spark):
+    """As in pandas: NaN is no value of a histogram, box, correlation, mean
+    or fit, is counted as null and is imputed."""
+    from loanlens.operators import clean, histogram
+    df = nan_frame(spark)
+    h = histogram.histogram(df, "x", 3).orderBy("bin").collect()
+    assert [r["count"] for r in h] == [2, 1, 1] and (h[0]["bin_lo"], h[-1]["bin_hi"]) == (1.0, 7.0)
+    by = histogram.histogram_by(df, "x", "k", 2).collect()
+    assert sum(r["count"] for r in by) == 4
+    assert {r["feature"]: r["n_null"] for r in stats.null_counts(df).collect()} == {"k": 0, "x": 2, "y": 1}
+    assert stats.quality_report(df, key="k").first()["null_cells"] == 3
+    g = {r["group"]: r for r in stats.grouped_stats(df, "k", "x").collect()}
+    assert (g["b"]["mean"], g["b"]["max"], g["b"]["median"]) == (7.0, 7.0, 7.0)
+    assert {r["group"]: r["n"] for r in distribution.box_stats(df, "k", "x").collect()} == {"a": 3, "b": 1}
+    m = {(r["a"], r["b"]): r["r"] for r in corr.corr_matrix(df, ["x", "y"]).collect()}
+    assert math.isclose(m[("x", "y")], 1.0)
+    fit = distribution.fit_line(df, "x", "y").first()
+    assert fit["n"] == 3 and math.isclose(fit["slope"], 2.0)
+    assert {r["feature"]: (r["n"], r["mean"]) for r in stats.summary_stats(df, ["x", "y"]).collect()} == {
+        "x": (4, 3.5), "y": (5, 3.6)}
+    filled = clean.impute_median(df, ["x", "y"]).orderBy("k", "y").collect()
+    assert all(r["x"] is not None and not math.isnan(r["x"]) and not math.isnan(r["y"]) for r in filled)
+    capped, report = clean.cap_outliers(df, ["x"], 3.0)
+    assert capped.where("x is null").count() == 2 and report.first()["n_capped"] == 0
+
+
+def test_slope_p_value_is_students_t(spark):
+    """Against the t density integrated by Simpson's rule."""
+    from loanlens.operators.distribution import slope_p
+
+    def tail(t, df, n=20_000):
+        c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+        h = t / n
+        total = sum((1 if k in (0, n) else 4 if k % 2 else 2) * (1 + (k * h) ** 2 / df) ** (-(df + 1) / 2)
+                    for k in range(n + 1))
+        return 1 - 2 * total * h / 3 * c
+    for r, n in ((0.5, 10), (0.1, 30), (-0.3, 100), (0.9, 6), (0.02, 1000), (0.0, 12)):
+        t = abs(r) * math.sqrt((n - 2) / (1 - r * r))
+        assert math.isclose(slope_p(r, n), tail(t, n - 2), abs_tol=1e-9)
+    assert slope_p(None, 50) is None and slope_p(0.4, 2) is None
+    assert slope_p(1.0, 9) == 0.0
+    row = corr.linregress_p(nan_frame(spark), "x", "y", min_rows=3).first()
+    assert row["n"] == 3 and row["p_value"] < 1e-6
+
+
+def test_qq_points_read_the_count_once(spark):
+    df = spark.createDataFrame([(float(k),) for k in range(50)], "x double")
+    plan = distribution.qq_points(df, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" not in plan
+    assert distribution.qq_points(spark.createDataFrame([], "x double"), "x").count() == 0
