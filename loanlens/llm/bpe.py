@@ -36,9 +36,12 @@ from pyspark.sql import functions as F
 from loanlens.llm.common import batches, text_bytes
 
 MAX_TRANSITIONS = 400_000
-MAX_CHUNKS = 200_000
+MAX_CHUNKS = 300_000
 CHUNK_CHARS = 48
-#: Bytes of the window after which tokens are emitted.
+#: Bytes of a piece's beginning after which state and registers are kept.
+HEAD_BYTES = 6
+MAX_HEADS = 150_000
+#: Bytes that are read before tokens are emitted.
 WINDOW = 256
 _NEVER = 1 << 60
 
@@ -80,6 +83,8 @@ class Transducer:
         self.states: list[tuple[int, ...]] = [()]
         self.number: dict[tuple[int, ...], int] = {(): 0}
         self.next: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
+        #: State and registers after the first bytes of a piece.
+        self.heads: dict[bytes, tuple[int, tuple[int, ...]]] = {}
 
     def merge(self, data: bytes, stop: int = 1) -> list[bytes]:
         """Tokens of a short byte string by merging the lowest-ranked
@@ -163,26 +168,38 @@ class Transducer:
             self._reset()
         if len(self.pair) > 2 * self.max_transitions:
             self.pair.clear()
-        known, stable = self.next.get, self.pair.get
-        state, out, last, at = 0, [], [-1], 0
-        for byte in data:
+        head = data[:HEAD_BYTES]
+        kept = self.heads.get(head)
+        if kept is None:
+            last = [-1]
+            state = self._read(0, head, last)
+            if len(self.heads) >= MAX_HEADS:
+                self.heads.clear()
+            self.heads[head] = state, tuple(last)
+        else:
+            state, last = kept[0], list(kept[1])
+        out: list[int] = []
+        for k in range(HEAD_BYTES, len(data), WINDOW):
+            state = self._read(state, data[k:k + WINDOW], last)
+            if k + WINDOW < len(data):
+                last = self._shift(state, last, out)
+        out.extend(self._back(last, len(last) - 1))
+        return out
+
+    def _read(self, state: int, data: bytes, last: list[int]) -> int:
+        """Read bytes into the window; the state after them."""
+        known, stable, put, at = self.next.get, self.pair.get, last.append, len(last)
+        for at, byte in enumerate(data, at):
             state, ends = known(state << 8 | byte) or self._step(state, byte)
-            at += 1
             for token, length in ends:
                 before = last[at - length]
                 fits = stable(before << 17 | token)
-                if fits is None:
-                    fits = self.stable(before, token)
-                if fits:
-                    last.append(token)
+                if fits or (fits is None and self.stable(before, token)):
+                    put(token)
                     break
             else:
                 raise ValueError("the vocabulary has no stable token for these bytes")
-            if at >= WINDOW:
-                last = self._shift(state, last, out)
-                at = len(last) - 1
-        out.extend(self._back(last, at))
-        return out
+        return state
 
     def _back(self, last: list[int], at: int) -> list[int]:
         """The tokens of the window up to byte ``at``, by its registers."""
@@ -228,6 +245,8 @@ class Encoder:
         """Token ids of a chunk, and the same in decimal. A piece that is a
         space and a word is looked up like a chunk; other pieces have a store
         of their own."""
+        if chunk[0] == " " and chunk.isascii() and chunk[1:].isalpha():
+            return self._ids(chunk)  # a piece for certain
         parts = []
         for piece in self.pieces(chunk):
             if piece[0] == " " and len(piece) > 1:
