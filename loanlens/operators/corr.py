@@ -1,46 +1,95 @@
 """Pearson correlation.
 
-All pairs come from ONE scan and one small aggregate (no self-join of
-rows): for each column pair (a, b) it keeps covar_pop(a, b),
-stddev_pop(a | b present) and stddev_pop(b | a present), numerically stable
-streaming moments over the pairwise-complete rows. r = try_divide(cov, sa*sb)
-is null for a constant side (Spark's ``corr`` raises under ANSI there)."""
+All pairs come from one scan of the rows as they are: each task adds up, for
+every pair of columns over its pairwise-complete rows, the counts, sums and
+products of its Arrow batches (matrix products, centred by the columns' means so
+that the sums stay small) and returns one row per pair; one small ``groupBy``
+adds the tasks' rows. No row is paired with or copied for anything.
+r = try_divide(cov, sa*sb) is null for a constant side (Spark's ``corr`` raises
+under ANSI there)."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import columns as C
 
+# Task functions are serialised by value: executors need only pandas/numpy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class PairSums:
+    """Running sums of a task over pairs (a, b) of column positions."""
+
+    def __init__(self, means: np.ndarray, a: np.ndarray, b: np.ndarray):
+        self.means, self.a, self.b = means, a, b
+        k = len(means)
+        self.n, self.sx, self.sxx, self.sxy = (np.zeros((k, k)) for _ in range(4))
+        self.low, self.high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
+
+    def add(self, values: np.ndarray) -> None:
+        """``values``: rows x columns, NaN where missing. Entry (i, j) of the
+        sums is over column i, in rows that have columns i and j."""
+        there = ~np.isnan(values)
+        x = np.where(there, values - self.means, 0.0)
+        m = there.astype(float)
+        self.n += m.T @ m
+        self.sx += x.T @ m
+        self.sxx += (x * x).T @ m
+        self.sxy += x.T @ x
+        for j in range(values.shape[1]):
+            rows = there[:, j]
+            if rows.any():
+                both = there[rows]
+                self.low[:, j] = np.minimum(self.low[:, j], np.where(both, values[rows], np.inf).min(axis=0))
+                self.high[:, j] = np.maximum(self.high[:, j], np.where(both, values[rows], -np.inf).max(axis=0))
+
+    def frame(self) -> pd.DataFrame:
+        a, b = self.a, self.b
+        return pd.DataFrame({
+            "pair": np.arange(len(a)), "n": self.n[a, b], "sx": self.sx[a, b], "sy": self.sx[b, a],
+            "sxx": self.sxx[a, b], "syy": self.sxx[b, a], "sxy": self.sxy[a, b],
+            "xl": self.low[a, b], "xh": self.high[a, b], "yl": self.low[b, a], "yh": self.high[b, a]})
 
 
 def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(pair, n, cov, sa, sb)`` for each column pair over its complete rows.
-
-    Each row packs its values into one array and emits one (pair, x, y) tuple
-    per pair, reading x and y by index (k columns give at most k(k+1)/2 tuples
-    per row, independent of the row count; the generated code stays small).
-    One ``groupBy(pair)`` computes the moments; partial aggregation leaves one
-    row per pair per map task, so the shuffle is tiny and skew-free."""
+    """``(pair, n, cov, sa, sb, vx, vy)`` for each column pair over its
+    complete rows: population covariance and standard deviations, and whether
+    each side varies (by its exact least and largest value)."""
     cols = list(dict.fromkeys([c for ab in pairs for c in ab]))
-    pos = {c: k + 1 for k, c in enumerate(cols)}
-    values = F.array(*[C.no_nan(c) for c in cols])
-    first = F.array(*[F.lit(pos[a]) for a, _ in pairs])
-    second = F.array(*[F.lit(pos[b]) for _, b in pairs])
-    rows = df.select(values.alias("v"),
-                     F.explode(F.sequence(F.lit(1), F.lit(len(pairs)))).alias("p"))
-    x = F.element_at("v", F.element_at(first, F.col("p")))
-    y = F.element_at("v", F.element_at(second, F.col("p")))
-    both = x.isNotNull() & y.isNotNull()
-    long = rows.select((F.col("p") - 1).alias("pair"), F.when(both, x).alias("x"),
-                       F.when(both, y).alias("y"))
-    return long.groupBy("pair").agg(
-        F.count("x").alias("n"), F.covar_pop("x", "y").alias("cov"),
-        F.stddev_pop("x").alias("sa"), F.stddev_pop("y").alias("sb"),
-        (F.min("x") < F.max("x")).alias("vx"), (F.min("y") < F.max("y")).alias("vy"))
+    values = df.select(*[C.no_nan(c).alias(c) for c in cols])
+    middle = values.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    means = np.array([middle[c] if middle[c] is not None else 0.0 for c in cols])
+    a = np.array([cols.index(x) for x, _ in pairs])
+    b = np.array([cols.index(y) for _, y in pairs])
+
+    def run(batches):
+        sums = PairSums(means, a, b)
+        for pdf in batches:
+            if len(pdf):
+                sums.add(pdf.to_numpy(dtype=float))
+        yield sums.frame()
+
+    fields = ["n", "sx", "sy", "sxx", "syy", "sxy", "xl", "xh", "yl", "yh"]
+    tasks = values.mapInPandas(run, "pair int, " + ", ".join(f"{f} double" for f in fields))
+    least, most = {"xl", "yl"}, {"xh", "yh"}
+    total = tasks.groupBy("pair").agg(*[
+        (F.min if f in least else F.max if f in most else F.sum)(f).alias(f) for f in fields])
+    n = F.col("n")
+    spread = lambda ss, s: F.sqrt(F.greatest(
+        F.try_divide(F.col(ss), n) - F.pow(F.try_divide(F.col(s), n), F.lit(2)), C.dlit(0)))
+    return total.select(
+        "pair", n.cast("long").alias("n"),
+        (F.try_divide(F.col("sxy"), n) - F.try_divide(F.col("sx"), n) * F.try_divide(F.col("sy"), n)).alias("cov"),
+        spread("sxx", "sx").alias("sa"), spread("syy", "sy").alias("sb"),
+        (F.col("xl") < F.col("xh")).alias("vx"), (F.col("yl") < F.col("yh")).alias("vy"))
 
 
 def _r() -> F.Column:
