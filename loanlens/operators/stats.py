@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loanlens import constants as K
 from loanlens.functions import columns as C
-from loanlens.operators.clean import nan_to_null
+from loanlens.operators.clean import nan_to_null, outlier_fences
 from loanlens.operators.quantiles import NAME, quantiles_wide
 
 
@@ -28,14 +28,21 @@ def kpis(df: DataFrame, target: str = "LoanApproved", score: str = "CreditScore"
 
 
 def quality_report(df: DataFrame, key: str = "RespondentID",
-                   engineered: Sequence[str] = (), encoded_suffix: str = "_Enc") -> DataFrame:
-    """A2: total null cells, duplicate ids, engineered and encoded column counts
-    (computed, not hard-coded). One aggregate over the table."""
+                   engineered: Sequence[str] = (), encoded_suffix: str = "_Enc",
+                   capped: Sequence[str] = (), k: float = 3.0) -> DataFrame:
+    """A2: total null cells, duplicate ids, cells of the ``capped`` columns
+    beyond their k x IQR fences, engineered and encoded column counts
+    (computed, not hard-coded). One aggregate over the table, after the fences
+    (two values per column)."""
     df = nan_to_null(df)
+    fences = {r[NAME]: r for r in outlier_fences(df, capped, k).collect()} if capped else {}
+    beyond = sum((F.coalesce((F.col(c) < C.dlit(f["lower"])) | (F.col(c) > C.dlit(f["upper"])), F.lit(False))
+                  .cast("long") for c, f in fences.items()), F.lit(0).cast("long"))
     nulls = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(nulls).alias("null_cells"),
+        F.sum(beyond).alias("capped_cells"),
         (F.count(F.lit(1)) - F.count_distinct(F.col(key))).alias("duplicate_ids"),
     ).select("*",
              F.lit(len([c for c in engineered if c in df.columns])).cast("long")

@@ -61,13 +61,24 @@ def kpis(spark, d):
 _null_sum = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in K.CUSTOMER_COLUMNS)
 
 
+_CAP = ["AnnualIncome_INR", "SavingsBalance_INR", "ExistingDebt_INR", "UPI_TxnMonthly",
+        "EmergencyFundMonths"]
+_beyond = " + ".join(f"CASE WHEN {c} < lo_{c} OR {c} > hi_{c} THEN 1 ELSE 0 END" for c in _CAP)
+_fences = ", ".join(
+    f"quantile_cont(CAST({c} AS DOUBLE), 0.25) - {D(3)} * (quantile_cont(CAST({c} AS DOUBLE), 0.75) "
+    f"- quantile_cont(CAST({c} AS DOUBLE), 0.25)) AS lo_{c}, quantile_cont(CAST({c} AS DOUBLE), 0.75) "
+    f"+ {D(3)} * (quantile_cont(CAST({c} AS DOUBLE), 0.75) - quantile_cont(CAST({c} AS DOUBLE), 0.25)) AS hi_{c}"
+    for c in _CAP)
+
+
 @register("quality_report", with_customers(
     f"SELECT count(*) AS n_rows, CAST(sum({_null_sum}) AS BIGINT) AS null_cells, "
+    f"CAST(sum({_beyond}) AS BIGINT) AS capped_cells, "
     "count(*) - count(DISTINCT RespondentID) AS duplicate_ids, "
     f"CAST({len(K.ENGINEERED)} AS BIGINT) AS engineered_columns, "
-    "CAST(0 AS BIGINT) AS encoded_columns FROM customers"))
+    f"CAST(0 AS BIGINT) AS encoded_columns FROM customers, (SELECT {_fences} FROM customers) AS __f"))
 def quality_report(spark, d):
-    return stats.quality_report(customers(spark, d), engineered=K.ENGINEERED)
+    return stats.quality_report(customers(spark, d), engineered=K.ENGINEERED, capped=_CAP)
 
 
 @register("null_counts", with_customers(" UNION ALL ".join(
@@ -306,10 +317,6 @@ def label_codes(spark, d):
     return out.select("RespondentID", *[f"{c}_Enc" for c in _ENC])
 
 
-_CAP = ["AnnualIncome_INR", "SavingsBalance_INR", "ExistingDebt_INR", "UPI_TxnMonthly",
-        "EmergencyFundMonths"]
-
-
 @register("outlier_report", with_customers(" UNION ALL ".join(
     f"SELECT '{c}' AS feature, count(*) FILTER (WHERE {c} < lower OR {c} > upper) AS n_capped, "
     "q1, q3, lower, upper FROM customers, (SELECT q1, q3, "
