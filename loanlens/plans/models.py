@@ -199,8 +199,11 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
                 stepSize=0.1, seed=SEED).fit(train_c),
         }
 
-        Xr = assemble(data, reg_f, scalers["reg"], keep).persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(Xr)
+        if reg_f == clf_f:  # the same vectors: cached once
+            Xr = Xc
+        else:
+            Xr = assemble(data, reg_f, scalers["reg"], keep).persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(Xr)
         train_r, test_r = Xr.where("is_test = 0"), Xr.where("is_test = 1")
         sy = train_r.agg(F.stddev_pop("score")).first()[0] or 1.0
         n_r = train_r.count()
