@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from loanlens.llm.common import batches, text_bytes
 
 MAX_TRANSITIONS = 400_000
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 150_000
 CHUNK_CHARS = 48
 #: Bytes of a piece's beginning after which state and registers are kept.
 HEAD_BYTES = 6
-MAX_HEADS = 150_000
+MAX_HEADS = 80_000
 #: Bytes that are read before tokens are emitted.
 WINDOW = 256
 _NEVER = 1 << 60
@@ -256,7 +256,7 @@ class Encoder:
                 if hit is None:
                     hit = self._ids(piece)
                     if len(piece) <= CHUNK_CHARS:
-                        if len(self.marks) >= self.max_chunks:
+                        if len(self.marks) >= self.max_chunks // 4:
                             self.marks.clear()
                         self.marks[piece] = hit
             parts.append(hit)
@@ -264,6 +264,11 @@ class Encoder:
             return parts[0]
         return tuple(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
 
+    def rest(self) -> None:
+        """Drop what was kept; an idle worker holds the vocabulary only."""
+        for store in (self.young, self.old, self.marks, self.transducer.heads, self.transducer.pair):
+            store.clear()
+
     def _ids(self, piece: str) -> tuple[tuple[int, ...], str]:
         ids = self.transducer.run(piece.encode("utf-8"))
         return tuple(ids), ",".join(map(str, ids))
@@ -454,6 +459,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                     ids = [encoder.encode(utf8_text(t)) for t in part.column(1).to_pylist()]
                     yield [part.column(0), ids, list(map(decoder.decode, ids))]
         yield from batches(schema, rows())
+        encoder.rest()
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))
             .mapInArrow(run, "doc_id long, ids array<int>, decoded string"))
@@ -484,6 +490,7 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                     text_shas.append(sha(decoder.decode(ids).encode()))
                 yield [b.column(0), counts, id_shas, text_shas]
         yield from batches(schema, rows())
+        encoder.rest()
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))
             .mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -28,7 +28,7 @@ from loanlens.llm.common import WORD_TABLE, batches, text_bytes, words
 from loanlens.llm.fmindex import FMIndex
 
 WINDOW = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 BLOCK_BYTES = 8 << 20
 LOCATE_SLOTS = 1 << 20
 
@@ -247,8 +247,8 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b.value for b in blocks]
         for whole in it:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
                 texts = b.column(at).cast(pa.binary()).to_pylist()
                 cut = {n: cut_words(texts[n], s) for n, (_, s, _) in
                        enumerate(search_documents(texts, found, window, shard_words)) if s}
