@@ -2,6 +2,10 @@
 zstandard raw-content dictionary per language, and the language whose
 dictionary gives the smallest frame is chosen. A narrow margin rejects.
 
+A long text is encoded in chunks of ``CHUNK_BYTES``, each a frame of its own
+with a fresh dictionary, and the languages' sums over the whole text are
+compared: so the margin grows with the text, as the margin needed does.
+
 The dictionaries are the only thing learned. Each holds slices of
 ``SLICE_CHARS`` characters from a sample of labelled texts, ``DICT_BYTES`` in
 all; the sample is a documented bound (``SAMPLE_DOCS`` expected texts a
@@ -25,9 +29,10 @@ DICT_BYTES = 65_536
 SLICE_CHARS = 256
 SAMPLE_DOCS = 640
 LEVEL = 6
-#: A text whose best frame has ``JUDGED_BYTES`` or more is rejected if the next
-#: frame is larger by less than ``MARGIN`` of it. Smaller frames (short or
-#: repetitive texts) carry too few bytes to judge the margin and pass.
+CHUNK_BYTES = 16_384
+#: A text whose best frames have ``JUDGED_BYTES`` or more a chunk is rejected if
+#: the next language's are larger by less than ``MARGIN`` of them. Smaller frames
+#: (short or repetitive texts) carry too few bytes to judge the margin and pass.
 MARGIN = 0.004
 JUDGED_BYTES = 100
 UNKNOWN = "und"
@@ -99,13 +104,14 @@ class Languages:
         if not text or not self.compressors or not has_letter(text):
             return UNKNOWN, 0.0, True
         data = letters(text) or text.lower().encode("utf-8", "replace")
-        sizes = [len(c.compress(data)) for _, c in self.compressors]
+        chunks = [data[k:k + CHUNK_BYTES] for k in range(0, len(data), CHUNK_BYTES)]
+        sizes = [sum(len(c.compress(x)) for x in chunks) for _, c in self.compressors]
         least = min(sizes)
         best = sizes.index(least)
         others = sizes[:best] + sizes[best + 1:]
         margin = min(others) - least if others else least
         score = 1.0 / sum(2.0 ** -min(60, s - least) for s in sizes)
-        rejected = least >= JUDGED_BYTES and margin < MARGIN * least
+        rejected = least >= JUDGED_BYTES * len(chunks) and margin < MARGIN * least
         return self.compressors[best][0], score, rejected
 
 

@@ -64,3 +64,26 @@ def test_the_best_dictionary_wins(slices):
     languages = langid.Languages(slices)
     for lang, parts in slices.items():
         assert languages.classify(" ".join(parts[:5]))[0] == lang
+
+
+def test_long_clean_texts_stay(spark, slices):
+    """5 MB in each language: runs of five words of held-out texts."""
+    languages, rng = langid.Languages(slices), random.Random(5)
+    docs = read_table(spark, SF, "documents").where(langid.held_out()).select("lang", "text").collect()
+    for lang in slices:
+        words = " ".join(r.text for r in docs if r.lang == lang and r.text).split()
+        runs, size = [], 0
+        while size < 5_000_000:
+            k = rng.randrange(len(words))
+            runs.append(" ".join(words[k:k + 5]))
+            size += len(runs[-1]) + 1
+        pred, _, rejected = languages.classify(" ".join(runs))
+        assert (pred, rejected) == (lang, False)
+
+
+def test_long_texts_near_to_no_language_are_rejected():
+    one = {"aa": ["lorem ipsum dolor sit amet " * 8], "bb": ["lorem ipsum dolor sit amet " * 8]}
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("aeioulrstnd") for _ in range(6)) for _ in range(100_000))
+    assert langid.Languages(one).classify(text) == ("aa", 0.5, True)
+    assert langid.Languages(one).classify("sed " * 500_000) == ("aa", 0.5, False)
