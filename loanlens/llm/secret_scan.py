@@ -4,7 +4,9 @@ The second part lexes source and configuration text into names, literals and
 operators, parses name-literal pairs (``name = "x"``, ``name: x``, ``"name":
 "x"``, ``name := "a" + "b"``, ``export NAME=x``, ``name => 'x'``), follows
 constants (``a = "x"`` then ``password = a``) and scores each literal by the
-words of the names it ends up in and by its own form.
+words of the names it ends up in and by its own form. Comments are lexed as the
+rest: their marker only ends a statement, and the ``//`` of a URL is none. An
+apostrophe within a word begins no literal.
 """
 
 from __future__ import annotations
@@ -43,13 +45,12 @@ _NAME_HINTS = (b"pass", b"pwd", b"secret", b"credential", b"token", b"private",
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "redacted", "xxxx", "****")
 
 LEXEME = re.compile(r"""
-    (?P<comment>\#[^\n]*|//[^\n]*)
-  | (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    (?P<end>\#|(?<!:)//|\n|;|,|\{|\}|\(|\)|\[|\])
+  | (?P<string>"(?:[^"\\\n]|\\.)*"|(?<![A-Za-z0-9_\u00c0-\u024f])'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
   | (?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z0-9_]+)*)
-  | (?P<bare>[A-Za-z0-9/][A-Za-z0-9+/_.-]*=*)
+  | (?P<bare>(?!//)[A-Za-z0-9/][A-Za-z0-9+/_.-]*=*)
   | (?P<assign>:=|=>|=(?!=)|:(?!:))
   | (?P<plus>\+)
-  | (?P<end>\n|;|,|\{|\}|\(|\)|\[|\])
   | (?P<other>==|::|[^\sA-Za-z0-9_])
 """, re.VERBOSE | re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -114,7 +115,7 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[bool, int, int]]]]:
         if kind == "end":
             yield from parse()
             pending.clear()
-        elif kind != "comment":
+        else:
             pending.append((kind, m.group(), m.start(), m.end()))
             if len(pending) > 4096:  # prose without an end: a statement is short
                 yield from parse()

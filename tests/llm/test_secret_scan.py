@@ -40,6 +40,19 @@ def test_literals_of_sensitive_names(text, secret):
     assert secret in [text[a:b] for a, b in S.assigned_literals(text)]
 
 
+@pytest.mark.parametrize("text", [
+    'see https://host/x then signing_key = "Zx81kkPQ77yTnn"',
+    'issue #12: signing_key = "Zx81kkPQ77yTnn"',
+    '# signing_key = "Zx81kkPQ77yTnn"',
+    '    // const signingKey = "Zx81kkPQ77yTnn";',
+    "run(); // don't use signing_key = 'Zx81kkPQ77yTnn'",
+    "# it's old\ny = 1 # signing_key: Zx81kkPQ77yTnn",
+    'see https://host/a#b and http://host/c//d, signing_key = "Zx81kkPQ77yTnn"',
+])
+def test_comments_and_urls_before_an_assignment(text):
+    assert [text[a:b] for a, b in S.assigned_literals(text)] == ["Zx81kkPQ77yTnn"]
+
+
 def test_parts_of_a_sum_and_later_names():
     text = 'base = "s3cr3t" + "Value99"\nother = base\ndb_password = other'
     assert [text[a:b] for a, b in S.assigned_literals(text)] == ["s3cr3t", "Value99"]
