@@ -7,6 +7,11 @@ constants (``a = "x"`` then ``password = a``) and scores each literal by the
 words of the names it ends up in and by its own form. Comments are lexed as the
 rest: their marker only ends a statement, and the ``//`` of a URL is none. An
 apostrophe within a word begins no literal.
+
+An unquoted value is one run of ``[A-Za-z0-9+/_.=-]``. A type between ``:`` and
+``=`` (``key: str = "x"``) is stepped over, a subscript's string key
+(``env["KEY"] = "x"``) is the target's name, and a PEM block of a private key
+is a secret whatever name it has.
 """
 
 from __future__ import annotations
@@ -45,14 +50,29 @@ _NAME_HINTS = (b"pass", b"pwd", b"secret", b"credential", b"token", b"private",
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "redacted", "xxxx", "****")
 
 LEXEME = re.compile(r"""
-    (?P<end>\#|(?<!:)//|\n|;|,|\{|\}|\(|\)|\[|\])
-  | (?P<string>"(?:[^"\\\n]|\\.)*"|(?<![A-Za-z0-9_\u00c0-\u024f])'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
+    (?P<pem>-----BEGIN\ (?:[A-Z0-9]+\ )*PRIVATE\ KEY(?:\ BLOCK)?-----
+        (?:(?:(?!-----(?:BEGIN|END)\ )(?s:.))*-----END\ (?:[A-Z0-9]+\ )*PRIVATE\ KEY(?:\ BLOCK)?-----
+          |(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})+))
+  | (?P<subscript>\[[ \t]*(?:"[^"\\\n]*"|'[^'\\\n]*')[ \t]*\](?=[ \t]*(?::=|=(?![=>]))))
+  | (?P<prefix>\b[bBrRuUfF]{1,2}(?=["']))
+  | (?P<end>\#|(?<!:)//|\n|;|,|\{|\}|\(|\)|\[|\])
+  | (?P<string>"(?:[^"\\\n]|\\.)*"|(?:(?<![A-Za-z0-9_\u00c0-\u024f])|(?<=\b[bBrRuUfF])|(?<=\b[bBrRuUfF]{2}))
+        '(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
   | (?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z0-9_]+)*)
   | (?P<bare>(?!//)[A-Za-z0-9/][A-Za-z0-9+/_.-]*=*)
   | (?P<assign>:=|=>|=(?!=)|:(?!:))
   | (?P<plus>\+)
   | (?P<other>==|::|[^\sA-Za-z0-9_])
 """, re.VERBOSE | re.ASCII)
+#: What may follow an assignment: an unquoted value, or a type and ``=``.
+VALUE = re.compile(r"[ \t]*(?!//)([A-Za-z0-9+/_.-][A-Za-z0-9+/_.=-]*)", re.ASCII)
+_VALUE_HERE = re.compile(r"([A-Za-z0-9+/_.=-]+)", re.ASCII)
+TYPE = re.compile(r"""[ \t]*(?:[&*][ \t]*)?(?:'[A-Za-z_]+[ \t]+)?([A-Za-z_][A-Za-z0-9_.]*)
+    (?:\[[^\[\]=\n"']*(?:\[[^\[\]=\n"']*\][^\[\]=\n"']*)*\]|<[^<>=\n"']*>)*[?!]?
+    (?:[ \t]*\|[ \t]*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^\[\]=\n"']*\])*)*[ \t]*(?==(?![=>]))""",
+                  re.VERBOSE | re.ASCII)
+_NAME_ONLY = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z0-9_]+)*", re.ASCII)
+_PEM_BODY = re.compile(r"PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END |\Z)", re.DOTALL)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -62,8 +82,23 @@ def sensitivity(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(w, 0.0) for w in set(parts)))
 
 
+def is_private_key(value: str) -> bool:
+    """Whether there is a PEM block of a private key in it, with a body that is
+    no placeholder."""
+    at = value.find("-----BEGIN ")
+    m = LEXEME.search(value, at) if at >= 0 and "PRIVATE KEY" in value else None
+    if not m or m.lastgroup != "pem":
+        return False
+    body = _PEM_BODY.search(m.group())[1].replace("\\n", "\n").replace("\\r", "\r")
+    return (re.search(r"[A-Za-z0-9+/=]{8}", body) is not None
+            and not (len(body) < 64 and any(p in body.lower() for p in PLACEHOLDERS)))
+
+
 def literal_score(value: str) -> float:
-    """0 to 1 by the form of a literal: length, no white space, variety."""
+    """0 to 1 by the form of a literal: length, no white space, variety. A PEM
+    block of a private key has 1."""
+    if is_private_key(value):
+        return 1.0
     if len(value) < MIN_LITERAL or re.search(r"\s|\$\{|\{\{|%\(|://", value):
         return 0.0
     low = value.lower()
@@ -75,9 +110,58 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4.0) * (1.0 if kinds > 1 else 0.6)
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[bool, int, int]]]]:
-    """(name, parts) of each assignment: a part is whether it is a name, and
-    the span of the name or of the literal."""
+def lexemes(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(kind, text, start, end) of each lexeme. An unquoted value after an
+    assignment is one lexeme: a ``name``, ``bare`` (begins with a digit or a
+    slash) or a ``run`` of names and other characters."""
+    def value_kind(run: str) -> str:
+        return "name" if _NAME_ONLY.fullmatch(run) else "bare" if run[0] in "0123456789/" else "run"
+
+    at = 0
+    while m := LEXEME.search(text, at):
+        kind, value, start, at = m.lastgroup, m.group(), m.start(), m.end()
+        if kind == "prefix":
+            continue
+        if kind == "subscript":
+            yield "name", value[1:-1].strip()[1:-1], start, at
+            continue
+        yield kind, value, start, at
+        if kind != "assign":
+            continue
+        if value == ":" and (m := TYPE.match(text, at)):
+            yield "name", m[1], m.start(1), m.end(1)
+            at = m.end()
+            continue
+        # '//' after '=' begins a value, after ':' the rest of a URL.
+        m = (_VALUE_HERE if value != ":" and text.startswith("//", at) else VALUE).match(text, at)
+        if m is None or text.startswith("-----BEGIN ", m.start(1)):
+            continue
+        start, end = m.span(1)
+        quoted = text[end:end + 1] in ('"', "'", "`")
+        if quoted and end - start <= 2 and LEXEME.match(text, start).lastgroup == "prefix":
+            continue
+        if quoted or text[end:end + 1] == ">":  # a=b="x", a = b+"x", a = b->x
+            while end > start and text[end - 1] in "=+-":
+                end -= 1
+        elif text[end - 1] == "+" and re.match(r"[ \t]+[\"'`A-Za-z_]", text[end:end + 8]):  # a = b+ c
+            end -= 1
+        while end > start and text[end - 1] == ".":
+            end -= 1
+        if end == start:
+            continue
+        run, at = text[start:end], end
+        yield value_kind(run), run, start, end
+        head, _, rest = run.partition("=")
+        if rest.strip("=") and _NAME_ONLY.fullmatch(head):  # env=KEY=x is KEY=x too
+            yield "end", "", end, end
+            yield "name", head, start, start + len(head)
+            yield "assign", "=", start + len(head), start + len(head) + 1
+            yield value_kind(rest), rest, start + len(head) + 1, end
+
+
+def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """(name, parts) of each assignment: a part is its kind (``name``, ``run``
+    or ``literal``), and the span of the name or of the literal."""
     # Lexemes since the last statement end: (kind, text, start, end).
     pending: list[tuple[str, str, int, int]] = []
 
@@ -88,18 +172,22 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[bool, int, int]]]]:
             if kind not in ("name", "string") or pending[k + 1][0] != "assign":
                 k += 1
                 continue
-            name = value if kind == "name" else value[1:-1]
+            names = [value if kind == "name" else value[1:-1]]
+            if (kind == "name" and pending[k + 1][1] == ":" and k + 4 < len(pending)
+                    and pending[k + 2][0] == "name" and pending[k + 3][:2] == ("assign", "=")):
+                k += 2  # name: type = value, or a label before name = value
+                names.append(pending[k][1])
             k += 2
             parts: list = []
             while k < len(pending):
                 kind, value, start, end = pending[k]
                 follows = pending[k + 1][0] if k + 1 < len(pending) else ""
                 if kind == "string":
-                    parts.append((False, start + 1, end - 1))
-                elif kind == "bare":
-                    parts.append((False, start, end))
-                elif kind == "name" and follows != "assign":
-                    parts.append((True, start, end))
+                    parts.append(("literal", start + 1, end - 1))
+                elif kind in ("bare", "pem"):
+                    parts.append(("literal", start, end))
+                elif kind == "run" or kind == "name" and follows != "assign":
+                    parts.append((kind, start, end))
                 else:
                     break
                 k += 1
@@ -108,18 +196,20 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[bool, int, int]]]]:
                     continue
                 break
             if parts:
-                yield name, parts
+                for name in names:
+                    yield name, parts
 
-    for m in LEXEME.finditer(text):
-        kind = m.lastgroup
+    for kind, value, start, end in lexemes(text):
         if kind == "end":
             yield from parse()
             pending.clear()
         else:
-            pending.append((kind, m.group(), m.start(), m.end()))
+            if kind == "pem":  # wherever it stands
+                yield "", [("literal", start, end)]
+            pending.append((kind, value, start, end))
             if len(pending) > 4096:  # prose without an end: a statement is short
                 yield from parse()
-                del pending[:-3]
+                del pending[:-8]
     yield from parse()
 
 
@@ -127,24 +217,31 @@ def assigned_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int
     """Spans of literals that end up in a sensitive name: straight, or through
     constants. A constant stands for the literals last assigned to it; a name
     that is no constant is a bare literal if it has a digit, as in
-    configuration files, and else nothing."""
+    configuration files, and else nothing. So is a run, unless a name in it is a
+    constant: then it is a sum."""
     constants: dict[str, tuple[tuple[int, int], ...]] = {}
     found: set[tuple[int, int]] = set()
     for name, parts in assignments(text):
         spans: list[tuple[int, int]] = []
-        for is_name, a, b in parts:
-            if not is_name:
-                spans.append((a, b))
-            elif text[a:b] in constants:
-                spans.extend(constants[text[a:b]])
-            elif any(map(str.isdigit, text[a:b])):
+        for kind, a, b in parts:
+            if kind == "literal":
                 spans.append((a, b))
+                continue
+            pieces = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^+]+", text[a:b])]
+            if not any(text[c:d] in constants for c, d in pieces):
+                pieces = [(a, b)]
+            for c, d in pieces:
+                if text[c:d] in constants:
+                    spans.extend(constants[text[c:d]])
+                elif any(map(str.isdigit, text[c:d])):
+                    spans.append((c, d))
         constants[name] = tuple(spans[:64])
         weight = sensitivity(name)
         if weight and spans:
             value = "".join(text[a:b] for a, b in spans)
             if weight * literal_score(value) >= threshold:
                 found.update(spans)
+        found.update((a, b) for a, b in spans if is_private_key(text[a:b]))
     return sorted(found)
 
 
@@ -156,7 +253,8 @@ def scan(data: bytes | None) -> tuple[list[tuple[int, int, str]], list[tuple[int
     has_assign = any(h in lowered for h in _ASSIGN_HINTS)
     has_hex = _HEX_RUN in data.translate(_HEX_BYTES)
     has_access = b"AKIA" in data
-    has_name = (b"=" in data or b":" in data) and any(h in lowered for h in _NAME_HINTS)
+    has_name = b"PRIVATE KEY" in data or (
+        (b"=" in data or b":" in data) and any(h in lowered for h in _NAME_HINTS))
     if not (has_assign or has_hex or has_access or has_name):
         return [], []
     text = data.decode("utf-8", "replace")
