@@ -164,15 +164,17 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
     or ``literal``), and the span of the name or of the literal."""
     # Lexemes since the last statement end: (kind, text, start, end).
     pending: list[tuple[str, str, int, int]] = []
+    first = 0  # where the last assignment begins, if more parts may follow it
 
-    def parse() -> Iterator[tuple[str, list]]:
-        k = 0
+    def parse(ended: bool = True) -> Iterator[tuple[str, list]]:
+        nonlocal first
+        k, first = 0, len(pending)
         while k + 2 < len(pending):
             kind, value, _, _ = pending[k]
             if kind not in ("name", "string") or pending[k + 1][0] != "assign":
                 k += 1
                 continue
-            names = [value if kind == "name" else value[1:-1]]
+            begin, names = k, [value if kind == "name" else value[1:-1]]
             if (kind == "name" and pending[k + 1][1] == ":" and k + 4 < len(pending)
                     and pending[k + 2][0] == "name" and pending[k + 3][:2] == ("assign", "=")):
                 k += 2  # name: type = value, or a label before name = value
@@ -195,56 +197,78 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
                     k += 1
                     continue
                 break
-            if parts:
+            if k >= len(pending) and not ended:
+                first = begin
+            elif parts:
                 for name in names:
                     yield name, parts
 
+    limit = 4096
     for kind, value, start, end in lexemes(text):
         if kind == "end":
             yield from parse()
             pending.clear()
+            limit = 4096
         else:
             if kind == "pem":  # wherever it stands
                 yield "", [("literal", start, end)]
             pending.append((kind, value, start, end))
-            if len(pending) > 4096:  # prose without an end: a statement is short
-                yield from parse()
-                del pending[:-8]
+            if len(pending) > limit:  # prose without an end: only the last assignment may go on
+                yield from parse(ended=False)
+                del pending[:min(first, len(pending) - 8)]
+                limit = 4096 + 2 * len(pending)
     yield from parse()
 
 
 def assigned_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Spans of literals that end up in a sensitive name: straight, or through
-    constants. A constant stands for the literals last assigned to it; a name
+    constants. A constant stands for all literals last assigned to it, each once; a name
     that is no constant is a bare literal if it has a digit, as in
     configuration files, and else nothing. So is a run, unless a name in it is a
     constant: then it is a sum."""
-    constants: dict[str, tuple[tuple[int, int], ...]] = {}
+    # A constant's parts: spans, and the parts of the constants in it.
+    constants: dict[str, list] = {}
     found: set[tuple[int, int]] = set()
     for name, parts in assignments(text):
-        spans: list[tuple[int, int]] = []
+        value: list = []
         for kind, a, b in parts:
             if kind == "literal":
-                spans.append((a, b))
+                value.append((a, b))
                 continue
             pieces = [(a + m.start(), a + m.end()) for m in re.finditer(r"[^+]+", text[a:b])]
             if not any(text[c:d] in constants for c, d in pieces):
                 pieces = [(a, b)]
             for c, d in pieces:
                 if text[c:d] in constants:
-                    spans.extend(constants[text[c:d]])
+                    value.append(constants[text[c:d]])
                 elif any(map(str.isdigit, text[c:d])):
-                    spans.append((c, d))
-        constants[name] = tuple(spans[:64])
+                    value.append((c, d))
+        constants[name] = value
+        found.update(x for x in value if isinstance(x, tuple) and is_private_key(text[x[0]:x[1]]))
         weight = sensitivity(name)
-        if weight and spans:
-            value = "".join(text[a:b] for a, b in spans)
-            if weight * literal_score(value) >= threshold:
+        if weight and value:
+            spans = distinct_spans(value)
+            if weight * literal_score("".join(text[a:b] for a, b in spans)) >= threshold:
                 found.update(spans)
-        found.update((a, b) for a, b in spans if is_private_key(text[a:b]))
     return sorted(found)
 
 
+def distinct_spans(value: list) -> list[tuple[int, int]]:
+    """The spans of a constant's parts in order, each once."""
+    out: dict[tuple[int, int], None] = {}
+    seen, stack = {id(value)}, [iter(value)]
+    while stack:
+        x = next(stack[-1], None)
+        if x is None:
+            stack.pop()
+        elif isinstance(x, tuple):
+            out[x] = None
+        elif id(x) not in seen:
+            seen.add(id(x))
+            stack.append(iter(x))
+    return list(out)
+
+
 def scan(data: bytes | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans and all spans (start, end, kind) of a text, in code points."""
     if not data:

@@ -96,6 +96,22 @@ def test_parts_of_a_sum_and_later_names():
     assert [text[a:b] for a, b in S.assigned_literals(text)] == ["s3cr3t", "Value99"]
 
 
+@pytest.mark.parametrize("n", [65, 5000])
+def test_all_literals_of_a_long_sum(n):
+    literals = [f"Zx81k{k}" for k in range(n)]
+    text = "base = " + " + ".join(f'"{x}"' for x in literals) + "\npassword = base"
+    assert [text[a:b] for a, b in S.assigned_literals(text)] == literals
+    text = f'a = "{literals[0]}"\n' + "".join(f'a = a + "{x}"\n' for x in literals[1:]) + "password = a"
+    assert [text[a:b] for a, b in S.assigned_literals(text)] == literals
+    text = "words " * n + 'password = "hunter2hunter2" ' + "words " * n + 'and signing_key = "Zx81kkPQ77yTnn"'
+    assert [text[a:b] for a, b in S.assigned_literals(text)] == ["hunter2hunter2", "Zx81kkPQ77yTnn"]
+
+
+def test_repeats_of_a_constant_add_none():
+    text = 'a = "Zx81kkPQ77yTnn"\n' + "a = a + a\n" * 100 + "password = a"
+    assert [text[a:b] for a, b in S.assigned_literals(text)] == ["Zx81kkPQ77yTnn"]
+
+
 @pytest.mark.parametrize("text", [
     "author: John Smith", "my_key = get_key(abc)", 'password = "changeme"', 'title = "Zx81kkPQ77yTnn"',
     "the key point: prose goes on here", 'token_url = "https://example.org/t0ken"', 'password = "${DB_PASSWORD}"'])
