@@ -2,7 +2,8 @@
 
 Inline elements are no nodes: their text belongs to the block around them.
 A block of text ends where a block element begins or ends. Scripts, styles,
-comments and markup have no text."""
+comments and markup have no text. ``<svg .../>`` is closed at once; elements
+whose names only begin like those (``svg-icon``) are as all others."""
 
 from __future__ import annotations
 
@@ -12,7 +13,8 @@ from dataclasses import dataclass, field
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|svg|iframe|textarea)\b(?P<rawattr>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<svg(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>"
+    r"|<(?P<raw>script|style|template|noscript|svg|iframe|textarea)(?=[\s/>])(?P<rawattr>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)/?>"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I)

@@ -55,6 +55,11 @@ def test_training_reaches_the_gradients_zero():
     ("<div title='a > b'>in</div>", ["in"]),
     ("<p>cut &am", ["cut &am"]), ("<p>cut <a hre", ["cut"]), ("</p></div>x", ["x"]),
     ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]),
+    ('<p>a</p><svg class="i"/><p>rest</p>', ["a", "rest"]), ("<p>a <svg/> b</p><p>c</p>", ["a b", "c"]),
+    ("<p>a</p><svg a='x>y'\nb=\"/>\"/><p>b</p><svg c='/>'><text>no</text></svg><p>c</p>", ["a", "b", "c"]),
+    ("<p>a</p><svg-icon name='x'></svg-icon><p>b</p>", ["a", "b"]),
+    ("<template-x><p>a</p></template-x><style-y/><p>b</p><svg><g/>no</svg >c", ["a", "b", "c"]),
+    ("<script>no</script\n>a<script src=x/>no</script><SVG\tid=i>no</SVG>b", ["ab"]),
     ("<p>a&nbsp;\n\t b&#233;&copy</p>", ["a bé©"]), ("a < b <p>c", ["a < b", "c"]),
 ])
 def test_blocks(source, blocks):
@@ -101,6 +106,14 @@ def test_parts_of_a_page(model):
         "The river\nThe river rose in the night, and nobody slept.\nBy noon the road was under water & closed."]
 
 
+def test_an_icon_before_the_article_and_in_it(model):
+    page = """<html><head><title>T</title></head><body><ul class="menu"><li><a href=/><svg class="i"/>Home</a></ul>
+    <svg-icon name="pen"></svg-icon><article><h1>The river</h1><p>The river rose in the night, and nobody slept.</p>
+    <svg class="rule"/><p>By noon the road was under water and closed.</p></article></body></html>"""
+    assert model.texts([page]) == [
+        "The river\nThe river rose in the night, and nobody slept.\nBy noon the road was under water and closed."]
+
+
 def test_query_on_odd_rows(spark, model, clashing):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (2, None, ""),
             (5, "u", "<article>" + "<p>long text here.</p>" * 5000 + "</article>"), (6, "u", "<div>" * 3000 + "deep")]
