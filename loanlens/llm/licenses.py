@@ -15,6 +15,10 @@ of the template's distinct words. The join finds every such pair:
 * positional filter: the words that may still come after the shared one must
   be enough to reach o.
 
+Templates of one family differ by a word or two, fewer than the threshold lets
+be absent. So a match that is not whole is verified: the block has the words
+that distinguish the template (``DISTINGUISHING``).
+
 Beside the templates, the base phrases are found word for word.
 """
 
@@ -69,6 +73,13 @@ TEMPLATES = [
                   "modify, publish, use, compile, sell, or distribute this software"),
 ]
 
+# What distinguishes a template from the others of its family, as
+# the licenses' versions word it.
+DISTINGUISHING = {
+    "cc-by-sa": re.compile(rb"(?<![^ ])(?:share ?alike|by (?:nc )?sa)(?![^ ])"),
+    "cc-by-nc": re.compile(rb"(?<![^ ])(?:non ?commercial|by nc)(?![^ ])"),
+}
+
 
 class Templates:
     """Templates with their words in the global order, and the prefix index."""
@@ -93,11 +104,21 @@ class Templates:
                 self.prefix.setdefault(w, []).append((t, i))
         return self
 
+    def windows(self, tokens: list[bytes]) -> Iterator[list[bytes]]:
+        """The words of each block."""
+        step = self.longest
+        for k in range(0, max(1, len(tokens) - step), step):
+            yield tokens[k:k + 2 * step]
+
     def blocks(self, tokens: list[bytes]) -> Iterator[frozenset[bytes]]:
         """The template words of each block."""
-        step, vocabulary = self.longest, self.vocabulary
-        for k in range(0, max(1, len(tokens) - step), step):
-            yield vocabulary.intersection(tokens[k:k + 2 * step])
+        return map(self.vocabulary.intersection, self.windows(tokens))
+
+    def verified(self, t: int, containment: float, window: list[bytes]) -> bool:
+        """Whether a match is whole, or its block has what distinguishes the
+        template from the others of its family."""
+        own = DISTINGUISHING.get(self.labels[t])
+        return containment == 1.0 or own is None or own.search(b" ".join(window)) is not None
 
     def matches(self, block: frozenset[bytes]) -> Iterator[tuple[int, float]]:
         """(template, containment) of every template that reaches the threshold."""
@@ -176,10 +197,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         starts = [k for k, _ in places]
         labels = {label for _, label in places}
         found, score = set(labels), 1.0 if places else 0.0
-        for block in cut.blocks(tokens):
-            for t, containment in cut.matches(block):
-                found.add(cut.labels[t])
-                score = max(score, containment)
+        for window in cut.windows(tokens):
+            for t, containment in cut.matches(cut.vocabulary.intersection(window)):
+                if cut.verified(t, containment, window):
+                    found.add(cut.labels[t])
+                    score = max(score, containment)
         return (len(tokens), len(places), min(starts, default=None), max(starts, default=None),
                 ",".join(sorted(labels)), ",".join(sorted(found)), score)
 

@@ -66,6 +66,16 @@ def test_query_on_odd_rows(make_docs, odd_rows, clashing):
     assert L.scan_licenses(make_docs([])).count() == 0
 
 
+def test_notices_of_one_family(make_docs):
+    cc = {label: text for label, text in L.TEMPLATES if label.startswith("cc-")}
+    rows = [(1, cc["cc-by"]), (2, cc["cc-by-sa"]), (3, cc["cc-by-nc"]), (4, "x " * 400 + cc["cc-by"] + " x" * 400),
+            (5, cc["cc-by-sa"].replace("ShareAlike", "Share Alike")), (6, cc["cc-by"] + " (CC BY-NC-SA 4.0)"),
+            (7, cc["cc-by-nc"].replace("NonCommercial", "Non-Commercial"))]
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan_licenses(make_docs(rows)).collect()}
+    assert got == {1: ("cc-by", 1.0), 2: ("cc-by,cc-by-sa", 1.0), 3: ("cc-by,cc-by-nc", 1.0), 4: ("cc-by", 1.0),
+                   5: ("cc-by,cc-by-sa", 1.0), 6: ("cc-by,cc-by-nc,cc-by-sa", 1.0), 7: ("cc-by,cc-by-nc", 1.0)}
+
+
 def test_frequencies_cover_all_blocks(make_docs):
     cut = L.Templates(L.TEMPLATES)
     docs = make_docs([(k, "license free") for k in range(50)] + [(51, "license"), (52, None)])
