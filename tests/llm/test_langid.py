@@ -87,3 +87,14 @@ def test_long_texts_near_to_no_language_are_rejected():
     text = " ".join("".join(rng.choice("aeioulrstnd") for _ in range(6)) for _ in range(100_000))
     assert langid.Languages(one).classify(text) == ("aa", 0.5, True)
     assert langid.Languages(one).classify("sed " * 500_000) == ("aa", 0.5, False)
+
+
+def test_texts_of_unlearned_languages_are_rejected(spark, slices):
+    docs = [r for r in read_table(spark, SF, "documents").where(langid.held_out()).collect()
+            if r.text and langid.has_letter(r.text)]
+    learned = [langid.Languages(slices).classify(r.text)[2] for r in docs]
+    assert sum(learned) <= 0.01 * len(learned)
+    for lang in slices:
+        languages = langid.Languages({k: v for k, v in slices.items() if k != lang})
+        out = [languages.classify(r.text)[2] for r in docs if r.lang == lang]
+        assert sum(out) >= 0.75 * len(out)
