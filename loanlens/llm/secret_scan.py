@@ -45,7 +45,9 @@ _ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "apikey": 1.0,
              "credential": 0.9, "credentials": 0.9, "token": 0.9, "private": 0.6, "auth": 0.6, "access": 0.4,
              "key": 0.5, "signing": 0.5, "encryption": 0.5, "api": 0.3, "client": 0.2, "session": 0.3}
-_NAME_HINTS = (b"pass", b"pwd", b"secret", b"credential", b"token", b"private", b"auth", b"key")
+_NAME_HINTS = tuple((w.encode(), weight) for w, weight in SENSITIVE.items())
+#: Characters of a sum, from its first PEM mark on, that are looked at for a private key.
+PEM_CHARS = 16_384
 #: Words of a literal that stands in for a secret.
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "redacted", "xxxx", "****")
 
@@ -94,20 +96,93 @@ def is_private_key(value: str) -> bool:
             and not (len(body) < 64 and any(p in body.lower() for p in PLACEHOLDERS)))
 
 
+_NO_LITERAL = re.compile(r"\s|\$\{|\{\{|%\(|://")
+_EDGE = 16  # longer than what _NO_LITERAL and PLACEHOLDERS look for
+
+
+def mentions_placeholder(text: str) -> bool:
+    low = text.lower()
+    return any(p in low for p in PLACEHOLDERS)
+
+
+class Value:
+    """What the score of a literal, or of a sum of literals, rests on. Two
+    values add up in time that does not depend on their lengths."""
+
+    __slots__ = ("length", "counts", "plain", "head", "tail", "pem", "is_key")
+
+    def __init__(self, text: str = ""):
+        self.length = float(len(text))
+        self.counts = {c: float(n) for c, n in Counter(text).items()}
+        self.plain = not (_NO_LITERAL.search(text) or mentions_placeholder(text))
+        self.head, self.tail = text[:_EDGE], text[-_EDGE:]
+        at = text.find("-----BEGIN ")
+        self.pem = self.tail if at < 0 else text[at:at + PEM_CHARS]
+        self.is_key = is_private_key(text)
+
+    def __add__(self, more: Value) -> Value:
+        out = Value()
+        out.length = self.length + more.length
+        out.counts = dict(self.counts)
+        for c, n in more.counts.items():
+            out.counts[c] = out.counts.get(c, 0.0) + n
+        if out.length > 1e200:  # a sum doubled hundreds of times: shares are all that counts
+            out.length /= 1e100
+            out.counts = {c: n / 1e100 for c, n in out.counts.items()}
+        seam = self.tail + more.head
+        out.plain = self.plain and more.plain and not (_NO_LITERAL.search(seam) or mentions_placeholder(seam))
+        out.head = self.head if len(self.head) == _EDGE else (self.head + more.head)[:_EDGE]
+        out.tail = more.tail if len(more.tail) == _EDGE else (self.tail + more.tail)[-_EDGE:]
+        if len(self.pem) == PEM_CHARS and self.pem.startswith("-----BEGIN "):
+            out.pem, out.is_key = self.pem, self.is_key
+        else:
+            # From the first mark on; a value without one may end in its beginning.
+            marked = self.pem.startswith("-----BEGIN ")
+            whole = self.pem + more.pem if marked else self.tail + more.pem
+            at = whole.find("-----BEGIN ")
+            out.pem = out.tail if at < 0 else whole[at:at + PEM_CHARS]
+            out.is_key = is_private_key(out.pem)
+        return out
+
+    def score(self) -> float:
+        """0 to 1 by form: length, no white space, variety. A PEM block of a
+        private key has 1."""
+        if self.is_key:
+            return 1.0
+        if self.length < MIN_LITERAL or not self.plain:
+            return 0.0
+        shares = [n / self.length for n in self.counts.values()]
+        entropy = -sum(x * math.log2(x) for x in shares if x)
+        kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "."
+                 for c in self.counts}
+        return min(1.0, entropy / 4.0) * (1.0 if len(kinds) > 1 else 0.6)
+
+
+class Constant:
+    """An assigned value with its parts: spans, and constants in it."""
+
+    __slots__ = ("parts", "value", "reported")
+
+    def __init__(self, parts: list, value: Value):
+        self.parts, self.value, self.reported = parts, value, False
+
+    def report(self, found: set) -> None:
+        """Adds the spans of the value to ``found``; each constant is gone
+        through once, whatever number of sums it is in."""
+        stack = [self]
+        while stack:
+            constant = stack.pop()
+            if not constant.reported:
+                constant.reported = True
+                for part in constant.parts:
+                    if isinstance(part, Constant):
+                        stack.append(part)
+                    else:
+                        found.add(part)
+
+
 def literal_score(value: str) -> float:
-    """0 to 1 by the form of a literal: length, no white space, variety. A PEM
-    block of a private key has 1."""
-    if is_private_key(value):
-        return 1.0
-    if len(value) < MIN_LITERAL or re.search(r"\s|\$\{|\{\{|%\(|://", value):
-        return 0.0
-    low = value.lower()
-    if any(p in low for p in PLACEHOLDERS):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4.0) * (1.0 if kinds > 1 else 0.6)
+    return Value(value).score()
 
 
 def lexemes(text: str) -> Iterator[tuple[str, str, int, int]]:
@@ -222,12 +297,11 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
 
 def assigned_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Spans of literals that end up in a sensitive name: straight, or through
-    constants. A constant stands for all literals last assigned to it, each once; a name
+    constants. A constant stands for all literals last assigned to it; a name
     that is no constant is a bare literal if it has a digit, as in
     configuration files, and else nothing. So is a run, unless a name in it is a
-    constant: then it is a sum."""
-    # A constant's parts: spans, and the parts of the constants in it.
-    constants: dict[str, list] = {}
+    constant: then it is a sum. Time grows in proportion to the text."""
+    constants: dict[str, Constant] = {}
     found: set[tuple[int, int]] = set()
     for name, parts in assignments(text):
         value: list = []
@@ -243,32 +317,19 @@ def assigned_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int
                     value.append(constants[text[c:d]])
                 elif any(map(str.isdigit, text[c:d])):
                     value.append((c, d))
-        constants[name] = value
-        found.update(x for x in value if isinstance(x, tuple) and is_private_key(text[x[0]:x[1]]))
+        total = None
+        for x in value:
+            part = x.value if isinstance(x, Constant) else Value(text[x[0]:x[1]])
+            if part.is_key and not isinstance(x, Constant):
+                found.add(x)
+            total = part if total is None else total + part
+        constants[name] = constant = Constant(value, total or Value())
         weight = sensitivity(name)
-        if weight and value:
-            spans = distinct_spans(value)
-            if weight * literal_score("".join(text[a:b] for a, b in spans)) >= threshold:
-                found.update(spans)
+        if weight and value and weight * constant.value.score() >= threshold:
+            constant.report(found)
     return sorted(found)
 
 
-def distinct_spans(value: list) -> list[tuple[int, int]]:
-    """The spans of a constant's parts in order, each once."""
-    out: dict[tuple[int, int], None] = {}
-    seen, stack = {id(value)}, [iter(value)]
-    while stack:
-        x = next(stack[-1], None)
-        if x is None:
-            stack.pop()
-        elif isinstance(x, tuple):
-            out[x] = None
-        elif id(x) not in seen:
-            seen.add(id(x))
-            stack.append(iter(x))
-    return list(out)
-
-
 def scan(data: bytes | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans and all spans (start, end, kind) of a text, in code points."""
     if not data:
@@ -277,8 +338,10 @@ def scan(data: bytes | None) -> tuple[list[tuple[int, int, str]], list[tuple[int
     has_assign = any(h in lowered for h in _ASSIGN_HINTS)
     has_hex = _HEX_RUN in data.translate(_HEX_BYTES)
     has_access = b"AKIA" in data
+    # A name's weight is at most that of all sensitive words in the text.
     has_name = b"PRIVATE KEY" in data or (
-        (b"=" in data or b":" in data) and any(h in lowered for h in _NAME_HINTS))
+        (b"=" in data or b":" in data)
+        and sum(weight for word, weight in _NAME_HINTS if word in lowered) >= THRESHOLD - 1e-9)
     if not (has_assign or has_hex or has_access or has_name):
         return [], []
     text = data.decode("utf-8", "replace")
