@@ -18,7 +18,8 @@ class Forest:
         for k, p in enumerate(parents.tolist()):  # a parent comes before its children
             if p >= 0:
                 depth[k] = depth[p] + 1
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:]
         lengths = np.fromiter(map(len, features), np.int64, len(features))
         self.rows = np.repeat(np.arange(self.size), lengths)
         self.columns = np.fromiter((c for f in features for c in f), np.int64, int(lengths.sum()))

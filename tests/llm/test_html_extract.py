@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -114,6 +115,46 @@ def test_an_icon_before_the_article_and_in_it(model):
         "The river\nThe river rose in the night, and nobody slept.\nBy noon the road was under water and closed."]
 
 
+@pytest.mark.parametrize("n", [5, 15, 34, 35, 200, 5000])
+def test_pages_cut_off_inside_a_tag(n):
+    cut = "<p>The river rose.</p><div " + " ".join(f'a{k}="v{k}"' for k in range(n))
+    for tail in ("", ' b="', " b='x", "=", '"' * n, "'" * n, '"\'' * n):
+        start = time.process_time()
+        page = parse(cut + tail)
+        assert [text for _, text in page.blocks] == ["The river rose."]
+        assert time.process_time() - start < 2
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<a '\">", "<a \"'>'", '<svg "', "<svg ", "<script ", "</div ", "<!--",
+                                   "<!x", "<div>", "<li></li></y>", "<x><li></li>", '<a "><b \'>', "<", "<a='"])
+def test_a_megabyte_of_unfinished_markup(piece):
+    start = time.process_time()
+    page = parse("<p>The river rose.</p>" + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 10
+    assert page.blocks[0][1] == "The river rose."
+
+
+def test_quotes_in_tags():
+    texts = lambda source: [text for _, text in parse(source).blocks]
+    assert texts('<p title="a > b">one</p>two') == ["one", "two"]
+    assert texts("<p title='it\"s > b'>one</p>two") == ["one", "two"]
+    assert texts('<p title=5">one</p>two') == ["one", "two"]  # no partner: a character as any other
+    assert texts('<p title="5>one</p>two') == ["one", "two"]
+    assert texts('<p title="5>one</p><p title="6">two</p>') == ["two"]  # the partner is in the next tag
+    assert texts("<script>if (a < b) '</p>'</script>one<SVG><g>x</g></svg >two") == ["onetwo"]
+
+
+def test_trees_of_odd_markup():
+    def tree(source):
+        return [(n.tag, n.parent) for n in parse(source).nodes[1:]]
+    assert tree("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == [
+        ("ul", 0), ("li", 1), ("li", 1), ("ul", 3), ("li", 4), ("li", 1)]
+    assert tree("<table><tr><td>a<td>b<tr><th>c</table><p>x<div>y") == [
+        ("table", 0), ("tr", 1), ("td", 2), ("td", 2), ("tr", 2), ("th", 5), ("p", 0), ("div", 0)]
+    assert tree("<div></p></div></div><dl><dt>a<dd>b<dt>c") == [
+        ("div", 0), ("dl", 0), ("dt", 2), ("dd", 2), ("dt", 2)]
+
+
 def test_query_on_odd_rows(spark, model, clashing):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (2, None, ""),
             (5, "u", "<article>" + "<p>long text here.</p>" * 5000 + "</article>"), (6, "u", "<div>" * 3000 + "deep")]
