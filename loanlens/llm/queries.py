@@ -40,7 +40,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return langid.predict_language(docs, langid.language_slices(docs))
+    return langid.predict_language(docs, langid.learn(docs))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

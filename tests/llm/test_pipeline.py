@@ -18,7 +18,7 @@ def test_stages_and_run(spark):
         if name != "byte_bpe":
             assert docs.columns == columns
     before, after = seen["language_id"]
-    rejected = {r.doc_id for r in langid.predict_language(before, langid.language_slices(before)).where("rejected").collect()}
+    rejected = {r.doc_id for r in langid.predict_language(before, langid.learn(before)).where("rejected").collect()}
     assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()} - rejected
     before, after = seen["exact_dedup"]
     assert after.count() == before.select("text").distinct().count()
