@@ -18,7 +18,7 @@ from loanlens.llm.queries import PATTERN, RANKS
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected."""
-    return langid.drop_rejected(docs, langid.language_slices(docs))
+    return langid.drop_rejected(docs, langid.learn(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
