@@ -6,13 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 from loanlens.functions import columns as C
-from loanlens.operators.quantiles import NAME, cumulative_before, quantiles_wide
-from loanlens.session import materialize
+from loanlens.operators.quantiles import NAME, quantiles_wide
 
 
 def nan_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -65,30 +65,41 @@ def quartile_bins(df: DataFrame, c: str, out: str = "IncomeQuartile") -> DataFra
                                                 lit(q["q2"]), lit(q["q3"]), None))
 
 
-def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_Enc") -> DataFrame:
-    """code = position of the string value among the column's sorted
-    distinct values (null counts as the string "nan", as in the reference).
+def _category(c: str):
+    return F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+
 
-    The distinct ``(column, value)`` pairs are ranked with the distributed
-    cumulative count (§4.3; every distinct value weighs 1), so even a
-    high-cardinality column is never ranked inside one task. The code table
-    is joined back per column."""
+def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> StringIndexerModel | None:
+    """F13, the fitted dictionary: one model for all of ``cols`` that the
+    table has (None if it has none), from one aggregation. Each column's
+    distinct values, sorted, are its labels; null counts as the string "nan",
+    as in the reference. Persist it with ``model.write()``; the same model
+    encodes batches and streams."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
+        return None
+    indexer = StringIndexer(inputCols=cols, outputCols=[f"__{c}_code" for c in cols],
+                            stringOrderType="alphabetAsc", handleInvalid="keep")
+    return indexer.fit(df.select(*[_category(c).alias(c) for c in cols]))
+
+
+def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "_Enc",
+                 model: StringIndexerModel | None = None) -> DataFrame:
+    """code = position of the string value among the column's sorted
+    distinct values, looked up in ``model`` (fitted on ``df`` if not given). A
+    value that the model has not seen gets the number of its labels. A
+    projection: no join, so it runs on a stream as well."""
+    model = model or fit_label_codes(df, cols)
+    if model is None:
         return df
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias(NAME), key(c).alias("value")) for c in cols])).alias("kv"))
-    distinct = long.select("kv.*").distinct().withColumn("one", F.lit(1).cast("long"))
-    codes = cumulative_before(distinct, [NAME], ["value"], weight="one", out="code") \
-        .select(NAME, "value", F.col("code").cast("int").alias("code"))
-    codes = materialize(codes)  # one row a distinct value; each join reads its column's
-    out = df
-    for c in cols:
-        cc = codes.where(F.col(NAME) == c).select(F.col("value").alias(f"__v_{c}"),
-                                                  F.col("code").alias(c + suffix))
-        out = out.join(cc, key(c) == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
-    return out
+    known = {c: out for c, out in zip(model.getInputCols(), model.getOutputCols())
+             if c in cols and c in df.columns}
+    # The categories stand beside the columns while they are looked up.
+    lookup = model.copy()
+    lookup.setInputCols([f"__{c}" for c in model.getInputCols()])
+    held = df.withColumns({f"__{c}": _category(c) if c in known else F.lit("nan") for c in model.getInputCols()})
+    return lookup.transform(held).select(
+        *df.columns, *[F.col(out).cast("int").alias(c + suffix) for c, out in known.items()])
 
 
 def outlier_fences(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> DataFrame:
@@ -100,21 +111,26 @@ def outlier_fences(df: DataFrame, cols: Sequence[str], k: float = 3.0) -> DataFr
                     (F.col("q3") + C.dlit(k) * iqr).alias("upper"))
 
 
+def clipped(df: DataFrame, fences: dict[str, tuple[float, float]]) -> DataFrame:
+    """Each column with fences clipped to them; null stays null."""
+    repl = {}
+    for c, (lo, hi) in fences.items():
+        x = F.col(c)
+        repl[c] = (F.when(x.isNull(), x).when(x < C.dlit(lo), C.dlit(lo)).when(x > C.dlit(hi), C.dlit(hi))
+                   .otherwise(x).cast(df.schema[c].dataType))
+    return df.withColumns(repl) if repl else df
+
+
 def cap_outliers(df: DataFrame, cols: Sequence[str], k: float = 3.0):
     """clip each column to its k x IQR fences. Returns
     ``(capped_df, report)`` where the report counts the capped cells per
     column; the fences (two values per column) are read once."""
     df = nan_to_null(df, cols)
     fences = outlier_fences(df, cols, k)
-    fv = {r[NAME]: r for r in fences.collect()}
-    repl, counts = {}, []
-    for c in cols:
-        lo, hi = F.lit(fv[c]["lower"]).cast("double"), F.lit(fv[c]["upper"]).cast("double")
-        x = F.col(c)
-        repl[c] = F.when(x.isNull(), x).when(x < lo, lo).when(x > hi, hi).otherwise(x) \
-                   .cast(df.schema[c].dataType)
-        counts.append(F.count_if((x < lo) | (x > hi)).alias(c))
-    capped = df.withColumns(repl)
+    fv = {r[NAME]: (r["lower"], r["upper"]) for r in fences.collect()}
+    counts = [F.count_if((F.col(c) < C.dlit(lo)) | (F.col(c) > C.dlit(hi))).alias(c) for c, (lo, hi) in fv.items()] \
+        + [F.lit(0).cast("long").alias(c) for c in cols if c not in fv]
+    capped = clipped(df, fv)
     wide = df.agg(*counts)
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     report = wide.selectExpr(f"stack({len(cols)}, {stack}) AS ({NAME}, n_capped)")

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,14 +61,17 @@ class PairSums:
             "xl": self.low[a, b], "xh": self.high[a, b], "yl": self.low[b, a], "yh": self.high[b, a]})
 
 
-def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]],
+                 centres: dict[str, float] | None = None) -> DataFrame:
     """``(pair, n, cov, sa, sb, vx, vy)`` for each column pair over its
     complete rows: population covariance and standard deviations, and whether
-    each side varies (by its exact least and largest value)."""
+    each side varies (by its exact least and largest value). Values are taken from ``centres`` (near the means, so that sums stay
+    small; without it, one more pass finds the means)."""
     cols = list(dict.fromkeys([c for ab in pairs for c in ab]))
     values = df.select(*[C.no_nan(c).alias(c) for c in cols])
-    middle = values.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    means = np.array([middle[c] if middle[c] is not None else 0.0 for c in cols])
+    if centres is None:
+        centres = values.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
+    means = np.array([centres.get(c) or 0.0 for c in cols])
     a = np.array([cols.index(x) for x, _ in pairs])
     b = np.array([cols.index(y) for _, y in pairs])
 
@@ -105,8 +110,17 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], triangle: bool = False) -> D
     strict lower triangle (j < i) as the masked heatmap shows it. One scan
     (``pair_moments``); the upper half is mirrored from the lower."""
     cols = list(cols)
+    return matrix_of(pair_moments(df, lower_pairs(cols)), cols, triangle)
+
+
+def lower_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
+    """The pairs of a matrix's lower half and diagonal, row by row."""
+    return [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i + 1)]
+
+
+def matrix_of(m: DataFrame, cols: Sequence[str], triangle: bool = False) -> DataFrame:
+    """The matrix from the ``pair_moments`` of ``lower_pairs``."""
     idx = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
-    m = pair_moments(df, [(cols[i], cols[j]) for (i, j) in idx])
     ij = F.array(*[F.array(F.lit(i), F.lit(j)) for (i, j) in idx])
     m = m.select(F.element_at(ij, F.col("pair") + 1).alias("ij"), "sa", "cov", "sb", "vx", "vy")
     m = m.select(F.col("ij")[0].alias("i"), F.col("ij")[1].alias("j"),
@@ -135,7 +149,11 @@ def corr_with(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
 def top_drivers(df: DataFrame, cols: Sequence[str], target: str, k: int = 4) -> DataFrame:
     """The k largest positive correlations (descending) and the k most
     negative (ascending), tagged; ranks within each side."""
-    cw = corr_with(df, cols, target)
+    return strongest(corr_with(df, cols, target), k)
+
+
+def strongest(cw: DataFrame, k: int) -> DataFrame:
+    """The k largest positive and the k most negative r of ``(feature, r)``."""
     pos = cw.where(F.col("r") > 0).orderBy(F.desc("r"), F.asc("feature")).limit(k)
     neg = cw.where(F.col("r") < 0).orderBy(F.asc("r"), F.asc("feature")).limit(k)
     return (pos.select(F.lit("positive").alias("side"), "feature", "r")
@@ -150,10 +168,19 @@ def linregress(df: DataFrame, x: str, y: str, min_rows: int = 6) -> DataFrame:
 
 
 def linregress_p(df: DataFrame, x: str, y: str, min_rows: int = 6) -> DataFrame:
-    """A25 with the two-sided p-value of a zero slope. The fit is one row, so
-    its p-value is computed from that row."""
-    from loanlens.operators.distribution import slope_p
-    fit = linregress(df, x, y, min_rows)
-    rows = [(*r, slope_p(r["r"], r["n"])) for r in fit.collect()]
+    """A25 with the two-sided p-value of a zero slope, from Spark ML's least
+    squares summary (null where r is null). The complete pairs are read once
+    and kept for both fits."""
+    pairs = df.select(C.no_nan(x).alias(x), C.no_nan(y).alias(y)).na.drop().persist()
+    try:
+        rows = []
+        for fit in linregress(pairs, x, y, min_rows).collect():
+            p = None
+            if fit["r"] is not None:
+                vectors = VectorAssembler(inputCols=[x], outputCol="features").transform(pairs)
+                p = LinearRegression(featuresCol="features", labelCol=y, solver="normal").fit(vectors).summary.pValues[0]
+            rows.append((*fit, p))
+    finally:
+        pairs.unpersist()
     return df.sparkSession.createDataFrame(
         rows, "n long, slope double, intercept double, r double, p_value double")

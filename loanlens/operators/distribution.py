@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import columns as C
 from loanlens.operators.quantiles import (NAME, expand_positions, global_positions,
-                                          quantiles_wide)
+                                          quantiles_wide, repeated, value_counts)
+from loanlens.session import SMALL_ROWS, small_table
 
 
 def _box_input(df: DataFrame, key: str, c: str) -> DataFrame:
@@ -28,31 +29,46 @@ def box_fences(df: DataFrame, key: str, c: str, whis: float = 1.5) -> DataFrame:
                     (F.col("q3") + C.dlit(whis) * iqr).alias("hi_fence"))
 
 
-def box_stats(df: DataFrame, key: str, c: str, whis: float = 1.5) -> DataFrame:
-    """Per group Q1, median, Q3, whiskers (most extreme data inside the
-    1.5 IQR fences, as matplotlib draws them) and the number of fliers."""
-    data = _box_input(df, key, c)
-    fences = box_fences(df, key, c, whis)
-    x = F.col("x")
-    inside_lo = x >= F.col("lo_fence")
-    inside_hi = x <= F.col("hi_fence")
-    agg = data.join(fences, "group", "inner").groupBy(
-        "group", "q1", "median", "q3").agg(
-        F.count(F.lit(1)).alias("n"),
+def _with_fences(df: DataFrame, key: str, c: str, whis: float, small: int) -> DataFrame:
+    """``(group, x, cnt, q1, median, q3, lo_fence, hi_fence)``. The fences, a
+    row a group, are broadcast after a check of their number; the rows stay
+    where they are (cnt 1). With more groups the rows are first counted by
+    (group, value)."""
+    data, fences = _box_input(df, key, c), box_fences(df, key, c, whis)
+    known = small_table(fences, small)
+    if known is not None:
+        return data.withColumn("cnt", F.lit(1).cast("long")).join(known, "group")
+    return value_counts(data, ["group"]).join(fences, "group")
+
+
+def box_summary(fenced: DataFrame, keys: Sequence[str] = ("group",)) -> DataFrame:
+    """Whiskers and number of fliers from values with counts and fences."""
+    x, cnt = F.col("x"), F.col("cnt")
+    inside_lo, inside_hi = x >= F.col("lo_fence"), x <= F.col("hi_fence")
+    agg = fenced.groupBy(*keys, "q1", "median", "q3").agg(
+        F.sum(cnt).alias("n"),
         F.min(F.when(inside_lo, x)).alias("whisker_lo"),
         F.max(F.when(inside_hi, x)).alias("whisker_hi"),
-        F.count_if(~inside_lo | ~inside_hi).alias("n_fliers"))
-    return agg.select("group", "n", "q1", "median", "q3",
+        F.sum(F.when(~inside_lo | ~inside_hi, cnt).otherwise(F.lit(0))).alias("n_fliers"))
+    return agg.select(*keys, "n", "q1", "median", "q3",
                       F.coalesce("whisker_lo", "q1").alias("whisker_lo"),
                       F.coalesce("whisker_hi", "q3").alias("whisker_hi"), "n_fliers")
 
 
-def box_fliers(df: DataFrame, key: str, c: str, whis: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, key: str, c: str, whis: float = 1.5, small: int = SMALL_ROWS) -> DataFrame:
+    """Per group Q1, median, Q3, whiskers (most extreme data inside the
+    1.5 IQR fences, as matplotlib draws them) and the number of fliers.
+    ``small``: the number of groups up to which their fences are broadcast."""
+    return box_summary(_with_fences(df, key, c, whis, small))
+
+
+def outside(fenced: DataFrame) -> DataFrame:
+    return fenced.where((F.col("x") < F.col("lo_fence")) | (F.col("x") > F.col("hi_fence")))
+
+
+def box_fliers(df: DataFrame, key: str, c: str, whis: float = 1.5, small: int = SMALL_ROWS) -> DataFrame:
     """The flier points themselves ``(group, x)`` (a distributed filter)."""
-    fences = box_fences(df, key, c, whis)
-    j = _box_input(df, key, c).join(fences, "group", "inner")
-    return j.where((F.col("x") < F.col("lo_fence")) | (F.col("x") > F.col("hi_fence"))) \
-            .select("group", "x")
+    return repeated(outside(_with_fences(df, key, c, whis, small))).select("group", "x")
 
 
 # --- FIXED VALUES: Acklam's rational approximation of the inverse normal CDF
@@ -102,7 +118,11 @@ def qq_points(df: DataFrame, c: str) -> DataFrame:
     median. Ranks come from the distributed cumulative counts; repeated
     values are expanded in bounded chunks."""
     pos, total = global_positions(df, c, with_totals=True)
-    n = F.lit((total.first() or [0])[0] or 0).cast("long")
+    return points_of(pos, F.lit((total.first() or [0])[0] or 0).cast("long"))
+
+
+def points_of(pos: DataFrame, n: Column) -> DataFrame:
+    """Q-Q points of ``(x, cnt, before)``, ``n`` rows in all."""
     pts = expand_positions(pos).select(
         "i", order_statistic_median(F.col("i"), n).alias("p"), F.col("x").alias("sample"))
     return pts.select("i", "p", norm_ppf("p").alias("theoretical"), "sample")
@@ -125,36 +145,6 @@ def fit_line(df: DataFrame, x: str, y: str) -> DataFrame:
                     F.when(F.col("vx") & F.col("vy"), F.col("r")).alias("r"))
 
 
-def _beta_tail(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function I_x(a, b) by its continued
-    fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_tail(1.0 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x)) / a
-    # 1 / (1 + t1 / (1 + t2 / ...)), from a term deep enough on backwards.
-    f = 1.0
-    for n in range(int(200 + 10 * math.sqrt(max(a, b))), 0, -1):
-        m = n // 2
-        if n % 2:
-            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        else:
-            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        f = 1.0 + term / f
-    return front / f
-
-
-def slope_p(r: float | None, n: int) -> float | None:
-    """Two-sided p-value of a zero slope: Student's t with n - 2 degrees of
-    freedom, t = r sqrt((n-2)/(1-r^2)). None without r or with n < 3."""
-    if r is None or n < 3:
-        return None
-    df = n - 2
-    return _beta_tail(max(0.0, 1.0 - r * r), df / 2.0, 0.5)
-
-
 def qq_fit(df: DataFrame, c: str) -> DataFrame:
     """A14 line: slope, intercept and r of sample on theoretical quantiles."""
     return fit_line(qq_points(df, c), "theoretical", "sample")

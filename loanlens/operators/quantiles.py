@@ -163,6 +163,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     keys = by + [NAME]
     counted = value_counts(long_values(df, cols, by), keys)
     ranked, sizes = cumulative_before(counted, keys, ["x"], with_totals=True)
+    return quantiles_at(ranked, sizes, keys, probs)
+
+
+def quantiles_at(ranked: DataFrame, sizes: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """``(keys..., p, value)`` from values with their counts and the numbers of
+    rows before them, and the keys' numbers of rows ``n``."""
+    keys = list(keys)
     p_arr = F.array(*[F.lit(float(p)) for p in probs])
     targets = (sizes.select(*keys, "n", F.explode(p_arr).alias("p"))
                .withColumn("h", (F.col("n") - 1).cast("double") * F.col("p"))
@@ -208,6 +215,14 @@ def global_positions(df: DataFrame, value: str, keys: Sequence[str] = (),
     return cumulative_before(value_counts(base, keys), keys, ["x"], with_totals=with_totals)
 
 
+def repeated(counted: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """One row per data point of a table with counts ``cnt``; a heavily
+    repeated value is dealt over tasks in chunks of at most ``chunk`` rows."""
+    once, more = counted.where("cnt = 1"), counted.where("cnt > 1")
+    return once.unionByName(expand_positions(more.withColumn("before", F.lit(0).cast("long")), chunk)
+                            .drop("before", "i").select(*counted.columns))
+
+
 def expand_positions(positions: DataFrame, chunk: int = 100_000) -> DataFrame:
     """One row per data point with its 0-based position ``i`` from the
     ``(x, cnt, before)`` table. A heavily repeated value is first split into

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.operators.histogram import _histogram_long
+from loanlens.operators.histogram import histogram_of
 from loanlens.operators.quantiles import NAME, long_values
 
 
@@ -47,11 +47,15 @@ def pair_diagonal(df: DataFrame, cols: Sequence[str], cls: str = "LoanApproved",
                   n: int = 500, seed: int = 42, key: str = "RespondentID",
                   bins: int = 20) -> DataFrame:
     """K4 diagonal: per column, a histogram of the sample per class. The
-    sample is drawn once, unpivoted to ``(class, feature, x)`` and binned in
-    one aggregate keyed on (feature, class), each on its own range."""
-    s = sample_n(df, n, seed, key).where(F.col(cls).isNotNull())
-    values = long_values(s, cols, by=[cls])
-    return _histogram_long(values, [NAME, cls], bins)
+    sample is unpivoted to ``(class, feature, x)`` and binned by (feature,
+    class), each on its own range."""
+    return diagonal_of(sample_n(df, n, seed, key), cols, cls, bins)
+
+
+def diagonal_of(rows: DataFrame, cols: Sequence[str], cls: str = "LoanApproved", bins: int = 20) -> DataFrame:
+    """The diagonal of the sampled rows."""
+    values = long_values(rows.where(F.col(cls).isNotNull()), cols, by=[cls])
+    return histogram_of(values, [NAME, cls], bins)
 
 
 def scatter_table(df: DataFrame, x: str, y: str, cls: str = "LoanApproved", n: int = 700,

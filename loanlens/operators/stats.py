@@ -153,8 +153,12 @@ def group_medians(df: DataFrame, key: str, c: str) -> DataFrame:
 
 def median_extremes(df: DataFrame, key: str, c: str) -> DataFrame:
     """The group with the highest and the lowest median (ties -> smallest key)."""
-    med = group_medians(df, key, c).where(F.col("median").isNotNull())
-    return med.agg(
+    return extremes_of(group_medians(df, key, c))
+
+
+def extremes_of(medians: DataFrame) -> DataFrame:
+    """The extremes of ``(group, median)``."""
+    return medians.where(F.col("median").isNotNull()).agg(
         F.min_by("group", F.struct(-F.col("median"), F.col("group"))).alias("top_group"),
         F.max("median").alias("top_median"),
         F.min_by("group", F.struct(F.col("median"), F.col("group"))).alias("bottom_group"),
@@ -163,7 +167,11 @@ def median_extremes(df: DataFrame, key: str, c: str) -> DataFrame:
 
 def shape_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A10 + F21: population skewness and excess kurtosis, with verdicts."""
-    m = _moments(df, cols, ["skew", "kurt"])
+    return verdicts_of(_moments(df, cols, ["skew", "kurt"]))
+
+
+def verdicts_of(m: DataFrame) -> DataFrame:
+    """The verdicts on ``(feature, n, skew, kurt)``."""
     return m.select(NAME, "n", F.col("skew").alias("skewness"), F.col("kurt").alias("kurtosis"),
                     C.skew_verdict("skew").alias("skew_shape"),
                     C.kurtosis_verdict("kurt").alias("tail_shape"))
@@ -176,11 +184,16 @@ def distinct_values(df: DataFrame, c: str) -> DataFrame:
 
 def category_headline(df: DataFrame, c: str, target: str = "LoanApproved") -> DataFrame:
     """Most common value with its share of all rows, and the value with
-    the best approval rate among the ten most frequent rate groups."""
+    the best approval rate."""
     total = df.agg(F.count(F.lit(1))).scalar()
     counts = (df.where(F.col(c).isNotNull()).groupBy(c)
               .agg(F.count(F.lit(1)).alias("cnt"),
                    (F.avg(F.col(target).cast("double")) * C.dlit(100)).alias("rate")))
+    return headline_of(counts, c, total)
+
+
+def headline_of(counts: DataFrame, c: str, total) -> DataFrame:
+    """The headline from ``(c, cnt, rate)`` and the number of all rows."""
     head = counts.agg(
         F.min_by(c, F.struct(-F.col("cnt"), F.col(c))).alias("top_value"),
         F.max("cnt").alias("top_count"),
@@ -202,7 +215,7 @@ def segment_profile(df: DataFrame, label: str = "MarketingSegment",
         F.array_position(F.array(*[F.lit(s) for s in K.CLUSTER_NAMES + ["AtRisk"]]),
                          F.col(label)), F.lit(99))
     agg = df.groupBy(label).agg(
-        *[C.round_half_up(F.avg(m), 2).alias(m) for m in present],
+        *[C.round_half_up(F.avg(C.no_nan(m)), 2).alias(m) for m in present],
         C.round_half_up(F.avg(F.col(target).cast("double")) * C.dlit(100), 1)
         .alias("Approval_pct"),
         F.count(F.lit(1)).alias("n"))

@@ -15,14 +15,12 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
-from loanlens import constants as K  # noqa: E402
-from loanlens.operators import clean, corr, distribution, histogram, sample, stats  # noqa: E402
+from loanlens.plans.profile import profile_analyses  # noqa: E402
 from loanlens.session import ensure_checkpoint_dir  # noqa: E402
 from loanlens.sources.customers import customers, load_customers, read_batch, write_table  # noqa: E402
 
@@ -35,58 +33,10 @@ def training_job(spark: SparkSession, sf_dir: str, out: str, preset: str = "full
     return bundle
 
 
-def profile_analyses(df: DataFrame) -> dict[str, Callable[[], DataFrame]]:
-    """Every profiling analysis over the default column lists, as far as
-    the table has the columns, by name."""
-    have = lambda cols: [c for c in cols if c in df.columns]
-    numeric, cats = have(K.EDA_NUMERIC), have(K.EDA_CATEGORICAL)
-    out: dict[str, Callable[[], DataFrame]] = {
-        "kpis": lambda: stats.kpis(df),
-        "quality_report": lambda: stats.quality_report(df, engineered=K.ENGINEERED),
-        "null_counts": lambda: stats.null_counts(df),
-        "summary_stats": lambda: stats.summary_stats(df, numeric),
-        "shape_stats": lambda: stats.shape_stats(df, have(K.GRID_COLUMNS)),
-        "histogram_grid": lambda: histogram.histogram_grid(df, have(K.GRID_COLUMNS), 30),
-        "segment_shares": lambda: stats.value_shares(df, "MarketingSegment", None, base="all"),
-        "segment_profile": lambda: stats.segment_profile(df),
-        "corr_matrix": lambda: corr.corr_matrix(df, have(K.CORR_COLUMNS)),
-        "corr_lower_triangle": lambda: corr.corr_matrix(df, have(K.CORR_COLUMNS), triangle=True),
-        "pair_sample": lambda: sample.pair_table(df, have(K.PAIRPLOT_DEFAULTS)),
-        "pair_diagonal": lambda: sample.pair_diagonal(df, have(K.PAIRPLOT_DEFAULTS)),
-        "scatter_sample": lambda: sample.scatter_table(df, "AnnualIncome_INR", "CreditScore"),
-        "linregress": lambda: corr.linregress_p(df, "AnnualIncome_INR", "CreditScore"),
-        "outlier_report": lambda: clean.cap_outliers(df, numeric, 3.0)[1],
-        "capped_table": lambda: clean.cap_outliers(df, numeric, 3.0)[0],
-    }
-    for group, cols in K.FEATURE_GROUPS.items():
-        out[f"describe_{'_'.join(group.replace('&', ' ').split())}"] = (
-            lambda cols=cols: stats.describe_group(df, have(cols)))
-    for c in ("CreditScore", "LoanApproved"):
-        out[f"corr_with_{c}"] = lambda c=c: corr.corr_with(df, have(K.CORR_COLUMNS), c)
-        out[f"top_drivers_{c}"] = lambda c=c: corr.top_drivers(df, have(K.CORR_COLUMNS), c)
-    for c in numeric:
-        out[f"histogram_{c}"] = lambda c=c: histogram.histogram(df, c, 45)
-        out[f"qq_points_{c}"] = lambda c=c: distribution.qq_points(df, c)
-        out[f"qq_fit_{c}"] = lambda c=c: distribution.qq_fit(df, c)
-        out[f"histogram_{c}_by_LoanApproved"] = lambda c=c: histogram.histogram_by(df, c, "LoanApproved", 40)
-    for c in cats:
-        out[f"value_counts_{c}"] = lambda c=c: stats.value_counts(df, c, 10)
-        out[f"value_shares_{c}"] = lambda c=c: stats.value_shares(df, c, 10, base="kept")
-        out[f"approval_rate_by_{c}"] = lambda c=c: stats.rate_by(df, c, "LoanApproved", 10)
-        out[f"category_headline_{c}"] = lambda c=c: stats.category_headline(df, c)
-        out[f"distinct_{c}"] = lambda c=c: stats.distinct_values(df, c)
-    for c in have(K.BOX_NUMERIC):
-        for g in have(K.BOX_GROUPS):
-            out[f"box_{c}_by_{g}"] = lambda c=c, g=g: distribution.box_stats(df, g, c)
-            out[f"box_fliers_{c}_by_{g}"] = lambda c=c, g=g: distribution.box_fliers(df, g, c)
-            out[f"grouped_stats_{c}_by_{g}"] = lambda c=c, g=g: stats.grouped_stats(df, g, c)
-            out[f"median_extremes_{c}_by_{g}"] = lambda c=c, g=g: stats.median_extremes(df, g, c)
-    return out
-
-
 def profiling_job(spark: SparkSession, sf_dir: str, out: str, names=None) -> list[str]:
     """The profiling analyses (all, or ``names``), one parquet result
-    table each. An unknown name is an error."""
+    table each, from the shared passes of ``profile.Profile``. An unknown name
+    is an error."""
     analyses = profile_analyses(customers(spark, sf_dir))
     unknown = sorted(set(names or ()) - set(analyses))
     if unknown:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -71,6 +72,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a result of an aggregation may be read and sent to all tasks.
+SMALL_ROWS = 10_000
+
+
+def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
+    """``df`` as a local table that joins by broadcast, or None if it has more
+    than ``limit`` rows. For tables whose size the data decide (one row a group):
+    the size is checked, not assumed."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 _STORED: dict[tuple, tuple[SparkSession, DataFrame]] = {}
 
 

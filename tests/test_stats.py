@@ -179,23 +179,29 @@ def test_nan_counts_as_missing(spark):
 
 def test_slope_p_value_is_students_t(spark):
     """Against the t density integrated by Simpson's rule."""
-    from loanlens.operators.distribution import slope_p
-
     def tail(t, df, n=20_000):
         c = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
         h = t / n
         total = sum((1 if k in (0, n) else 4 if k % 2 else 2) * (1 + (k * h) ** 2 / df) ** (-(df + 1) / 2)
                     for k in range(n + 1))
         return 1 - 2 * total * h / 3 * c
-    for r, n in ((0.5, 10), (0.1, 30), (-0.3, 100), (0.9, 6), (0.02, 1000), (0.0, 12)):
+    rng = np.random.default_rng(4)
+    for n, slope in ((6, 2.0), (10, 0.5), (40, 0.1), (300, -0.05), (12, 0.0)):
+        x = rng.normal(size=n) * 10 + 50
+        y = slope * x + rng.normal(size=n)
+        row = corr.linregress_p(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"),
+                                "x", "y").first()
+        r = float(np.corrcoef(x, y)[0, 1])
         t = abs(r) * math.sqrt((n - 2) / (1 - r * r))
-        assert math.isclose(slope_p(r, n), tail(t, n - 2), abs_tol=1e-9)
-    assert slope_p(None, 50) is None and slope_p(0.4, 2) is None
-    assert slope_p(1.0, 9) == 0.0
+        assert row["n"] == n and math.isclose(row["r"], r, rel_tol=1e-9)
+        assert math.isclose(row["p_value"], tail(t, n - 2), rel_tol=1e-6, abs_tol=1e-9)
+    constant = spark.createDataFrame([(1.0, float(k)) for k in range(8)], "x double, y double")
+    assert corr.linregress_p(constant, "x", "y").first()["p_value"] is None
+    assert corr.linregress_p(constant, "y", "x").first()["p_value"] is None
+    assert corr.linregress_p(constant.limit(3), "x", "y").collect() == []
     row = corr.linregress_p(nan_frame(spark), "x", "y", min_rows=3).first()
     assert row["n"] == 3 and row["p_value"] < 1e-6
 
-
 def test_qq_points_read_the_count_once(spark):
     df = spark.createDataFrame([(float(k),) for k in range(50)], "x double")
     plan = distribution.qq_points(df, "x")._jdf.queryExecution().executedPlan().toString()
