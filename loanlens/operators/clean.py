@@ -35,25 +35,44 @@ def with_default(df: DataFrame, defaults: dict) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Replace nulls (and NaN) of numeric columns by the column's exact
-    median.
-
-    One cheap pass finds which columns hold nulls at all; exact medians are
-    computed (distributed, §4.3) only for those. The medians -- one value per
-    column, bounded by the schema -- are read once and applied as literals in
-    a single projection over ``df``."""
+def impute_median(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """Replace nulls (and NaN) of numeric columns by the column's median
+    (``fit_medians``), as literals of one projection over ``df``."""
+    return fill_medians(df, fit_medians(df, cols, exact))
+
+
+#: Rank error of the approximate median: at most rows / ACCURACY.
+ACCURACY = 10_000
+
+
+def fit_medians(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> dict[str, float]:
+    """Median of each numeric column that holds nulls or NaN (one value per
+    column, bounded by the schema; a column without any value is left out).
+
+    ``exact``: a first pass finds the columns with nulls, exact medians
+    (distributed, §4.3) follow for those. Otherwise one aggregate gives both, the
+    medians from mergeable quantile sketches whose rank is off by at most one in
+    ``ACCURACY`` of the rows."""
     cols = list(cols or numeric_cols(df))
     df = nan_to_null(df, cols)
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    with_nulls = [c for c in cols if counts[c]]
+    counts = [F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols]
+    if not exact:
+        sketches = [F.percentile_approx(F.col(c).cast("double"), 0.5, ACCURACY).alias(f"m_{c}") for c in cols]
+        row = df.agg(*counts, *sketches).first()
+        return {c: row[f"m_{c}"] for c in cols if row[f"n_{c}"] and row[f"m_{c}"] is not None}
+    row = df.agg(*counts).first()
+    with_nulls = [c for c in cols if row[f"n_{c}"]]
     if not with_nulls:
-        return df
-    med = {r[NAME]: r["median"] for r in
-           quantiles_wide(df, with_nulls, [0.5], ["median"]).collect()}
-    repl = {c: F.coalesce(F.col(c), F.lit(med.get(c)).cast(df.schema[c].dataType))
-            for c in with_nulls}
-    return df.withColumns(repl)
+        return {}
+    return {r[NAME]: r["median"] for r in quantiles_wide(df, with_nulls, [0.5], ["median"]).collect()}
+
+
+def fill_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
+    """Nulls (and NaN) of the columns replaced by the given values."""
+    df = nan_to_null(df)
+    repl = {c: F.coalesce(F.col(c), F.lit(m).cast(df.schema[c].dataType))
+            for c, m in medians.items() if c in df.columns}
+    return df.withColumns(repl) if repl else df
 
 
 def quartile_bins(df: DataFrame, c: str, out: str = "IncomeQuartile") -> DataFrame:

@@ -18,8 +18,8 @@ from loanlens.operators.distribution import fit_line
 from loanlens.oracle import LOADED_CTE, D, clip_sql, round_sql, with_customers
 from loanlens.plans.catalog_dist import hist_sql_ctes, md5_order
 from loanlens.plans.registry import register
-from loanlens.session import stored_table
 from loanlens.sources.customers import customers, load_customers
+from loanlens.store import stored_value
 
 R6 = 6
 def PROB():  # noqa: N802
@@ -179,18 +179,20 @@ _ORDERED_SEGMENTS = sorted({"Prime", "Emerging", "AtRisk"})
 
 
 def segmented(spark, d):
-    """Scaled clustering features -> per-segment centroids (k rows, read once)
-    -> nearest-centroid cluster id for every row. Stored once per session
-    (``stored_table``): the segmentation queries all read it."""
-    return stored_table("segmented", spark, d, lambda: _segmented(spark, d))
-
-
-def _segmented(spark, d):
+    """Scaled clustering features -> per-segment centroids (k rows) ->
+    nearest-centroid cluster id for every row: a projection. Scaler and
+    centroids are found once for the input's content."""
     base = load_customers(spark, d)
-    z = segments.standard_scale(base, CLU, keep=base.columns, prefix="z_")
     zc = [f"z_{c}" for c in CLU]
-    cents = segments.centroids_by(z, zc, "MarketingSegment").collect()
-    centers = [[r[c] for c in zc] for r in cents]
+
+    def fit():
+        scaler = segments.fit_scaler(base.na.fill(0.0, subset=CLU), CLU)
+        z = segments.standard_scale(base, CLU, stats=scaler, keep=["MarketingSegment"], prefix="z_")
+        cents = segments.centroids_by(z, zc, "MarketingSegment").collect()
+        return scaler, [[r[c] for c in zc] for r in cents]
+
+    scaler, centers = stored_value("segment_centres", spark, d, fit)
+    z = segments.standard_scale(base, CLU, stats=scaler, keep=base.columns, prefix="z_")
     return segments.assign(z, zc, centers)
 
 

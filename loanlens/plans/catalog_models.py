@@ -19,9 +19,10 @@ from loanlens.plans.registry import register
 from loanlens.plans.score import (RESULT_COLUMNS, agreement, model_probabilities,
                                   regression_predictions, score_with_models,
                                   segment_customers)
-from loanlens.session import stored_table
+from loanlens.session import ensure_checkpoint_dir
 from loanlens.sources.customers import load_customers
 from loanlens.sources.fixtures import profiles
+from loanlens.store import stored_table
 from loanlens.streaming.score_stream import start_scoring_stream
 
 PRESET = "fast"
@@ -273,7 +274,7 @@ def live_stream_scores(spark, d):
     """Applications arriving as files are scored by a Structured
     Streaming query with the live formulas; the sink is read back."""
     b = bundle_for(spark, d)
-    root = M.artifact_dir(spark, f"stream|{d}|{uuid.uuid4().hex}")
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     src, sink, ckpt = f"{root}/incoming", f"{root}/scored", f"{root}/_checkpoint"
     batch = batch_input(spark, d)
     derived = {"RiskScore", "EMI_to_Income", "SavingsToDebt", "FamilyBurdenScore",

@@ -42,7 +42,8 @@ from loanlens.functions.derive import prep_features
 from loanlens.operators import segments
 from loanlens.operators.evaluate import classification_metrics, regression_metrics
 from loanlens.operators.sample import split
-from loanlens.session import materialize, same_session
+from loanlens.session import file_system, materialize, same_session
+from loanlens.store import content_version
 
 PRESETS = {
     # the batch trainer
@@ -310,25 +311,14 @@ def _load_artifacts(spark: SparkSession, path: str) -> Bundle:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hpath, fs = file_system(spark, path)
     return fs.exists(hpath)
 
 
 def input_version(spark: SparkSession, sf_dir: str) -> str:
-    """The input files' names, sizes and times, hashed: models and stored
-    results of an input that changed are not used again."""
-    from loanlens.session import table_path
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    seen = []
-    for t in ("customer", "nation", "orders", "lineitem", "events"):
-        for f in spark.read.parquet(table_path(sf_dir, t)).inputFiles():
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            status = p.getFileSystem(conf).getFileStatus(p)
-            seen.append(f"{f}|{status.getLen()}|{status.getModificationTime()}")
-    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:12]
+    """The content of the input: models of an input that changed are not used
+    again."""
+    return content_version(spark, sf_dir)
 
 
 def artifact_dir(spark: SparkSession, key: str) -> str:

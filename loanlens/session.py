@@ -45,6 +45,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     private scratch folder created; on a cluster a missing setting is an error,
     because a machine-local folder would not survive executor loss.
     """
+    folder = _checkpoint_dir(spark)
+    if folder not in _LEAVING:
+        # Spark gives every application a folder of its own below the named
+        # one; nothing in it is of use to a later application.
+        _LEAVING.add(folder)
+        path, fs = file_system(spark, folder)
+        fs.deleteOnExit(path)
+    return folder
+
+
+#: Folders that the JVM removes when it ends.
+_LEAVING: set[str] = set()
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    sc = spark.sparkContext
+    hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -86,9 +108,6 @@ def small_table(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame | None:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-_STORED: dict[tuple, tuple[SparkSession, DataFrame]] = {}
-
-
 def same_session(a: SparkSession, b: SparkSession) -> bool:
     if a is b:
         return True
@@ -98,31 +117,5 @@ def same_session(a: SparkSession, b: SparkSession) -> bool:
         return False
 
 
-def stored_table(kind: str, spark: SparkSession, key: str, build) -> DataFrame:
-    """Compute a derived table once per session and keep it as parquet in
-    the shared checkpoint folder (SURVEY S9: the loaded table is reused by
-    every analysis, as the reference caches it).
-
-    Unlike ``persist`` the written files survive executor loss without
-    recomputing the joins, and unlike an RDD checkpoint the parquet scan
-    keeps column pruning and filter pushdown, so a two-column analysis
-    reads two columns. Keyed by (kind, input folder) and valid only for the
-    session that wrote it; call ``forget_tables()`` if the input files
-    change under a live session."""
-    hit = _STORED.get((kind, key))
-    if hit is not None and same_session(hit[0], spark):
-        return hit[1]
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{kind}-{uuid.uuid4().hex}"
-    build().write.mode("errorifexists").parquet(path)
-    df = spark.read.parquet(path)
-    _STORED[(kind, key)] = (spark, df)
-    return df
-
-
-def forget_tables() -> None:
-    _STORED.clear()
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"

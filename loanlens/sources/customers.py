@@ -10,26 +10,25 @@ from pyspark.sql import types as T
 
 from loanlens import constants as K
 from loanlens.functions.derive import derive, enrich
-from loanlens.operators.clean import impute_median, nan_to_null
-from loanlens.session import stored_table
+from loanlens.operators.clean import fill_medians, fit_medians, nan_to_null
 from loanlens.sources.fixtures import profiles
+from loanlens.store import stored_value
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis base: ``profiles`` + load-path derivations (train mode) +
     descriptive bands. Nulls are kept (the statistics drop them per column).
-    A map-only projection of the stored profiles, itself stored once per
-    session so analyses scan parquet instead of re-deriving."""
-    return stored_table("customers", spark, sf_dir,
-                        lambda: enrich(derive(profiles(spark, sf_dir), "train")))
+    A projection over the stored profiles: an analysis reads and derives only
+    the columns it uses."""
+    return enrich(derive(profiles(spark, sf_dir), "train"))
 
 
 def load_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's load path (E-1): the analysis base with every numeric
-    null replaced by the column's exact median (P3). Stored once per session
-    (shared checkpoint folder); models, scoring and segmentation reuse it."""
-    return stored_table("loaded", spark, sf_dir,
-                        lambda: impute_median(customers(spark, sf_dir)))
+    null replaced by the column's exact median (P3). The medians are found once
+    for the input's content and become literals of a projection."""
+    base = customers(spark, sf_dir)
+    return fill_medians(base, stored_value("medians", spark, sf_dir, lambda: fit_medians(base)))
 
 
 def null_tokens(df: DataFrame, tokens: Sequence[str] = tuple(K.PANDAS_NA_TOKENS)) -> DataFrame:

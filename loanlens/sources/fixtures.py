@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.functions import columns as C
-from loanlens.session import stored_table, table_path
+from loanlens.session import table_path
+from loanlens.store import stored_table
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataFrame:

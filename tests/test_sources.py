@@ -45,15 +45,15 @@ def test_write_and_template(spark, sf0001):
 
 
 def test_derived_tables_are_stored_once_per_session(spark, sf0001):
-    """The customer table is derived once per session, written to the
-    checkpoint folder as parquet, and every later call scans that table
-    (pruned to the columns a query needs)."""
+    """The customer table is derived once, written to the checkpoint
+    folder as parquet, and every later call scans that table (pruned to the columns
+    a query needs); the analysis base and the load path are projections over it."""
     from loanlens.session import ensure_checkpoint_dir
-    from loanlens.sources.customers import customers
+    from loanlens.sources.customers import customers, load_customers
     a, b = profiles(spark, sf0001), profiles(spark, sf0001)
     assert a is b
     c = customers(spark, sf0001)
-    assert customers(spark, sf0001) is c
+    assert set(c.inputFiles()) == set(load_customers(spark, sf0001).inputFiles()) == set(a.inputFiles())
     plan = c.select("CreditScore")._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "ReadSchema: struct<CreditScore" in plan
     ckpt = ensure_checkpoint_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
