@@ -94,6 +94,13 @@ def cluster_sizes(df: DataFrame, cluster: str = "Cluster") -> DataFrame:
     return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(cluster)
 
 
+def cluster_size_map(df: DataFrame, cluster: str = "Cluster") -> DataFrame:
+    """A18 as one row: the map ``sizes`` from cluster to rows."""
+    sizes = cluster_sizes(df, cluster)
+    return sizes.agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct(F.col(cluster).alias("key"), F.col("n").alias("value"))))).alias("sizes"))
+
+
 def name_clusters(profile: DataFrame, cluster: str = "Cluster",
                   by: str = "AvgCreditScore",
                   names: Sequence[str] = tuple(K.CLUSTER_NAMES)) -> DataFrame:

@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from loanlens.plans.profile import profile_analyses  # noqa: E402
+from loanlens.plans.table_profile import profile_analyses  # noqa: E402
 from loanlens.session import ensure_checkpoint_dir  # noqa: E402
 from loanlens.sources.customers import customers, load_customers, read_batch, write_table  # noqa: E402
 
@@ -35,7 +35,7 @@ def training_job(spark: SparkSession, sf_dir: str, out: str, preset: str = "full
 
 def profiling_job(spark: SparkSession, sf_dir: str, out: str, names=None) -> list[str]:
     """The profiling analyses (all, or ``names``), one parquet result
-    table each, from the shared passes of ``profile.Profile``. An unknown name
+    table each, from the shared passes of ``table_profile.Profile``. An unknown name
     is an error."""
     analyses = profile_analyses(customers(spark, sf_dir))
     unknown = sorted(set(names or ()) - set(analyses))

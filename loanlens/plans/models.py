@@ -1,8 +1,8 @@
 """Model training with Spark ML (M1-M13) and the training job.
 
 Parity settings with the reference library (SURVEY §2.7):
-* scaling uses the population std (M1), fitted on all rows like the
-  reference (``scaler_fit="all"``) or on the training rows only;
+* scaling uses the population std (M1), fitted on the training rows, or on
+  all rows before the split like the reference (``scaler_fit="all"``);
 * logistic regression: L2 with C = 1 and balanced class weights is
   regParam = 1/n_train with weights n/(2 n_class), no internal standardisation;
 * ridge alpha: Spark scales the label, so regParam = alpha * std(y) / n;
@@ -29,7 +29,7 @@ from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier,
                                        LogisticRegression, LogisticRegressionModel,
                                        RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (LinearRegression, LinearRegressionModel,
                                    RandomForestRegressionModel, RandomForestRegressor)
@@ -57,7 +57,7 @@ PRESETS = {
                  km_starts=2),
 }
 SEED = 42
-VERSION = "3"  # bumped when training output changes; old artifacts are not reused
+VERSION = "4"  # bumped when training output changes; old artifacts are not reused
 
 
 def present(df: DataFrame, cols) -> list[str]:
@@ -65,13 +65,33 @@ def present(df: DataFrame, cols) -> list[str]:
     return [c for c in cols if c in df.columns]
 
 
+def feature_pipeline(features: list[str], stats: dict, out: str = "features") -> PipelineModel:
+    """P2 + M1 + vector as persistable stages: null and NaN -> 0, scaling by
+    the given means and population deviations (a zero deviation scales by 1;
+    Spark's own scaler has the sample deviation and makes such a column 0), one
+    dense vector column ``out``."""
+    def scaled(c: str) -> str:
+        mean, std = float(stats[f"mean_{c}"]), float(stats[f"std_{c}"] or 1.0)
+        x = f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), 0.0D)"
+        return f"({x} - ({mean!r}D)) / ({std!r}D) AS `{out}__{c}`"
+
+    scaler = SQLTransformer(statement=f"SELECT *, {', '.join(map(scaled, features))} FROM __THIS__")
+    vector = VectorAssembler(inputCols=[f"{out}__{c}" for c in features], outputCol=out)
+    return PipelineModel([scaler, vector])
+
+
+def with_features(df: DataFrame, pipeline: PipelineModel) -> DataFrame:
+    """``df`` and the pipeline's vector; a feature that the table has not is 0."""
+    vector = pipeline.stages[-1]
+    names = [c.removeprefix(vector.getOutputCol() + "__") for c in vector.getInputCols()]
+    absent = {c: F.lit(0.0) for c in names if c not in df.columns}
+    held = df.withColumns(absent) if absent else df
+    return pipeline.transform(held).select(*df.columns, vector.getOutputCol())
+
+
 def assemble(df: DataFrame, features: list[str], stats: dict, keep=(), out="features"):
-    """P2 + M1 + vector: null/absent -> 0, population-std scaling with the
-    given statistics, one dense vector column."""
-    prepped = prep_features(df, features, keep=list(keep))
-    scaled = segments.standard_scale(prepped, features, stats=stats, fill=None,
-                                     keep=[k for k in keep if k not in features])
-    return VectorAssembler(inputCols=features, outputCol=out).transform(scaled) \
+    """The feature pipeline's vector beside the columns to ``keep``."""
+    return with_features(df, feature_pipeline(features, stats, out)) \
         .select(*[k for k in keep if k not in features], out)
 
 
@@ -92,6 +112,15 @@ class Bundle:
     segment_labels: dict[int, str] = field(default_factory=dict)
     cluster_profile: DataFrame | None = None
     inertias: list[tuple[int, float]] = field(default_factory=list)
+    #: Customers of each cluster at training.
+    cluster_sizes: dict[int, int] = field(default_factory=dict)
+    #: Feature stages (scaler and assembler) of the three tasks.
+    features: dict[str, PipelineModel] = field(default_factory=dict)
+
+    def __post_init__(self):
+        lists = {"clf": self.clf_features, "reg": self.reg_features, "clu": self.clu_features}
+        for task, names in lists.items():
+            self.features.setdefault(task, feature_pipeline(names, self.scalers[task], f"__f_{task}"))
 
 
 def balanced_weights(df: DataFrame, label: str, fit_on: DataFrame | None = None,
@@ -119,38 +148,42 @@ def _parallel(fns, workers: int = 4):
         return list(pool.map(lambda f: f(), fns))
 
 
-def spark_kmeans_tol(vecs: DataFrame, k: int, rel_tol: float = 1e-4) -> float:
+def spark_kmeans_tol(vecs: DataFrame, rel_tol: float = 1e-4):
     """Spark's K-Means stops when *every* centre moved at most ``tol``; the
     reference library stops when the *summed* squared shift is at most
     ``rel_tol`` x the mean feature variance. A per-centre bound of
-    sqrt(rel_tol * mean_var / k) implies the reference's rule (one small
-    aggregate over the cached vectors)."""
+    sqrt(rel_tol * mean_var / k) implies the reference's rule. Returns the bound
+    by k (one small aggregate over the cached vectors)."""
     from pyspark.ml.stat import Summarizer
-    var = vecs.select(Summarizer.variance(F.col("features")).alias("v")).first()["v"]
-    n = vecs.count()
-    mean_var = float(var.toArray().mean()) * (n - 1) / n if n > 1 else 0.0
-    return max(math.sqrt(rel_tol * mean_var / k), 1e-12)
+    row = vecs.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("s")).first()["s"]
+    n = row["count"]
+    mean_var = float(row["variance"].toArray().mean()) * (n - 1) / n if n > 1 else 0.0
+    return lambda k: max(math.sqrt(rel_tol * mean_var / k), 1e-12)
+
+
+def _kmeans(vecs: DataFrame, k: int, seed: int, tol: float):
+    m = KMeans(k=k, seed=seed, featuresCol="features", maxIter=300, tol=tol).fit(vecs)
+    return m, m.summary.trainingCost
 
 
 def fit_kmeans(vecs: DataFrame, k: int, starts: int, seed: int = SEED):
     """M8: best of ``starts`` K-Means runs (least within-cluster cost); the
     starts run concurrently."""
-    tol = spark_kmeans_tol(vecs, k)
-
-    def one(s):
-        m = KMeans(k=k, seed=seed + s, featuresCol="features", maxIter=300, tol=tol).fit(vecs)
-        return m, m.summary.trainingCost
-    runs = _parallel([lambda s=s: one(s) for s in range(starts)])
-    return min(runs, key=lambda mc: mc[1])
+    tol = spark_kmeans_tol(vecs)(k)
+    return min(_parallel([lambda s=s: _kmeans(vecs, k, seed + s, tol) for s in range(starts)]), key=lambda mc: mc[1])
 
 
 def elbow(vecs: DataFrame, ks=range(2, 9), starts: int = 5, seed: int = SEED) -> list:
     """M9: (k, inertia) for k = 2..8, best of 5 starts each, over the cached
-    vectors that M8 uses, by the same fit as M8."""
-    return [(k, float(fit_kmeans(vecs, k, starts, seed)[1])) for k in ks]
+    vectors that M8 uses, by the same fit as M8. All runs are independent and
+    share the executors; the long ones (large k) begin first."""
+    tol = spark_kmeans_tol(vecs)
+    jobs = [(k, s) for k in sorted(ks, reverse=True) for s in range(starts)]
+    costs = _parallel([lambda k=k, s=s: (k, float(_kmeans(vecs, k, seed + s, tol(k))[1])) for k, s in jobs], workers=8)
+    return [(k, min(c for j, c in costs if j == k)) for k in ks]
 
 
-def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
+def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "train",
           with_elbow: bool = False, timings: dict | None = None) -> Bundle:
     """Clean table -> features -> split -> six fitted models -> hold-out
     metrics -> cluster profile and names. ``timings`` (if given) receives the
@@ -252,8 +285,9 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "all",
         names = segments.name_clusters(profile).collect()
         labels = {int(r["Cluster"]): r["label"] for r in names}
         profile = spark.createDataFrame(profile.collect(), profile.schema)
+        sizes = segments.cluster_size_map(clustered).first()["sizes"]
         metrics = spark.createDataFrame(metrics.collect(), metrics.schema)
-        return Bundle(clf_f, reg_f, clu_f, scalers, models, metrics, labels, profile, inertias)
+        return Bundle(clf_f, reg_f, clu_f, scalers, models, metrics, labels, profile, inertias, sizes)
     finally:
         for frame in cached:
             frame.unpersist()
@@ -266,15 +300,19 @@ _MODEL_TYPES = {"lr": LogisticRegressionModel, "rf_clf": RandomForestClassificat
 
 
 def save_artifacts(bundle: Bundle, path: str) -> None:
-    """Models via Spark ML persistence; lists, scalers and labels as a
-    small JSON document; metrics and profile as parquet."""
+    """Feature stages (PipelineModel) and models via Spark ML persistence;
+    lists, scalers, labels and cluster sizes as a small JSON document; metrics and
+    profile as parquet. A later session scores from the folder alone."""
     spark = SparkSession.getActiveSession()
     for name, m in bundle.models.items():
         m.write().overwrite().save(f"{path}/{name}")
     meta = {"clf_features": bundle.clf_features, "reg_features": bundle.reg_features,
             "clu_features": bundle.clu_features, "scalers": bundle.scalers,
             "segment_labels": {str(k): v for k, v in bundle.segment_labels.items()},
-            "inertias": bundle.inertias, "version": VERSION}
+            "inertias": bundle.inertias, "version": VERSION,
+            "cluster_sizes": {str(k): v for k, v in bundle.cluster_sizes.items()}}
+    for task, pipeline in bundle.features.items():
+        pipeline.write().overwrite().save(f"{path}/features_{task}")
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
         .write.mode("overwrite").parquet(f"{path}/meta")
     if bundle.metrics is not None:
@@ -307,7 +345,9 @@ def _load_artifacts(spark: SparkSession, path: str) -> Bundle:
                   meta["scalers"], models, spark.read.parquet(f"{path}/metrics"),
                   {int(k): v for k, v in meta["segment_labels"].items()},
                   spark.read.parquet(f"{path}/cluster_profile"),
-                  [tuple(x) for x in meta.get("inertias", [])])
+                  [tuple(x) for x in meta.get("inertias", [])],
+                  {int(k): v for k, v in meta["cluster_sizes"].items()},
+                  {task: PipelineModel.load(f"{path}/features_{task}") for task in ("clf", "reg", "clu")})
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

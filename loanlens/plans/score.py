@@ -9,30 +9,21 @@ uploads (``mode="batch"``) and the incoming-application stream
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens import constants as K
 from loanlens.functions import columns as C
 from loanlens.functions.derive import derive
-from loanlens.plans.models import Bundle, positive_probability
+from loanlens.plans.models import Bundle, positive_probability, with_features
 
 RESULT_COLUMNS = ["Approval_Probability_%", "Loan_Decision", "Predicted_CreditScore",
                   "Marketing_Segment", "Recommended_Action"]
 
 
-def _scaled(df: DataFrame, features: list[str], stats: dict, prefix: str) -> dict:
-    out = {}
-    for c in features:
-        x = F.coalesce(C.no_nan(c), C.dlit(0)) if c in df.columns else C.dlit(0)
-        sd = stats[f"std_{c}"] or 1.0
-        out[prefix + c] = (x - C.dlit(stats[f"mean_{c}"])) / C.dlit(sd)
-    return out
-
-
-def _vector(df: DataFrame, cols: list[str], out: str) -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol=out).transform(df)
+#: What the live page shows of an application beside the result: the band of
+#: its predicted score (F20) and the models' probabilities and votes.
+LIVE_COLUMNS = [*RESULT_COLUMNS, "Score_Band", "p_gb", "vote_gb", "p_rf", "vote_rf", "p_lr", "vote_lr"]
 
 
 def model_columns(df: DataFrame, bundle: Bundle, cluster_score: str = "input") -> DataFrame:
@@ -42,11 +33,7 @@ def model_columns(df: DataFrame, bundle: Bundle, cluster_score: str = "input") -
     absent, as the batch page does); ``"predicted"`` feeds the ridge
     prediction as CreditScore (the live form)."""
     cols = list(df.columns)
-    sc = _scaled(df, bundle.clf_features, bundle.scalers["clf"], "__c_")
-    sr = _scaled(df, bundle.reg_features, bundle.scalers["reg"], "__r_")
-    with_scaled = df.withColumns({**sc, **sr})
-    v = _vector(_vector(with_scaled, list(sc), "__f_clf"), list(sr), "__f_reg")
-
+    v = with_features(with_features(df, bundle.features["clf"]), bundle.features["reg"])
     m = bundle.models
     for name, out in (("gb_clf", "p_gb"), ("rf_clf", "p_rf"), ("lr", "p_lr")):
         model = m[name].copy()
@@ -55,27 +42,20 @@ def model_columns(df: DataFrame, bundle: Bundle, cluster_score: str = "input") -
         v = model.transform(v).withColumn(out, positive_probability(f"__prob_{name}"))
     ridge = m["ridge"].copy()
     ridge.setFeaturesCol("__f_reg").setPredictionCol("ridge_pred")
-    v = ridge.transform(v)
+    v = ridge.transform(v).select(*cols, "p_gb", "p_rf", "p_lr", "ridge_pred")
 
+    # The clustering features take another score; the table's own comes back after.
     if cluster_score == "predicted":
-        v = v.withColumn("__cs_for_cluster", C.clip("ridge_pred", 300.0, 900.0).cast("int"))
+        used = C.clip("ridge_pred", 300.0, 900.0).cast("int").cast("double")
     else:
-        v = v.withColumn("__cs_for_cluster", F.coalesce(
-            C.no_nan("CreditScore") if "CreditScore" in cols else C.dlit(0),
-            C.dlit(0)))
-    clu_src = v.withColumn("__clu_CreditScore_src", F.col("__cs_for_cluster"))
-    sk = {}
-    for c in bundle.clu_features:
-        src = "__cs_for_cluster" if c == "CreditScore" else c
-        x = (F.coalesce(C.no_nan(src), C.dlit(0)) if src in clu_src.columns
-             else C.dlit(0))
-        st = bundle.scalers["clu"]
-        sk["__k_" + c] = (x - C.dlit(st[f"mean_{c}"])) / C.dlit(st[f"std_{c}"] or 1.0)
-    v = _vector(clu_src.withColumns(sk), list(sk), "__f_clu")
+        used = F.col("CreditScore").cast("double") if "CreditScore" in cols else F.lit(0.0)
+    held = v.withColumn("__own_score", F.col("CreditScore")) if "CreditScore" in cols else v
+    v = with_features(held.withColumn("CreditScore", used), bundle.features["clu"])
     km = m["kmeans"].copy()
     km.setFeaturesCol("__f_clu").setPredictionCol("cluster")
-    v = km.transform(v)
-    return v.select(*cols, "p_gb", "p_rf", "p_lr", "ridge_pred", "cluster")
+    return km.transform(v).select(
+        *[F.col("__own_score").alias(c) if c == "CreditScore" else c for c in cols],
+        "p_gb", "p_rf", "p_lr", "ridge_pred", "cluster")
 
 
 def score(df: DataFrame, bundle: Bundle, mode: str = "batch") -> DataFrame:
@@ -88,8 +68,7 @@ def score(df: DataFrame, bundle: Bundle, mode: str = "batch") -> DataFrame:
 def segment_customers(loaded: DataFrame, bundle: Bundle, out: str = "Cluster_Label") -> DataFrame:
     """T3 + J1: every customer of the loaded (median-filled) table with its
     trained cluster and segment name; map-only."""
-    scaled = _scaled(loaded, bundle.clu_features, bundle.scalers["clu"], "__k_")
-    v = _vector(loaded.withColumns(scaled), list(scaled), "__f_clu")
+    v = with_features(loaded, bundle.features["clu"])
     km = bundle.models["kmeans"].copy()
     km.setFeaturesCol("__f_clu").setPredictionCol("Cluster")
     named = km.transform(v).withColumn(
@@ -111,19 +90,32 @@ def score_with_models(df: DataFrame, bundle: Bundle, mode: str = "batch") -> Dat
     derived = derive(nan_to_null(df), mode)
     v = model_columns(derived, bundle,
                       cluster_score="predicted" if mode == "live" else "input")
+    return with_results(v, bundle.segment_labels, mode).drop("cluster")
+
+
+def with_results(v: DataFrame, segment_labels: dict[int, str], mode: str = "batch") -> DataFrame:
+    """The five result columns from the models' outputs (p_gb, p_rf,
+    p_lr, ridge_pred, cluster). The batch rounds the score half-even, the live
+    form truncates it."""
     ens = C.soft_vote("p_gb", "p_rf", "p_lr")
     clipped = C.clip("ridge_pred", 300.0, 900.0)
     pred = (C.round_half_even(clipped, 0) if mode == "batch" else clipped).cast("int")
-    seg = C.map_lookup("cluster", bundle.segment_labels, K.DEFAULT_SEGMENT)
+    seg = C.map_lookup("cluster", segment_labels, K.DEFAULT_SEGMENT)
     out = v.withColumns({
         "Approval_Probability_%": C.round_half_even(ens * C.dlit(100), 2),
         "Loan_Decision": C.decision(ens),
         "Predicted_CreditScore": pred,
         "Marketing_Segment": seg,
     })
-    out = out.withColumn("Recommended_Action",
-                         C.map_lookup("Marketing_Segment", K.SEGMENT_ACTIONS, K.DEFAULT_ACTION))
-    return out.drop("cluster")
+    return out.withColumn("Recommended_Action",
+                          C.map_lookup("Marketing_Segment", K.SEGMENT_ACTIONS, K.DEFAULT_ACTION))
+
+
+def with_votes(scored: DataFrame) -> DataFrame:
+    """F20 + C7 beside the result: the predicted score's band (300 is in the
+    lowest), and each model's vote at 0.5."""
+    votes = {f"vote_{m}": F.when(F.col(f"p_{m}") >= C.dlit(0.5), "Approve").otherwise("Reject") for m in ("gb", "rf", "lr")}
+    return scored.withColumns({"Score_Band": C.score_band("Predicted_CreditScore", include_lowest=True)} | votes)
 
 
 def agreement(scored: DataFrame, key: str = "RespondentID") -> DataFrame:
@@ -136,8 +128,7 @@ def agreement(scored: DataFrame, key: str = "RespondentID") -> DataFrame:
 
 def regression_predictions(df: DataFrame, bundle: Bundle, key: str = "RespondentID"):
     """Whole-table predictions of both regressors (input to E6/E7)."""
-    sr = _scaled(df, bundle.reg_features, bundle.scalers["reg"], "__r_")
-    v = _vector(df.withColumns(sr), list(sr), "__f_reg")
+    v = with_features(df, bundle.features["reg"])
     ridge = bundle.models["ridge"].copy()
     ridge.setFeaturesCol("__f_reg").setPredictionCol("ridge_pred")
     rfr = bundle.models["rf_reg"].copy()

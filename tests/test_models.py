@@ -1,19 +1,28 @@
 """Model parity and quality with tolerances, on sf0.001. All
 models under test come from ``plans.models.train``."""
 
+import os
+import subprocess
+import sys
+import time
+
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from loanlens import constants as K
 from loanlens.operators import segments
 from loanlens.plans import jobs
 from loanlens.plans import models as M
-from loanlens.plans.score import RESULT_COLUMNS, agreement, score, score_with_models, segment_customers
+from loanlens.plans.score import LIVE_COLUMNS, RESULT_COLUMNS, agreement, score, score_with_models, segment_customers
 from loanlens.sources.customers import load_customers
 from loanlens.sources.fixtures import profiles
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 @pytest.fixture(scope="module")
 def base(spark, sf0001):
     return load_customers(spark, sf0001)
@@ -193,13 +202,104 @@ def test_stream_equals_live_batch(spark, sf0001, bundle, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     want = score(apps, bundle, "live").select("RespondentID", *RESULT_COLUMNS)
-    assert sorted(got.collect()) == sorted(want.collect())
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+    assert got.columns == ["RespondentID", *LIVE_COLUMNS]
+    bands = list(zip(K.SCORE_BAND_EDGES, K.SCORE_BAND_EDGES[1:], K.SCORE_BAND_LABELS))
+    for r in got.collect():
+        low = max(r["Predicted_CreditScore"], 301)  # 300 is in the lowest band
+        assert r["Score_Band"] == next(lab for lo, hi, lab in bands if lo < low <= hi)
+        for m in ("gb", "rf", "lr"):
+            assert r[f"vote_{m}"] == ("Approve" if r[f"p_{m}"] >= 0.5 else "Reject")
+        mean = 0.5 * r["p_gb"] + 0.3 * r["p_rf"] + 0.2 * r["p_lr"]
+        assert abs(r["Approval_Probability_%"] - 100 * mean) < 0.006
+
+
+def test_stream_recovers_from_its_checkpoint(spark, sf0001, bundle, tmp_path):
+    """A batch fails in the middle (one of its files cannot be read); after the
+    file is mended the query goes on, no application lost or doubled. Files that
+    came meanwhile are scored too."""
+    from loanlens.streaming.score_stream import start_scoring_stream
+    apps = profiles(spark, sf0001).select("RespondentID", "Age", "AnnualIncome_INR", "MissedPayments",
+                                          "ExistingDebt_INR", "RepaymentHistory").orderBy("RespondentID").toPandas()
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    schema = spark.createDataFrame(apps.head(1)).schema
+    parts = [apps.iloc[k::6] for k in range(6)]
+
+    def run():
+        q = start_scoring_stream(spark, str(src), schema, bundle, out, str(tmp_path / "ckpt"), available_now=True,
+                                 files_per_batch=2)
+        q.awaitTermination()
+
+    def seen():
+        return sorted(r["RespondentID"] for r in spark.read.parquet(out).select("RespondentID").collect())
+
+    start = time.time() - 100
+
+    def arrive(k, data=None):
+        if data is None:
+            parts[k].to_parquet(src / f"part{k}.parquet")
+        else:
+            (src / f"part{k}.parquet").write_bytes(data)
+        os.utime(src / f"part{k}.parquet", (start + k, start + k))
+
+    for k in range(4):
+        arrive(k)
+    whole = (src / "part3.parquet").read_bytes()
+    arrive(3, whole[:len(whole) // 2])
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert seen() == sorted([*parts[0]["RespondentID"], *parts[1]["RespondentID"]])  # the whole batches only
+    arrive(3, whole)
+    arrive(4)
+    arrive(5)
+    run()
+    assert seen() == sorted(apps["RespondentID"])
+    run()  # nothing new: nothing is added
+    assert seen() == sorted(apps["RespondentID"])
+
+
+def test_a_fresh_session_scores_from_the_saved_folder(spark, sf0001, bundle, artifacts, tmp_path):
+    """Feature stages, models, labels and sizes are in the folder."""
+    batch = profiles(spark, sf0001)
+    want = sorted(map(str, score(batch, bundle).select("RespondentID", *RESULT_COLUMNS).collect()))
+    batch.write.parquet(str(tmp_path / "batch"))
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from loanlens.session import build_session
+from loanlens.plans import models as M
+from loanlens.plans.score import LIVE_COLUMNS, RESULT_COLUMNS, score
+spark = build_session("local[2]", 2)
+bundle = M.load_artifacts(spark, {artifacts!r})
+assert type(bundle.features["clf"]).__name__ == "PipelineModel" and len(bundle.features["clf"].stages) == 2
+assert bundle.cluster_sizes == {bundle.cluster_sizes!r}
+score(spark.read.parquet({str(tmp_path / "batch")!r}), bundle).select("RespondentID", *RESULT_COLUMNS) \\
+    .write.parquet({str(tmp_path / "scored")!r})
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "scored")).collect())) == want
+
+
+def test_feature_stages(spark, tmp_path):
+    """Null, NaN and absent features count as 0; a zero deviation scales by 1."""
+    rows = spark.createDataFrame([(1.0, float("nan"), "a"), (None, 4.0, "b")], "x double, y double, k string")
+    stats = {"mean_x": -1.5, "std_x": 2.0, "mean_y": 1e-7, "std_y": 0.0, "mean_z": 3.0, "std_z": 1.5}
+    pipeline = M.feature_pipeline(["x", "y", "z"], stats, "v")
+    pipeline.write().overwrite().save(str(tmp_path / "p"))
+    for p in (pipeline, M.PipelineModel.load(str(tmp_path / "p"))):
+        got = [(r["k"], r["v"].toArray().tolist()) for r in M.with_features(rows, p).collect()]
+        assert got == [("a", [1.25, -1e-7, -2.0]), ("b", [0.75, 4.0 - 1e-7, -2.0])]
+
+
+def test_cluster_sizes_are_of_the_trained_clusters(base, bundle):
+    sizes = {r["Cluster"]: r["n"] for r in segments.cluster_sizes(segment_customers(base, bundle)).collect()}
+    assert bundle.cluster_sizes == sizes and sum(sizes.values()) == base.count()
 
 
 # ------------------------------------------------------------------ jobs -----
 def test_job_file_starts_by_itself():
-    import subprocess
-    import sys
     out = subprocess.run([sys.executable, jobs.__file__, "--help"], cwd="/tmp", capture_output=True, text=True,
                          timeout=120)
     assert out.returncode == 0 and "segments" in out.stdout

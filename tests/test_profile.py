@@ -6,7 +6,7 @@ import math
 import pytest
 from loanlens import constants as K
 from loanlens.operators import clean, corr, distribution, histogram, sample, stats
-from loanlens.plans.profile import Profile, profile_analyses
+from loanlens.plans.table_profile import Profile, profile_analyses
 from loanlens.sources.customers import customers
 from pyspark.sql import Window
 from pyspark.sql import functions as F
