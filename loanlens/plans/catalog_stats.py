@@ -331,7 +331,8 @@ def outlier_report(spark, d):
     return report
 
 
-def _derived_sql(mode):
+def derived_columns_sql(mode) -> dict[str, str]:
+    """The derived features of a mode over ``profiles``, by name."""
     if mode == "batch":
         cols = {
             "MonthlyEMI_INR": f"ExistingDebt_INR / {D(36)}",
@@ -352,7 +353,11 @@ def _derived_sql(mode):
                          f"DebtToIncomeRatio * {D(0.2)} + CreditUtilization * {D(0.15)}",
             "FamilyBurdenScore": f"NumDependents * {D(0.15)}",
         }
-    sel = ", ".join(f"{v} AS {k}" for k, v in cols.items())
+    return cols
+
+
+def _derived_sql(mode):
+    sel = ", ".join(f"{v} AS {k}" for k, v in derived_columns_sql(mode).items())
     return with_profiles(f"SELECT RespondentID, RepaymentHistory_Ord, {sel} FROM profiles")
 
 

@@ -49,6 +49,6 @@ def query_sql(name: str) -> str | None:
 
 def load_all() -> dict[str, Entry]:
     """Import the catalog modules (they register on import)."""
-    from loanlens.plans import (catalog_dist, catalog_eval, catalog_models,  # noqa: F401
-                                catalog_sources, catalog_stats)
+    from loanlens.plans import (catalog_dist, catalog_eval, catalog_given,  # noqa: F401
+                                catalog_models, catalog_sources, catalog_stats)
     return REGISTRY
