@@ -9,8 +9,11 @@ shard is cut into parts that overlap by a window less one word.
 The index's alphabet is the words of its shard; words are numbered by their
 bytes, so an occurrence is exact. Separators stand between documents.
 
-The benchmark goes to the tasks in blocks of a fixed number of bytes, each a
-broadcast of its own; a shard is indexed once and searched for each block.
+The benchmark's distinct items go to the tasks in blocks of a fixed number of
+bytes, each a broadcast of its own; a shard is indexed once and searched for each
+block. A worker holds ``RESIDENT_BYTES`` of items at most: a larger benchmark is
+searched in several passes over the documents, and what a pass has found is
+written down before the next.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loanlens.llm.common import WORD_TABLE, batches, text_bytes, words
+from loanlens.llm.common import WORD_TABLE, batches, stored, text_bytes, words
 from loanlens.llm.fmindex import FMIndex
 
 WINDOW = 10
 SHARD_WORDS = 400_000
 BLOCK_BYTES = 8 << 20
+RESIDENT_BYTES = 64 << 20
 LOCATE_SLOTS = 1 << 20
 
 
@@ -128,8 +133,8 @@ def search_documents(texts: list[bytes | None], blocks: list[Phrases], window: i
             for row, document, first, length in shard.occurrences(phrases):
                 spans[document].append((first, first + length))
                 items[document].update(phrases.names[k] for k in phrases.owners[row])
-        for document, _ in shard.parts:
-            spans[document] = merge_spans(spans[document])
+            for document, _ in shard.parts:
+                spans[document] = merge_spans(spans[document])
 
     shard = Shard()
     for number, data in enumerate(texts):
@@ -149,12 +154,14 @@ def search_documents(texts: list[bytes | None], blocks: list[Phrases], window: i
 
 
 def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int,
-                  block_bytes: int) -> list:
+                  block_bytes: int, resident_bytes: int) -> list[list]:
     """Broadcasts of at most ``block_bytes`` of item text each (an item larger
-    than that is a block of its own). The items' bytes are summed in Spark to
-    choose the number of blocks; one block at a time is in the driver."""
+    than that is a block of its own), in groups that a worker may hold. Equal
+    rows count once. The items' bytes are summed in Spark to choose the number of
+    blocks; one block at a time is in the driver."""
     sc = benchmark.sparkSession.sparkContext
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), text_bytes(text_col).alias("data"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"),
+                             text_bytes(text_col).alias("data")).distinct()
     size = items.agg(F.sum(F.length("data"))).first()[0] or 0
     n = 1 + size // block_bytes
     out = []
@@ -163,13 +170,14 @@ def phrase_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: in
         rows = sorted(((r["item"], bytes(r["data"]) if r["data"] is not None else None)
                        for r in part.collect()), key=lambda r: (r[0] or "", r[1] or b""))
         out.append(sc.broadcast(Phrases(rows, window)))
-    return out
+    held = max(1, resident_bytes // block_bytes)
+    return [out[k:k + held] for k in range(0, len(out), held)]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                        text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                        window: int = WINDOW, shard_words: int = SHARD_WORDS,
-                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                       block_bytes: int = BLOCK_BYTES, resident_bytes: int = RESIDENT_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id long, n_words long, spans
     array<struct<first long, end long>> (words to remove, merged, in order),
     items array<string> (found item ids, sorted).
@@ -177,37 +185,61 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     A window is ``window`` consecutive words of an item, or the whole item if
     it has fewer but not none. Null and wordless texts have no words and no
     spans; null and wordless items have no windows; an item with a null id
-    marks words but is not listed. Repeated rows give repeated results; an
-    empty benchmark finds nothing; other columns are ignored."""
-    blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    span = pa.struct([("first", pa.int64()), ("end", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()),
-                        ("spans", pa.list_(span)), ("items", pa.list_(pa.string()))])
+    marks words but is not listed. Repeated rows of ``docs`` give repeated
+    results, repeated items count once; an empty benchmark finds nothing; other
+    columns are ignored."""
+    groups = phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes, resident_bytes)
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))
+    for k, blocks in enumerate(groups):
+        last = k == len(groups) - 1
+        found = _searched(found, blocks, k > 0, last, window, shard_words)
+        if not last:
+            found = stored(found, "decontamination")
+    return found
+
+
+_SPAN = pa.struct([("first", pa.int64()), ("end", pa.int64())])
+
+
+def as_spans(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"first": a, "end": b} for a, b in spans]
+
+
+def _searched(rows: DataFrame, blocks: list, again: bool, last: bool, window: int, shard_words: int) -> DataFrame:
+    """One pass: doc_id, data (not in the last pass), n_words, spans, items;
+    with those of earlier passes (``again``)."""
+    held = [("doc_id", pa.int64())] + [("data", pa.binary())] * (not last)
+    schema = pa.schema([*held, ("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
+    fields = "doc_id long, " + "data binary, " * (not last) + \
+        "n_words long, spans array<struct<first:long,end:long>>, items array<string>"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b.value for b in blocks]
 
-        def flush(ids: list, texts: list) -> list:
-            n, s, i = zip(*search_documents(texts, found, window, shard_words))
-            return [ids, list(n), [[{"first": a, "end": b} for a, b in x] for x in s], list(i)]
-
-        def rows():
-            ids, texts, size = [], [], 0
+        def flush(group: list[dict]) -> list:
+            out = []
+            for row, (n, spans, items) in zip(group, search_documents([r["data"] for r in group], found, window,
+                                                                      shard_words)):
+                if again:
+                    spans = merge_spans([*spans, *((s["first"], s["end"]) for s in row["spans"])])
+                    items = sorted({*items, *row["items"]})
+                out.append((row["doc_id"], *([row["data"]] * (not last)), n, as_spans(spans), items))
+            return list(map(list, zip(*out)))
+
+        def columns():
+            group, size = [], 0
             for b in it:
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    ids.append(doc)
-                    texts.append(t)
-                    size += len(t or b"")
+                for row in b.to_pylist():
+                    group.append(row)
+                    size += len(row["data"] or b"")
                     if size >= 6 * shard_words:
-                        yield flush(ids, texts)
-                        ids, texts, size = [], [], 0
-            if ids:
-                yield flush(ids, texts)
-        yield from batches(schema, rows())
+                        yield flush(group)
+                        group, size = [], 0
+            if group:
+                yield flush(group)
+        yield from batches(schema, columns())
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))
-            .mapInArrow(run, "doc_id long, n_words long, "
-                             "spans array<struct<first:long,end:long>>, items array<string>"))
+    return rows.mapInArrow(run, fields)
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
@@ -235,32 +267,54 @@ def cut_words(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                          item_col: str = "item_id", item_text_col: str = "text",
                          window: int = WINDOW, shard_words: int = SHARD_WORDS,
-                         block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                         block_bytes: int = BLOCK_BYTES, resident_bytes: int = RESIDENT_BYTES) -> DataFrame:
     """``docs`` with the found spans cut out of ``text_col``; texts without
     any, nulls too, are as they were. A long column n_chars, where there is
     one, is set to the new length of a text that was cut. All rows and columns
     stay."""
-    blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    groups = phrase_blocks(benchmark, item_col, item_text_col, window, block_bytes, resident_bytes)
     at = docs.columns.index(text_col)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = docs.columns
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spans_of(b: pa.RecordBatch, texts: list, found: list) -> list[list[tuple[int, int]]]:
+        """Those of earlier passes (a column behind the table's own) too."""
+        mine = [s for _, s, _ in search_documents(texts, found, window, shard_words)]
+        if b.num_columns > len(names):
+            mine = [merge_spans([*s, *((x["first"], x["end"]) for x in old)])
+                    for s, old in zip(mine, b.column(len(names)).to_pylist())]
+        return mine
+
+    def search(blocks: list, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b.value for b in blocks]
+        for whole in it:
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                spans = spans_of(b, b.column(at).cast(pa.binary()).to_pylist(), found)
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:len(names)], pa.array(list(map(as_spans, spans)), pa.list_(_SPAN))],
+                    names=[*names, "__spans"])
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b.value for b in groups[-1]]
         for whole in it:
             for k in range(0, whole.num_rows, 1000):
                 b = whole.slice(k, 1000)
                 texts = b.column(at).cast(pa.binary()).to_pylist()
-                cut = {n: cut_words(texts[n], s) for n, (_, s, _) in
-                       enumerate(search_documents(texts, found, window, shard_words)) if s}
-                if cut:
-                    columns = b.columns
-                    columns[at] = pa.array([cut.get(n, t) for n, t in enumerate(texts)],
+                short = {n: cut_words(texts[n], s) for n, s in enumerate(spans_of(b, texts, found)) if s}
+                columns = b.columns[:len(names)]
+                if short:
+                    columns[at] = pa.array([short.get(n, t) for n, t in enumerate(texts)],
                                            pa.binary()).cast(b.schema.field(at).type)
                     if chars is not None:
                         counts = b.column(chars).to_pylist()
-                        columns[chars] = pa.array([len(cut[n].decode("utf-8", "replace")) if n in cut else c
+                        columns[chars] = pa.array([len(short[n].decode("utf-8", "replace")) if n in short else c
                                                    for n, c in enumerate(counts)], b.schema.field(chars).type)
-                    b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
-                yield b
-
-    return docs.mapInArrow(run, docs.schema)
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(b.schema)[:len(names)]))
+
+    current = docs
+    for blocks in groups[:-1]:
+        fields = T.StructType([*docs.schema.fields, T.StructField("__spans", T.ArrayType(T.StructType(
+            [T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])))])
+        current = stored(current.mapInArrow(lambda it, blocks=blocks: search(blocks, it), fields), "decontamination")
+    return current.mapInArrow(cut, docs.schema)

@@ -84,8 +84,9 @@ def test_query_columns_and_odd_rows(spark, make_docs, odd_rows, clashing):
         if text and len(text) > 10_000:
             n, hit, found = 30_000, set(range(30_000)), ["5"]
         want.append((str(doc_id), n, len(hit), len(found), bool(hit)))
-    for size in (D.BLOCK_BYTES, 40):
-        got = D.contamination_digest(D.find_contamination(clashing(make_docs(rows)), clashing(bench), block_bytes=size))
+    for size, held in ((D.BLOCK_BYTES, D.RESIDENT_BYTES), (40, D.RESIDENT_BYTES), (40, 80), (40, 1)):
+        got = D.contamination_digest(D.find_contamination(clashing(make_docs(rows)), clashing(bench), block_bytes=size,
+                                                          resident_bytes=held))
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got.collect()) == sorted(want)
     empty = spark.createDataFrame([], BENCH)
     assert {r.n_hit for r in D.contamination_digest(D.find_contamination(make_docs(rows), empty)).collect()} == {0}
@@ -102,6 +103,29 @@ def test_removal_cuts_words_and_leaves_the_rest(spark, make_docs, clashing, odd_
     bench = spark.createDataFrame([(1, "alpha beta gamma")], BENCH)
     docs = clashing(make_docs([*odd_rows, (30, "Well, Alpha-beta gamma! Done. alpha beta"), (31, "clean é text")]))
     out = D.remove_contamination(docs, bench)
+    check_removal(docs, out, odd_rows)
+
+
+def test_removal_in_several_passes(spark, make_docs, clashing, odd_rows):
+    """Words that one pass finds are not cut before the next has searched."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "nothing of it"), (3, "other things")], BENCH)
+    docs = clashing(make_docs([*odd_rows, (30, "Well, Alpha-beta gamma! Done. alpha beta"), (31, "clean é text")]))
+    check_removal(docs, D.remove_contamination(docs, bench, block_bytes=8, resident_bytes=8), odd_rows)
+    overlap = spark.createDataFrame([(k, w) for k, w in enumerate(["a b c", "c d", "b c d e", "x e"])], BENCH)
+    for block, held in ((1 << 20, 1 << 20), (2, 2), (2, 4)):
+        got = D.remove_contamination(make_docs([(1, "y a b c d e z x")]), overlap, block_bytes=block, resident_bytes=held)
+        assert got.first().text.split() == ["y", "z", "x"]
+
+
+def test_an_item_repeated_many_times_counts_once(spark, make_docs):
+    bench = spark.range(100_000).selectExpr("7L as item_id", "'alpha beta gamma delta' as text")
+    groups = D.phrase_blocks(bench, "item_id", "text", 10, 1000, 1000)
+    assert [len(b.value.names) for g in groups for b in g] == [1]
+    got = D.find_contamination(make_docs([(1, "x alpha beta gamma delta")]), bench, block_bytes=1000).first()
+    assert [tuple(s) for s in got.spans] == [(1, 5)] and got["items"] == ["7"]
+
+
+def check_removal(docs, out, odd_rows):
     assert out.columns == docs.columns and out.schema == docs.schema
     got = {r.doc_id: r for r in out.collect()}
     assert got[30].text == "Well, ! Done. alpha beta" and got[30].n_chars == len(got[30].text)
