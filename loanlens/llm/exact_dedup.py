@@ -10,6 +10,8 @@ used up the state is read back from the checkpoint as a table.
 A digest met more than once is a hit. The texts behind all hits are then
 compared whole: rows of hit digests are grouped by their full normalised text.
 Where one digest stands for several texts, each text is a group of its own.
+Other texts are not moved: the first bits of the hits' digests, a table of
+bounded size, leave them out where they are read.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loanlens.llm.common import shared_folder, stored
 
@@ -27,6 +28,10 @@ FILES_PER_BATCH = 4096
 #: Parts that the rows of one digest are spread over while texts are fetched.
 SALTS = 16
 
+#: Bits of a digest by which rows are sifted before hits are fetched: the table
+#: of hit prefixes has 2^PREFIX_BITS rows at most, so it may be broadcast.
+PREFIX_BITS = 20
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,6 +43,18 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def prefix(digest: Column) -> Column:
+    """The first PREFIX_BITS bits of a digest (of all its bits if it has fewer)."""
+    head = F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long")
+    spare = F.greatest(F.lit(0), F.length(F.substring(digest, 1, 4)) * 8 - PREFIX_BITS)
+    return F.floor(head / F.pow(F.lit(2.0), spare)).cast("int")
+
+
+def hit_prefixes(state: DataFrame) -> DataFrame:
+    """(prefix) of the digests met more than once: bounded by PREFIX_BITS."""
+    return F.broadcast(state.where("n > 1").select(prefix(F.col("digest")).alias("prefix")).distinct())
+
+
 def stream_state(spark: SparkSession, folder: str, schema, files_per_batch: int = FILES_PER_BATCH,
                  checkpoint: str | None = None) -> DataFrame:
     """Run the digest table in ``folder`` through the stateful query and return
@@ -91,7 +108,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _with_checked_bytes(base: DataFrame, decided: DataFrame, state: DataFrame,
                         digest: Callable[[Column], Column]) -> DataFrame:
     """``decided`` after the full texts of all hits were compared."""
-    keyed = base.withColumn("digest", digest(F.col("text")))
+    every = base.withColumn("digest", digest(F.col("text")))
+    keyed = (every.withColumn("prefix", prefix(F.col("digest")))
+             .join(hit_prefixes(state), "prefix", "left_semi").drop("prefix"))
     hits = state.where("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     texts = (keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
              .join(hits, ["digest", "salt"], "left_semi")
@@ -115,18 +134,21 @@ def _with_checked_bytes(base: DataFrame, decided: DataFrame, state: DataFrame,
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of
-    equal texts."""
-    stay = stored(decisions(docs, id_col, text_col).where("kept")
-                  .select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")), "dedup-kept")
+    equal texts. Rows whose digest has no prefix of a repeated text stay where
+    they are; only the others are moved."""
+    names = docs.columns
+    found = stored(decisions(docs, id_col, text_col).select(
+        F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"), "group_size", "kept"), "dedup-decided")
+    repeated = found.where("group_size > 1")
+    hits = F.broadcast(repeated.select(prefix(F.unhex("stay_sha")).alias("prefix")).distinct())
     sha = F.sha2(normalised(docs[text_col]), 256)
-    same = docs[id_col].cast("long").eqNullSafe(stay["stay_id"]) & (sha == stay["stay_sha"])
-    kept = docs.join(stay, same, "left_semi")
+    keyed = docs.select("*", sha.alias("__sha"), prefix(F.unhex(sha)).alias("__prefix"))
+    alone = keyed.join(hits, keyed["__prefix"] == hits["prefix"], "left_anti")
+    moved = keyed.join(hits, keyed["__prefix"] == hits["prefix"], "left_semi")
+    stay = found.where("kept").select("stay_id", "stay_sha")
+    same = moved[id_col].cast("long").eqNullSafe(stay["stay_id"]) & (moved["__sha"] == stay["stay_sha"])
+    kept = moved.join(stay, same, "left_semi")
     # A row that stays may be there several times, with its doc_id.
-    repeated = (docs.select(F.col(id_col).cast("long").alias("doc_id"), sha.alias("text_sha256"))
-                .groupBy("doc_id", "text_sha256").count().where("count > 1"))
-    if repeated.isEmpty():
-        return kept
-    order = Window.partitionBy(id_col, "__sha").orderBy(F.col(text_col))
-    names = docs.columns
-    return (kept.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-            .withColumn("__n", F.row_number().over(order)).where("__n = 1").select(names))
+    if not repeated.groupBy("stay_id", "stay_sha").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "__sha"])
+    return alone.select(names).unionByName(kept.select(names))
