@@ -17,7 +17,7 @@ copies of any size costs no more than its distinct fingerprints.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanlens.llm.common import batches, stored, text_bytes
 from loanlens.llm.components import components
@@ -37,6 +38,8 @@ MAX_BITS = 3
 TILE_ROWS = (16_384, 262_144)
 BLOCK = 512
 SEED = 42
+#: Shingles of a text that are counted at a time.
+SLICE = 1 << 16
 
 _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _POSITION = (np.arange(8, dtype=np.int64) * 256)[None, :]
@@ -49,17 +52,18 @@ def fingerprint(data: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
     if not tokens:
         return 0
     if len(tokens) < shingle_words:
-        shingles = [b" ".join(tokens)]
+        shingles = iter([b" ".join(tokens)])
     else:
-        shingles = map(b" ".join, zip(*(tokens[k:] for k in range(shingle_words))))
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))),
-                           dtype=np.uint8).reshape(-1, 8)
-    n = len(hashes)
-    if n > 96:
-        seen = np.bincount((hashes + _POSITION).ravel(), minlength=2048).reshape(8, 256)
-        ones = (seen @ _BIT_OF_BYTE).ravel()
-    else:
-        ones = np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
+        shingles = map(b" ".join, zip(*(islice(tokens, k, None) for k in range(shingle_words))))
+    digests, n, ones = map(xxhash.xxh64_digest, shingles, repeat(SEED)), 0, 0
+    while part := b"".join(islice(digests, SLICE)):  # a long text is counted in slices
+        hashes = np.frombuffer(part, dtype=np.uint8).reshape(-1, 8)
+        n += len(hashes)
+        if len(hashes) > 96:
+            seen = np.bincount((hashes + _POSITION).ravel(), minlength=2048).reshape(8, 256)
+            ones = ones + (seen @ _BIT_OF_BYTE).ravel()
+        else:
+            ones = ones + np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
     bits = np.packbits(2 * ones > n)
     return int(bits.view(">i8")[0])
 
@@ -192,23 +196,48 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component of null ids only has a null component_id. An empty table gives
     no rows; other columns of ``docs`` are ignored."""
     marked = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
+    named = named_fingerprints(marked, radius, tile_rows)
+    return (marked.join(named, "fp")
+            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                    "component_id"))
+
+
+def named_fingerprints(marked: DataFrame, radius: int, tile_rows: int | None = None) -> DataFrame:
+    """(fp, component_id, keeper): for each distinct fingerprint of ``marked``
+    (doc_id, fp) its component's smallest doc_id, and the least fingerprint of the
+    component that has a row with it (of all its fingerprints if all ids are null)."""
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), radius, tile_rows))
     member = (distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
               .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
-    least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return (marked.join(named, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    "component_id"))
+    first = F.min(F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "fp"))
+    least = member.groupBy("root").agg(first.alias("first"))
+    return member.join(least, "root").select("fp", F.col("first.least_id").alias("component_id"),
+                                             F.col("first.fp").alias("keeper"))
 
 
-def one_per_component(docs: DataFrame, named: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs``, all columns, whose id is the smallest of its component
-    (``named`` from ``simhash_components``); of rows repeated with that id one
-    stays. Rows with a null id can't be told apart and all stay."""
-    stay = stored(named.where("doc_id = component_id").groupBy("doc_id").count(), "simhash-kept")
-    kept = docs.join(stay, docs[id_col].cast("long") == stay["doc_id"], "left_semi")
-    if not stay.where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
+             radius: int = MAX_BITS, tile_rows: int | None = None) -> DataFrame:
+    """Rows of ``docs``, all columns: exactly one of each component, that with
+    the smallest doc_id (null ids last; of its rows the one with the least
+    fingerprint, and one of those that have both in common)."""
+    at, spot = docs.columns.index(text_col), docs.columns.index(id_col)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                texts = b.column(at).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array([fingerprint(t, shingle_words) for t in texts], pa.int64())],
+                    names=[*b.schema.names, "__fp"])
+
+    marked = stored(docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])),
+                    "simhash")
+    ids = marked[marked.columns[spot]].cast("long")
+    named = named_fingerprints(marked.select(ids.alias("doc_id"), F.col("__fp").alias("fp")), radius, tile_rows)
+    stay = stored(named.where("fp = keeper").select("fp", "component_id"), "simhash-kept")
+    kept = marked.join(stay, (marked["__fp"] == stay["fp"]) & ids.eqNullSafe(stay["component_id"]), "left_semi")
+    if not marked.groupBy(id_col, "__fp").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "__fp"])
+    return kept.drop("__fp")

@@ -57,7 +57,7 @@ def test_empty_documents(spark, make_docs):
 def test_sql(spark, name):
     con = duckdb.connect()
     con.execute("SET threads = 2")
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, SF)
@@ -69,7 +69,7 @@ def test_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_returns_a_row_for_each_input_row(spark, name):
     rows = QUERIES[name](spark, SF)
-    table = "pages" if name.startswith("op3") else "documents"
+    table = {"op3": "pages", "op11": "embeddings"}.get(name.split("_")[0], "documents")
     n = read_table(spark, SF, table).count()
     if name.startswith("op4"):
         assert rows.agg({"n_docs": "sum"}).first()[0] == n

@@ -115,9 +115,29 @@ def test_empty_table_and_clashing_columns(spark, make_docs, clashing, odd_rows):
     assert sorted(plain.collect()) == sorted(simhash.simhash_components(clashing(make_docs(rows))).collect())
 
 
-def test_one_per_component_keeps_all_columns(make_docs, clashing):
+def test_one_of_each_component_stays_with_all_columns(make_docs, clashing):
     docs = clashing(make_docs([(1, "a b c d e"), (2, "a b c d e"), (1, "a b c d e"), (None, "zz yy xx"), (5, "q w e r t")]))
-    kept = simhash.one_per_component(docs, simhash.simhash_components(docs))
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "5", "None"]
     assert kept.where(F.col("data") != "x").count() == 0
+
+
+def test_ids_that_stand_for_several_texts(make_docs, odd_rows):
+    """Rows with one id and different texts are different documents."""
+    a, b, c = "alpha beta gamma delta", "one two three four five", "red green blue black"
+    kept = simhash.keep_one(make_docs([(5, a), (5, b), (2, b), (None, b), (None, c), (None, c), (7, c)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(2, b), (5, a), (7, c)]
+    kept = simhash.keep_one(make_docs([(None, a), (None, a), (None, c)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(None, a), (None, c)]
+    for rows in (odd_rows, []):
+        docs = make_docs(rows)
+        assert simhash.keep_one(docs).count() == len({slow_fingerprint(t) for _, t in rows})
+
+
+def test_a_long_text_is_counted_in_slices(monkeypatch):
+    rng = random.Random(9)
+    text = " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(3000))
+    for size in (1, 7, 97, 1000):
+        monkeypatch.setattr(simhash, "SLICE", size)
+        assert simhash.fingerprint(text.encode()) % 2 ** 64 == slow_fingerprint(text)
