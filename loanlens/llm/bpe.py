@@ -46,6 +46,10 @@ WINDOW = 256
 _NEVER = 1 << 60
 
 
+#: Bits of a rank in the key of a pair of tokens (written out where it is used most).
+RANK_BITS = 20
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank, from a rank file (base64 token, space, rank)."""
     with open(path, "rb") as f:
@@ -56,6 +60,8 @@ class Transducer:
     """Lazily determinised transducer from bytes to token ids."""
 
     def __init__(self, ranks: dict[bytes, int], max_transitions: int = MAX_TRANSITIONS):
+        if max(ranks.values(), default=0) >> RANK_BITS:
+            raise ValueError(f"ranks of 2^{RANK_BITS} and more are not told apart")
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.max_transitions = max_transitions
@@ -118,7 +124,7 @@ class Transducer:
         at the border met there while the merges were done; the pair is not
         stable if those two would have merged before either was used up. At
         equal ranks the left merge comes first."""
-        key = one << 17 | two
+        key = one << 20 | two
         known = self.pair.get(key)
         if known is None:
             if one < 0:
@@ -193,7 +199,7 @@ class Transducer:
             state, ends = known(state << 8 | byte) or self._step(state, byte)
             for token, length in ends:
                 before = last[at - length]
-                fits = stable(before << 17 | token)
+                fits = stable(before << 20 | token)
                 if fits or (fits is None and self.stable(before, token)):
                     put(token)
                     break

@@ -124,3 +124,17 @@ def test_rows(make_docs, odd_rows, clashing):
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digests) == sorted(
         (i, len(ids), sha(",".join(map(str, ids))), sha(t)) for i, ids, t in want)
     assert bpe.token_digests(make_docs([]), RANKS, PATTERN).count() == 0
+
+
+def test_large_vocabularies_keep_their_pairs_apart():
+    """Ranks beyond 2^17: the same tokens as with small ranks; ranks that the
+    pair's key can't hold are refused."""
+    small = {bytes([k]): k for k in range(256)}
+    for k, pair in enumerate(("ab", "bc", "abc", "ca", "cab")):
+        small[pair.encode()] = 256 + k
+    large = {t: (r if r < 256 else r + 200_000) for t, r in small.items()}
+    for text in (b"abcabcab", b"cabcabab", b"bcabca", b"aabbcc"):
+        one, two = (bpe.Transducer(r).run(text) for r in (small, large))
+        assert [r if r < 256 else r + 200_000 for r in one] == list(two)
+    with pytest.raises(ValueError):
+        bpe.Transducer({b"a": 1 << 20})
