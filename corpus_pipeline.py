@@ -28,8 +28,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: 3-word shingles, 3 bits."""
-    named = simhash.simhash_components(docs, shingle_words=3, radius=3)
-    return simhash.one_per_component(docs, named)
+    return simhash.keep_one(docs, shingle_words=3, radius=3)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
