@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loanlens import constants as K
 from loanlens.functions import columns as C
 from loanlens.operators.clean import nan_to_null, outlier_fences
-from loanlens.operators.quantiles import NAME, quantiles_wide
+from loanlens.operators.quantiles import NAME, long_values, quantiles_wide
 
 
 def kpis(df: DataFrame, target: str = "LoanApproved", score: str = "CreditScore",
@@ -70,8 +70,7 @@ def _moments(df: DataFrame, cols: Sequence[str], names: Sequence[str]) -> DataFr
     """``(feature, n, <names>)``: one wide aggregate over the rows as they are
     (no row per column), then one row per column."""
     cols = list(cols)
-    made = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-            "skew": F.skewness, "kurt": F.kurtosis}
+    made = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     wide = df.select(*[C.no_nan(c).alias(c) for c in cols]).agg(
         *[made[m](F.col(c)).alias(f"{c}__{m}") for c in cols for m in ("n", *names)])
     rows = ", ".join(f"'{c}', " + ", ".join(f"`{c}__{m}`" for m in ("n", *names)) for c in cols)
@@ -167,7 +166,11 @@ def extremes_of(medians: DataFrame) -> DataFrame:
 
 def shape_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A10 + F21: population skewness and excess kurtosis, with verdicts."""
-    return verdicts_of(_moments(df, cols, ["skew", "kurt"]))
+    # One row per column: an aggregate of all columns side by side is one method
+    # too long for the JVM to compile.
+    m = long_values(df, cols).groupBy(NAME).agg(
+        F.count("x").alias("n"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"))
+    return verdicts_of(m)
 
 
 def verdicts_of(m: DataFrame) -> DataFrame:

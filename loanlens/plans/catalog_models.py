@@ -64,14 +64,15 @@ def batch_input(spark, d):
 
 @register("train_metrics")
 def train_metrics(spark, d):
-    """T1 + E1/E2/E5: hold-out metrics of the five supervised models."""
-    return bundle_for(spark, d).metrics
+    """T1 + E1/E2/E5: the five supervised models' metrics over the hold-out
+    rows of the loaded table."""
+    return M.evaluate_hold_out(load_customers(spark, d), bundle_for(spark, d))
 
 
 @register("model_comparison")
 def model_comparison(spark, d):
     """One row per model."""
-    return evaluate.comparison_table(bundle_for(spark, d).metrics)
+    return evaluate.comparison_table(M.evaluate_hold_out(load_customers(spark, d), bundle_for(spark, d)))
 
 
 @register("feature_importance")
@@ -88,10 +89,13 @@ def ridge_coefficients(spark, d):
 
 @register("kmeans_profile")
 def kmeans_profile(spark, d):
-    """M8 + A17 + M11: trained cluster profile with segment names."""
+    """M8 + A17 + M11: profile of the loaded table's customers by trained
+    cluster, with segment names."""
     b = bundle_for(spark, d)
+    rows = labelled(spark, d).na.fill(0.0, subset=b.clu_features)
+    profile = segments.cluster_profile(rows, [c for c in b.clu_features if c != "CreditScore"], extra=["LoanApproved"])
     labels = spark.createDataFrame(sorted(b.segment_labels.items()), "Cluster int, label string")
-    return b.cluster_profile.join(labels, "Cluster", "left").orderBy("Cluster")
+    return profile.join(labels, "Cluster", "left").orderBy("Cluster")
 
 
 @register("kmeans_segments")
@@ -116,10 +120,10 @@ def kmeans_segment_profile(spark, d):
 
 @register("elbow")
 def elbow(spark, d):
-    """M9: inertia for k = 2..8 (best of 5 starts)."""
+    """M9: inertia of the loaded table for k = 2..8 (best of 5 starts)."""
     b = bundle_for(spark, d)
-    return spark.createDataFrame([(int(k), float(v)) for k, v in b.inertias],
-                                 "k int, inertia double")
+    vecs = M.assemble(load_customers(spark, d), b.clu_features, b.scalers["clu"])
+    return M.elbow_table(vecs, b.elbow_centers)
 
 
 def _pca(spark, d):

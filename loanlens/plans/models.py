@@ -114,6 +114,7 @@ class Bundle:
     inertias: list[tuple[int, float]] = field(default_factory=list)
     #: Customers of each cluster at training.
     cluster_sizes: dict[int, int] = field(default_factory=dict)
+    elbow_centers: dict[int, list[list[float]]] = field(default_factory=dict)
     #: Feature stages (scaler and assembler) of the three tasks.
     features: dict[str, PipelineModel] = field(default_factory=dict)
 
@@ -173,14 +174,57 @@ def fit_kmeans(vecs: DataFrame, k: int, starts: int, seed: int = SEED):
     return min(_parallel([lambda s=s: _kmeans(vecs, k, seed + s, tol) for s in range(starts)]), key=lambda mc: mc[1])
 
 
-def elbow(vecs: DataFrame, ks=range(2, 9), starts: int = 5, seed: int = SEED) -> list:
-    """M9: (k, inertia) for k = 2..8, best of 5 starts each, over the cached
-    vectors that M8 uses, by the same fit as M8. All runs are independent and
-    share the executors; the long ones (large k) begin first."""
+def elbow_fits(vecs: DataFrame, ks=range(2, 9), starts: int = 5, seed: int = SEED) -> list:
+    """M9: (k, inertia, centres) for k = 2..8, best of 5 starts each, over the
+    cached vectors that M8 uses, by the same fit as M8. All runs are independent
+    and share the executors; the long ones (large k) begin first."""
     tol = spark_kmeans_tol(vecs)
     jobs = [(k, s) for k in sorted(ks, reverse=True) for s in range(starts)]
-    costs = _parallel([lambda k=k, s=s: (k, float(_kmeans(vecs, k, seed + s, tol(k))[1])) for k, s in jobs], workers=8)
-    return [(k, min(c for j, c in costs if j == k)) for k in ks]
+    runs = _parallel([lambda k=k, s=s: (k, *_kmeans(vecs, k, seed + s, tol(k))) for k, s in jobs], workers=8)
+    best = {k: min((r for r in runs if r[0] == k), key=lambda r: r[2]) for k in ks}
+    return [(k, float(cost), [c.tolist() for c in m.clusterCenters()]) for k, m, cost in best.values()]
+
+
+def elbow_table(vecs: DataFrame, centers: dict[int, list[list[float]]]) -> DataFrame:
+    """M9 over any rows: the sum of squared distances to the nearest of the
+    fitted centres, by k. One aggregate; the centres are literals."""
+    x = vector_to_array(F.col("features"))
+
+    def cost(rows: list[list[float]]):
+        dist = [F.aggregate(F.zip_with(x, F.array(*map(C.dlit, row)), lambda a, b: (a - b) * (a - b)),
+                            C.dlit(0), lambda acc, v: acc + v) for row in rows]
+        return F.sum(F.least(*dist) if len(dist) > 1 else dist[0])
+
+    row = vecs.agg(*[cost(c).alias(f"k{k}") for k, c in centers.items()])
+    pairs = ", ".join(f"{k}, k{k}" for k in centers)
+    return row.selectExpr(f"stack({len(centers)}, {pairs}) AS (k, inertia)").where("inertia IS NOT NULL")
+
+
+def hold_out_metrics(test_c: DataFrame, test_r: DataFrame, models: dict) -> DataFrame:
+    """E1, E2, E5 of the five supervised models on rows with ``features`` and
+    ``label`` or ``score``: a long table of 15 rows."""
+    spark, rows = test_c.sparkSession, []
+    for name in ("lr", "rf_clf", "gb_clf"):
+        # scored once: the metrics read the stored scores several times
+        pred = materialize(models[name].transform(test_c)
+                           .select("label", positive_probability().alias("p1")))
+        m = classification_metrics(pred, "label", "p1").first()
+        rows += [(name, "classification", k, float(m[k])) for k in ("accuracy", "roc_auc", "f1")]
+    for name in ("ridge", "rf_reg"):
+        pred = models[name].transform(test_r)
+        m = regression_metrics(pred, "score", "prediction").first()
+        rows += [(name, "regression", k, float(m[k])) for k in ("rmse", "r2", "mae")]
+    return spark.createDataFrame(rows, "model string, task string, metric string, value double")
+
+
+def evaluate_hold_out(df: DataFrame, bundle: Bundle) -> DataFrame:
+    """The hold-out metrics of trained models over the rows that the split
+    keeps apart (M2 is a function of the key, so these are training's)."""
+    test = split(df, 20, SEED).where("is_test = 1")
+    vectors = {task: with_features(test, bundle.features[task]).select(
+        F.col("LoanApproved").cast("int").alias("label"), F.col("CreditScore").cast("double").alias("score"),
+        F.col(f"__f_{task}").alias("features")) for task in ("clf", "reg")}
+    return hold_out_metrics(vectors["clf"], vectors["reg"], bundle.models)
 
 
 def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "train",
@@ -254,28 +298,16 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "train",
         cached.append(Xk)
         fits["kmeans"] = lambda: fit_kmeans(Xk, 4, p["km_starts"])[0]
         if with_elbow:
-            fits["elbow"] = lambda: elbow(Xk)
+            fits["elbow"] = lambda: elbow_fits(Xk)
         names = list(fits)
         results = _parallel([lambda n=n: timed("fit_" + n if n != "elbow" else n, fits[n])
                              for n in names], workers=len(names))
         for n, r in zip(names, results):
             if n != "elbow":
                 models[n] = r
-        inertias = results[names.index("elbow")] if with_elbow else []
-
-        rows = []
-        for name in ("lr", "rf_clf", "gb_clf"):
-            # scored once: the metrics read the stored scores several times
-            pred = materialize(models[name].transform(test_c)
-                               .select("label", positive_probability().alias("p1")))
-            m = classification_metrics(pred, "label", "p1").first()
-            rows += [(name, "classification", k, float(m[k])) for k in ("accuracy", "roc_auc", "f1")]
-        for name in ("ridge", "rf_reg"):
-            pred = models[name].transform(test_r)
-            m = regression_metrics(pred, "score", "prediction").first()
-            rows += [(name, "regression", k, float(m[k])) for k in ("rmse", "r2", "mae")]
-        metrics = spark.createDataFrame(rows, "model string, task string, metric string, "
-                                              "value double")
+        fitted = results[names.index("elbow")] if with_elbow else []
+
+        metrics = hold_out_metrics(test_c, test_r, models)
 
         # The raw features ride along with the vectors, so no join is needed.
         clustered = models["kmeans"].transform(Xk).withColumnRenamed("prediction", "Cluster")
@@ -286,8 +318,8 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "train",
         labels = {int(r["Cluster"]): r["label"] for r in names}
         profile = spark.createDataFrame(profile.collect(), profile.schema)
         sizes = segments.cluster_size_map(clustered).first()["sizes"]
-        metrics = spark.createDataFrame(metrics.collect(), metrics.schema)
-        return Bundle(clf_f, reg_f, clu_f, scalers, models, metrics, labels, profile, inertias, sizes)
+        return Bundle(clf_f, reg_f, clu_f, scalers, models, metrics, labels, profile,
+                      [f[:2] for f in fitted], sizes, elbow_centers={f[0]: f[2] for f in fitted})
     finally:
         for frame in cached:
             frame.unpersist()
@@ -310,7 +342,8 @@ def save_artifacts(bundle: Bundle, path: str) -> None:
             "clu_features": bundle.clu_features, "scalers": bundle.scalers,
             "segment_labels": {str(k): v for k, v in bundle.segment_labels.items()},
             "inertias": bundle.inertias, "version": VERSION,
-            "cluster_sizes": {str(k): v for k, v in bundle.cluster_sizes.items()}}
+            "cluster_sizes": {str(k): v for k, v in bundle.cluster_sizes.items()},
+            "elbow_centers": {str(k): v for k, v in bundle.elbow_centers.items()}}
     for task, pipeline in bundle.features.items():
         pipeline.write().overwrite().save(f"{path}/features_{task}")
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
@@ -347,6 +380,7 @@ def _load_artifacts(spark: SparkSession, path: str) -> Bundle:
                   spark.read.parquet(f"{path}/cluster_profile"),
                   [tuple(x) for x in meta.get("inertias", [])],
                   {int(k): v for k, v in meta["cluster_sizes"].items()},
+                  {int(k): v for k, v in meta["elbow_centers"].items()},
                   {task: PipelineModel.load(f"{path}/features_{task}") for task in ("clf", "reg", "clu")})
 
 

@@ -103,6 +103,21 @@ def test_segments_and_elbow(bundle):
     assert dict(bundle.inertias)[4] <= bundle.models["kmeans"].summary.trainingCost * 1.05
 
 
+def test_elbow_table_and_metrics_over_the_rows(base, bundle):
+    """Over the training table they are what training found; over more rows
+    they follow the rows."""
+    vecs = M.assemble(base, bundle.clu_features, bundle.scalers["clu"])
+    got = {r["k"]: r["inertia"] for r in M.elbow_table(vecs, bundle.elbow_centers).collect()}
+    assert sorted(got) == list(range(2, 9))
+    for k, cost in bundle.inertias:
+        assert np.isclose(got[k], cost, rtol=1e-6)
+    twice = {r["k"]: r["inertia"] for r in M.elbow_table(vecs.unionByName(vecs), bundle.elbow_centers).collect()}
+    assert all(np.isclose(twice[k], 2 * v) for k, v in got.items())
+    key = lambda r: (r["model"], r["metric"])
+    a, b = ({key(r): r["value"] for r in m.collect()} for m in (M.evaluate_hold_out(base, bundle), bundle.metrics))
+    assert a.keys() == b.keys() and all(np.isclose(a[k], b[k], atol=0.011) for k in a)
+
+
 def test_cluster_profile_is_of_the_trained_clusters(base, bundle):
     named = segment_customers(base, bundle)
     want = segments.cluster_profile(named.na.fill(0), [c for c in bundle.clu_features if c != "CreditScore"],
