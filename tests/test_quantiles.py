@@ -1,9 +1,11 @@
 """Distributed ordered statistics against numpy / single-partition results."""
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loanlens.operators import clean, distribution, histogram
 from loanlens.operators.quantiles import (cumulative_before, exact_quantiles, expand_positions,
                                           global_positions, quantiles_wide)
 
@@ -94,3 +96,90 @@ def test_null_group_and_all_nan_column(spark):
     got = {r["g"]: r["median"] for r in quantiles_wide(df, ["x"], [0.5], ["median"], ["g"]).collect()}
     assert got == {"a": 2.0, None: 5.0}
     assert quantiles_wide(df, ["y"], [0.5], ["median"]).count() == 0
+
+
+# ------------------------------------------- plans that move no raw row -----
+@pytest.fixture()
+def no_auto_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def rows_shuffled(df):
+    """Rows that the shuffles over the scan wrote, from the run's own metrics."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize("kind", ["grid", "one", "by", "box", "fliers"])
+def test_only_partial_counts_are_shuffled(spark, no_auto_broadcast, kind):
+    n = 40_000
+    df = spark.range(0, n, 1, 4).selectExpr("id as RespondentID", "cast(id as double) as x", "cast(id % 977 as double) as y",
+                                            "concat('g', id % 3) as g")
+    made = {"grid": lambda: histogram.histogram_grid(df, ["x", "y"], 30), "one": lambda: histogram.histogram(df, "x", 30),
+            "by": lambda: histogram.histogram_by(df, "x", "g", 30), "box": lambda: distribution.box_stats(df, "g", "x"),
+            "fliers": lambda: distribution.box_fliers(df, "g", "x")}[kind]()
+    assert rows_shuffled(made) < n / 10
+
+
+def test_many_groups_take_the_counted_path(spark):
+    """More groups than may be broadcast: the same results."""
+    df = spark.range(3000).selectExpr("concat('g', id % 40) as g", "cast((id * 37) % 211 as double) as x")
+    for few, many in ((histogram.histogram_by(df, "x", "g", 12), histogram.histogram_by(df, "x", "g", 12, small=3)),
+                      (distribution.box_stats(df, "g", "x"), distribution.box_stats(df, "g", "x", small=3)),
+                      (distribution.box_fliers(df, "g", "x", whis=0.1), distribution.box_fliers(df, "g", "x", whis=0.1, small=3))):
+        a, b = sorted(map(tuple, few.collect())), sorted(map(tuple, many.select(few.columns).collect()))
+        assert a == b and a
+
+
+def test_approximate_median_rank_error_in_one_pass(spark):
+    n = 60_000
+    df = spark.range(n).selectExpr("cast(pow(id * 7919 % 60013, 1.5) as double) as a",
+                                   "if(id % 5 = 0, null, cast(id % 1000 as double)) as b",
+                                   "if(id % 7 = 0, double('NaN'), cast((id * 31) % 50021 as double)) as c", "id as d")
+    approximate = clean.fit_medians(df, ["a", "b", "c"], exact=False)
+    assert set(approximate) == {"b", "c"}  # the columns with nulls or NaN
+    for c, m in approximate.items():
+        x = np.sort([r[0] for r in df.select(c).collect() if r[0] is not None and r[0] == r[0]])
+        low, high = np.searchsorted(x, m, "left"), np.searchsorted(x, m, "right")
+        middle = len(x) / 2
+        assert low - len(x) / clean.ACCURACY - 1 <= middle <= high + len(x) / clean.ACCURACY + 1
+    exact = clean.impute_median(df, ["a", "b", "c"])
+    rough = clean.impute_median(df, ["a", "b", "c"], exact=False)
+    assert rough.where("b is null or isnan(c)").count() == exact.where("b is null or isnan(c)").count() == 0
+
+
+def test_label_codes_model(spark, tmp_path):
+    from pyspark.ml.feature import StringIndexerModel
+    df = spark.createDataFrame([("b", 1, "x"), ("a", 2, None), (None, 2, "nan"), ("c", 1, "x")], "k string, n int, m string")
+    model = clean.fit_label_codes(df, ["k", "n", "m", "absent"])
+    model.write().overwrite().save(str(tmp_path / "codes"))
+    loaded = StringIndexerModel.load(str(tmp_path / "codes"))
+    want = [("b", 1, "x", 1, 0, 1), ("a", 2, None, 0, 1, 0), (None, 2, "nan", 3, 1, 0), ("c", 1, "x", 2, 0, 1)]
+    for m in (None, model, loaded):
+        got = clean.label_encode(df, ["k", "n", "m"], model=m)
+        assert got.columns == ["k", "n", "m", "k_Enc", "n_Enc", "m_Enc"]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    other = clean.label_encode(spark.createDataFrame([("zz", 7)], "k string, n int"), ["k", "n"], model=loaded)
+    assert tuple(other.first()) == ("zz", 7, 4, 2)  # unseen: the number of labels
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    df.write.parquet(str(tmp_path / "in"))
+    stream = clean.label_encode(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), ["k", "n", "m"], model=loaded)
+    (stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+     .trigger(availableNow=True).start().awaitTermination())
+    assert sorted(map(str, map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))) == sorted(map(str, want))
+    assert clean.label_encode(df, ["absent"]).columns == df.columns
