@@ -50,9 +50,9 @@ def prefix(digest: Column) -> Column:
     return F.floor(head / F.pow(F.lit(2.0), spare)).cast("int")
 
 
-def hit_prefixes(state: DataFrame) -> DataFrame:
+def hit_prefixes(hits: DataFrame) -> DataFrame:
     """(prefix) of the digests met more than once: bounded by PREFIX_BITS."""
-    return F.broadcast(state.where("n > 1").select(prefix(F.col("digest")).alias("prefix")).distinct())
+    return F.broadcast(hits.select(prefix(F.col("digest")).alias("prefix")).distinct())
 
 
 def stream_state(spark: SparkSession, folder: str, schema, files_per_batch: int = FILES_PER_BATCH,
@@ -97,21 +97,34 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
      .write.parquet(folder))
     table = spark.read.parquet(folder)
     state = stream_state(spark, folder, table.schema, files_per_batch)
-    state = stored(state, "dedup-groups")
-    decided = (table.join(state.select("digest", "n", F.col("first").alias("keeper")), "digest")
-               .select(F.col("first.doc_id").alias("doc_id"), F.col("keeper.doc_id").alias("keep_id"),
-                       F.col("n").alias("group_size"), (F.col("first.row") == F.col("keeper.row")).alias("kept"),
-                       F.lower(F.hex("sha")).alias("text_sha256"), "digest"))
-    return _with_checked_bytes(base, decided, state, digest).drop("digest")
-
-
-def _with_checked_bytes(base: DataFrame, decided: DataFrame, state: DataFrame,
+    hits = stored(state.where("n > 1"), "dedup-hits")
+    # A row whose digest is no hit is its own group; no other row is moved.
+    prefixes = hit_prefixes(hits)
+    marked = table.withColumn("prefix", prefix(F.col("digest")))
+    spread = hits.select("digest", "n", F.col("first").alias("keeper"),
+                         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    moved = (marked.join(prefixes, "prefix", "left_semi")
+             .withColumn("salt", F.pmod(F.xxhash64("first.row"), F.lit(SALTS)).cast("int"))
+             .join(spread, ["digest", "salt"], "left"))
+    alone = (marked.join(prefixes, "prefix", "left_anti")
+             .withColumn("n", F.lit(None).cast("long")).withColumn("keeper", F.lit(None).cast(table.schema["first"].dataType)))
+    columns = ("digest", "sha", "first", "n", "keeper")
+    decided = moved.select(*columns).unionByName(alone.select(*columns)).select(
+        F.col("first.doc_id").alias("doc_id"),
+        F.when(F.col("n").isNull(), F.col("first.doc_id")).otherwise(F.col("keeper.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("n").isNull() | (F.col("first.row") == F.col("keeper.row"))).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"), "digest")
+    return _with_checked_bytes(base, decided, hits, digest).drop("digest")
+
+
+def _with_checked_bytes(base: DataFrame, decided: DataFrame, found: DataFrame,
                         digest: Callable[[Column], Column]) -> DataFrame:
     """``decided`` after the full texts of all hits were compared."""
     every = base.withColumn("digest", digest(F.col("text")))
     keyed = (every.withColumn("prefix", prefix(F.col("digest")))
-             .join(hit_prefixes(state), "prefix", "left_semi").drop("prefix"))
-    hits = state.where("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+             .join(hit_prefixes(found), "prefix", "left_semi").drop("prefix"))
+    hits = found.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     texts = (keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
              .join(hits, ["digest", "salt"], "left_semi")
              .groupBy("digest", "text").agg(F.count("*").alias("n")))
