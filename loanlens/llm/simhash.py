@@ -179,8 +179,11 @@ def links(distinct: DataFrame, radius: int = MAX_BITS, tile_rows: int | None = N
         node, root = tile_forest(a, b, radius)
         return pd.DataFrame({"u": node.view(np.int64), "v": root.view(np.int64)})
 
+    # Tasks by number: a pair's cost is in its comparisons, not in its bytes, by
+    # which small partitions would be put together.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (dealt.select("low", "high", "is_low", "fp", (F.col("low") == F.col("high")).alias("same"))
-            .groupBy("low", "high").applyInPandas(compare, "u long, v long"))
+            .repartition(tasks, "low", "high").groupBy("low", "high").applyInPandas(compare, "u long, v long"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
