@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import base64
 import codecs
+import contextlib
 import functools
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -230,6 +232,10 @@ class Transducer:
         return last[cut:]
 
 
+#: Letters below this are letters for the pattern's engine and for Python alike.
+_PLAIN_LETTERS = "\u0250"
+
+
 class Encoder:
     """Pieces of a text by a pattern, each encoded by the transducer.
 
@@ -251,7 +257,7 @@ class Encoder:
         """Token ids of a chunk, and the same in decimal. A piece that is a
         space and a word is looked up like a chunk; other pieces have a store
         of their own."""
-        if chunk[0] == " " and chunk.isascii() and chunk[1:].isalpha():
+        if chunk[0] == " " and chunk[1:].isalpha() and max(chunk) < _PLAIN_LETTERS:
             return self._ids(chunk)  # a piece for certain
         parts = []
         for piece in self.pieces(chunk):
@@ -321,13 +327,12 @@ class Encoder:
         words = text.split(" ")
         found = list(map(self.young.get, words))
         # The young store has only words that may be cut off.
-        if None not in found and not self._open(words[0]):
-            found[0] = self._run(words[0])
-            return found
-        new = [w for w, hit in zip(words, found) if hit is None]
-        if any(map(self._open, new)) or self._open(words[0]):
+        new = [k for k, hit in enumerate(found) if hit is None]
+        if any([self._open(words[k]) for k in new]) or self._open(words[0]):
             return list(self._chunks(words))
-        found = [self._word(w) if hit is None else hit for w, hit in zip(words, found)]
+        for k in new:
+            word = words[k]
+            found[k] = self.young.get(word) or self._keep(word, self.old.get(word) or self._run(" " + word))
         found[0] = self._run(words[0])
         return found
 
@@ -443,6 +448,19 @@ def coder(path: str, pattern: str) -> tuple[Encoder, Decoder]:
     return Encoder(ranks, pattern), Decoder(ranks)
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without the search for cyclic garbage: coding makes none, and the stores
+    would be searched again and again (a third of the time)."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def utf8_text(data: bytes | None) -> str:
     """Text of UTF-8 bytes; null is empty."""
     return codecs.decode(data, "utf-8", "replace") if data else ""
@@ -464,7 +482,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                     part = b.slice(k, 256)
                     ids = [encoder.encode(utf8_text(t)) for t in part.column(1).to_pylist()]
                     yield [part.column(0), ids, list(map(decoder.decode, ids))]
-        yield from batches(schema, rows())
+        with no_cycles():
+            yield from batches(schema, rows())
         encoder.rest()
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))
@@ -495,7 +514,8 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                     id_shas.append(sha(decimal.encode()))
                     text_shas.append(sha(decoder.decode(ids).encode()))
                 yield [b.column(0), counts, id_shas, text_shas]
-        yield from batches(schema, rows())
+        with no_cycles():
+            yield from batches(schema, rows())
         encoder.rest()
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))

@@ -28,8 +28,9 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str, text_col: st
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = coder(ranks_path, pattern)
-        yield from batches(schema, (
-            [[encoder.count(utf8_text(t)) for t in b.column(0).to_pylist()]] for b in it))
+        with bpe.no_cycles():
+            yield from batches(schema, (
+                [[encoder.count(utf8_text(t)) for t in b.column(0).to_pylist()]] for b in it))
         encoder.rest()
 
     return docs.select(text_bytes(text_col).alias("data")).mapInArrow(run, "n_tokens long")
