@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loanlens.llm.bpe import coder, utf8_text
+from loanlens.llm.bpe import coder, no_cycles, utf8_text
 from loanlens.llm.common import batches, stored, text_bytes
 
 RANGE = 4096
@@ -28,7 +28,7 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str, text_col: st
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = coder(ranks_path, pattern)
-        with bpe.no_cycles():
+        with no_cycles():
             yield from batches(schema, (
                 [[encoder.count(utf8_text(t)) for t in b.column(0).to_pylist()]] for b in it))
         encoder.rest()
