@@ -37,7 +37,7 @@ def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """``(threshold, pos, neg, pos_before, neg_before, fpr, tpr)`` for
     every distinct score, descending; ties collapsed into one point. Before them
-    the curve's start (0, 0), above every score: its threshold is null."""
+    the curve's start (0, 0), above every score: its threshold is infinite."""
     g = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
          .groupBy(F.col(score).cast("double").alias("threshold"))
          .agg(F.count_if(F.col(label) == 1).alias("pos"),
@@ -48,7 +48,7 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     P, N = totals.select("P").scalar(), totals.select("N").scalar()
     zero = F.lit(0).cast("long")
     start = totals.where("P IS NOT NULL").select(
-        F.lit(None).cast("double").alias("threshold"), *[zero.alias(c) for c in ("pos", "neg", "pos_before", "neg_before")])
+        F.lit(float("inf")).alias("threshold"), *[zero.alias(c) for c in ("pos", "neg", "pos_before", "neg_before")])
     return cum.select(*start.columns).unionByName(start).select(
         "threshold", "pos", "neg", "pos_before", "neg_before",
         F.try_divide((F.col("neg_before") + F.col("neg")).cast("double"), N.cast("double"))

@@ -80,8 +80,8 @@ def eval_confusion(spark, d):
     "SELECT threshold, pos, neg, pos_before, neg_before, "
     "CAST(neg_before + neg AS DOUBLE) / CAST((SELECT sum(neg) FROM rg) AS DOUBLE) AS fpr, "
     "CAST(pos_before + pos AS DOUBLE) / CAST((SELECT sum(pos) FROM rg) AS DOUBLE) AS tpr "
-    "FROM rc UNION ALL SELECT NULL, 0, 0, 0, 0, 0, 0 WHERE EXISTS (SELECT 1 FROM rg)",
-    SCORED_CTE + ",\n" + ROC_CTE), digits={"fpr": R6, "tpr": R6, "threshold": 9})
+    "FROM rc UNION ALL SELECT CAST('Infinity' AS DOUBLE), 0, 0, 0, 0, 0, 0 WHERE EXISTS (SELECT 1 FROM rg)",
+    SCORED_CTE + ",\n" + ROC_CTE), digits={"fpr": R6, "tpr": R6})
 def eval_roc_points(spark, d):
     """One ROC point per distinct score (ties collapsed), and the start."""
     return evaluate.roc_points(scored(spark, d), "LoanApproved", "prob")
