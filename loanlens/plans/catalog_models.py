@@ -4,7 +4,8 @@ quality is tested in tests/ with tolerances.
 
 Models are trained once per input folder and preset, saved in the shared
 checkpoint folder, and loaded by later queries (the reference's
-train-if-missing behaviour, S8)."""
+train-if-missing behaviour, S8). A query names the models it reads; those are
+trained and loaded, no others."""
 
 from __future__ import annotations
 
@@ -26,34 +27,36 @@ from loanlens.store import stored_table
 from loanlens.streaming.score_stream import start_scoring_stream
 
 PRESET = "fast"
+#: The models of a scored application.
+SCORING = (*M.CLASSIFIERS, "ridge", "kmeans")
 
 
-def bundle_for(spark, d, preset: str = PRESET) -> M.Bundle:
+def bundle_for(spark, d, *parts: str, preset: str = PRESET) -> M.Bundle:
     return M.ensure_artifacts(spark, lambda: load_customers(spark, d),
-                              key=f"{d}|{M.input_version(spark, d)}", preset=preset)
+                              key=f"{d}|{M.input_version(spark, d)}", preset=preset, parts=parts)
 
 
 def scored_batch(spark, d):
     """The batch scored once per session; the queries below read it."""
     return stored_table("scored", spark, d, lambda: score_with_models(
-        batch_input(spark, d), bundle_for(spark, d), mode="batch"))
+        batch_input(spark, d), bundle_for(spark, d, *SCORING), mode="batch"))
 
 
 def probabilities(spark, d):
     """The loaded table's classifier probabilities, once per session."""
     return stored_table("probabilities", spark, d, lambda: model_probabilities(
-        load_customers(spark, d), bundle_for(spark, d)))
+        load_customers(spark, d), bundle_for(spark, d, *M.CLASSIFIERS)))
 
 
 def predictions(spark, d):
     """C10 over the loaded table, once per session."""
     return stored_table("predictions", spark, d, lambda: regression_predictions(
-        load_customers(spark, d), bundle_for(spark, d)))
+        load_customers(spark, d), bundle_for(spark, d, *M.REGRESSORS)))
 
 
 def labelled(spark, d):
     """The loaded table with the trained segment of every customer."""
-    return segment_customers(load_customers(spark, d), bundle_for(spark, d))
+    return segment_customers(load_customers(spark, d), bundle_for(spark, d, "kmeans"))
 
 
 def batch_input(spark, d):
@@ -66,32 +69,32 @@ def batch_input(spark, d):
 def train_metrics(spark, d):
     """T1 + E1/E2/E5: the five supervised models' metrics over the hold-out
     rows of the loaded table."""
-    return M.evaluate_hold_out(load_customers(spark, d), bundle_for(spark, d))
+    return M.evaluate_hold_out(load_customers(spark, d), bundle_for(spark, d, *M.SUPERVISED))
 
 
 @register("model_comparison")
 def model_comparison(spark, d):
     """One row per model."""
-    return evaluate.comparison_table(M.evaluate_hold_out(load_customers(spark, d), bundle_for(spark, d)))
+    return evaluate.comparison_table(M.evaluate_hold_out(load_customers(spark, d), bundle_for(spark, d, *M.SUPERVISED)))
 
 
 @register("feature_importance")
 def feature_importance(spark, d):
     """Top-20 forest importances, ascending, with band."""
-    return M.feature_importance(spark, bundle_for(spark, d))
+    return M.feature_importance(spark, bundle_for(spark, d, "rf_clf"))
 
 
 @register("ridge_coefficients")
 def ridge_coefficients(spark, d):
     """M13."""
-    return M.ridge_coefficients(spark, bundle_for(spark, d))
+    return M.ridge_coefficients(spark, bundle_for(spark, d, "ridge"))
 
 
 @register("kmeans_profile")
 def kmeans_profile(spark, d):
     """M8 + A17 + M11: profile of the loaded table's customers by trained
     cluster, with segment names."""
-    b = bundle_for(spark, d)
+    b = bundle_for(spark, d, "kmeans")
     rows = labelled(spark, d).na.fill(0.0, subset=b.clu_features)
     profile = segments.cluster_profile(rows, [c for c in b.clu_features if c != "CreditScore"], extra=["LoanApproved"])
     labels = spark.createDataFrame(sorted(b.segment_labels.items()), "Cluster int, label string")
@@ -121,13 +124,13 @@ def kmeans_segment_profile(spark, d):
 @register("elbow")
 def elbow(spark, d):
     """M9: inertia of the loaded table for k = 2..8 (best of 5 starts)."""
-    b = bundle_for(spark, d)
+    b = bundle_for(spark, d, "elbow")
     vecs = M.assemble(load_customers(spark, d), b.clu_features, b.scalers["clu"])
     return M.elbow_table(vecs, b.elbow_centers)
 
 
 def _pca(spark, d):
-    b = bundle_for(spark, d)
+    b = bundle_for(spark, d, "kmeans")
     keep = ["RespondentID", "Cluster_Label"]
     vecs = M.assemble(labelled(spark, d), b.clu_features, b.scalers["clu"], keep=keep)
     return M.pca_projection(vecs, keep=keep)
@@ -241,13 +244,13 @@ def model_trend_line(spark, d, model):
 @register("feature_importance_top5")
 def feature_importance_top5(spark, d):
     """The five most important features."""
-    return M.feature_importance(spark, bundle_for(spark, d), 5)
+    return M.feature_importance(spark, bundle_for(spark, d, "rf_clf"), 5)
 
 
 @register("ridge_extremes")
 def ridge_extremes(spark, d):
     """Three coefficients that push the score up and three down."""
-    return M.ridge_extremes(spark, bundle_for(spark, d))
+    return M.ridge_extremes(spark, bundle_for(spark, d, "ridge"))
 
 
 @register("model_roc_points")
@@ -277,7 +280,7 @@ def model_confusion(spark, d):
 def live_stream_scores(spark, d):
     """Applications arriving as files are scored by a Structured
     Streaming query with the live formulas; the sink is read back."""
-    b = bundle_for(spark, d)
+    b = bundle_for(spark, d, *SCORING)
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     src, sink, ckpt = f"{root}/incoming", f"{root}/scored", f"{root}/_checkpoint"
     batch = batch_input(spark, d)

@@ -21,8 +21,11 @@ import hashlib
 import json
 import math
 import os
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier,
@@ -57,7 +60,13 @@ PRESETS = {
                  km_starts=2),
 }
 SEED = 42
-VERSION = "4"  # bumped when training output changes; old artifacts are not reused
+KMEANS_ITERATIONS = 300
+LLOYD_ROWS = 4_096  # rows whose distances to all centres are held at once
+CLASSIFIERS, REGRESSORS = ("lr", "rf_clf", "gb_clf"), ("ridge", "rf_reg")
+SUPERVISED = CLASSIFIERS + REGRESSORS
+#: What can be trained on its own; each has a sentinel in the artifact folder.
+PARTS = (*SUPERVISED, "kmeans", "elbow")
+VERSION = "5"  # bumped when training output changes; old artifacts are not reused
 
 
 def present(df: DataFrame, cols) -> list[str]:
@@ -163,26 +172,90 @@ def spark_kmeans_tol(vecs: DataFrame, rel_tol: float = 1e-4):
 
 
 def _kmeans(vecs: DataFrame, k: int, seed: int, tol: float):
-    m = KMeans(k=k, seed=seed, featuresCol="features", maxIter=300, tol=tol).fit(vecs)
+    m = KMeans(k=k, seed=seed, featuresCol="features", maxIter=KMEANS_ITERATIONS, tol=tol).fit(vecs)
     return m, m.summary.trainingCost
 
 
+def kmeans_runs(vecs: DataFrame, starts: Sequence[tuple[int, int]]) -> list[tuple[int, float, np.ndarray]]:
+    """(k, cost, centres) of each start (k, seed): Spark's own initial centres,
+    then Lloyd iterations of all starts together, so that an iteration reads the
+    vectors once. A centre without rows stays, a start ends when each of its centres
+    moved at most its bound, and its cost is that of its last iteration, all as in
+    Spark's K-Means. Tasks return sums by centre; no row leaves them."""
+    tol = spark_kmeans_tol(vecs)
+    first = _parallel([lambda k=k, s=s: KMeans(k=k, seed=s, featuresCol="features", maxIter=0).fit(vecs)
+                       for k, s in starts], workers=8)
+    centers = [np.array(m.clusterCenters()) for m in first]
+    costs, going = [0.0] * len(starts), list(range(len(starts)))
+    x = vecs.select(vector_to_array("features").alias("x"))
+    for _ in range(KMEANS_ITERATIONS):
+        if not going:
+            break
+        sums = {(r["run"], r["center"]): r for r in lloyd_sums(x, {i: centers[i] for i in going}).collect()}
+        moved = []
+        for i in going:
+            new = centers[i].copy()
+            for j in range(len(new)):
+                if (i, j) in sums:
+                    new[j] = np.array(sums[i, j]["sums"]) / sums[i, j]["n"]
+            costs[i] = sum(sums[i, j]["cost"] for j in range(len(new)) if (i, j) in sums)
+            if (((new - centers[i]) ** 2).sum(1) > tol(starts[i][0]) ** 2).any():
+                moved.append(i)
+            centers[i] = new
+        going = moved
+    return [(k, costs[i], centers[i]) for i, (k, _) in enumerate(starts)]
+
+
+def lloyd_sums(x: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
+    """run, center, n, cost, sums: number, summed squared distance and sum of the
+    rows (``x``: array column) nearest to each run's centres that have any; the
+    first of equally near ones. Summed in the tasks, then over them."""
+    table, d = np.concatenate(list(centers.values())), len(next(iter(centers.values()))[0])
+    cuts = np.cumsum([0, *map(len, centers.values())])
+    runs, norms = list(centers), (table * table).sum(1)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, cost, total = np.zeros(len(table), np.int64), np.zeros(len(table)), np.zeros((len(table), d))
+        for batch in it:
+            for at in range(0, batch.num_rows, LLOYD_ROWS):
+                rows = batch.column(0).slice(at, LLOYD_ROWS).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                far = norms - 2 * (rows @ table.T)
+                own = (rows * rows).sum(1)
+                near = np.zeros(far.shape)
+                for a, b in zip(cuts, cuts[1:]):
+                    best = far[:, a:b].argmin(1)
+                    n[a:b] += np.bincount(best, minlength=b - a)
+                    away = np.maximum(own + far[np.arange(len(rows)), a + best], 0)
+                    cost[a:b] += np.bincount(best, away, b - a)
+                    near[np.arange(len(rows)), a + best] = 1
+                total += near.T @ rows
+        used = np.flatnonzero(n)
+        run_of = np.searchsorted(cuts, used, "right") - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([runs[i] for i in run_of], pa.int32()), pa.array(used - cuts[run_of], pa.int32()),
+             pa.array(n[used]), pa.array(cost[used]), *[pa.array(total[used, c]) for c in range(d)]],
+            names=["run", "center", "n", "cost", *[f"s{c}" for c in range(d)]])
+
+    columns = ", ".join(f"s{c} double" for c in range(d))
+    return (x.mapInArrow(run, f"run int, center int, n long, cost double, {columns}").groupBy("run", "center")
+            .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+                 F.array(*[F.sum(f"s{c}") for c in range(d)]).alias("sums")))
+
+
 def fit_kmeans(vecs: DataFrame, k: int, starts: int, seed: int = SEED):
-    """M8: best of ``starts`` K-Means runs (least within-cluster cost); the
-    starts run concurrently."""
-    tol = spark_kmeans_tol(vecs)(k)
-    return min(_parallel([lambda s=s: _kmeans(vecs, k, seed + s, tol) for s in range(starts)]), key=lambda mc: mc[1])
+    """M8: best of ``starts`` K-Means runs (least within-cluster cost), fitted
+    again by Spark ML, which makes the model."""
+    runs = kmeans_runs(vecs, [(k, seed + s) for s in range(starts)])
+    best = min(range(starts), key=lambda s: runs[s][1])
+    return _kmeans(vecs, k, seed + best, spark_kmeans_tol(vecs)(k))
 
 
 def elbow_fits(vecs: DataFrame, ks=range(2, 9), starts: int = 5, seed: int = SEED) -> list:
     """M9: (k, inertia, centres) for k = 2..8, best of 5 starts each, over the
-    cached vectors that M8 uses, by the same fit as M8. All runs are independent
-    and share the executors; the long ones (large k) begin first."""
-    tol = spark_kmeans_tol(vecs)
-    jobs = [(k, s) for k in sorted(ks, reverse=True) for s in range(starts)]
-    runs = _parallel([lambda k=k, s=s: (k, *_kmeans(vecs, k, seed + s, tol(k))) for k, s in jobs], workers=8)
-    best = {k: min((r for r in runs if r[0] == k), key=lambda r: r[2]) for k in ks}
-    return [(k, float(cost), [c.tolist() for c in m.clusterCenters()]) for k, m, cost in best.values()]
+    cached vectors that M8 uses, by the same runs as M8's, all together."""
+    runs = kmeans_runs(vecs, [(k, seed + s) for k in ks for s in range(starts)])
+    best = {k: min((r for r in runs if r[0] == k), key=lambda r: r[1]) for k in ks}
+    return [(k, float(cost), centers.tolist()) for k, cost, centers in best.values()]
 
 
 def elbow_table(vecs: DataFrame, centers: dict[int, list[list[float]]]) -> DataFrame:
@@ -228,10 +301,16 @@ def evaluate_hold_out(df: DataFrame, bundle: Bundle) -> DataFrame:
 
 
 def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "train",
-          with_elbow: bool = False, timings: dict | None = None) -> Bundle:
+          with_elbow: bool = False, timings: dict | None = None,
+          parts: Sequence[str] | None = None, scalers: dict | None = None) -> Bundle:
     """Clean table -> features -> split -> six fitted models -> hold-out
     metrics -> cluster profile and names. ``timings`` (if given) receives the
-    wall seconds of each fit."""
+    wall seconds of each fit.
+
+    With ``parts`` (of ``PARTS``) only those are fitted, each as it is fitted
+    beside the others: no fit reads another's result. The hold-out metrics need
+    all supervised models, the profile and names the K-Means. ``scalers`` are
+    those of parts fitted before."""
     import time as _time
     p = PRESETS[preset]
     timings = timings if timings is not None else {}
@@ -242,82 +321,83 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "train",
         timings[name] = round(_time.time() - t0, 3)
         return out
     spark = df.sparkSession
+    wanted = set(parts) if parts is not None else set(PARTS) - (set() if with_elbow else {"elbow"})
     clf_f, reg_f = present(df, K.CLF_FEATURES), present(df, K.REG_FEATURES)
     clu_f = present(df, K.CLU_FEATURES)
+    keep = ["RespondentID", "label", "score", "is_test", "LoanApproved", "CreditScore"]
     data = split(df, 20, SEED).withColumn("label", F.col("LoanApproved").cast("int")) \
         .withColumn("score", F.col("CreditScore").cast("double"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.select(*dict.fromkeys([*keep, *clf_f, *reg_f, *clu_f])).persist(StorageLevel.MEMORY_AND_DISK)
     cached = [data]
     try:
-        fit_rows = data if scaler_fit == "all" else data.where(F.col("is_test") == 0)
-        filled = prep_features(fit_rows, sorted(set(clf_f + clu_f)))
-        scalers = {"clf": segments.fit_scaler(filled, clf_f),
-                   "reg": segments.fit_scaler(filled, reg_f),
-                   "clu": segments.fit_scaler(filled, clu_f)}
-        keep = ["RespondentID", "label", "score", "is_test", "LoanApproved", "CreditScore"]
-        Xc = balanced_weights(assemble(data, clf_f, scalers["clf"], keep), "label",
-                              fit_on=data.where("is_test = 0"))
-        Xc = Xc.persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(Xc)
-        train_c, test_c = Xc.where("is_test = 0"), Xc.where("is_test = 1")
-        n_train = train_c.count()
-
-        models = {}
-        fits = {
-            "lr": lambda: LogisticRegression(
-                featuresCol="features", labelCol="label", weightCol="w", maxIter=1000,
-                regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False,
-                tol=1e-8).fit(train_c),
-            "rf_clf": lambda: RandomForestClassifier(
-                featuresCol="features", labelCol="label", weightCol="w",
-                numTrees=p["rf_trees"], maxDepth=p["rf_depth"], featureSubsetStrategy="sqrt",
-                seed=SEED).fit(train_c),
-            "gb_clf": lambda: GBTClassifier(
-                featuresCol="features", labelCol="label", maxIter=p["gb_rounds"], maxDepth=5,
-                stepSize=0.1, seed=SEED).fit(train_c),
-        }
-
+        if scalers is None:
+            fit_rows = data if scaler_fit == "all" else data.where(F.col("is_test") == 0)
+            filled = prep_features(fit_rows, sorted(set(clf_f + clu_f)))
+            scalers = {"clf": segments.fit_scaler(filled, clf_f),
+                       "reg": segments.fit_scaler(filled, reg_f),
+                       "clu": segments.fit_scaler(filled, clu_f)}
+
+        def vectors(features, task, keep=keep):
+            frame = assemble(data, features, scalers[task], keep)
+            if task == "clf":
+                frame = balanced_weights(frame, "label", fit_on=data.where("is_test = 0"))
+            cached.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
+            return frame
+
+        Xc = vectors(clf_f, "clf") if wanted & {*CLASSIFIERS} or reg_f == clf_f and wanted & {*REGRESSORS} else None
         if reg_f == clf_f:  # the same vectors: cached once
             Xr = Xc
         else:
-            Xr = assemble(data, reg_f, scalers["reg"], keep).persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(Xr)
-        train_r, test_r = Xr.where("is_test = 0"), Xr.where("is_test = 1")
-        sy = train_r.agg(F.stddev_pop("score")).first()[0] or 1.0
-        n_r = train_r.count()
-        fits["ridge"] = lambda: LinearRegression(
-            featuresCol="features", labelCol="score", solver="normal", elasticNetParam=0.0,
-            standardization=False, regParam=1.0 * sy / n_r).fit(train_r)
-        fits["rf_reg"] = lambda: RandomForestRegressor(
-            featuresCol="features", labelCol="score", numTrees=p["rfr_trees"],
-            maxDepth=p["rfr_depth"], featureSubsetStrategy="all", seed=SEED).fit(train_r)
-
-        with_raw = data.withColumns({f"raw_{c}": F.coalesce(C.no_nan(c), C.dlit(0)) for c in clu_f})
-        Xk = assemble(with_raw, clu_f, scalers["clu"], [*keep, *[f"raw_{c}" for c in clu_f]])
-        Xk = Xk.persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(Xk)
-        fits["kmeans"] = lambda: fit_kmeans(Xk, 4, p["km_starts"])[0]
-        if with_elbow:
-            fits["elbow"] = lambda: elbow_fits(Xk)
+            Xr = vectors(reg_f, "reg") if wanted & {*REGRESSORS} else None
+        models, fits = {}, {}
+        if wanted & {*CLASSIFIERS}:
+            train_c = Xc.where("is_test = 0")
+            n_train = train_c.count()
+            fits |= {
+                "lr": lambda: LogisticRegression(
+                    featuresCol="features", labelCol="label", weightCol="w", maxIter=1000,
+                    regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False,
+                    tol=1e-8).fit(train_c),
+                "rf_clf": lambda: RandomForestClassifier(
+                    featuresCol="features", labelCol="label", weightCol="w",
+                    numTrees=p["rf_trees"], maxDepth=p["rf_depth"], featureSubsetStrategy="sqrt",
+                    seed=SEED).fit(train_c),
+                "gb_clf": lambda: GBTClassifier(
+                    featuresCol="features", labelCol="label", maxIter=p["gb_rounds"], maxDepth=5,
+                    stepSize=0.1, seed=SEED).fit(train_c),
+            }
+        if wanted & {*REGRESSORS}:
+            train_r = Xr.where("is_test = 0")
+            n_r, sy = train_r.agg(F.count(F.lit(1)), F.stddev_pop("score")).first()
+            fits |= {
+                "ridge": lambda: LinearRegression(
+                    featuresCol="features", labelCol="score", solver="normal", elasticNetParam=0.0,
+                    standardization=False, regParam=1.0 * (sy or 1.0) / n_r).fit(train_r),
+                "rf_reg": lambda: RandomForestRegressor(
+                    featuresCol="features", labelCol="score", numTrees=p["rfr_trees"],
+                    maxDepth=p["rfr_depth"], featureSubsetStrategy="all", seed=SEED).fit(train_r),
+            }
+        if wanted & {"kmeans", "elbow"}:
+            Xk = assemble(data.withColumns({f"raw_{c}": F.coalesce(C.no_nan(c), C.dlit(0)) for c in clu_f}),
+                          clu_f, scalers["clu"], [*keep, *[f"raw_{c}" for c in clu_f]])
+            cached.append(Xk.persist(StorageLevel.MEMORY_AND_DISK))
+            fits |= {"kmeans": lambda: fit_kmeans(Xk, 4, p["km_starts"])[0], "elbow": lambda: elbow_fits(Xk)}
+        fits = {n: fit for n, fit in fits.items() if n in wanted}
         names = list(fits)
         results = _parallel([lambda n=n: timed("fit_" + n if n != "elbow" else n, fits[n])
                              for n in names], workers=len(names))
         for n, r in zip(names, results):
             if n != "elbow":
                 models[n] = r
-        fitted = results[names.index("elbow")] if with_elbow else []
-
-        metrics = hold_out_metrics(test_c, test_r, models)
-
-        # The raw features ride along with the vectors, so no join is needed.
-        clustered = models["kmeans"].transform(Xk).withColumnRenamed("prediction", "Cluster")
-        profile = segments.cluster_profile(
-            clustered.select("Cluster", "LoanApproved", *[F.col(f"raw_{c}").alias(c) for c in clu_f]),
-            [c for c in clu_f if c != "CreditScore"], extra=["LoanApproved"])
-        names = segments.name_clusters(profile).collect()
-        labels = {int(r["Cluster"]): r["label"] for r in names}
-        profile = spark.createDataFrame(profile.collect(), profile.schema)
-        sizes = segments.cluster_size_map(clustered).first()["sizes"]
+        fitted = results[names.index("elbow")] if "elbow" in wanted else []
+
+        metrics = None
+        if wanted >= {*SUPERVISED}:
+            metrics = hold_out_metrics(Xc.where("is_test = 1"), Xr.where("is_test = 1"), models)
+
+        profile, labels, sizes = None, {}, {}
+        if "kmeans" in wanted:
+            profile, labels, sizes = describe_clusters(models["kmeans"].transform(Xk), clu_f)
         return Bundle(clf_f, reg_f, clu_f, scalers, models, metrics, labels, profile,
                       [f[:2] for f in fitted], sizes, elbow_centers={f[0]: f[2] for f in fitted})
     finally:
@@ -325,65 +405,102 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "train",
             frame.unpersist()
 
 
+def describe_clusters(predicted: DataFrame, clu_f: list[str]) -> tuple[DataFrame, dict[int, str], dict[int, int]]:
+    """Profile, names and sizes of the trained clusters. The raw features ride
+    along with the vectors, so no join is needed."""
+    clustered = predicted.withColumnRenamed("prediction", "Cluster")
+    profile = segments.cluster_profile(
+        clustered.select("Cluster", "LoanApproved", *[F.col(f"raw_{c}").alias(c) for c in clu_f]),
+        [c for c in clu_f if c != "CreditScore"], extra=["LoanApproved"])
+    profile = predicted.sparkSession.createDataFrame(profile.collect(), profile.schema)
+    labels = {int(r["Cluster"]): r["label"] for r in segments.name_clusters(profile).collect()}
+    return profile, labels, segments.cluster_size_map(clustered).first()["sizes"]
+
+
 # ------------------------------------------------------------ S6 - S8 -------
 _MODEL_TYPES = {"lr": LogisticRegressionModel, "rf_clf": RandomForestClassificationModel,
                 "gb_clf": GBTClassificationModel, "ridge": LinearRegressionModel,
                 "rf_reg": RandomForestRegressionModel, "kmeans": KMeansModel}
 
 
-def save_artifacts(bundle: Bundle, path: str) -> None:
+def save_artifacts(bundle: Bundle, path: str, add: bool = False) -> None:
     """Feature stages (PipelineModel) and models via Spark ML persistence;
-    lists, scalers, labels and cluster sizes as a small JSON document; metrics and
-    profile as parquet. A later session scores from the folder alone."""
+    lists, scalers, labels and cluster sizes as small JSON documents; metrics and
+    profile as parquet. A later session scores from the folder alone. With ``add``
+    the bundle's parts, trained with the folder's scalers, join what is there. The
+    sentinels are written last."""
     spark = SparkSession.getActiveSession()
+
+    def document(name: str, content: dict) -> None:
+        spark.createDataFrame([(json.dumps(content),)], "meta string").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}/{name}")
+
+    if not add:
+        for name in ["_done", *[f"_done_{n}" for n in PARTS]]:
+            sentinel, fs = file_system(spark, f"{path}/{name}")
+            fs.delete(sentinel, True)
+        for task, pipeline in bundle.features.items():
+            pipeline.write().overwrite().save(f"{path}/features_{task}")
+        document("meta", {"clf_features": bundle.clf_features, "reg_features": bundle.reg_features,
+                          "clu_features": bundle.clu_features, "scalers": bundle.scalers, "version": VERSION})
     for name, m in bundle.models.items():
         m.write().overwrite().save(f"{path}/{name}")
-    meta = {"clf_features": bundle.clf_features, "reg_features": bundle.reg_features,
-            "clu_features": bundle.clu_features, "scalers": bundle.scalers,
-            "segment_labels": {str(k): v for k, v in bundle.segment_labels.items()},
-            "inertias": bundle.inertias, "version": VERSION,
-            "cluster_sizes": {str(k): v for k, v in bundle.cluster_sizes.items()},
-            "elbow_centers": {str(k): v for k, v in bundle.elbow_centers.items()}}
-    for task, pipeline in bundle.features.items():
-        pipeline.write().overwrite().save(f"{path}/features_{task}")
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
-        .write.mode("overwrite").parquet(f"{path}/meta")
     if bundle.metrics is not None:
         bundle.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
     if bundle.cluster_profile is not None:
         bundle.cluster_profile.write.mode("overwrite").parquet(f"{path}/cluster_profile")
-    spark.createDataFrame([("ok",)], "s string").write.mode("overwrite").parquet(f"{path}/_done")
-
-
-_LOADED: dict[str, tuple[SparkSession, Bundle]] = {}
-
-
-def load_artifacts(spark: SparkSession, path: str, cached: bool = True) -> Bundle:
-    """S7. A complete artifact folder is immutable (versioned path, sentinel
-    written last), so loaded bundles are kept for the session that loaded
-    them."""
-    hit = _LOADED.get(path)
+        document("clusters", {"segment_labels": {str(k): v for k, v in bundle.segment_labels.items()},
+                              "cluster_sizes": {str(k): v for k, v in bundle.cluster_sizes.items()}})
+    if bundle.elbow_centers:
+        document("elbow", {"inertias": bundle.inertias,
+                           "elbow_centers": {str(k): v for k, v in bundle.elbow_centers.items()}})
+    parts = [*bundle.models, *(["elbow"] if bundle.elbow_centers else [])]
+    for name in ["_done", *[f"_done_{n}" for n in parts]]:
+        document(name, {})
+
+
+_LOADED: dict[tuple, tuple[SparkSession, Bundle]] = {}
+
+
+def load_artifacts(spark: SparkSession, path: str, cached: bool = True,
+                   parts: Sequence[str] | None = None) -> Bundle:
+    """The folder's models, or those of ``parts``. A part that is complete is
+    immutable (versioned path, sentinel written last), so loaded bundles are kept
+    for the session that loaded them."""
+    key = (path, tuple(sorted(parts)) if parts is not None else tuple(trained_parts(spark, path)))
+    hit = _LOADED.get(key)
     if cached and hit is not None and same_session(hit[0], spark):
         return hit[1]
-    bundle = _load_artifacts(spark, path)
+    bundle = _load_artifacts(spark, path, set(key[1]))
     if cached:
-        _LOADED[path] = (spark, bundle)
+        _LOADED[key] = (spark, bundle)
     return bundle
 
 
-def _load_artifacts(spark: SparkSession, path: str) -> Bundle:
-    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
-    models = {n: t.load(f"{path}/{n}") for n, t in _MODEL_TYPES.items()}
-    return Bundle(meta["clf_features"], meta["reg_features"], meta["clu_features"],
-                  meta["scalers"], models, spark.read.parquet(f"{path}/metrics"),
-                  {int(k): v for k, v in meta["segment_labels"].items()},
-                  spark.read.parquet(f"{path}/cluster_profile"),
-                  [tuple(x) for x in meta.get("inertias", [])],
-                  {int(k): v for k, v in meta["cluster_sizes"].items()},
-                  {int(k): v for k, v in meta["elbow_centers"].items()},
+def _load_artifacts(spark: SparkSession, path: str, parts: set[str]) -> Bundle:
+    def document(name: str) -> dict:
+        return json.loads(spark.read.parquet(f"{path}/{name}").first()["meta"])
+
+    meta = document("meta")
+    clusters = document("clusters") if "kmeans" in parts else {}
+    elbow = document("elbow") if "elbow" in parts else {}
+    models = {n: t.load(f"{path}/{n}") for n, t in _MODEL_TYPES.items() if n in parts}
+    metrics = f"{path}/metrics"
+    return Bundle(meta["clf_features"], meta["reg_features"], meta["clu_features"], meta["scalers"], models,
+                  spark.read.parquet(metrics) if parts >= {*SUPERVISED} and _exists(spark, metrics) else None,
+                  {int(k): v for k, v in clusters.get("segment_labels", {}).items()},
+                  spark.read.parquet(f"{path}/cluster_profile") if clusters else None,
+                  [tuple(x) for x in elbow.get("inertias", [])],
+                  {int(k): v for k, v in clusters.get("cluster_sizes", {}).items()},
+                  {int(k): v for k, v in elbow.get("elbow_centers", {}).items()},
                   {task: PipelineModel.load(f"{path}/features_{task}") for task in ("clf", "reg", "clu")})
 
 
+def trained_parts(spark: SparkSession, path: str) -> list[str]:
+    """Parts that are complete in an artifact folder."""
+    return [n for n in PARTS if _exists(spark, f"{path}/_done_{n}")]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hpath, fs = file_system(spark, path)
     return fs.exists(hpath)
@@ -404,13 +521,17 @@ def artifact_dir(spark: SparkSession, key: str) -> str:
 
 
 def ensure_artifacts(spark: SparkSession, df_factory, key: str, preset: str = "fast",
-                     path: str | None = None) -> Bundle:
-    """Train (and save) only when the sentinel artifact is absent."""
+                     path: str | None = None, parts: Sequence[str] = PARTS) -> Bundle:
+    """Train (and save) what of ``parts`` has no sentinel yet, with the
+    scalers of the parts that are there."""
     path = path or artifact_dir(spark, f"{key}|{preset}")
-    if not _exists(spark, f"{path}/_done"):
-        bundle = train(df_factory(), preset, with_elbow=True)
-        save_artifacts(bundle, path)
-    return load_artifacts(spark, path)
+    done = trained_parts(spark, path)
+    missing = [n for n in parts if n not in done]
+    if missing:
+        begun = _exists(spark, f"{path}/_done")
+        scalers = load_artifacts(spark, path, parts=()).scalers if begun else None
+        save_artifacts(train(df_factory(), preset, parts=missing, scalers=scalers), path, add=begun)
+    return load_artifacts(spark, path, parts=parts)
 
 
 # ----------------------------------------------------------- M10, M12, M13 --

@@ -26,6 +26,17 @@ RESULT_COLUMNS = ["Approval_Probability_%", "Loan_Decision", "Predicted_CreditSc
 LIVE_COLUMNS = [*RESULT_COLUMNS, "Score_Band", "p_gb", "vote_gb", "p_rf", "vote_rf", "p_lr", "vote_lr"]
 
 
+def classified(v: DataFrame, bundle: Bundle) -> DataFrame:
+    """Adds p_gb, p_rf and p_lr (and the classifiers' other outputs) to a table
+    with the classifiers' vector."""
+    for name, out in (("gb_clf", "p_gb"), ("rf_clf", "p_rf"), ("lr", "p_lr")):
+        model = bundle.models[name].copy()
+        model.setFeaturesCol("__f_clf").setPredictionCol(f"__pred_{name}")
+        model.setProbabilityCol(f"__prob_{name}").setRawPredictionCol(f"__raw_{name}")
+        v = model.transform(v).withColumn(out, positive_probability(f"__prob_{name}"))
+    return v
+
+
 def model_columns(df: DataFrame, bundle: Bundle, cluster_score: str = "input") -> DataFrame:
     """C1 + C4 + C5 inputs: adds p_gb, p_rf, p_lr, ridge_pred and cluster.
 
@@ -33,13 +44,8 @@ def model_columns(df: DataFrame, bundle: Bundle, cluster_score: str = "input") -
     absent, as the batch page does); ``"predicted"`` feeds the ridge
     prediction as CreditScore (the live form)."""
     cols = list(df.columns)
-    v = with_features(with_features(df, bundle.features["clf"]), bundle.features["reg"])
     m = bundle.models
-    for name, out in (("gb_clf", "p_gb"), ("rf_clf", "p_rf"), ("lr", "p_lr")):
-        model = m[name].copy()
-        model.setFeaturesCol("__f_clf").setPredictionCol(f"__pred_{name}")
-        model.setProbabilityCol(f"__prob_{name}").setRawPredictionCol(f"__raw_{name}")
-        v = model.transform(v).withColumn(out, positive_probability(f"__prob_{name}"))
+    v = classified(with_features(with_features(df, bundle.features["clf"]), bundle.features["reg"]), bundle)
     ridge = m["ridge"].copy()
     ridge.setFeaturesCol("__f_reg").setPredictionCol("ridge_pred")
     v = ridge.transform(v).select(*cols, "p_gb", "p_rf", "p_lr", "ridge_pred")
@@ -79,7 +85,8 @@ def segment_customers(loaded: DataFrame, bundle: Bundle, out: str = "Cluster_Lab
 def model_probabilities(loaded: DataFrame, bundle: Bundle) -> DataFrame:
     """The three classifiers' probabilities over the loaded table's own
     columns, as the evaluation pages use them: adds p_gb, p_rf, p_lr."""
-    return model_columns(loaded, bundle).drop("ridge_pred", "cluster")
+    return classified(with_features(loaded, bundle.features["clf"]), bundle).select(
+        *loaded.columns, "p_gb", "p_rf", "p_lr")
 
 
 def score_with_models(df: DataFrame, bundle: Bundle, mode: str = "batch") -> DataFrame:

@@ -368,3 +368,52 @@ def test_profile_covers_the_default_lists(base):
     for c in K.EDA_CATEGORICAL:
         if c in base.columns:
             assert {f"category_headline_{c}", f"value_shares_{c}"} <= have
+
+
+def test_only_the_parts_asked_for_are_trained_and_later_ones_join(spark, base, bundle, tmp_path):
+    path = str(tmp_path / "parts")
+    one = M.ensure_artifacts(spark, lambda: base, "k", "test", path, parts=("ridge",))
+    assert M.trained_parts(spark, path) == ["ridge"] and list(one.models) == ["ridge"]
+    assert np.allclose(one.models["ridge"].coefficients.toArray(), bundle.models["ridge"].coefficients.toArray())
+    two = M.ensure_artifacts(spark, lambda: base, "k", "test", path, parts=("ridge", "kmeans"))
+    assert sorted(M.trained_parts(spark, path)) == ["kmeans", "ridge"] and two.scalers == one.scalers
+    assert sorted(two.segment_labels.values()) == sorted(K.CLUSTER_NAMES)
+    assert two.cluster_sizes and sum(two.cluster_sizes.values()) == base.count()
+
+    def none():
+        raise AssertionError("trained again")
+    assert M.ensure_artifacts(spark, none, "k", "test", path, parts=("kmeans",)).cluster_profile.count() == 4
+    M.save_artifacts(one, path)  # anew: what was there is no longer valid
+    assert M.trained_parts(spark, path) == ["ridge"]
+
+
+@pytest.mark.parametrize("query, parts", [
+    ("feature_importance", {"rf_clf"}), ("feature_importance_top5", {"rf_clf"}), ("ridge_coefficients", {"ridge"}),
+    ("ridge_extremes", {"ridge"}), ("elbow", {"elbow"}), ("kmeans_segments", {"kmeans"}), ("pca_variance", {"kmeans"}),
+    ("train_metrics", set(M.SUPERVISED)), ("batch_summary", {*M.CLASSIFIERS, "ridge", "kmeans"}),
+    ("model_roc_points", set(M.CLASSIFIERS)), ("model_residual_summary", set(M.REGRESSORS))])
+def test_a_query_trains_the_models_it_reads(spark, sf0001, monkeypatch, query, parts):
+    asked = []
+
+    def stop(*args, parts=M.PARTS, **kw):
+        asked.extend(parts)
+        raise InterruptedError
+
+    from loanlens.plans import catalog_models
+    monkeypatch.setattr(M, "ensure_artifacts", stop)
+    monkeypatch.setattr(catalog_models, "stored_table", lambda kind, spark, d, build: build())
+    with pytest.raises(InterruptedError):
+        getattr(catalog_models, query)(spark, sf0001)
+    assert set(asked) == parts
+
+
+def test_kmeans_runs_together_equal_runs_alone(spark):
+    rng = np.random.default_rng(5)
+    rows = [(v.tolist(),) for v in np.r_[rng.normal(size=(150, 3)), rng.normal(4, 2, (100, 3)), np.zeros((30, 3))]]
+    from pyspark.ml.functions import array_to_vector
+    vecs = spark.createDataFrame(rows, "x array<double>").select(array_to_vector("x").alias("features")).persist()
+    starts, tol = [(4, 1), (4, 2), (7, 1), (2, 9)], M.spark_kmeans_tol(vecs)
+    for (k, cost, centers), (_, seed) in zip(M.kmeans_runs(vecs, starts), starts):
+        model, alone = M._kmeans(vecs, k, seed, tol(k))
+        assert np.isclose(cost, alone) and np.allclose(centers, model.clusterCenters())
+    vecs.unpersist()
