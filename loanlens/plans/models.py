@@ -61,7 +61,7 @@ PRESETS = {
 }
 SEED = 42
 KMEANS_ITERATIONS = 300
-LLOYD_ROWS = 4_096  # rows whose distances to all centres are held at once
+LLOYD_ROWS = 1_024  # rows whose distances to all centres are held at once
 CLASSIFIERS, REGRESSORS = ("lr", "rf_clf", "gb_clf"), ("ridge", "rf_reg")
 SUPERVISED = CLASSIFIERS + REGRESSORS
 #: What can be trained on its own; each has a sentinel in the artifact folder.
@@ -172,7 +172,9 @@ def spark_kmeans_tol(vecs: DataFrame, rel_tol: float = 1e-4):
 
 
 def _kmeans(vecs: DataFrame, k: int, seed: int, tol: float):
-    m = KMeans(k=k, seed=seed, featuresCol="features", maxIter=KMEANS_ITERATIONS, tol=tol).fit(vecs)
+    # Of the vectors alone: Spark then keeps them as its passes need them, and
+    # does not read the cached table again in every pass.
+    m = KMeans(k=k, seed=seed, featuresCol="features", maxIter=KMEANS_ITERATIONS, tol=tol).fit(vecs.select("features"))
     return m, m.summary.trainingCost
 
 
@@ -182,8 +184,8 @@ def kmeans_runs(vecs: DataFrame, starts: Sequence[tuple[int, int]]) -> list[tupl
     vectors once. A centre without rows stays, a start ends when each of its centres
     moved at most its bound, and its cost is that of its last iteration, all as in
     Spark's K-Means. Tasks return sums by centre; no row leaves them."""
-    tol = spark_kmeans_tol(vecs)
-    first = _parallel([lambda k=k, s=s: KMeans(k=k, seed=s, featuresCol="features", maxIter=0).fit(vecs)
+    tol, alone = spark_kmeans_tol(vecs), vecs.select("features")
+    first = _parallel([lambda k=k, s=s: KMeans(k=k, seed=s, featuresCol="features", maxIter=0, solver="row").fit(alone)
                        for k, s in starts], workers=8)
     centers = [np.array(m.clusterCenters()) for m in first]
     costs, going = [0.0] * len(starts), list(range(len(starts)))
@@ -219,16 +221,21 @@ def lloyd_sums(x: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
         for batch in it:
             for at in range(0, batch.num_rows, LLOYD_ROWS):
                 rows = batch.column(0).slice(at, LLOYD_ROWS).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                far = norms - 2 * (rows @ table.T)
-                own = (rows * rows).sum(1)
-                near = np.zeros(far.shape)
+                far = table @ rows.T  # centres by rows: a run's centres lie one behind the other
+                far *= -2
+                far += norms[:, None]
+                own, near = (rows * rows).sum(1), np.empty(far.shape, bool)
                 for a, b in zip(cuts, cuts[1:]):
-                    best = far[:, a:b].argmin(1)
-                    n[a:b] += np.bincount(best, minlength=b - a)
-                    away = np.maximum(own + far[np.arange(len(rows)), a + best], 0)
-                    cost[a:b] += np.bincount(best, away, b - a)
-                    near[np.arange(len(rows)), a + best] = 1
-                total += near.T @ rows
+                    low = far[a:b].min(0)
+                    np.equal(far[a:b], low, out=near[a:b])
+                    if np.count_nonzero(near[a:b]) > len(rows):  # equally near centres
+                        near[a:b] = np.arange(b - a)[:, None] == far[a:b].argmin(0)
+                    low += own
+                    far[a:b] = np.maximum(low, 0, out=low)
+                n += near.sum(1)
+                near = near.astype(np.float64)
+                cost += np.einsum("cr,cr->c", near, far)
+                total += near @ rows
         used = np.flatnonzero(n)
         run_of = np.searchsorted(cuts, used, "right") - 1
         yield pa.RecordBatch.from_arrays(

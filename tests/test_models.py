@@ -417,3 +417,25 @@ def test_kmeans_runs_together_equal_runs_alone(spark):
         model, alone = M._kmeans(vecs, k, seed, tol(k))
         assert np.isclose(cost, alone) and np.allclose(centers, model.clusterCenters())
     vecs.unpersist()
+
+
+def test_kmeans_reads_the_vectors_alone(spark, monkeypatch):
+    """No pass of a fit reads the table that the vectors stand in."""
+    fit, seen = M.KMeans.fit, []
+    monkeypatch.setattr(M.KMeans, "fit", lambda self, df, *a: seen.append(df.columns) or fit(self, df, *a))
+    from pyspark.ml.functions import array_to_vector
+    rows = spark.createDataFrame([(i, [float(i % 5), float(i // 5)]) for i in range(25)], "id int, x array<double>")
+    vecs = rows.select("id", array_to_vector("x").alias("features")).persist()
+    try:
+        M.fit_kmeans(vecs, 2, 3)
+        M.elbow_fits(vecs, ks=(2, 3), starts=2)
+    finally:
+        vecs.unpersist()
+    assert len(seen) == 8 and all(c == ["features"] for c in seen)
+
+
+def test_equally_near_centres_go_to_the_first(spark):
+    x = spark.createDataFrame([([0.0, 0.0],), ([2.0, 0.0],), ([9.0, 0.0],)], "x array<double>")
+    centers = {0: np.array([[1.0, 0], [1.0, 0], [8.0, 0]]), 4: np.array([[1.0, 1.0], [1.0, -1.0]])}
+    got = {(r.run, r.center): (r.n, r.cost, r.sums) for r in M.lloyd_sums(x, centers).collect()}
+    assert got == {(0, 0): (2, 2.0, [2.0, 0.0]), (0, 2): (1, 1.0, [9.0, 0.0]), (4, 0): (3, 69.0, [11.0, 0.0])}
