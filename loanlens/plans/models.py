@@ -21,7 +21,7 @@ import hashlib
 import json
 import math
 import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -62,6 +62,7 @@ PRESETS = {
 SEED = 42
 KMEANS_ITERATIONS = 300
 LLOYD_ROWS = 1_024  # rows whose distances to all centres are held at once
+START_WORKERS = 4  # starts whose first centres Spark seeks at a time
 CLASSIFIERS, REGRESSORS = ("lr", "rf_clf", "gb_clf"), ("ridge", "rf_reg")
 SUPERVISED = CLASSIFIERS + REGRESSORS
 #: What can be trained on its own; each has a sentinel in the artifact folder.
@@ -185,11 +186,21 @@ def kmeans_runs(vecs: DataFrame, starts: Sequence[tuple[int, int]]) -> list[tupl
     moved at most its bound, and its cost is that of its last iteration, all as in
     Spark's K-Means. Tasks return sums by centre; no row leaves them."""
     tol, alone = spark_kmeans_tol(vecs), vecs.select("features")
+    # Each keeps the vectors while it runs, so few run at a time.
     first = _parallel([lambda k=k, s=s: KMeans(k=k, seed=s, featuresCol="features", maxIter=0, solver="row").fit(alone)
-                       for k, s in starts], workers=8)
-    centers = [np.array(m.clusterCenters()) for m in first]
+                       for k, s in starts], workers=START_WORKERS)
+    x = vecs.select(vector_to_array("features").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return lloyd_runs(x, starts, [np.array(m.clusterCenters()) for m in first], tol)
+    finally:
+        x.unpersist()
+
+
+def lloyd_runs(x: DataFrame, starts: Sequence[tuple[int, int]], centers: list[np.ndarray],
+               tol: Callable[[int], float]) -> list[tuple[int, float, np.ndarray]]:
+    """(k, cost, centres) of each start from its first centres, over the cached
+    rows ``x`` (array column): a pass decodes no vectors."""
     costs, going = [0.0] * len(starts), list(range(len(starts)))
-    x = vecs.select(vector_to_array("features").alias("x"))
     for _ in range(KMEANS_ITERATIONS):
         if not going:
             break
@@ -388,7 +399,10 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "train",
             Xk = assemble(data.withColumns({f"raw_{c}": F.coalesce(C.no_nan(c), C.dlit(0)) for c in clu_f}),
                           clu_f, scalers["clu"], [*keep, *[f"raw_{c}" for c in clu_f]])
             cached.append(Xk.persist(StorageLevel.MEMORY_AND_DISK))
+            Xk.count()
             fits |= {"kmeans": lambda: fit_kmeans(Xk, 4, p["km_starts"])[0], "elbow": lambda: elbow_fits(Xk)}
+        # The vectors are all cached now; the fits need the room of the table.
+        data.unpersist()
         fits = {n: fit for n, fit in fits.items() if n in wanted}
         names = list(fits)
         results = _parallel([lambda n=n: timed("fit_" + n if n != "elbow" else n, fits[n])

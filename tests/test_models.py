@@ -439,3 +439,15 @@ def test_equally_near_centres_go_to_the_first(spark):
     centers = {0: np.array([[1.0, 0], [1.0, 0], [8.0, 0]]), 4: np.array([[1.0, 1.0], [1.0, -1.0]])}
     got = {(r.run, r.center): (r.n, r.cost, r.sums) for r in M.lloyd_sums(x, centers).collect()}
     assert got == {(0, 0): (2, 2.0, [2.0, 0.0]), (0, 2): (1, 1.0, [9.0, 0.0]), (4, 0): (3, 69.0, [11.0, 0.0])}
+
+
+def test_fits_hold_the_vectors_alone(base, spark, monkeypatch):
+    """The table is let go before the fits begin, and the passes of K-Means read
+    cached rows; nothing stays cached."""
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before, seen, read = held(), [], []
+    together, passes = M._parallel, M.lloyd_runs
+    monkeypatch.setattr(M, "_parallel", lambda fns, **k: seen.append(held() - before) or together(fns, **k))
+    monkeypatch.setattr(M, "lloyd_runs", lambda x, *a: read.append(x.storageLevel.useMemory) or passes(x, *a))
+    M.train(base, "test", parts=["ridge", "kmeans"])
+    assert seen[0] == 2 and read == [True] and held() == before
