@@ -19,7 +19,7 @@ def own_copy(tmp_path, sf0001):
     folder = tmp_path / "sf"
     folder.mkdir()
     for t in ("customer", "nation", "orders", "lineitem", "events"):
-        shutil.copy(f"{sf0001}/{t}.parquet", folder / f"{t}.parquet")
+        shutil.copyfile(f"{sf0001}/{t}.parquet", folder / f"{t}.parquet")
     return str(folder)
 
 
