@@ -63,6 +63,9 @@ SEED = 42
 KMEANS_ITERATIONS = 300
 LLOYD_ROWS = 1_024  # rows whose distances to all centres are held at once
 START_WORKERS = 4  # starts whose first centres Spark seeks at a time
+FOREST_ROWS = 1_024  # rows a task of the forest regressor's passes has at least, ...
+FOREST_ROWS_MOST = 1 << 20  # ... and at most
+FOREST_MB = 64  # room for a pass's sums by node in a task: more falls out of the processor's caches
 CLASSIFIERS, REGRESSORS = ("lr", "rf_clf", "gb_clf"), ("ridge", "rf_reg")
 SUPERVISED = CLASSIFIERS + REGRESSORS
 #: What can be trained on its own; each has a sentinel in the artifact folder.
@@ -291,6 +294,29 @@ def elbow_table(vecs: DataFrame, centers: dict[int, list[list[float]]]) -> DataF
     return row.selectExpr(f"stack({len(centers)}, {pairs}) AS (k, inertia)").where("inertia IS NOT NULL")
 
 
+def forest_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows (score, features, RespondentID) as the forest regressor reads
+    them in every pass. A pass adds each row to the sums of one node of every tree
+    and returns all sums of each task: so there are as many tasks as cores, however
+    the table's files are cut, and a task's rows of near scores, which mostly meet in
+    the same nodes, follow each other. Few rows stay as they are."""
+    tasks = max(min(rows.sparkSession.sparkContext.defaultParallelism, n // FOREST_ROWS), -(-n // FOREST_ROWS_MOST))
+    if tasks > 1:
+        rows = rows.repartition(tasks).sortWithinPartitions("score", "RespondentID")
+    return rows.select("score", "features")
+
+
+def fit_forest(rows: DataFrame, n: int, trees: int, depth: int) -> RandomForestRegressionModel:
+    """M7 over ``forest_rows``, held while Spark bins them."""
+    held = forest_rows(rows, n).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return RandomForestRegressor(
+            featuresCol="features", labelCol="score", numTrees=trees, maxDepth=depth,
+            featureSubsetStrategy="all", seed=SEED, maxMemoryInMB=FOREST_MB).fit(held)
+    finally:
+        held.unpersist()
+
+
 def hold_out_metrics(test_c: DataFrame, test_r: DataFrame, models: dict) -> DataFrame:
     """E1, E2, E5 of the five supervised models on rows with ``features`` and
     ``label`` or ``score``: a long table of 15 rows."""
@@ -391,9 +417,7 @@ def train(df: DataFrame, preset: str = "fast", scaler_fit: str = "train",
                 "ridge": lambda: LinearRegression(
                     featuresCol="features", labelCol="score", solver="normal", elasticNetParam=0.0,
                     standardization=False, regParam=1.0 * (sy or 1.0) / n_r).fit(train_r),
-                "rf_reg": lambda: RandomForestRegressor(
-                    featuresCol="features", labelCol="score", numTrees=p["rfr_trees"],
-                    maxDepth=p["rfr_depth"], featureSubsetStrategy="all", seed=SEED).fit(train_r),
+                "rf_reg": lambda: fit_forest(train_r, n_r, p["rfr_trees"], p["rfr_depth"]),
             }
         if wanted & {"kmeans", "elbow"}:
             Xk = assemble(data.withColumns({f"raw_{c}": F.coalesce(C.no_nan(c), C.dlit(0)) for c in clu_f}),

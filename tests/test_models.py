@@ -451,3 +451,18 @@ def test_fits_hold_the_vectors_alone(base, spark, monkeypatch):
     monkeypatch.setattr(M, "lloyd_runs", lambda x, *a: read.append(x.storageLevel.useMemory) or passes(x, *a))
     M.train(base, "test", parts=["ridge", "kmeans"])
     assert seen[0] == 2 and read == [True] and held() == before
+
+
+def test_the_forest_regressor_reads_its_rows_in_as_many_tasks_as_cores(spark):
+    rows = spark.createDataFrame([(float(k * 37 % 601), [float(k)], None if k % 5 == 0 else f"R{k % 900}")
+                                  for k in range(3000)], "score double, features array<double>, RespondentID string")
+    cores = spark.sparkContext.defaultParallelism
+    for parts in (1, 40):  # few and many pieces of the table's files
+        read = M.forest_rows(rows.repartition(parts), 3000)
+        tasks = read.rdd.glom().collect()
+        assert len(tasks) == min(cores, 2)
+        assert max(map(len, tasks)) < 1.2 * 3000 / len(tasks)
+        assert all([r["score"] for r in t] == sorted(r["score"] for r in t) for t in tasks)
+        assert sorted(r["features"][0] for t in tasks for r in t) == [float(k) for k in range(3000)]
+    few = M.forest_rows(rows.limit(900).coalesce(1), 900)
+    assert few.rdd.getNumPartitions() == 1 and few.collect() == rows.limit(900).coalesce(1).select("score", "features").collect()
